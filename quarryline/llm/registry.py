@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from .secrets import op9_secret_scans
 from .sharding import op8_sharding
+from .substring_dedup import op4_substring_dedup
 
 QUERIES = {
+    "op4_substring_dedup": op4_substring_dedup,
     "op8_sharding": op8_sharding,
     "op9_secret_scans": op9_secret_scans,
 }
