@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from .chat import op5_chat_formatting
 from .secrets import op9_secret_scans
 from .sharding import op8_sharding
 from .substring_dedup import op4_substring_dedup
 
 QUERIES = {
     "op4_substring_dedup": op4_substring_dedup,
+    "op5_chat_formatting": op5_chat_formatting,
     "op8_sharding": op8_sharding,
     "op9_secret_scans": op9_secret_scans,
 }
