@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import documents, fresh
+from .shared import documents, durable, fresh
 
 RULE_VERSION = 1
 #: Kinds in the order of listing, with pattern, group and least length of that group.
@@ -72,7 +72,8 @@ def unseen(docs: DataFrame, ledger: DataFrame | None, path: str = "doc_id") -> D
 
 def scan(docs: DataFrame, ledger: DataFrame | None = None, path: str = "doc_id") -> tuple[DataFrame, DataFrame]:
     """(findings by path: `path`, `blob`, `spans`; the ledger grown by what was scanned)."""
-    new = scan_blobs(unseen(docs, ledger, path)).dropDuplicates(["blob"])
+    # the ledger is written, which also lets Spark split the paths of a hot blob in the join below
+    new = durable(scan_blobs(unseen(docs, ledger, path)).dropDuplicates(["blob"]))
     grown = new if ledger is None else ledger.unionByName(new)
     # one row a blob with findings; blobs without any need no row in the join
     hits = (new if ledger is None else grown.where(F.col("rule_version") == RULE_VERSION)).where(F.size("spans") > 0).select("blob", "spans")
