@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .chat import op5_chat_formatting
+from .language_id import op6_language_id
 from .secrets import op9_secret_scans
 from .sharding import op8_sharding
 from .substring_dedup import op4_substring_dedup
@@ -10,6 +11,7 @@ from .substring_dedup import op4_substring_dedup
 QUERIES = {
     "op4_substring_dedup": op4_substring_dedup,
     "op5_chat_formatting": op5_chat_formatting,
+    "op6_language_id": op6_language_id,
     "op8_sharding": op8_sharding,
     "op9_secret_scans": op9_secret_scans,
 }
