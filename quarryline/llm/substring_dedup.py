@@ -10,8 +10,7 @@ anchors then extend: around them, and only there, the full windows are hashed
 Exact copies of an earlier text need no anchors: all their windows start there.
 
 Defined results: a null text has no words; a null doc_id comes after all
-others; repeated rows of one doc_id don't remove each other's words, and each
-is judged by its own text; texts under 50 words keep all; an empty table
+others; repeated rows of one doc_id don't remove each other's words; texts under 50 words keep all; an empty table
 yields no rows; other columns don't matter.
 """
 
@@ -36,65 +35,65 @@ ANCHOR = WINDOW - PERIOD + 1
 LAST = 2**63 - 1
 
 
+def once(doc: np.ndarray, *keys: np.ndarray) -> np.ndarray:
+    """Places of the first of each (document, keys): a repeat inside a document says nothing new."""
+    order = np.lexsort((*keys[::-1], doc))
+    same = np.ones(max(len(order) - 1, 0), bool)
+    for x in (doc, *keys):
+        same &= x[order][1:] == x[order][:-1]
+    return order[np.concatenate([[True], ~same])] if len(order) else order
+
+
+def anchor_starts(n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For documents of n words laid end to end: the anchors' documents, positions and places."""
+    doc, pos = spread(n)
+    at = np.flatnonzero(np.isin(np.arange(PERIOD), COVER)[pos % PERIOD] & (pos + ANCHOR <= n[doc]))
+    return doc[at], pos[at], at
+
+
 def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(ord, text) -> (h, ord, pos) at the cover's positions of texts with a whole window."""
-    known, cover = WordHashes(), np.isin(np.arange(PERIOD), COVER)
+    """(ord, text) -> (h, ord) of the anchors of texts with a whole window."""
+    known = WordHashes()
     for batch in batches:
         ords, texts = batch["ord"].to_numpy(), batch["text"]
         for part in chunks(pa.compute.utf8_length(texts).fill_null(0).to_pylist()):
-            split = [words_of(t) for t in texts[part].to_pylist()]
-            counts = np.array([len(w) if len(w) >= WINDOW else 0 for w in split])
-            words = [x for w in split if len(w) >= WINDOW for x in w]
-            if not words:
-                continue
-            doc, pos = spread(counts)
-            keep = cover[pos % PERIOD] & (pos + ANCHOR <= counts[doc])
-            starts = np.flatnonzero(keep)
-            h = Rolling(known.array(words)).at(starts, ANCHOR)
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(ords[part][doc[starts]]), pa.array(pos[starts].astype(np.int32))], ["h", "ord", "pos"])
+            split = [w if len(w) >= WINDOW else [] for w in map(words_of, texts[part].to_pylist())]
+            doc, _, at = anchor_starts(np.array([len(w) for w in split]))
+            h = Rolling(known.array([x for w in split for x in w])).at(at, ANCHOR)
+            keep = once(doc, h)
+            yield pa.RecordBatch.from_arrays([pa.array(h[keep].view(np.int64)), pa.array(ords[part][doc[keep]])], ["h", "ord"])
 
 
 def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(ord, text, positions of shared anchors) -> the windows (g1, g2, ord, pos) that hold one."""
+    """(ord, text, hashes of shared anchors) -> the windows (g1, g2, ord) that hold one."""
     known = WordHashes()
     for batch in batches:
-        ords, texts, places = batch["ord"].to_numpy(), batch["text"], batch["positions"]
+        ords, texts, found = batch["ord"].to_numpy(), batch["text"], batch["shared"]
         for part in chunks(pa.compute.utf8_length(texts).fill_null(0).to_pylist()):
-            split = [words_of(t) for t in texts[part].to_pylist()]
-            base, words, starts, owner = 0, [], [], []
-            for i, (w, found) in enumerate(zip(split, places[part], strict=True)):
-                if len(w) < WINDOW:
-                    continue
-                near = np.zeros(len(w) + 1, np.int32)
-                at = np.asarray(found.values.to_numpy())
-                at = at[at < len(w)]
-                np.add.at(near, np.maximum(at - PERIOD + 1, 0), 1)
-                np.add.at(near, at + 1, -1)
-                start = np.flatnonzero(np.cumsum(near)[: len(w) - WINDOW + 1])
-                starts.append(start + base)
-                owner.append(np.full(len(start), i))
-                words += w
-                base += len(w)
-            if not words:
-                continue
-            firsts = np.cumsum([0] + [len(w) if len(w) >= WINDOW else 0 for w in split])
-            start, own = np.concatenate(starts), np.concatenate(owner)
-            hashes = known.array(words)
-            g = [pa.array(Rolling(hashes, b).at(start, WINDOW).view(np.int64)) for b in BASES]
-            yield pa.RecordBatch.from_arrays([*g, pa.array(ords[part][own]), pa.array((start - firsts[own]).astype(np.int32))], ["g1", "g2", "ord", "pos"])
-
-
-def covered(n: int, hashes: np.ndarray | None, gone: list[dict] | None) -> np.ndarray:
-    """Which of n words the windows in `gone` (pos, g1) cover; windows of other texts don't count."""
-    mask = np.zeros(n + 1, np.int32)
-    pos = np.array([x["pos"] for x in gone], np.int64)
-    g1 = np.array([x["g1"] for x in gone], np.int64)
-    inside = pos + WINDOW <= n
-    pos, g1 = pos[inside], g1[inside]
-    pos = pos[Rolling(hashes).at(pos, WINDOW).view(np.int64) == g1]
-    np.add.at(mask, pos, 1)
-    np.add.at(mask, pos + WINDOW, -1)
-    return np.cumsum(mask)[:n] > 0
+            split = [w if len(w) >= WINDOW else [] for w in map(words_of, texts[part].to_pylist())]
+            n = np.array([len(w) for w in split])
+            hashes = known.array([x for w in split for x in w])
+            rolling = Rolling(hashes)
+            doc, _, at = anchor_starts(n)
+            h, near = rolling.at(at, ANCHOR).view(np.int64), np.zeros(len(hashes) + 1, np.int32)
+            cut, first = np.searchsorted(doc, np.arange(len(split) + 1)), np.cumsum(n) - n
+            for i, mine in enumerate(found[part]):
+                own = at[cut[i] : cut[i + 1]][np.isin(h[cut[i] : cut[i + 1]], mine.values.to_numpy())]
+                np.add.at(near, np.maximum(own - PERIOD + 1, first[i]), 1)
+                np.add.at(near, own + 1, -1)
+            doc, pos = spread(n)
+            at = np.flatnonzero((np.cumsum(near)[:-1] > 0) & (pos + WINDOW <= n[doc]))
+            g = [rolling.at(at, WINDOW), Rolling(hashes, BASES[1]).at(at, WINDOW)]
+            keep = once(doc[at], *g)
+            yield pa.RecordBatch.from_arrays([*[pa.array(x[keep].view(np.int64)) for x in g], pa.array(ords[part][doc[at][keep]])], ["g1", "g2", "ord"])
+
+
+def covered(hashes: np.ndarray, gone: np.ndarray) -> np.ndarray:
+    """Which words of a text the windows whose hash is in `gone` cover."""
+    g1 = Rolling(hashes).at(np.arange(len(hashes) - WINDOW + 1), WINDOW).view(np.int64)
+    starts = np.concatenate([np.isin(g1, gone).astype(np.int32), np.zeros(WINDOW, np.int32)])
+    starts[WINDOW:] -= starts[:-WINDOW].copy()
+    return np.cumsum(starts)[: len(hashes)] > 0
 
 
 def cleaned(with_text: bool):
@@ -108,7 +107,7 @@ def cleaned(with_text: bool):
                 if copy.as_py() and n >= WINDOW:
                     kept = []
                 elif gone.is_valid and n >= WINDOW:
-                    mask = covered(n, known.array(words), gone.as_py())
+                    mask = covered(known.array(words), gone.values.to_numpy())
                     kept = [w for w, m in zip(words, mask.tolist(), strict=True) if not m]
                 else:
                     kept = words
@@ -131,13 +130,13 @@ def dedup(docs: DataFrame, with_text: bool = False) -> DataFrame:
     flagged = texts.join(copies.hint("shuffle_hash"), "ord", "left").select("ord", "text", F.coalesce(F.array_contains("copied", F.col("h1")), F.lit(False)).alias("is_copy"))
     own = flagged.where(~F.col("is_copy")).select("ord", "text")
 
-    found = own.mapInArrow(anchors, "h long, ord long, pos int").repartition("h")
+    found = own.mapInArrow(anchors, "h long, ord long").repartition("h")
     shared = found.groupBy("h").agg(F.min("ord").alias("lo"), F.max("ord").alias("hi")).where("lo < hi").select("h")
-    places = found.join(shared, "h").groupBy("ord").agg(F.collect_list("pos").alias("positions"))
+    places = found.join(shared, "h").groupBy("ord").agg(F.collect_list("h").alias("shared"))
 
-    full = own.join(places.hint("shuffle_hash"), "ord").mapInArrow(windows, "g1 long, g2 long, ord long, pos int").repartition("g1", "g2")
+    full = own.join(places.hint("shuffle_hash"), "ord").mapInArrow(windows, "g1 long, g2 long, ord long").repartition("g1", "g2")
     origin = full.groupBy("g1", "g2").agg(F.min("ord").alias("lo"), F.max("ord").alias("hi")).where("lo < hi").select("g1", "g2", "lo")
-    gone = full.join(origin, ["g1", "g2"]).where("ord > lo").groupBy("ord").agg(F.collect_set(F.struct("pos", "g1")).alias("gone"))
+    gone = full.join(origin, ["g1", "g2"]).where("ord > lo").groupBy("ord").agg(F.collect_list("g1").alias("gone"))
 
     done = flagged.join(gone.hint("shuffle_hash"), "ord", "left").select("ord", "text", "is_copy", "gone")
     out = done.mapInArrow(cleaned(with_text), "ord long, n_words long, n_removed long, kept_sha256 string, kept_text string")
