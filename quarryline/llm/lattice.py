@@ -48,14 +48,54 @@ class Vocabulary:
         with np.errstate(divide="ignore"):
             return cls(pieces, [at[f"<0x{b:02X}>"] for b in range(256)], np.log(weight / weight.sum()))
 
-    def trie(self) -> dict[str, int]:
-        """Every prefix of a piece -> the piece's id, or -1 where it is only a prefix."""
-        out: dict[str, int] = {}
-        for i, p in enumerate(self.pieces):
-            if p is not None:
-                for j in range(1, len(p)):
-                    out.setdefault(p[:j], -1)
-                out[p] = i
+    def trie(self) -> Trie:
+        return Trie([(p, i) for i, p in enumerate(self.pieces) if p is not None])
+
+
+class Trie:
+    """Prefixes of the pieces as states of a hashed table, for matching at many places at once."""
+
+    bits = 18
+
+    def __init__(self, pieces: list[tuple[str, int]]):
+        states, edges = {"": 0}, {}
+        for p, _ in pieces:
+            for j in range(1, len(p) + 1):
+                if p[:j] not in states:
+                    states[p[:j]] = len(states)
+                    edges[states[p[: j - 1]], ord(p[j - 1])] = states[p[:j]]
+        self.piece = np.full(len(states), -1, np.int32)
+        self.piece[[states[p] for p, _ in pieces]] = [i for _, i in pieces]
+        while 3 * len(edges) > 1 << self.bits:
+            self.bits += 1
+        self.key = np.full(1 << self.bits, -1, np.int64)
+        self.child = np.full(1 << self.bits, -1, np.int32)
+        keys = np.array([(s << 21) + c for s, c in edges], np.int64)
+        children, slot = np.array(list(edges.values()), np.int32), self.slot(keys)
+        while len(keys):
+            _, first = np.unique(slot, return_index=True)
+            first = first[self.key[slot[first]] < 0]
+            self.key[slot[first]], self.child[slot[first]] = keys[first], children[first]
+            rest = np.ones(len(keys), bool)
+            rest[first] = False
+            keys, children, slot = keys[rest], children[rest], (slot[rest] + 1) & ((1 << self.bits) - 1)
+
+    def slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def step(self, states: np.ndarray, chars: np.ndarray) -> np.ndarray:
+        """The states behind `states` by `chars`; -1 where no piece goes on so."""
+        keys = (states.astype(np.int64) << 21) + chars
+        slot = self.slot(keys)
+        held = self.key[slot]
+        out = np.where(held == keys, self.child[slot], -1)
+        miss = np.flatnonzero((held != keys) & (held >= 0))
+        while len(miss):
+            slot[miss] = (slot[miss] + 1) & ((1 << self.bits) - 1)
+            held = self.key[slot[miss]]
+            hit = held == keys[miss]
+            out[miss[hit]] = self.child[slot[miss[hit]]]
+            miss = miss[~hit & (held >= 0)]
         return out
 
 
@@ -67,35 +107,36 @@ class Lattices:
     A piece id of `size` or more is character `piece - size` of `spelt`.
     """
 
-    def __init__(self, units: list[str], trie: dict[str, int], size: int, spelt: dict[str, int]):
+    def __init__(self, units: list[str], trie: Trie, size: int, spelt: dict[str, int]):
         lengths = np.fromiter(map(len, units), np.int64, len(units))
         self.first = np.concatenate([[0], np.cumsum(lengths + 1)])
-        ends, pieces, degree = [], [], []
-        get, base = trie.get, 0
-        for unit in units:
-            n = len(unit)
-            for i in range(n):
-                before = len(ends)
-                piece = get(unit[i], -1)
-                if piece < 0:
-                    ends.append(base + i + 1)
-                    pieces.append(size + spelt.setdefault(unit[i], len(spelt)))
-                else:
-                    ends.append(base + i + 1)
-                    pieces.append(piece)
-                for j in range(i + 2, n + 1):
-                    piece = get(unit[i:j])
-                    if piece is None:
-                        break
-                    if piece >= 0:
-                        ends.append(base + j)
-                        pieces.append(piece)
-                degree.append(len(ends) - before)
-            degree.append(0)
-            base += n + 1
-        self.end, self.piece = np.array(ends, np.int64), np.array(pieces, np.int64)
-        self.lo = np.concatenate([[0], np.cumsum(np.array(degree, np.int64))])
-        self.start = np.repeat(np.arange(len(degree)), degree)
+        chars = np.frombuffer("".join(units).encode("utf-32-le"), np.uint32).astype(np.int64)
+        owner = np.repeat(np.arange(len(units)), lengths)
+        stop = np.cumsum(lengths)[owner]
+        start, state, depth = np.arange(len(chars)), np.zeros(len(chars), np.int32), 0
+        starts, ends, pieces = [], [], []
+        while len(start):
+            state = trie.step(state, chars[start + depth])
+            piece = np.where(state >= 0, trie.piece[state], -1)
+            if not depth:
+                for c in np.unique(chars[piece < 0]).tolist():
+                    spelt.setdefault(chr(c), len(spelt))
+                piece[piece < 0] = [size + spelt[chr(c)] for c in chars[piece < 0].tolist()]
+            found = piece >= 0
+            starts.append(start[found])
+            ends.append(start[found] + depth + 1)
+            pieces.append(piece[found])
+            depth += 1
+            going = (state >= 0) & (start + depth < stop[start])
+            start, state = start[going], state[going]
+        at = np.concatenate(starts) if starts else np.zeros(0, np.int64)
+        order = np.argsort(at, kind="stable")
+        at = at[order]
+        self.start = at + owner[at]
+        self.end = np.concatenate(ends)[order] + owner[at] if starts else at
+        self.piece = np.concatenate(pieces)[order].astype(np.int64) if starts else at
+        degree = np.bincount(self.start, minlength=self.first[-1])
+        self.lo = np.concatenate([[0], np.cumsum(degree)])
         left = np.repeat(self.first[1:] - 1, lengths + 1) - np.arange(len(degree))  # characters to the end
         order = np.argsort(left[self.start], kind="stable")
         self.levels = np.split(order, np.flatnonzero(np.diff(left[self.start][order])) + 1) if len(order) else []

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .chat import op5_chat_formatting
 from .language_id import op6_language_id
+from .sampled_pieces import op10_sentencepiece
 from .secrets import op9_secret_scans
 from .sharding import op8_sharding
 from .substring_dedup import op4_substring_dedup
@@ -14,5 +15,6 @@ QUERIES = {
     "op6_language_id": op6_language_id,
     "op8_sharding": op8_sharding,
     "op9_secret_scans": op9_secret_scans,
+    "op10_sentencepiece": op10_sentencepiece,
 }
 ORACLE_SQL: dict[str, str] = {}
