@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .chat import op5_chat_formatting
+from .fingerprints import op3_fingerprints
 from .language_id import op6_language_id
 from .sampled_pieces import op10_sentencepiece
 from .secrets import op9_secret_scans
@@ -10,6 +11,7 @@ from .sharding import op8_sharding
 from .substring_dedup import op4_substring_dedup
 
 QUERIES = {
+    "op3_fingerprints": op3_fingerprints,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_chat_formatting": op5_chat_formatting,
     "op6_language_id": op6_language_id,
