@@ -5,12 +5,14 @@ from __future__ import annotations
 from .chat import op5_chat_formatting
 from .fingerprints import op3_fingerprints
 from .language_id import op6_language_id
+from .near_dedup import op2_minhash_near_dedup
 from .sampled_pieces import op10_sentencepiece
 from .secrets import op9_secret_scans
 from .sharding import op8_sharding
 from .substring_dedup import op4_substring_dedup
 
 QUERIES = {
+    "op2_minhash_near_dedup": op2_minhash_near_dedup,
     "op3_fingerprints": op3_fingerprints,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_chat_formatting": op5_chat_formatting,

@@ -38,3 +38,34 @@ def fresh(df: DataFrame, *wanted: str) -> list[str]:
 def held_out(doc_id: str = "doc_id"):
     """True for the third of the documents that no classifier may learn from."""
     return F.pmod(F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))), F.lit(3)) == 1
+
+
+#: Ids that a broadcast may hold; beyond it the same join is shuffled.
+BROADCAST_IDS = 400_000
+
+
+def bounded(ids: DataFrame) -> DataFrame:
+    """`ids`, to be broadcast if a count shows that they are few. `ids` should be durable."""
+    return F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids
+
+
+def components(links: DataFrame) -> DataFrame:
+    """(node, label): the least node that links (a, b) connect each node to.
+
+    Alternates large and small stars until the stars stand still; every step is
+    a grouped minimum and a join, and is written before the next.
+    """
+    stars = durable(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct())
+    seen = None
+    while True:
+        both = stars.unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
+        stars = durable(small.where("u != v").distinct())
+        now = stars.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(2**31)))).first()
+        if now == seen:
+            break
+        seen = now
+    return stars.select(F.col("u").alias("node"), F.col("v").alias("label"))
