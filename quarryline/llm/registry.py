@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .chat import op5_chat_formatting
+from .decontamination import op1_decontamination
 from .fingerprints import op3_fingerprints
 from .language_id import op6_language_id
 from .near_dedup import op2_minhash_near_dedup
@@ -12,6 +13,7 @@ from .sharding import op8_sharding
 from .substring_dedup import op4_substring_dedup
 
 QUERIES = {
+    "op1_decontamination": op1_decontamination,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
     "op3_fingerprints": op3_fingerprints,
     "op4_substring_dedup": op4_substring_dedup,
