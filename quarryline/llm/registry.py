@@ -7,6 +7,7 @@ from .decontamination import op1_decontamination
 from .fingerprints import op3_fingerprints
 from .language_id import op6_language_id
 from .near_dedup import op2_minhash_near_dedup
+from .quality import op7_quality_classifier
 from .sampled_pieces import op10_sentencepiece
 from .secrets import op9_secret_scans
 from .sharding import op8_sharding
@@ -19,6 +20,7 @@ QUERIES = {
     "op4_substring_dedup": op4_substring_dedup,
     "op5_chat_formatting": op5_chat_formatting,
     "op6_language_id": op6_language_id,
+    "op7_quality_classifier": op7_quality_classifier,
     "op8_sharding": op8_sharding,
     "op9_secret_scans": op9_secret_scans,
     "op10_sentencepiece": op10_sentencepiece,
