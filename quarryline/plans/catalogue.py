@@ -1,6 +1,684 @@
-"""Registered queries of the library, with the SQL each is held against."""
+"""Registered queries of the library, with the SQL each is held against.
+
+The driver's tables are generic, so every operator is shown on columns that
+play the part of its own: parts are titles, orders are work items, line items
+are sightings of parts, events are requests, pages are responses.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import geo as geo_fn
+from ..functions import html, keys, text
+from ..operators import catalog, geo, link, live, paging, reduce, resolve, rules, sessions, similar
+from . import profile
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Registers a function (table reader, session) -> DataFrame under its name."""
+
+    def add(f):
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return f(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"), spark)
+
+        QUERIES[f.__name__] = run
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+# --- rules and queues ---
+
+INCLUDE, EXCLUDE = [("text", "RING"), ("regex", "^(red|blue) ")], [("regex", "PLATE$")]
+
+
+@query("""SELECT p_partkey, p_name FROM part
+WHERE (contains(lower(p_name), 'ring') OR regexp_matches(p_name, '^(red|blue) ')) AND NOT regexp_matches(lower(p_name), 'plate$')""")
+def title_rules_match(table, spark):
+    return table("part").where(rules.title_matches(F.col("p_name"), INCLUDE, EXCLUDE)).select("p_partkey", "p_name")
+
+
+@query("""WITH r(effect, needle) AS (VALUES ('include', 'ring'), ('include', 'gear'), ('exclude', 'hot'), ('exclude', 'cold'))
+SELECT p_partkey, p_name FROM part p
+WHERE EXISTS (SELECT 1 FROM r WHERE effect = 'include' AND contains(lower(p_name), needle))
+AND NOT EXISTS (SELECT 1 FROM r WHERE effect = 'exclude' AND contains(lower(p_name), needle))""")
+def rules_table_semi_anti(table, spark):
+    held = spark.createDataFrame([("include", "ring"), ("include", "gear"), ("exclude", "hot"), ("exclude", "cold")], "effect string, needle string")
+    return rules.matching_rules(table("part"), "p_name", held).select("p_partkey", "p_name")
+
+
+def axes() -> tuple[Column, Column, Column, Column]:
+    """Orders as work items: read, interest, preparation and application state."""
+    status, priority, price = F.col("o_orderstatus"), F.col("o_orderpriority"), F.col("o_totalprice")
+    return (
+        F.when(priority.isin("1-URGENT", "2-HIGH"), "unread").otherwise("read"),
+        F.when(price < 50000, "dismissed").when(status == "O", "undecided").otherwise("interested"),
+        F.when(priority == "3-MEDIUM", "started").otherwise("none"),
+        F.when((status == "F") & (price > 300000), "applied").otherwise("open"),
+    )
+
+
+AXES_SQL = """(SELECT *, CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 'unread' ELSE 'read' END r,
+CASE WHEN o_totalprice < 50000 THEN 'dismissed' WHEN o_orderstatus = 'O' THEN 'undecided' ELSE 'interested' END i,
+CASE WHEN o_orderpriority = '3-MEDIUM' THEN 'started' ELSE 'none' END p,
+CASE WHEN o_orderstatus = 'F' AND o_totalprice > 300000 THEN 'applied' ELSE 'open' END a FROM orders)"""
+
+
+@query(f"""SELECT count(*) AS all_items, count(*) FILTER (i = 'dismissed') AS archive, count(*) FILTER (i <> 'dismissed' AND a = 'applied') AS applied,
+count(*) FILTER (i = 'undecided' AND a <> 'applied') AS inbox, count(*) FILTER (i = 'undecided' AND a <> 'applied' AND r = 'unread') AS new_inbox,
+count(*) FILTER (i = 'undecided' AND a <> 'applied' AND r <> 'unread') AS review_inbox,
+count(*) FILTER (i = 'interested' AND a <> 'applied' AND p = 'none') AS interested,
+count(*) FILTER (i = 'interested' AND a <> 'applied' AND p <> 'none') AS preparation FROM {AXES_SQL}""")
+def queue_counts(table, spark):
+    return rules.queue_counts(table("orders"), rules.queue_predicates(*axes()))
+
+
+@query(f"SELECT o_orderkey, o_orderdate FROM {AXES_SQL} WHERE i = 'undecided' AND a <> 'applied' ORDER BY o_orderdate DESC, o_orderkey DESC")
+def queue_list_ordered(table, spark):
+    return table("orders").where(rules.queue_predicates(*axes())["inbox"]).select("o_orderkey", "o_orderdate").orderBy(F.desc("o_orderdate"), F.desc("o_orderkey"))
+
+
+@query(f"""SELECT o_orderkey, CASE WHEN i = 'dismissed' THEN 'archive' WHEN a = 'applied' THEN 'applied' WHEN i = 'undecided' THEN 'inbox'
+WHEN p <> 'none' THEN 'preparation' ELSE 'interested' END AS queue FROM {AXES_SQL}""")
+def primary_queue_classify(table, spark):
+    return table("orders").select("o_orderkey", rules.primary_queue(*axes()).alias("queue"))
+
+
+SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY", "NONE"]
+
+
+@query("""WITH v(facet, value) AS (SELECT 'segment', unnest(['AUTOMOBILE','BUILDING','FURNITURE','HOUSEHOLD','MACHINERY','NONE']) UNION ALL SELECT 'nation', CAST(x AS VARCHAR) FROM range(26) t(x))
+SELECT facet, value, (SELECT count(*) FROM customer c WHERE CASE facet WHEN 'segment' THEN c.c_mktsegment ELSE CAST(c.c_nationkey AS VARCHAR) END = v.value) AS n FROM v""")
+def facet_counts(table, spark):
+    return rules.facet_counts(table("customer"), {"segment": ("c_mktsegment", SEGMENTS), "nation": ("c_nationkey", list(range(26)))})
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE contains(lower(c_name || ' ' || c_mktsegment), '7 build')")
+def search_text_filter(table, spark):
+    return table("customer").where(rules.search_text(["c_name", "c_mktsegment"], "7 BUILD")).select("c_custkey", "c_name")
+
+
+@query("""SELECT c_mktsegment AS grp, count(*) AS n, string_agg(CAST(c_custkey AS VARCHAR), ',' ORDER BY rk DESC, c_custkey) AS ids FROM
+(SELECT *, CAST(c_acctbal / 1000 AS BIGINT) AS rk0, CASE WHEN c_acctbal < 0 THEN 2 WHEN c_acctbal < 5000 THEN 1 ELSE 0 END AS rk FROM customer) GROUP BY 1""")
+def group_rank_sort(table, spark):
+    rank = F.when(F.col("c_acctbal") < 0, 2).when(F.col("c_acctbal") < 5000, 1).otherwise(0)
+    rows = table("customer").groupBy(F.col("c_mktsegment").alias("grp")).agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct((-rank).alias("r"), "c_custkey"))).alias("ids"))
+    return rows.select("grp", "n", F.array_join(F.transform("ids", lambda x: x["c_custkey"].cast("string")), ",").alias("ids"))
+
+
+@query("""SELECT s_suppkey, CASE WHEN neg > 0 THEN 'invalid' WHEN big > 50 THEN 'dependency_warning' ELSE 'valid' END AS health FROM supplier s JOIN
+(SELECT l_suppkey, count(*) FILTER (l_discount >= 0.1 AND l_quantity > 49) neg, count(*) FILTER (l_quantity > 45) big FROM lineitem GROUP BY 1) l ON s_suppkey = l_suppkey""")
+def row_health(table, spark):
+    own, dep = F.count_if((F.col("l_discount") >= 0.1) & (F.col("l_quantity") > 49)), F.count_if(F.col("l_quantity") > 45)
+    per = table("lineitem").groupBy(F.col("l_suppkey").alias("s_suppkey")).agg(own.alias("own"), dep.alias("dep"))
+    return table("supplier").join(per, "s_suppkey").select("s_suppkey", rules.row_health(F.col("own"), F.greatest(F.col("dep") - 50, F.lit(0))).alias("health"))
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_totalprice > 450000 OR o_orderpriority = '1-URGENT' OR o_orderstatus = 'F' THEN 'attention' ELSE o_orderstatus END AS grp FROM orders""")
+def attention_groups(table, spark):
+    issues, missing = (F.col("o_totalprice") > 450000).cast("int"), (F.col("o_orderpriority") == "1-URGENT").cast("int")
+    last = F.when(F.col("o_orderstatus") == "F", "failed").otherwise("completed")
+    return table("orders").select("o_orderkey", rules.attention_group(issues, missing, last, F.col("o_orderstatus")).alias("grp"))
+
+
+# --- catalogue ---
+
+@query("""SELECT o_orderkey, coalesce(n, 0) AS n_items, coalesce(items, '') AS items FROM orders LEFT JOIN
+(SELECT l_orderkey, count(*) n, string_agg(l_linenumber || ':' || l_partkey || ':' || l_suppkey, ',' ORDER BY l_linenumber, l_partkey, l_suppkey) AS items FROM lineitem GROUP BY 1) ON o_orderkey = l_orderkey""")
+def hydrate_orders(table, spark):
+    nested = catalog.hydrate(table("orders"), table("lineitem"), "o_orderkey", "l_orderkey", [], ["l_linenumber", "l_partkey", "l_suppkey"], "items")
+    shown = F.array_join(F.transform("items", lambda x: F.concat_ws(":", x["l_linenumber"], x["l_partkey"], x["l_suppkey"])), ",")
+    return nested.select("o_orderkey", F.size("items").cast("long").alias("n_items"), shown.alias("items"))
+
+
+@query("""SELECT o_orderkey, count(l_orderkey) FILTER (l_linenumber = 1) AS primaries FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1 HAVING primaries <> 1""")
+def primary_violations(table, spark):
+    return catalog.primary_violations(table("orders"), table("lineitem"), "o_orderkey", "l_orderkey", F.col("l_linenumber") == 1)
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')")
+def semi_id_list(table, spark):
+    ids = table("orders").where("o_orderpriority = '1-URGENT'").select("o_custkey")
+    return catalog.keep_ids(table("customer"), "c_custkey", ids).select("c_custkey", "c_name")
+
+
+@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 250000)")
+def missing_keys_anti(table, spark):
+    return catalog.missing_keys(table("customer").select("c_custkey"), "c_custkey", table("orders").where("o_totalprice > 250000"), "o_custkey")
+
+
+@query("""SELECT user_id, ts, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) rn FROM events) WHERE rn = 1""")
+def latest_run(table, spark):
+    return catalog.latest(table("events"), "user_id", ["ts", "event_id"], ["event_type"])
+
+
+@query("""WITH t AS (SELECT * FROM orders WHERE o_orderkey % 3 <> 0), s AS (SELECT * FROM orders WHERE o_orderkey % 2 = 0)
+SELECT coalesce(t.o_orderkey, s.o_orderkey) AS o_orderkey, CASE WHEN t.o_orderkey IS NULL THEN s.o_orderstatus ELSE t.o_orderstatus END AS o_orderstatus,
+CASE WHEN t.o_orderkey IS NULL THEN s.o_totalprice WHEN s.o_orderkey IS NULL THEN t.o_totalprice ELSE t.o_totalprice + 1 END AS o_totalprice
+FROM t FULL JOIN s ON t.o_orderkey = s.o_orderkey""")
+def exact_upsert(table, spark):
+    cols = ["o_orderkey", "o_orderstatus", "o_totalprice"]
+    old, new = table("orders").where("o_orderkey % 3 <> 0").select(*cols), table("orders").where("o_orderkey % 2 = 0").select(*cols)
+    return catalog.upsert(old, new, ["o_orderkey"], {"o_totalprice": F.col("t.o_totalprice") + 1}, {})
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN 'seen' ELSE o_orderstatus END AS o_orderstatus,
+CASE WHEN o_orderkey % 7 = 0 THEN 'raised' ELSE o_orderpriority END AS o_orderpriority FROM orders""")
+def partial_update(table, spark):
+    changes = table("orders").select("o_orderkey", F.when(F.col("o_orderkey") % 5 == 0, "seen").alias("o_orderstatus"), F.when(F.col("o_orderkey") % 7 == 0, "raised").alias("o_orderpriority"))
+    return catalog.partial_update(table("orders").select("o_orderkey", "o_orderstatus", "o_orderpriority"), changes, "o_orderkey", ["o_orderstatus", "o_orderpriority"])
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN o_orderpriority ELSE o_orderstatus END AS note FROM orders""")
+def cas_update(table, spark):
+    rows = table("orders").select("o_orderkey", F.when(F.col("o_orderstatus") != "P", F.col("o_orderstatus")).alias("note"))
+    return catalog.set_if_null(rows, table("orders").select("o_orderkey", F.col("o_orderpriority").alias("note")), "o_orderkey", "note")
+
+
+@query("SELECT event_id, 1000 + row_number() OVER (ORDER BY ts, event_id) AS id FROM events")
+def surrogate_ids(table, spark):
+    rows = table("events").select("event_id", F.struct("ts", "event_id").alias("ord"))
+    return catalog.with_ids(rows, "ord", 1000).select("event_id", F.col("id").cast("long").alias("id"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_totalprice < 20000)""")
+def cascade_delete(table, spark):
+    return catalog.cascade(table("lineitem"), "l_orderkey", table("orders").where("o_totalprice < 20000"), "o_orderkey").select("l_orderkey", "l_linenumber", "l_partkey")
+
+
+@query("""SELECT n_nationkey, n_name FROM nation UNION ALL SELECT 100 + r_regionkey, r_name FROM region""")
+def insert_or_ignore(table, spark):
+    old = table("nation").select("n_nationkey", "n_name")
+    new = table("region").select((F.col("r_regionkey") + 100).alias("n_nationkey"), F.col("r_name").alias("n_name")).unionByName(old.withColumn("n_name", F.lit("other")))
+    return catalog.insert_or_ignore(old, new, "n_nationkey")
+
+
+@query("""SELECT user_id, arg_min(event_id, event_id + CASE WHEN event_type = 'view' THEN 0 ELSE 1000000000 END) AS event_id FROM events WHERE value > 20 GROUP BY 1""")
+def first_success(table, spark):
+    order = F.struct((F.col("event_type") != "view").alias("not_primary"), "event_id")
+    return catalog.first_success(table("events"), "user_id", order, F.col("value") > 20, "event_id")
+
+
+@query("""SELECT CASE WHEN grouping(l_returnflag) = 1 THEN 'TOTAL' ELSE l_returnflag END AS l_returnflag, CASE WHEN grouping(l_linestatus) = 1 THEN 'TOTAL' ELSE l_linestatus END AS l_linestatus,
+count(*) AS lines, CAST(sum(l_quantity) AS BIGINT) AS quantity FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)""")
+def totals_rollup(table, spark):
+    return catalog.totals(table("lineitem"), ["l_returnflag", "l_linestatus"], {"lines": F.lit(1), "quantity": F.col("l_quantity").cast("long")})
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10 OFFSET 20")
+def page_slice(table, spark):
+    return catalog.page(table("orders").select("o_orderkey", "o_totalprice"), [F.desc("o_totalprice"), F.col("o_orderkey")], 10, 2)
+
+
+@query("""SELECT l_orderkey, array_to_string(list_slice(ps, 1, 3), ', ') || CASE WHEN len(ps) > 3 THEN ' +' || (len(ps) - 3) ELSE '' END AS shown
+FROM (SELECT l_orderkey, list(CAST(l_partkey AS VARCHAR) ORDER BY l_partkey) ps FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem) GROUP BY 1)""")
+def list_summary(table, spark):
+    parts = table("lineitem").groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_set("l_partkey")), lambda x: x.cast("string")).alias("ps"))
+    return parts.select("l_orderkey", text.summary(F.col("ps"), 3).alias("shown"))
+
+
+# --- geo ---
+
+def placed(table, name: str, key: str) -> DataFrame:
+    """Rows with made-up coordinates from their nation and key."""
+    nation = F.col("c_nationkey" if name == "customer" else "s_nationkey")
+    return table(name).select(key, nation.alias("nation"), (nation * 2.0 + F.col(key) % 10 * 0.1 + 20).alias("latitude"), (nation * 1.5 - F.col(key) % 7 * 0.2).alias("longitude"))
+
+
+HAVERSINE = "round(6371.0 * 2 * atan2(sqrt(h), sqrt(1 - h)), 6)"
+
+
+@query(f"""SELECT c_custkey, s_suppkey, {HAVERSINE} AS km FROM (SELECT c_custkey, s_suppkey, pow(sin(radians(lat2 - lat1) / 2), 2) + cos(radians(lat1)) * cos(radians(lat2)) * pow(sin(radians(lon2 - lon1) / 2), 2) AS h FROM
+(SELECT c_custkey, c_nationkey, c_nationkey * 2.0 + c_custkey % 10 * 0.1 + 20 AS lat1, c_nationkey * 1.5 - c_custkey % 7 * 0.2 AS lon1 FROM customer) JOIN
+(SELECT s_suppkey, s_nationkey, s_nationkey * 2.0 + s_suppkey % 10 * 0.1 + 20 AS lat2, s_nationkey * 1.5 - s_suppkey % 7 * 0.2 AS lon2 FROM supplier) ON c_nationkey = s_nationkey)""")
+def haversine_distance(table, spark):
+    c, s = placed(table, "customer", "c_custkey"), placed(table, "supplier", "s_suppkey").select("s_suppkey", "nation", F.col("latitude").alias("lat2"), F.col("longitude").alias("lon2"))
+    return c.join(s, "nation").select("c_custkey", "s_suppkey", F.round(geo_fn.haversine_km(F.col("latitude"), F.col("longitude"), F.col("lat2"), F.col("lon2")), 6).alias("km"))
+
+
+@query("""WITH c AS (SELECT c_custkey, c_nationkey * 2.0 + c_custkey % 10 * 0.1 + 20 AS lat1, c_nationkey * 1.5 - c_custkey % 7 * 0.2 AS lon1 FROM customer),
+r(lat2, lon2) AS (VALUES (30.0, 8.0), (52.0, 24.0))
+SELECT c_custkey FROM c WHERE EXISTS (SELECT 1 FROM r WHERE 6371.0 * 2 * atan2(sqrt(pow(sin(radians(lat2 - lat1) / 2), 2) + cos(radians(lat1)) * cos(radians(lat2)) * pow(sin(radians(lon2 - lon1) / 2), 2)),
+sqrt(1 - (pow(sin(radians(lat2 - lat1) / 2), 2) + cos(radians(lat1)) * cos(radians(lat2)) * pow(sin(radians(lon2 - lon1) / 2), 2)))) <= 300)""")
+def haversine_radius(table, spark):
+    request = spark.createDataFrame([(30.0, 8.0), (52.0, 24.0)], "latitude double, longitude double")
+    return geo.near_any(placed(table, "customer", "c_custkey"), ["c_custkey"], "latitude", "longitude", request, F.lit(300.0))
+
+
+def codes() -> Column:
+    """Made-up postal codes: British full, sector and outward ones, digits, none."""
+    k = F.col("c_custkey").cast("string")
+    unit, kind = F.concat(F.lit("AB"), (F.col("c_custkey") % 90 + 1).cast("string")), F.col("c_custkey") % 5
+    return F.when(kind == 0, F.concat(unit, F.lit(" 1XY"))).when(kind == 1, F.concat(unit, F.lit(" 3"))).when(kind == 2, unit).when(kind == 3, F.lpad(k, 5, "0")).otherwise("Mainz")
+
+
+CODES_SQL = """(SELECT *, CASE c_custkey % 5 WHEN 0 THEN 'ab' || (c_custkey % 90 + 1) || ' 1xy' WHEN 1 THEN 'ab' || (c_custkey % 90 + 1) || ' 3'
+WHEN 2 THEN 'ab' || (c_custkey % 90 + 1) WHEN 3 THEN lpad(CAST(c_custkey AS VARCHAR), 5, '0') END AS code FROM customer)"""
+KEYS_SQL = f"""(SELECT c_custkey, c_nationkey, unnest(CASE c_custkey % 5 WHEN 0 THEN [code, replace(code, 'xy', ''), replace(code, ' 1xy', '')] WHEN 1 THEN [code, replace(code, ' 3', '')] WHEN 4 THEN [] ELSE [code] END) AS key,
+unnest(CASE c_custkey % 5 WHEN 0 THEN [0, 1, 2] WHEN 1 THEN [0, 1] WHEN 4 THEN [] ELSE [0] END) AS key_ord FROM {CODES_SQL})"""
+
+
+@query(f"SELECT c_custkey, CAST(key_ord AS INTEGER) AS key_ord, key FROM {KEYS_SQL}")
+def postal_key_explode(table, spark):
+    return table("customer").select("c_custkey", F.posexplode(geo_fn.postal_keys(codes())).alias("key_ord", "key"))
+
+
+@query(f"""WITH k AS {KEYS_SQL}, l AS (SELECT DISTINCT key, 'place' || length(key) AS place FROM k WHERE key_ord > 0 OR c_custkey % 2 = 0),
+h AS (SELECT c_custkey, key_ord, key, place FROM k JOIN l USING (key))
+SELECT c_custkey, CAST(key_ord AS INTEGER) AS key_ord, key, place FROM h QUALIFY key_ord = min(key_ord) OVER (PARTITION BY c_custkey)""")
+def postal_resolve_first_key(table, spark):
+    tried = table("customer").select("c_custkey", geo_fn.postal_keys(codes()).alias("keys"))
+    known = tried.select("c_custkey", F.posexplode("keys").alias("o", "key")).where((F.col("o") > 0) | (F.col("c_custkey") % 2 == 0))
+    lookup = known.select("key", F.concat(F.lit("place"), F.length("key").cast("string")).alias("place")).distinct()
+    return geo.resolve_first_key(tried, "c_custkey", "keys", lookup)
+
+
+@query("""SELECT c_nationkey, seg, round(avg(c_custkey % 90), 6) AS latitude, round(avg(c_custkey % 180), 6) AS longitude, count(DISTINCT c_custkey % 100) AS postal_code_count
+FROM (SELECT *, CASE WHEN c_mktsegment <> 'BUILDING' THEN c_mktsegment END AS seg FROM customer) GROUP BY 1, 2""")
+def geo_seed_places(table, spark):
+    rows = table("customer").select("c_nationkey", F.when(F.col("c_mktsegment") != "BUILDING", F.col("c_mktsegment")).alias("seg"), (F.col("c_custkey") % 90).alias("latitude"), (F.col("c_custkey") % 180).alias("longitude"), (F.col("c_custkey") % 100).alias("postal_code"))
+    out = geo.seed_places(rows, ["c_nationkey", "seg"])
+    return out.withColumns({c: F.round(c, 6) for c in ("latitude", "longitude")})
+
+
+@query("""WITH r AS (SELECT c_custkey % 100 AS postal_code, c_nationkey, CASE WHEN c_mktsegment <> 'BUILDING' THEN c_mktsegment END AS seg, c_custkey % 90 AS lat FROM customer),
+p AS (SELECT c_nationkey, seg, min(postal_code) * 1000 + c_nationkey AS place_id FROM r GROUP BY 1, 2)
+SELECT postal_code, place_id, round(avg(lat), 6) AS latitude FROM r JOIN p ON r.c_nationkey = p.c_nationkey AND r.seg IS NOT DISTINCT FROM p.seg GROUP BY 1, 2""")
+def geo_seed_postal(table, spark):
+    rows = table("customer").select("c_nationkey", F.when(F.col("c_mktsegment") != "BUILDING", F.col("c_mktsegment")).alias("seg"), (F.col("c_custkey") % 90).alias("latitude"), (F.col("c_custkey") % 180).alias("longitude"), (F.col("c_custkey") % 100).alias("postal_code"))
+    places = rows.groupBy("c_nationkey", "seg").agg((F.min("postal_code") * 1000 + F.col("c_nationkey")).alias("place_id"))
+    out = geo.postal_to_place(rows, places, ["c_nationkey", "seg"])
+    return out.select("postal_code", "place_id", F.round("latitude", 6).alias("latitude"))
+
+
+# --- reduction, acceptance, policies, budgets ---
+
+@query("""SELECT l_partkey, count(*) AS n, CASE WHEN count(DISTINCT l_returnflag) = 1 THEN min(l_returnflag) END AS l_returnflag, CASE WHEN count(DISTINCT l_linestatus) = 1 THEN min(l_linestatus) END AS l_linestatus,
+CASE WHEN count(DISTINCT l_returnflag) > 1 AND count(DISTINCT l_linestatus) > 1 THEN 'l_returnflag,l_linestatus' WHEN count(DISTINCT l_returnflag) > 1 THEN 'l_returnflag' WHEN count(DISTINCT l_linestatus) > 1 THEN 'l_linestatus' ELSE '' END AS conflicts
+FROM lineitem GROUP BY 1""")
+def conflict_reduce(table, spark):
+    return reduce.reduce_fields(table("lineitem"), ["l_partkey"], ["l_returnflag", "l_linestatus"], ["l_orderkey", "l_linenumber"])
+
+
+@query("""SELECT lang, source, count(*) AS results, bool_and(trim(source) <> '') AS fields_ok, min(length(text)) AS shortest, bool_and(trim(source) <> '') AND count(*) >= 5 AND min(length(text)) >= 60 AS accepted
+FROM documents GROUP BY 1, 2""")
+def acceptance_gate(table, spark):
+    rows = table("documents").withColumn("attempt", F.struct("lang", "source"))
+    out = reduce.acceptance(rows, "attempt", [F.col("source")], 5, F.col("text"), 60)
+    return out.select("attempt.*", "results", "fields_ok", F.col("shortest").cast("long").alias("shortest"), "accepted")
+
+
+POLICY_SQL = """SELECT user_id, count(*) AS attempts, count(*) FILTER (ok) AS accepted, CASE WHEN {done} THEN 'accepted' ELSE 'failed' END AS status, coalesce({stop}, max(event_id)) AS stopped_at
+FROM (SELECT *, value > 60 AS ok, count(*) FILTER (value > 60) OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events) GROUP BY 1"""
+
+
+@query(POLICY_SQL.format(done="count(*) FILTER (ok) >= 20", stop="min(event_id) FILTER (k >= 20)"))
+def policy_at_least(table, spark):
+    return reduce.policy_status(table("events"), ["user_id"], "event_id", F.col("value") > 60, "at_least", 20)
+
+
+@query(POLICY_SQL.format(done="count(*) FILTER (ok) >= 1", stop="min(event_id) FILTER (ok)"))
+def policy_first_accepted(table, spark):
+    return reduce.policy_status(table("events"), ["user_id"], "event_id", F.col("value") > 60, "first_accepted")
+
+
+@query(POLICY_SQL.format(done="bool_and(ok)", stop="min(event_id) FILTER (NOT ok)"))
+def policy_all_required(table, spark):
+    return reduce.policy_status(table("events"), ["user_id"], "event_id", F.col("value") > 60, "all_required")
+
+
+@query(POLICY_SQL.format(done="count(*) FILTER (ok) >= 25", stop="max(event_id)"))
+def policy_collect_all(table, spark):
+    return reduce.policy_status(table("events"), ["user_id"], "event_id", F.col("value") > 60, "collect_all", 25)
+
+
+@query("""WITH f AS (SELECT event_type, list(event_id ORDER BY event_id) AS ids FROM events GROUP BY 1)
+SELECT event_type, len(ids) AS n, array_to_string(list_slice(ids, 1, 10), ',') AS samples, CASE WHEN len(ids) > 10 THEN len(ids) - 10 ELSE 0 END AS omitted FROM f""")
+def diagnostics_sample(table, spark):
+    out = reduce.sampled_diagnostics(table("events"), "event_type", "event_id")
+    return out.select("event_type", "n", F.array_join(F.transform("samples", lambda x: x.cast("string")), ",").alias("samples"), F.col("omitted").cast("long").alias("omitted"))
+
+
+@query("""SELECT event_id, user_id, CASE WHEN spent <= 100000 THEN 'done' WHEN spent - c <= 100000 THEN 'exhausted' ELSE 'skipped' END AS state
+FROM (SELECT *, CAST(round(value * 100) AS BIGINT) AS c, sum(CAST(round(value * 100) AS BIGINT)) OVER (PARTITION BY user_id ORDER BY event_id) AS spent FROM events)""")
+def budget_cutoff(table, spark):
+    out = reduce.within_budget(table("events").withColumn("c", F.round(F.col("value") * 100).cast("long")), ["user_id"], ["event_id"], F.col("c"), 100000)
+    return out.select("event_id", "user_id", "state")
+
+
+@query("""SELECT user_id, CASE WHEN signup > 25 THEN 'cancelled' WHEN err > 0 AND buy = 0 THEN 'failed' WHEN err = 0 THEN 'completed' ELSE 'completed_with_errors' END AS status
+FROM (SELECT user_id, count(*) FILTER (event_type = 'signup') signup, count(*) FILTER (event_type = 'error' AND value > 40) err, count(*) FILTER (event_type = 'purchase') buy FROM events GROUP BY 1)""")
+def run_status(table, spark):
+    kind = F.col("event_type")
+    per = table("events").groupBy("user_id").agg(F.count_if(kind == "signup").alias("signup"), F.count_if((kind == "error") & (F.col("value") > 40)).alias("err"), F.count_if(kind == "purchase").alias("buy"))
+    return per.select("user_id", reduce.overall_status(F.greatest(F.col("signup") - 25, F.lit(0)), F.col("err"), F.col("buy")).alias("status"))
+
+
+@query("""SELECT user_id, array_to_string(list_slice(m, 1, 3), '; ') || CASE WHEN len(m) > 3 THEN '; ...' ELSE '' END AS message
+FROM (SELECT user_id, list('event ' || event_id ORDER BY event_id) m FROM events WHERE event_type = 'error' GROUP BY 1)""")
+def run_error_text(table, spark):
+    per = table("events").where("event_type = 'error'").groupBy("user_id").agg(F.array_sort(F.collect_list("event_id")).alias("ids"))
+    return per.select("user_id", reduce.error_text(F.transform("ids", lambda x: F.concat(F.lit("event "), x.cast("string")))).alias("message"))
+
+
+# --- pagination ---
+
+RESPONSES_SQL = """(SELECT user_id, page, count(*) AS items, max(floor(value)) AS total FROM (SELECT *, (row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1) // 8 AS page FROM events) GROUP BY 1, 2)"""
+
+
+def responses(table) -> DataFrame:
+    from pyspark.sql import Window
+
+    page = F.floor((F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1) / 8)
+    return table("events").withColumn("page", page).groupBy("user_id", "page").agg(F.count("*").alias("items"), F.max(F.floor("value")).cast("long").alias("total"))
+
+
+@query(f"""WITH w AS (SELECT *, sum(items) OVER s AS got, max(total) OVER s AS seen, row_number() OVER s AS k FROM {RESPONSES_SQL} WINDOW s AS (PARTITION BY user_id ORDER BY page)),
+x AS (SELECT *, coalesce(max(CASE WHEN k * 8 >= seen THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS stopped FROM w)
+SELECT user_id, page, items, CAST(total AS BIGINT) AS total, CAST(got AS BIGINT) AS read FROM x WHERE stopped = 0""")
+def page_total_stop(table, spark):
+    return paging.pages_read(responses(table), "user_id", "page", F.col("items"), F.col("total"), 8)
+
+
+@query(f"""WITH w AS (SELECT *, sum(items) OVER (PARTITION BY user_id ORDER BY page) AS got FROM {RESPONSES_SQL})
+SELECT user_id, page, items, CAST(total AS BIGINT) AS total, CAST(least(got, 30) AS BIGINT) AS read FROM w WHERE got - items < 30""")
+def offset_paging(table, spark):
+    return paging.pages_read(responses(table), "user_id", "page", F.col("items"), max_items=30)
+
+
+@query("SELECT user_id, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id) <= 30")
+def append_with_limit(table, spark):
+    return paging.first_items(table("events").select("user_id", "event_id"), ["user_id"], ["event_id"], 30)
+
+
+@query("""WITH RECURSIVE p AS (SELECT user_id, event_id, lead(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS next FROM events WHERE event_type = 'click'),
+f AS (SELECT user_id, min(event_id) AS event_id FROM p GROUP BY 1),
+c AS (SELECT p.user_id, CAST(NULL AS VARCHAR) AS cursor, CAST(next AS VARCHAR) AS next_cursor, 1 AS step FROM p JOIN f USING (user_id, event_id)
+UNION ALL SELECT c.user_id, c.next_cursor, CAST(p.next AS VARCHAR), step + 1 FROM c JOIN p ON c.user_id = p.user_id AND CAST(p.event_id AS VARCHAR) = c.next_cursor WHERE step < 12)
+SELECT * FROM c""")
+def cursor_paging(table, spark):
+    from pyspark.sql import Window
+
+    by = Window.partitionBy("user_id").orderBy("event_id")
+    rows = table("events").where("event_type = 'click'")
+    at = F.when(F.row_number().over(by) > 1, F.col("event_id").cast("string"))
+    pages = rows.select("user_id", at.alias("cursor"), F.lead("event_id").over(by).cast("string").alias("next_cursor"))
+    return paging.cursor_chain(pages, "user_id", 12)
+
+
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT l_partkey AS parent, l_suppkey AS child FROM lineitem WHERE l_partkey < 100),
+w AS (SELECT CAST(0 AS BIGINT) AS node, 0 AS depth UNION SELECT child, depth + 1 FROM w JOIN e ON node = parent WHERE depth < 4)
+SELECT node, min(depth) AS depth FROM w GROUP BY 1""")
+def sitemap_bfs(table, spark):
+    edges = table("lineitem").where("l_partkey < 100").select(F.col("l_partkey").alias("parent"), F.col("l_suppkey").alias("child")).distinct()
+    return paging.sitemap_walk(edges, spark.range(1), 4)
+
+
+@query("""SELECT page_id, regexp_replace(regexp_replace(url, '#.*$', ''), '[?].*$', '') || '?' ||
+CASE WHEN contains(url, 'ref=x') THEN 'ref=x&' WHEN contains(url, 'utm_source=feed') THEN 'utm_source=feed&' ELSE '' END || 'page=' || page_id || regexp_extract(url, '(#.*)$', 1) AS url FROM pages""")
+def query_overlay(table, spark):
+    return table("pages").select("page_id", paging.overlay_query(F.col("url"), {"page": F.col("page_id")}).alias("url"))
+
+
+# --- transforms and expressions ---
+
+@query("SELECT p_partkey, upper(left(a, 1)) || substr(a, 2) || ' ' || upper(left(b, 1)) || substr(b, 2) AS title FROM (SELECT p_partkey, split_part(p_name, ' ', 1) a, split_part(p_name, ' ', 2) b FROM part)")
+def transform_slug(table, spark):
+    return table("part").select("p_partkey", text.slug_to_title(F.replace("p_name", F.lit(" "), F.lit("-_"))).alias("title"))
+
+
+@query(r"SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS plain FROM documents")
+def normalize_ws(table, spark):
+    return table("documents").select("doc_id", text.normalize_whitespace(F.col("text")).alias("plain"))
+
+
+@query("""SELECT doc_id, array_to_string(list(w ORDER BY p), '|') AS words FROM (SELECT doc_id, w, min(p) AS p FROM
+(SELECT doc_id, unnest(string_split(text, ' ')) AS w, generate_subscripts(string_split(text, ' '), 1) AS p FROM documents) WHERE w <> '' GROUP BY 1, 2) GROUP BY 1""")
+def split_join_dedupe(table, spark):
+    words = text.dedupe(text.split(F.col("text"), " ", drop_empty=True))
+    return table("documents").where(F.size(words) > 0).select("doc_id", text.join(words, "|").alias("words"))
+
+
+@query(r"SELECT p_partkey, regexp_replace(p_brand, '(Brand)#([0-9]+)', '\2-\1', 'g') AS brand FROM part")
+def regex_replace(table, spark):
+    return table("part").select("p_partkey", text.regex_replace(F.col("p_brand"), "(Brand)#([0-9]+)", "${2}-$1").alias("brand"))
+
+
+@query("SELECT page_id, url_decode(replace(url, 'e', '%65')) AS url FROM pages")
+def url_decode(table, spark):
+    return table("pages").select("page_id", text.url_decode(F.replace("url", F.lit("e"), F.lit("%65"))).alias("url"))
+
+
+@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
+def json_path_extract(table, spark):
+    return table("events").select("event_id", F.try_variant_get(F.try_parse_json("props"), "$.k", "long").alias("k"))
+
+
+@query("""SELECT page_id, regexp_extract(url, '^https?://([^/]+)/([a-z]{2})/([0-9]+)', 1) AS host, regexp_extract(url, '^https?://([^/]+)/([a-z]{2})/([0-9]+)', 3) AS num FROM pages
+WHERE regexp_matches(url, '^https?://([^/]+)/([a-z]{2})/([0-9]+)')""")
+def named_capture_url(table, spark):
+    pattern = "^https?://(?<host>[^/]+)/(?<lang>[a-z]{2})/(?<num>[0-9]+)"
+    out = table("pages").select("page_id", *[text.capture(F.col("url"), pattern, k).alias(k) for k in ("host", "num")])
+    return out.where("host IS NOT NULL AND num IS NOT NULL")
+
+
+@query("SELECT doc_id, coalesce(nullif(CASE WHEN lang <> 'en' THEN lang ELSE '' END, ''), nullif(source, ''), '') AS v FROM documents")
+def first_non_empty(table, spark):
+    return table("documents").select("doc_id", text.first_non_empty(F.when(F.col("lang") != "en", F.col("lang")).otherwise(""), F.col("source")).alias("v"))
+
+
+@query("SELECT doc_id, CASE WHEN lang <> 'de' THEN concat_ws('/', lang, CASE WHEN source <> 'src1' THEN source END) END AS v, lang = 'de' AS error FROM documents")
+def combine_parts(table, spark):
+    lang, source = F.when(F.col("lang") != "de", F.col("lang")), F.when(F.col("source") != "src1", F.col("source")).otherwise("")
+    joined, error = text.combine("/", [(lang, True), (source, False)])
+    return table("documents").select("doc_id", joined.alias("v"), error.alias("error"))
+
+
+@query("SELECT page_id, 'https://x/' || page_id || '?u={{' || length(url) AS t FROM pages")
+def template_render(table, spark):
+    named = {"item:id": F.col("page_id"), "item:n": F.length("url")}
+    return table("pages").select("page_id", text.template("https://x/{{item:id}}?u={{{{{{item:n}}", named).alias("t"))
+
+
+@query("""SELECT l_orderkey, CASE WHEN len(s) <= 1 THEN s[1] END AS only_one, len(s) > 1 AS error, s[1] AS first_one FROM
+(SELECT l_orderkey, list(l_shipdate ORDER BY l_shipdate) AS s FROM (SELECT DISTINCT l_orderkey, l_shipdate FROM lineitem) GROUP BY 1)""")
+def cardinality(table, spark):
+    s = F.col("s")
+    out = table("lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_set("l_shipdate")).alias("s"))
+    return out.select("l_orderkey", text.one(s).alias("only_one"), text.too_many(s).alias("error"), text.first(s).alias("first_one"))
+
+
+# --- documents as trees ---
+
+@query("""SELECT page_id, trim(regexp_replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&amp;', '&'), '\\s+', ' ', 'g')) AS title FROM pages""")
+def html_title(table, spark):
+    return table("pages").select("page_id", text.first(html.css_text(F.col("html"), "head > title")).alias("title"))
+
+
+@query("""SELECT page_id, array_to_string(list_transform(regexp_extract_all(html, '<a href="([^"]*)"', 1), lambda x: replace(x, '&amp;', '&')), ' ') AS links FROM pages""")
+def html_links(table, spark):
+    return table("pages").select("page_id", F.array_join(html.css_attribute(F.col("html"), "a[href]", "href"), " ").alias("links"))
+
+
+@query()
+def html_to_text(table, spark):
+    return table("pages").select("page_id", html.html_to_text(F.col("html")).alias("plain"))
+
+
+@query("SELECT page_id, CAST(1 AS BIGINT) AS n, 'https://example.org/' || page_id AS loc FROM pages WHERE page_id % 2 = 0")
+def sitemap_urls(table, spark):
+    body = F.concat(F.lit("<urlset><url><loc> https://example.org/"), F.col("page_id").cast("string"), F.lit("\n</loc></url><url><loc>http://other/</loc></url><url><loc> </loc></url></urlset>"))
+    out = table("pages").where("page_id % 2 = 0").select("page_id", html.sitemap_urls(body, "^https:").alias("found"))
+    return out.select("page_id", F.size("found").cast("long").alias("n"), text.first(F.col("found")).alias("loc"))
+
+
+@query("SELECT page_id, lower(split_part(url, '#', 1)) || CASE WHEN contains(url, '#') THEN '#' || split_part(url, '#', 2) ELSE '' END AS identity FROM pages")
+def url_identity(table, spark):
+    return table("pages").select("page_id", keys.url_key(F.concat(F.upper(F.left("url", F.lit(5))), F.substring("url", 6, 10000))).alias("identity"))
+
+
+# --- a declarative profile from end to end ---
+
+PROFILE = {
+    "schemaVersion": 3, "key": "events", "parse": "json", "select": {"json_path": {"path": "$.items", "unnest": True}},
+    "captures": [{"key": "num", "from": {"item_field": "url"}, "pattern": "/(?<num>[0-9]+)$"}],
+    "where": [{"non_empty": {"item_field": "kind"}}, {"regex": {"value": {"item_field": "kind"}, "pattern": "^(click|view|purchase)$"}}],
+    "extract": {
+        "url": {"template": "https://example.org/{{capture:num}}"},
+        "title": {"combine": {"separator": " ", "parts": [{"value": {"item_field": "kind", "transforms": ["slug_to_title"]}}, {"value": {"const": "Event"}}]}},
+        "company": {"first_non_empty": [{"item_field": "missing"}, {"source_config": "company"}]},
+    },
+    "identity": "url", "accept": {"requiredFields": ["url", "title"], "minResults": 1},
+}
+
+
+@query("""SELECT CAST(user_id AS VARCHAR) AS source_key, 'https://example.org/' || event_id AS url, CAST(1 AS BIGINT) AS n, upper(left(event_type, 1)) || substr(event_type, 2) || ' Event' AS title, 'Acme' AS company, '' AS conflicts
+FROM events WHERE event_type IN ('click', 'view', 'purchase')""")
+def declarative_profile(table, spark):
+    item = F.struct(F.col("event_type").alias("kind"), F.concat(F.lit("/e/"), F.col("event_id").cast("string")).alias("url"))
+    docs = table("events").groupBy(F.col("user_id").cast("string").alias("source_key")).agg(F.to_json(F.struct(F.collect_list(item).alias("items"))).alias("body"))
+    found, _ = profile.run(PROFILE, docs.withColumn("doc_ord", F.lit(0)), {"company": "Acme"})
+    return found
+
+
+# --- linkage, similarity ---
+
+@query("""WITH t AS (SELECT p_brand, string_split(lower(p_name || CASE WHEN p_partkey % 2 = 0 THEN ' ' || p_type ELSE '' END), ' ') AS toks, min(p_partkey) AS rep FROM part GROUP BY 1, 2),
+p AS (SELECT x.p_brand, x.rep AS a, y.rep AS b, len(list_intersect(x.toks, y.toks)) AS shared, least(len(list_distinct(x.toks)), len(list_distinct(y.toks))) AS small, len(list_distinct(list_concat(x.toks, y.toks))) AS every FROM t x JOIN t y ON x.p_brand = y.p_brand AND x.rep < y.rep)
+SELECT p_brand, a, b, round(shared / small, 6) AS containment, round(shared / every, 6) AS jaccard FROM p WHERE shared / small >= 0.9 AND shared / every >= 0.55""")
+def title_similarity(table, spark):
+    title = F.concat("p_name", F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit(" "), F.col("p_type"))).otherwise(""))
+    rows = table("part").select("p_partkey", "p_brand", keys.tokens(title).alias("toks"))
+    out = link.similar_pairs(rows, "p_partkey", ["p_brand"], "toks")
+    return out.select("p_brand", "a", "b", *[F.round(c, 6).alias(c) for c in ("containment", "jaccard")])
+
+
+@query("""SELECT p_partkey AS ord, min(p_partkey) OVER (PARTITION BY p_brand, p_name) AS cluster FROM part""")
+def greedy_merge(table, spark):
+    return link.greedy_merge(table("part").withColumn("places", F.array().cast("array<string>")), "p_brand", "p_name", "places", "p_partkey")
+
+
+@query("""SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN lo IS NULL THEN 'new' WHEN lo = hi THEN 'found' ELSE 'conflict' END AS status, lo AS posting_id FROM
+(SELECT l.l_orderkey, l.l_linenumber, l.l_partkey, min(p.posting_id) lo, max(p.posting_id) hi FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey FROM lineitem) l LEFT JOIN
+(SELECT p_partkey, p_partkey // 2 AS posting_id FROM part WHERE p_partkey % 3 <> 0 UNION ALL SELECT p_partkey, p_partkey FROM part WHERE p_partkey % 11 = 1) p ON l.l_partkey = p.p_partkey GROUP BY 1, 2, 3)""")
+def exact_identity(table, spark):
+    part = table("part")
+    known = part.where("p_partkey % 3 <> 0").select(F.col("p_partkey").alias("l_partkey"), F.expr("p_partkey div 2").alias("posting_id")).unionByName(part.where("p_partkey % 11 = 1").select(F.col("p_partkey").alias("l_partkey"), F.col("p_partkey").alias("posting_id")))
+    incoming = table("lineitem").select("l_orderkey", "l_linenumber", "l_partkey").distinct().withColumn("ord", F.struct("l_orderkey", "l_linenumber", "l_partkey"))
+    return link.exact_identity(incoming, known, ["l_partkey"], "ord").select("ord.*", "status", "posting_id")
+
+
+@query("""SELECT sha, duplicates, row_number() OVER (ORDER BY duplicates DESC, sha) AS group_id FROM (SELECT sha256(text) AS sha, count(*) AS duplicates FROM documents GROUP BY 1 HAVING count(*) > 1)""")
+def exact_duplicate_groups(table, spark):
+    out = similar.duplicate_groups(table("documents").select(F.sha2("text", 256).alias("sha")), "sha")
+    return out.withColumn("group_id", F.col("group_id").cast("long"))
+
+
+@query()
+def shingle_similarity_topk(table, spark):
+    words = table("documents").select("doc_id", "lang", F.split(F.lower(F.trim("text")), r"\s+").alias("toks"))
+    rows = words.select("doc_id", "lang", F.transform(similar.shingles(F.col("toks")), lambda x: F.xxhash64(x)).alias("s"))
+    pairs = similar.similar_pairs(rows, "doc_id", ["lang"], "s", 0.5)
+    return pairs.select("a", "b", similar.percent(F.col("score")).alias("percent")).orderBy(F.desc("percent"), "a", "b").limit(100)
+
+
+# --- resolution ---
+
+@query("""WITH c AS (SELECT p_partkey, p_partkey % 4 = 0 AS bare, contains(p_name, 'ring') OR contains(p_name, 'gear') AS title_ok, p_size > 10 AS geo_ok, p_partkey % 6 = 5 AS bad_url, p_partkey % 12 = 0 AS failed, p_partkey % 8 = 0 AS no_detail FROM part),
+f AS (SELECT *, bare AND NOT bad_url AS fetches, count(*) FILTER (bare AND NOT bad_url) OVER (ORDER BY p_partkey) AS used FROM c), k AS (SELECT min(p_partkey) AS cut FROM f WHERE fetches AND used > 300)
+SELECT p_partkey, CASE WHEN p_partkey > coalesce(cut, 1e18) THEN 'budget_skipped' WHEN NOT bare AND NOT title_ok THEN 'rejected' WHEN NOT bare AND NOT bad_url THEN CASE WHEN geo_ok THEN 'finalized' ELSE 'rejected' END
+WHEN NOT fetches OR p_partkey = cut THEN 'unresolved' WHEN failed THEN 'failed' WHEN no_detail THEN 'unresolved' WHEN title_ok AND geo_ok THEN 'finalized' ELSE 'rejected' END AS status FROM f CROSS JOIN k""")
+def candidate_resolution(table, spark):
+    p = table("part")
+    bare = F.col("p_partkey") % 4 == 0
+    c = p.select("p_partkey", F.when(~bare, F.col("p_name")).alias("title"), F.lit("Acme").alias("company"), F.when(F.col("p_partkey") % 6 == 5, "nowhere").otherwise("https://x/1").alias("url"), F.lit(0).alias("n_places"), "p_size")
+    detail = p.select("p_partkey", F.when(F.col("p_partkey") % 8 != 0, F.col("p_name")).alias("d_title"), F.lit(None).cast("string").alias("d_company"), F.lit(0).alias("d_places"), (F.col("p_partkey") % 12 == 0).alias("d_failed"))
+
+    def ok(title: Column) -> Column:
+        return F.contains(title, F.lit("ring")) | F.contains(title, F.lit("gear"))
+
+    return resolve.resolve(c, "p_partkey", ok, F.col("p_size") > 10, False, detail, 300).select("p_partkey", "status")
+
+
+# --- registries, live checks, detection, logs ---
+
+@query("""SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, CASE WHEN l.doc_id IS NULL THEN 'missing' WHEN d.doc_id IS NULL THEN 'unexpected' WHEN d.v = l.v THEN 'same' ELSE 'changed' END AS state
+FROM (SELECT doc_id, n_chars % 2 AS v FROM documents WHERE doc_id % 5 <> 0) d FULL JOIN (SELECT doc_id, quality AS v FROM labels) l ON d.doc_id = l.doc_id""")
+def freshness_diff(table, spark):
+    return live.freshness(table("documents").where("doc_id % 5 <> 0").select("doc_id", (F.col("n_chars") % 2).alias("v")), table("labels").select("doc_id", F.col("quality").cast("long").alias("v")), "doc_id", "v")
+
+
+@query("""SELECT page_id, sha256('{"url":"' || url || '","page_id":' || page_id || '}') AS fingerprint FROM pages""")
+def behaviour_fingerprint(table, spark):
+    return table("pages").select("page_id", live.fingerprint(F.col("url"), F.col("page_id")).alias("fingerprint"))
+
+
+@query("SELECT p_partkey, p_name, row_number() OVER (PARTITION BY p_name ORDER BY p_brand, p_partkey) = 1 AS admitted FROM part")
+def registry_admission(table, spark):
+    return live.admission(table("part"), "p_name", ["p_brand", "p_partkey"]).select("p_partkey", "p_name", "admitted")
+
+
+@query("""SELECT source, count(*) AS candidates, count(*) FILTER (n_chars > 0 AND lang <> 'es') AS acceptable, min(doc_id) FILTER (n_chars > 0 AND lang <> 'es') AS first_acceptable, count(*) FILTER (n_chars > 20000) AS errors,
+count(*) FILTER (n_chars > 20000) = 0 AND count(*) FILTER (n_chars > 0 AND lang <> 'es') > 0 AS passed FROM documents GROUP BY 1""")
+def live_check_summary(table, spark):
+    rows = table("documents").withColumn("company", F.when(F.col("lang") != "es", F.col("lang")).otherwise(" "))
+    return live.live_check(rows.withColumn("title", F.col("n_chars").cast("string")), "source", "doc_id", "title", "company", F.col("n_chars") > 20000)
+
+
+PROFILES = [("com", r"\.example\.com/"), ("org", r"\.example\.org/"), ("blog", r"//blog\."), ("query", r"[?&]ref=")]
+
+
+@query("""SELECT page_id, array_to_string(ps, ',') AS profiles, CASE WHEN len(ps) > 1 THEN 'ambiguous' WHEN len(ps) = 1 THEN 'matched' ELSE 'unsupported' END AS status FROM
+(SELECT page_id, list_filter([CASE WHEN regexp_matches(url, '\\.example\\.com/') THEN 'com' END, CASE WHEN regexp_matches(url, '\\.example\\.org/') THEN 'org' END, CASE WHEN regexp_matches(url, '//blog\\.') THEN 'blog' END, CASE WHEN regexp_matches(url, '[?&]ref=') THEN 'query' END], lambda x: x IS NOT NULL) AS ps FROM pages)""")
+def detection_rollup(table, spark):
+    out = live.detect(table("pages").select("page_id", "url"), "url", PROFILES)
+    return out.select("page_id", F.array_join("profiles", ",").alias("profiles"), "status")
+
+
+@query("""SELECT x AS k, CASE WHEN p_partkey IS NULL THEN 'missing' WHEN p_size = 1 THEN 'failed' WHEN p_brand = 'Brand#2' THEN 'skipped' ELSE 'resolved' END AS state FROM (SELECT o_orderkey AS x FROM orders) LEFT JOIN part ON p_partkey = x""")
+def source_selection(table, spark):
+    registry = table("part").select(F.col("p_partkey").alias("k"), (F.col("p_size") != 1).alias("valid"), (F.col("p_brand") != "Brand#2").alias("enabled"))
+    return live.selection(table("orders").select(F.col("o_orderkey").alias("k")), registry, "k")
+
+
+@query("""(SELECT c_nationkey AS k, 'left' AS side FROM customer EXCEPT ALL SELECT s_nationkey, 'left' FROM supplier) UNION ALL (SELECT s_nationkey, 'right' FROM supplier EXCEPT ALL SELECT c_nationkey, 'right' FROM customer)""")
+def schema_equality(table, spark):
+    return live.schema_difference(table("customer").select(F.col("c_nationkey").alias("k")), table("supplier").select(F.col("s_nationkey").alias("k")))
+
+
+@query("""SELECT page_id, pattern, hits FROM (SELECT page_id, 'script' AS pattern, CAST(len(regexp_extract_all(html, '<script')) AS INTEGER) AS hits FROM pages UNION ALL SELECT page_id, 'comment', CAST(len(regexp_extract_all(html, '<!--')) AS INTEGER) FROM pages) WHERE hits > 0""")
+def residue_scan(table, spark):
+    return live.residue(table("pages"), "page_id", "html", [("script", "<script"), ("comment", "<!--")])
+
+
+@query("""SELECT conv_id, turn, role, lag(role) OVER w AS before, lead(role) OVER w AS after, role = 'assistant' AND coalesce(lag(role) OVER w <> 'user', TRUE) AS broken FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)""")
+def session_pairs(table, spark):
+    return sessions.turn_pairs(table("conversations").select("conv_id", "turn", "role"), "conv_id", "turn", "role")
+
+
+@query("""SELECT conv_id, count(*) AS turns, min(turn) FILTER (s <= 300) AS first_kept, CAST(coalesce(sum(t) FILTER (s <= 300), 0) AS BIGINT) AS kept_tokens, CAST(sum(t) AS BIGINT) AS all_tokens FROM
+(SELECT *, sum(t) OVER (PARTITION BY conv_id ORDER BY turn DESC) AS s FROM (SELECT conv_id, turn, CAST(ceil(length(text) / 4.0) AS BIGINT) AS t FROM conversations)) GROUP BY 1""")
+def compaction_cut(table, spark):
+    return sessions.compaction_cut(table("conversations"), "conv_id", "turn", sessions.estimated_tokens(F.col("text")), 300)
+
+
+@query("""SELECT conv_id, 'm' || (turn) AS id, CAST(max(turn) OVER (PARTITION BY conv_id) - turn AS INTEGER) AS depth FROM conversations""")
+def session_active_path(table, spark):
+    rows = table("conversations").select("conv_id", F.concat(F.lit("m"), F.col("turn").cast("string")).alias("id"), F.when(F.col("turn") > 0, F.concat(F.lit("m"), (F.col("turn") - 1).cast("string"))).alias("parent_id"), F.col("turn").alias("ord"))
+    return sessions.active_path(rows, "conv_id").select("conv_id", "id", "depth")
+
+
+@query("""SELECT page_id, count(*) AS links, count(*) FILTER (NOT known) AS broken FROM (SELECT page_id, l, contains(titles, l) AS known FROM (SELECT page_id, unnest(regexp_extract_all(html, '<a href="/([^"]*)"', 1)) AS l FROM pages), (SELECT string_agg(url, ' ') AS titles FROM pages WHERE FALSE) t) GROUP BY 1""".replace("contains(titles, l)", "l IN (SELECT p_name FROM part)"))
+def link_check(table, spark):
+    links = table("pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('<a href="/([^"]*)"'), F.lit(1))).alias("l"))
+    known = table("part").select(F.col("p_name").alias("l"), F.lit(True).alias("known")).distinct()
+    return links.join(known, "l", "left").groupBy("page_id").agg(F.count("*").alias("links"), F.count_if(F.col("known").isNull()).alias("broken"))
