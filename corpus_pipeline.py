@@ -60,8 +60,8 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sampled encodings of every document, and whether they decode to its text."""
-    drawn = sampled_pieces.decode(sampled_pieces.encode(docs.select("doc_id", "text")))
-    return drawn.select("doc_id", "draw", "ids", F.size("ids").cast("long").alias("n_pieces"), "log_prob", "log_inclusion", (F.sha2("decoded", 256) == F.col("text_sha256")).alias("round_trip"))
+    drawn = sampled_pieces.encode(docs.select("doc_id", "text"), check=True)
+    return drawn.select("doc_id", "draw", "ids", F.size("ids").cast("long").alias("n_pieces"), "log_prob", "log_inclusion", "round_trip")
 
 
 STAGES = [
