@@ -129,15 +129,21 @@ class Lattices:
             depth += 1
             going = (state >= 0) & (start + depth < stop[start])
             start, state = start[going], state[going]
-        at = np.concatenate(starts) if starts else np.zeros(0, np.int64)
-        order = np.argsort(at, kind="stable")
-        at = at[order]
-        self.start = at + owner[at]
-        self.end = np.concatenate(ends)[order] + owner[at] if starts else at
-        self.piece = np.concatenate(pieces)[order].astype(np.int64) if starts else at
-        degree = np.bincount(self.start, minlength=self.first[-1])
+        # edges by start, then length: each depth puts its edges behind those of the depths before
+        degree = np.zeros(self.first[-1], np.int64)
+        for at in starts:
+            degree[at + owner[at]] += 1
         self.lo = np.concatenate([[0], np.cumsum(degree)])
+        self.start = np.repeat(np.arange(len(degree)), degree)
+        self.end, self.piece = np.empty(self.lo[-1], np.int64), np.empty(self.lo[-1], np.int64)
+        free = self.lo[:-1].copy()
+        for at, end, piece in zip(starts, ends, pieces, strict=True):
+            node = at + owner[at]
+            self.end[free[node]], self.piece[free[node]] = end + owner[at], piece
+            free[node] += 1
         left = np.repeat(self.first[1:] - 1, lengths + 1) - np.arange(len(degree))  # characters to the end
+        if left.max(initial=0) < 2**15:
+            left = left.astype(np.int16)  # sorts in linear time
         order = np.argsort(left[self.start], kind="stable")
         self.levels = np.split(order, np.flatnonzero(np.diff(left[self.start][order])) + 1) if len(order) else []
 

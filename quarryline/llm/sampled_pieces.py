@@ -23,6 +23,7 @@ the text; repeated rows yield the same draws; an empty table yields no rows.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,15 +31,16 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructType
 
 from .lattice import PIECES, Lattices, Vocabulary, spell, units_of
 from .shared import documents, fresh
 from .words import chunks, spread
 
 K = 2
-CACHE = 120_000
+CACHE = 90_000
 DRAWN = "draw int, ids array<int>, log_prob double, log_inclusion double"
-CHUNK = 1_500_000
+CHUNK = 1_000_000
 
 
 def uniform(seeds: np.ndarray, place: np.ndarray, salt: int) -> np.ndarray:
@@ -62,35 +64,46 @@ class Tables:
     def clear(self) -> None:
         self.ids: dict[str, int] = {}
         self.spelt: dict[str, int] = {}
-        none = np.zeros(0, np.int64)
-        self.root, self.lo, self.end, self.piece, self.log_q, self.cdf = none, np.zeros(1, np.int64), none, none, np.zeros(0), np.zeros(0)
+        self.nodes = self.edges = 0
+        self.root = np.zeros(0, np.int64)
+        self.lo = np.zeros(1, np.int32)
+        self.end, self.piece = np.zeros(0, np.int32), np.zeros(0, np.int32)
+        self.log_q, self.cdf = np.zeros(0), np.zeros(0)
+
+    def room(self, name: str, n: int) -> np.ndarray:
+        """The array of that name with room for n, twice as much if it has to grow."""
+        old = getattr(self, name)
+        if len(old) < n:
+            new = np.zeros(2 * n, old.dtype)
+            new[: len(old)] = old
+            setattr(self, name, new)
+        return getattr(self, name)
 
     def add(self, units: list[str]) -> None:
         new = [u for u in dict.fromkeys(units) if u not in self.ids]
-        parts = [[x] for x in (self.root, self.lo[:-1], self.end, self.piece, self.log_q, self.cdf)]
-        node, edge = len(self.lo) - 1, len(self.end)
-        for some in chunks([len(u) for u in new], 200_000):
+        for some in chunks([len(u) for u in new], 150_000):
             lat = Lattices(new[some], self.trie, self.size, self.spelt)
             log_p = spell(self.vocab.log_weight, self.spelt, self.vocab.byte_ids)
             log_q = lat.choice(log_p, lat.suffix_mass(log_p))
             q = np.cumsum(np.exp(log_q))
-            before = np.concatenate([[0], q])[lat.lo[:-1]][lat.start]
             # node v's edges lie in (v, v + 1], so that one sorted search draws for all nodes
-            cdf = lat.start + node + np.minimum(q - before, 1.0)
+            cdf = lat.start + np.minimum(q - np.concatenate([[0], q])[lat.lo[:-1]][lat.start], 1.0)
             last = lat.lo[1:][np.diff(lat.lo) > 0] - 1
-            cdf[last] = lat.start[last] + node + 1.0
-            self.ids.update(zip(new[some], range(len(self.ids), len(self.ids) + len(lat.first) - 1), strict=True))
-            for col, x in zip(parts, (lat.first[:-1] + node, lat.lo[:-1] + edge, lat.end + node, lat.piece, log_q, cdf), strict=True):
-                col.append(x)
-            node, edge = node + len(lat.lo) - 1, edge + len(lat.end)
-        self.root, lo, self.end, self.piece, self.log_q, self.cdf = (np.concatenate(c) for c in parts)
-        self.lo = np.append(lo, edge)
+            cdf[last] = lat.start[last] + 1.0
+            u, v, e = len(self.ids), self.nodes, self.edges
+            self.ids.update(zip(new[some], range(u, u + len(lat.first) - 1), strict=True))
+            self.nodes, self.edges = v + len(lat.lo) - 1, e + len(lat.end)
+            self.room("root", len(self.ids))[u : len(self.ids)] = lat.first[:-1] + v
+            self.room("lo", self.nodes + 1)[v : self.nodes + 1] = lat.lo + e
+            for name, x in (("end", lat.end + v), ("piece", lat.piece), ("log_q", log_q), ("cdf", cdf + v)):
+                self.room(name, self.edges)[e : self.edges] = x
 
     def descend(self, nodes: np.ndarray, seeds: np.ndarray, place: np.ndarray, salt: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For each start node a drawn way to its end: edges laid end to end, their counts, log probabilities."""
-        n = len(nodes)
-        log_q, steps, at = np.zeros(n), [], np.arange(n)
-        node = nodes
+        n, cdf = len(nodes), self.cdf[: self.edges]
+        log_q, counts, steps = np.zeros(n), np.zeros(n, np.int64), []
+        at = np.argsort(nodes, kind="stable")  # searches run best in order
+        node = nodes[at]
         while True:
             going = self.lo[node + 1] > self.lo[node]
             if not going.all():
@@ -98,15 +111,13 @@ class Tables:
             if not len(at):
                 break
             u = uniform(seeds[at], place[at], salt * 4096 + len(steps))
-            edge = np.searchsorted(self.cdf, node + u, side="left")
+            edge = np.searchsorted(cdf, node + u, side="left")
             log_q[at] += self.log_q[edge]
-            steps.append((at, edge))
-            node = self.end[edge]
-        counts = np.zeros(n, np.int64)
-        for at, _ in steps:
             counts[at] += 1
+            steps.append((at, edge.astype(np.int32)))
+            node = self.end[edge].astype(np.int64)
         offset = np.cumsum(counts) - counts
-        out = np.empty(counts.sum(), np.int64)
+        out = np.empty(counts.sum(), np.int32)
         for i, (at, edge) in enumerate(steps):
             out[offset[at] + i] = edge
         return out, counts, log_q
@@ -114,30 +125,41 @@ class Tables:
     def other(self, root: int, taken: list[list[int]], rng: np.random.Generator) -> list[int]:
         """A way from `root` drawn from all but those `taken`."""
         path, node = [], root
-        while self.lo[node + 1] > self.lo[node]:
-            edges = range(self.lo[node], self.lo[node + 1])
-            rest = [np.exp(self.log_q[e]) * max(0.0, 1 - sum(np.exp(self.log_q[t[len(path) + 1 :]].sum()) for t in taken if t[len(path)] == e)) for e in edges]
-            if not sum(rest):  # rounding left nothing: any edge with a way that isn't taken
-                rest = [float(not any(t[len(path)] == e and len(t) == len(path) + 1 for t in taken)) for e in edges]
-            e = edges[int(rng.choice(len(rest), p=np.array(rest) / sum(rest)))]
+        while True:
+            a, b = int(self.lo[node]), int(self.lo[node + 1])
+            if a == b:
+                return path
+            rest = [math.exp(x) for x in self.log_q[a:b].tolist()]
+            for t in taken:  # less what is taken behind its next edge
+                rest[t[len(path)] - a] -= math.exp(sum(self.log_q[x] for x in t[len(path) :]))
+            rest = [max(x, 0.0) for x in rest]
+            if not sum(rest):  # rounding left nothing: any edge that isn't the end of a taken way
+                rest = [float(all(t[len(path)] != e or len(t) > len(path) + 1 for t in taken)) for e in range(a, b)]
+            e, u = a, float(rng.random()) * sum(rest)
+            while e + 1 < b and u >= rest[e - a]:
+                u -= rest[e - a]
+                e += 1
+            while not rest[e - a]:
+                e -= 1
             taken = [t for t in taken if t[len(path)] == e]
             path.append(e)
             node = int(self.end[e])
-        return path
 
-    def pieces_of(self, edges: np.ndarray) -> np.ndarray:
-        """Piece ids of edges, characters outside the vocabulary spelt in bytes."""
+    def pieces_of(self, edges: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Piece ids of ways laid end to end, and their lengths; characters outside the vocabulary are spelt in bytes."""
         piece = self.piece[edges]
-        odd = np.flatnonzero(piece >= self.size)
-        if not len(odd):
-            return piece.astype(np.int32)
-        chars = list(self.spelt)
-        spelt = [np.array(self.vocab.byte_ids)[list(chars[x - self.size].encode())] for x in piece[odd].tolist()]
+        odd = piece >= self.size
+        if not odd.any():
+            return piece, lengths
+        spelt = [self.vocab.byte_ids[b] for c in self.spelt for b in c.encode()]
+        size = np.array([len(c.encode()) for c in self.spelt])
         count = np.ones(len(piece), np.int64)
-        count[odd] = [len(x) for x in spelt]
-        out = np.repeat(piece, count)
-        out[np.repeat(piece >= self.size, count)] = np.concatenate(spelt)
-        return out.astype(np.int32)
+        count[odd] = size[piece[odd] - self.size]
+        out, which = np.repeat(piece, count), np.repeat(odd, count)
+        _, step = spread(count[odd])
+        out[which] = np.array(spelt)[np.repeat((np.cumsum(size) - size)[piece[odd] - self.size], count[odd]) + step]
+        ends = np.concatenate([[0], np.cumsum(count)])[np.concatenate([[0], np.cumsum(lengths)])]
+        return out, np.diff(ends)
 
 
 class Draw:
@@ -159,7 +181,7 @@ class Draw:
     def branch(self, unit: int, way: list[int], log_q: float, tail: np.ndarray, bounds: np.ndarray, tail_q: np.ndarray) -> Draw:
         """The draw that leaves this one at `unit`, by `way` and then `tail`."""
         head = self.edges[: self.bounds[unit]]
-        edges = np.concatenate([head, np.array(way, np.int64), tail])
+        edges = np.concatenate([head, np.array(way, np.int32), tail])
         return Draw(edges, np.concatenate([self.bounds[: unit + 1], bounds + len(head) + len(way)]), np.concatenate([self.log_q[:unit], [log_q], tail_q]))
 
 
@@ -176,7 +198,7 @@ def rest_of(log_q: np.ndarray) -> np.ndarray:
 
 
 def draw_chunk(tables: Tables, split: list[list[str]], seeds: np.ndarray, k: int) -> list[list[tuple]]:
-    """Per text its draws (piece ids, log probability, log inclusion), best first."""
+    """Per text its draws (edges, log probability, log inclusion), best first."""
     flat = [u for s in split for u in s]
     tables.add(flat)
     unit = np.fromiter(map(tables.ids.__getitem__, flat), np.int64, len(flat))
@@ -227,62 +249,70 @@ def draw_chunk(tables: Tables, split: list[list[str]], seeds: np.ndarray, k: int
         for x in mine:
             p = float(x.log_q.sum())
             rate = p - bound
-            rows.append((tables.pieces_of(x.edges), p, rate if rate < -30 else float(np.log(-np.expm1(-np.exp(min(rate, 700.0)))))))
+            rows.append((x.edges, p, rate if rate < -30 else float(np.log(-np.expm1(-np.exp(min(rate, 700.0)))))))
         out.append(rows)
     return out
 
 
-def encoder(vocab: Vocabulary, k: int):
+def spelling(vocab: Vocabulary) -> list[bytes]:
+    """Piece id -> its bytes."""
+    spelt = [p.encode() if p is not None else b"" for p in vocab.pieces]
+    for b, i in enumerate(vocab.byte_ids):
+        spelt[i] = bytes([b])
+    return spelt
+
+
+def spell_out(ids: list[int], spelt: list[bytes]) -> str:
+    return b"".join(map(spelt.__getitem__, ids))[1:].decode()
+
+
+def encoder(vocab: Vocabulary, k: int, check: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = Tables(vocab)
+        tables, spelt = Tables(vocab), spelling(vocab)
         for batch in batches:
-            texts, keys = batch["text"], batch["key"].to_pylist()
+            texts, keys = batch["text"], batch["key"]
             for part in chunks(pa.compute.utf8_length(texts).fill_null(0).to_pylist(), CHUNK):
                 own = [t or "" for t in texts[part].to_pylist()]
-                seeds = np.array([xxhash.xxh3_64_intdigest(f"k{key}" if key is not None else f"t{t}") for key, t in zip(keys[part], own, strict=True)], np.uint64)
+                seeds = np.array([xxhash.xxh3_64_intdigest(f"k{key}" if key is not None else f"t{t}") for key, t in zip(keys[part].to_pylist(), own, strict=True)], np.uint64)
                 if len(tables.ids) > CACHE:
                     tables.clear()
                 drawn = draw_chunk(tables, [units_of(t) for t in own], seeds, k)
                 row = np.repeat(np.arange(len(own)), [len(d) for d in drawn])
                 flat = [x for d in drawn for x in d]
-                kept = pa.RecordBatch.from_arrays(batch.columns, batch.schema.names).slice(part.start, part.stop - part.start).take(pa.array(row))
-                ids = [x[0] for x in flat]
-                offsets = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32))
-                lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32), pa.int32()))
-                cols = [pa.array(np.concatenate([np.arange(len(d)) for d in drawn]).astype(np.int32)), lists, *[pa.array([x[i] for x in flat], pa.float64()) for i in (1, 2)]]
-                yield pa.RecordBatch.from_arrays([*[c for n, c in zip(kept.schema.names, kept.columns, strict=True) if n != "text"], *cols], [*[n for n in kept.schema.names if n != "text"], "draw", "ids", "log_prob", "log_inclusion"])
+                ids, n = tables.pieces_of(np.concatenate([x[0] for x in flat]), np.array([len(x[0]) for x in flat]))
+                ends = np.concatenate([[0], np.cumsum(n)])
+                cols = [keys[part].take(pa.array(row)), pa.array(np.concatenate([np.arange(len(d)) for d in drawn]).astype(np.int32)), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))]
+                cols += [pa.array([x[i] for x in flat], pa.float64()) for i in (1, 2)]
+                if check:
+                    same = [spell_out(ids[a:b].tolist(), spelt) == own[r] for a, b, r in zip(ends[:-1].tolist(), ends[1:].tolist(), row.tolist(), strict=True)]
+                    cols.append(pa.array(same, pa.bool_()))
+                yield pa.RecordBatch.from_arrays(cols, ["key", "draw", "ids", "log_prob", "log_inclusion", *["round_trip"] * check])
 
     return run
 
 
-def encode(df: DataFrame, key: str = "doc_id", k: int = K, pieces: str = PIECES) -> DataFrame:
-    """`key`, the text's SHA-256, and per draw its piece ids, log probability and log inclusion score."""
-    rows = df.select(F.col(key).alias("key"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"), "text")
+def encode(df: DataFrame, key: str = "doc_id", k: int = K, pieces: str = PIECES, check: bool = False) -> DataFrame:
+    """`key` and, per draw, its piece ids, log probability and log inclusion score; if `check`, whether they decode to the text."""
+    rows = df.select(F.col(key).alias("key"), "text")
     kind = rows.schema["key"].dataType.simpleString()
-    out = rows.mapInArrow(encoder(Vocabulary.load(pieces), k), f"key {kind}, text_sha256 string, {DRAWN}")
+    out = rows.mapInArrow(encoder(Vocabulary.load(pieces), k, check), f"key {kind}, {DRAWN}" + ", round_trip boolean" * check)
     return out.withColumnRenamed("key", key)
 
 
 def decode(df: DataFrame, pieces: str = PIECES, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """`df` with the text that the piece ids spell."""
-    vocab = Vocabulary.load(pieces)
-    spelt = [p.encode() if p is not None else b"" for p in vocab.pieces]
-    for b, i in enumerate(vocab.byte_ids):
-        spelt[i] = bytes([b])
+    spelt = spelling(Vocabulary.load(pieces))
     (name,) = fresh(df, out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             col = batch.column(batch.schema.get_field_index(ids))
-            texts = [None if x is None else b"".join(map(spelt.__getitem__, x))[1:].decode() for x in (y.values.to_numpy().tolist() if y.is_valid else None for y in col)]
+            texts = [spell_out(x.values.to_numpy().tolist(), spelt) if x.is_valid else None for x in col]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, name])
 
-    from pyspark.sql.types import StringType, StructType
-
     return df.mapInArrow(run, StructType([*df.schema.fields]).add(name, StringType()))
 
 
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    drawn = decode(encode(documents(spark, sf_dir).select("doc_id", "text")))
-    spelt = F.sha2(F.array_join("ids", ","), 256)
-    return drawn.select("doc_id", "draw", F.size("ids").cast("long").alias("n_pieces"), spelt.alias("ids_sha256"), "log_prob", "log_inclusion", (F.sha2("decoded", 256) == F.col("text_sha256")).alias("round_trip"))
+    drawn = encode(documents(spark, sf_dir).select("doc_id", "text"), check=True)
+    return drawn.select("doc_id", "draw", F.size("ids").cast("long").alias("n_pieces"), F.xxhash64("ids").alias("ids_xxhash64"), "log_prob", "log_inclusion", "round_trip")

@@ -33,10 +33,9 @@ def blob_of(text: str = "text") -> Column:
     return F.sha2(F.coalesce(F.col(text), F.lit("")), 256)
 
 
-def spans_of(text: Column, found: Column, order: int) -> Column:
-    """The spans of the matches `found` of rule `order`, from the gaps between them."""
+def spans_of(found: Column, gaps: Column, order: int) -> Column:
+    """The spans of the matches `found` of rule `order`, from the gaps around them."""
     kind, pattern, group, least = RULES[order]
-    gaps = F.split(text, pattern, -1)
 
     def step(acc, i):
         m = F.get(found, i)
@@ -47,16 +46,18 @@ def spans_of(text: Column, found: Column, order: int) -> Column:
         return F.struct(end.alias("at"), F.when(kept, F.concat(acc["out"], span)).otherwise(acc["out"]).alias("out"))
 
     zero = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("out"))
-    folded = F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), zero, step, lambda acc: acc["out"])
-    return F.when(F.size(found) > 0, folded).otherwise(F.array().cast(f"array<{SPAN}>"))
+    folded = F.aggregate(F.sequence(F.lit(0), F.size(gaps) - 2), zero, step, lambda acc: acc["out"])
+    return F.when(F.size(gaps) > 1, folded).otherwise(F.array().cast(f"array<{SPAN}>"))
 
 
 def scan_blobs(blobs: DataFrame) -> DataFrame:
     """(blob, text) -> (blob, rule_version, spans); spans sorted by start, then kind."""
     text = F.coalesce(F.col("text"), F.lit(""))
     found = blobs.select("blob", text.alias("text"), *[F.regexp_extract_all(text, F.lit(p), F.lit(0)).alias(k) for k, p, _, _ in RULES])
-    spans = F.array_sort(F.concat(*[spans_of(F.col("text"), F.col(k), i) for i, (k, *_) in enumerate(RULES)]))
-    return found.select("blob", F.lit(RULE_VERSION).alias("rule_version"), spans.alias("spans"))
+    # only texts with matches are split; columns of their own, as a fold reads its arrays again and again
+    cut = found.select("blob", *[F.col(k) for k, *_ in RULES], *[F.when(F.size(k) > 0, F.split("text", p, -1)).alias(f"{k}_gaps") for k, p, _, _ in RULES])
+    spans = F.array_sort(F.concat(*[spans_of(F.col(k), F.col(f"{k}_gaps"), i) for i, (k, *_) in enumerate(RULES)]))
+    return cut.select("blob", F.lit(RULE_VERSION).alias("rule_version"), spans.alias("spans"))
 
 
 def unseen(docs: DataFrame, ledger: DataFrame | None, path: str = "doc_id") -> DataFrame:
