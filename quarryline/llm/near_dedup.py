@@ -9,7 +9,7 @@ position with probability equal to their weighted Jaccard similarity, exactly,
 and a process stops when its next point is later than all positions' times.
 
 Signatures are cut in bands. Every member of a bucket is verified against the
-bucket's centres by exact multiset overlap of the whole texts; verified links
+bucket's first by exact multiset overlap of the whole texts; verified links
 join texts to classes. Where a bucket then still holds several classes, its
 members are verified against members of the other classes, round after round,
 until a round finds no link. So links need no pairs of all members.
@@ -130,7 +130,7 @@ def node_of() -> Column:
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) that are similar. Only texts in a pair are moved."""
     some = bounded(durable(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()))
-    moved = texts.join(some, "node", "left_semi").repartition("node")
+    moved = texts.join(some, "node", "left_semi")  # no partitioning of our own, so that Spark can split a hot centre's pairs
     one = pairs.join(moved.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
     two = one.join(moved.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
     return durable(two.select("a", "b", "text_a", "text_b").mapInArrow(overlap, "a long, b long").distinct())
@@ -150,11 +150,10 @@ def classes(docs: DataFrame) -> DataFrame:
 
     texts = docs.select(node_of().alias("node"), "text")
     rows = texts.mapInArrow(banded, "node long, keys array<long>").join(copies, "node", "left_anti").select("node", F.explode("keys").alias("key")).repartition("key")
-    shared = rows.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.min_by("node", F.xxhash64("node", "key")).alias("drawn")).where("lo < hi")
-    members = durable(rows.join(shared, "key").select("key", "node", "lo", "drawn").distinct())
+    shared = rows.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi")
+    members = durable(rows.join(shared, "key").select("key", "node", "lo").distinct())
 
-    pairs = members.select("node", F.explode(F.array("lo", "drawn")).alias("centre")).where("node != centre").select(*ordered("node", "centre")).distinct()
-    tested = durable(pairs)
+    tested = durable(members.where("node != lo").select(*ordered("node", "lo")).distinct())
     links, turn = verified(tested, texts), 0
     while True:
         labels = components(links)
