@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import written
 from .link import jaccard
 
 #: Weights of shingles, control tokens, identifiers, literals.
@@ -50,10 +51,11 @@ def similar_pairs(rows: DataFrame, id_: str, block: list[str], sets: str, thresh
     first n - ceil(threshold * n) + 1 (prefix filter), which no pair that
     reaches the threshold can miss each other in.
     """
-    reps = rows.where(F.size(sets) > 0).groupBy(*block, F.array_sort(sets).alias("s")).agg(F.min(id_).alias("rep"))
+    once = written(rows.select(*block, id_, F.sort_array(sets).alias("s")))  # the sets may be costly, and are read five times below
+    reps = once.where(F.size("s") > 0).groupBy(*block, "s").agg(F.min(id_).alias("rep"))
     parts = reps.select(*block, "rep", F.explode("s").alias("x"))
     common = parts.groupBy(*block, "x").agg(F.count("*").alias("df"))
-    ranked = parts.join(common, [*block, "x"]).groupBy(*block, "rep").agg(F.array_sort(F.collect_list(F.struct("df", "x"))).alias("by_df"))
+    ranked = parts.join(common, [*block, "x"]).groupBy(*block, "rep").agg(F.sort_array(F.collect_list(F.struct("df", "x"))).alias("by_df"))
     n = F.size("by_df")
     prefix = F.slice("by_df", F.lit(1), n - F.ceil(F.lit(threshold) * n - 1e-9).cast("int") + 1)
     probe = ranked.select(*block, "rep", n.alias("n"), F.explode(prefix).alias("p")).select(*block, "rep", "n", "p.x")
