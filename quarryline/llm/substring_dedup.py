@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import documents
+from .shared import documents, durable
 from .words import BASES, Rolling, WordHashes, chunks, spread, words_of
 
 WINDOW = 50
@@ -124,8 +124,9 @@ def dedup(docs: DataFrame, with_text: bool = False) -> DataFrame:
     ord_ = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("ord")
     h1, h2 = F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2")
     keys = docs.select(ord_, h1, h2)
-    first = keys.groupBy("h1", "h2").agg(F.min("ord").alias("first"))
-    copies = keys.join(first, ["h1", "h2"]).where(F.col("ord") > F.col("first")).groupBy("ord").agg(F.collect_set("h1").alias("copied"))
+    # only texts with copies need a row; it is written, so that Spark can split a hot text's rows in the join
+    many = durable(keys.groupBy("h1", "h2").agg(F.min("ord").alias("first"), F.max("ord").alias("last")).where("first < last").drop("last"))
+    copies = keys.join(many, ["h1", "h2"]).where(F.col("ord") > F.col("first")).groupBy("ord").agg(F.collect_set("h1").alias("copied"))
     texts = docs.select(ord_, h1, F.col("text")).repartition("ord")  # every later step reads this one exchange
     flagged = texts.join(copies.hint("shuffle_hash"), "ord", "left").select("ord", "text", F.coalesce(F.array_contains("copied", F.col("h1")), F.lit(False)).alias("is_copy"))
     own = flagged.where(~F.col("is_copy")).select("ord", "text")
