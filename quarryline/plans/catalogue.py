@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo as geo_fn
 from ..functions import html, keys, text
-from ..operators import catalog, geo, link, live, paging, reduce, resolve, rules, sessions, similar
+from ..operators import catalog, commit, geo, link, live, paging, reduce, requests, resolve, rules, sessions, similar
 from . import profile
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -682,3 +682,62 @@ def link_check(table, spark):
     links = table("pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('<a href="/([^"]*)"'), F.lit(1))).alias("l"))
     known = table("part").select(F.col("p_name").alias("l"), F.lit(True).alias("known")).distinct()
     return links.join(known, "l", "left").groupBy("page_id").agg(F.count("*").alias("links"), F.count_if(F.col("known").isNull()).alias("broken"))
+
+
+# --- requests, options, evidence ---
+
+@query("""SELECT event_id, '{"offset":' || event_id || ',"q":"' || event_type || '","size":20}' AS body FROM events""")
+def body_overlay(table, spark):
+    body = requests.overlay_body({"offset": 0, "q": "", "size": 20}, {"offset": F.col("event_id"), "q": F.col("event_type")})
+    return table("events").select("event_id", body.alias("body"))
+
+
+@query("SELECT event_id, CAST(round(value * 10) AS INTEGER) BETWEEN 200 AND 299 AS ok FROM events")
+def status_policy(table, spark):
+    return table("events").select("event_id", requests.ok_status(F.round(F.col("value") * 10).cast("int")).alias("ok"))
+
+
+@query("""SELECT c_custkey, CASE WHEN n IS NULL THEN 'missing' WHEN n = 1 THEN 'one' ELSE 'multiple' END AS match FROM customer LEFT JOIN (SELECT o_custkey, count(*) n FROM orders WHERE o_totalprice > 200000 GROUP BY 1) ON o_custkey = c_custkey""")
+def detail_match(table, spark):
+    found = table("orders").where("o_totalprice > 200000").select(F.col("o_custkey").alias("c_custkey"))
+    return requests.exactly_one(table("customer").select("c_custkey"), found, "c_custkey")
+
+
+@query("""SELECT coalesce(n_nationkey, k) AS n_nationkey, n_nationkey IS NULL AS added, coalesce(v, n_name) AS n_name FROM nation FULL JOIN (SELECT r_regionkey * 7 AS k, r_name AS v FROM region) ON n_nationkey = k""")
+def fragment_merge(table, spark):
+    base = table("nation").select("n_nationkey", F.col("n_nationkey").alias("at"), "n_name")
+    over = table("region").select((F.col("r_regionkey") * 7).alias("n_nationkey"), F.col("r_regionkey").alias("at"), F.col("r_name").alias("n_name"))
+    return requests.merge_fragments(base, over, "n_nationkey", "at", ["n_name"]).select("n_nationkey", F.col("place.added").alias("added"), "n_name")
+
+
+@query("""SELECT event_id, CASE WHEN user_id IN (SELECT c_custkey FROM customer WHERE c_custkey % 3 = 0) THEN 'user_id' WHEN event_id IN (SELECT p_partkey FROM part WHERE p_size > 25) THEN 'item' ELSE 'unassigned' END AS assigned_to FROM events""")
+def diagnostics_routing(table, spark):
+    rows = table("events").select("event_id", "user_id", F.col("event_id").alias("item"))
+    return requests.route(rows, [("user_id", table("customer").where("c_custkey % 3 = 0").select("c_custkey")), ("item", table("part").where("p_size > 25").select("p_partkey"))], "event_id")
+
+
+@query("""SELECT l_partkey, count(*) AS n_origins, string_agg(l_suppkey || '/' || l_linenumber, ',' ORDER BY l_suppkey, l_linenumber) AS origins FROM (SELECT DISTINCT l_partkey, l_suppkey, l_linenumber FROM lineitem) GROUP BY 1""")
+def provenance_origins(table, spark):
+    out = requests.provenance(table("lineitem"), ["l_partkey"], ["l_suppkey", "l_linenumber"])
+    return out.select("l_partkey", F.size("origins").cast("long").alias("n_origins"), F.array_join(F.transform("origins", lambda x: F.concat_ws("/", x["l_suppkey"], x["l_linenumber"])), ",").alias("origins"))
+
+
+@query("""SELECT user_id, event_type, CASE WHEN min(value > 50) = max(value > 50) THEN min(value > 50) END AS v, min(value > 50) <> max(value > 50) AS conflict, min(event_id) AS first_at FROM events GROUP BY 1, 2""")
+def detection_reconcile(table, spark):
+    return requests.reconcile(table("events").withColumn("v", F.col("value") > 50), "user_id", "event_id", "event_type", "v")
+
+
+@query("""SELECT s_suppkey, coalesce(p_name, CAST(s_suppkey AS VARCHAR)) AS p_name, p_name IS NULL AS missing FROM supplier LEFT JOIN (SELECT p_partkey, p_name FROM part WHERE p_partkey % 4 <> 0) ON p_partkey = s_suppkey""")
+def source_options(table, spark):
+    known = table("part").where("p_partkey % 4 <> 0").select(F.col("p_partkey").alias("s_suppkey"), "p_name")
+    return requests.options(table("supplier").select("s_suppkey"), known, "s_suppkey", "p_name")
+
+
+@query("""SELECT p_partkey AS ord, CASE WHEN p_partkey % 10 = 0 THEN p_partkey // 10 ELSE 100000 + dense_rank() OVER (PARTITION BY p_partkey % 10 = 0 ORDER BY m) END AS posting_id, CASE WHEN p_partkey % 10 = 0 THEN 'exact' ELSE 'inserted' END AS how
+FROM (SELECT *, min(p_partkey) OVER (PARTITION BY p_brand, p_name, p_partkey % 10 = 0) AS m FROM part)""")
+def terminal_commit(table, spark):
+    part = table("part")
+    incoming = part.select(F.col("p_partkey").alias("ord"), F.col("p_name").alias("title"), F.col("p_brand").alias("company"), F.array().cast("array<string>").alias("locations"), F.lit("s").alias("source_key"), F.lit("id").alias("kind"), F.col("p_partkey").cast("string").alias("value"))
+    sources = part.where("p_partkey % 10 = 0").select(F.lit("s").alias("source_key"), F.lit("id").alias("kind"), F.col("p_partkey").cast("string").alias("value"), F.expr("p_partkey div 10").alias("posting_id"))
+    postings = spark.createDataFrame([(100000, "nothing alike", "nobody", [])], "id long, title string, company string, locations array<string>")
+    return commit.associate(incoming, sources, postings)
