@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .fingerprints import mix
-from .shared import bounded, components, documents, durable
+from .shared import bounded, compact, components, documents
 from .words import Rolling, WordHashes, chunks, spread, words_of
 
 SHINGLE = 5
@@ -129,11 +129,11 @@ def node_of() -> Column:
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) that are similar. Only texts in a pair are moved."""
-    some = bounded(durable(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()))
+    some = bounded(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
     moved = texts.join(some, "node", "left_semi")  # no partitioning of our own, so that Spark can split a hot centre's pairs
     one = pairs.join(moved.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
     two = one.join(moved.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-    return durable(two.select("a", "b", "text_a", "text_b").mapInArrow(overlap, "a long, b long").distinct())
+    return compact(two.select("a", "b", "text_a", "text_b").mapInArrow(overlap, "a long, b long").distinct())
 
 
 def ordered(x: str, y: str) -> list[Column]:
@@ -145,31 +145,36 @@ def classes(docs: DataFrame) -> DataFrame:
     h1, h2 = F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2")
     keys = docs.select(F.col("doc_id"), node_of().alias("node"), h1, h2)
     # only texts with copies need a row; it is written, so that Spark can split a hot text's rows in joins
-    many = durable(keys.groupBy("h1", "h2").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first < last").drop("last"))
+    many = compact(keys.groupBy("h1", "h2").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first < last").drop("last"))
     copies = keys.join(many, ["h1", "h2"]).where("node != first").select("node")
 
     texts = docs.select(node_of().alias("node"), "text")
     rows = texts.mapInArrow(banded, "node long, keys array<long>").join(copies, "node", "left_anti").select("node", F.explode("keys").alias("key")).repartition("key")
     shared = rows.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi")
-    members = durable(rows.join(shared, "key").select("key", "node", "lo").distinct())
+    members = compact(rows.join(shared, "key").select("key", "node", "lo").distinct())
 
-    tested = durable(members.where("node != lo").select(*ordered("node", "lo")).distinct())
-    links, turn = verified(tested, texts), 0
+    tested = compact(members.where("node != lo").select(*ordered("node", "lo")).distinct())
+    labels, turn = components(verified(tested, texts)), 0
     while True:
-        labels = components(links)
         mine = members.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
         groups = mine.groupBy("key", "label").agg(F.min_by("node", F.xxhash64(F.lit(turn), "node", "key")).alias("pivot"))
         ring = Window.partitionBy("key").orderBy("label")
         whole = Window.partitionBy("key")
         groups = groups.select("key", "label", F.coalesce(F.lead("pivot").over(ring), F.min_by("pivot", "label").over(whole)).alias("centre"), F.count("*").over(whole).alias("n")).where("n > 1")
-        pairs = mine.join(groups, ["key", "label"]).select(*ordered("node", "centre")).distinct().join(tested, ["a", "b"], "left_anti")
-        pairs = durable(pairs)
+        members = compact(mine.join(groups, ["key", "label"]).select("key", "node", "centre"))  # of buckets that still hold several classes
+        pairs = compact(members.select(*ordered("node", "centre")).distinct().join(tested, ["a", "b"], "left_anti"))
         found = verified(pairs, texts)
         if found.isEmpty():
             break
-        links, tested, turn = durable(links.unionByName(found)), durable(tested.unionByName(pairs)), turn + 1
-
-    own = durable(many.join(labels.withColumnRenamed("node", "first"), "first", "left").select("h1", "h2", F.coalesce("label", "first").alias("copy_class")))
+        # links between classes join their labels, and these the classes
+        of = labels.select(F.col("node"), F.col("label"))
+        between = found.join(of.toDF("a", "la"), "a", "left").join(of.toDF("b", "lb"), "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
+        joined = components(between)
+        moved = labels.join(joined.toDF("label", "to"), "label", "left").select("node", F.coalesce("to", "label").alias("label"))
+        labels = compact(moved.unionByName(joined.join(labels, "node", "left_anti")))
+        tested, members, turn = compact(tested.unionByName(pairs)), members.drop("centre"), turn + 1
+
+    own = compact(many.join(labels.withColumnRenamed("node", "first"), "first", "left").select("h1", "h2", F.coalesce("label", "first").alias("copy_class")))
     out = keys.join(own, ["h1", "h2"], "left").join(labels, "node", "left")
     return out.select("doc_id", "node", F.coalesce("copy_class", "label", "node").alias("class_id"))
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..sources.tables import durable, written
 
-__all__ = ["bounded", "components", "documents", "durable", "fresh", "held_out", "written"]
+__all__ = ["bounded", "compact", "components", "documents", "durable", "fresh", "held_out", "written"]
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,9 +34,21 @@ def held_out(doc_id: str = "doc_id"):
 BROADCAST_IDS = 400_000
 
 
+#: Rows of a partition of small tables between jobs.
+ROWS_A_PARTITION = 100_000
+
+
+def compact(df: DataFrame) -> DataFrame:
+    """`df` durable, in no more partitions than its rows need: the next shuffle then has fewer files."""
+    out = durable(df)
+    return out.coalesce(1 + out.count() // ROWS_A_PARTITION)
+
+
 def bounded(ids: DataFrame) -> DataFrame:
-    """`ids`, to be broadcast if a count shows that they are few. `ids` should be durable."""
-    return F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids
+    """`ids`, durable, and to be broadcast if their count shows that they are few."""
+    ids = durable(ids)
+    n = ids.count()
+    return F.broadcast(ids.coalesce(1 + n // ROWS_A_PARTITION)) if n <= BROADCAST_IDS else ids
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -45,16 +57,18 @@ def components(links: DataFrame) -> DataFrame:
     Alternates large and small stars until the stars stand still; every step is
     a grouped minimum and a join, and is written before the next.
     """
-    stars = durable(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct())
-    seen = None
+    stars, seen = compact(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct()), None
+    pair = lambda u, v: F.struct(F.col(u).alias("u"), F.col(v).alias("v"))
     while True:
-        both = stars.unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        # one exchange each for the large star, the small star and for dropping repeats
+        both = stars.select(F.explode(F.array(pair("u", "v"), pair("v", "u"))).alias("e")).select("e.*").repartition("u")
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).repartition("u")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
+        small = large.join(least, "u").select(F.explode(F.array(pair("v", "m"), pair("u", "m"))).alias("e")).select("e.*")
         stars = durable(small.where("u != v").distinct())
         now = stars.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(2**31)))).first()
+        stars = stars.coalesce(1 + now[0] // ROWS_A_PARTITION)
         if now == seen:
             break
         seen = now
