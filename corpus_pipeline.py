@@ -21,7 +21,7 @@ from quarryline.llm.shared import bounded, documents, durable, fresh, written
 def without(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """`docs` but for those whose document is in `nodes` (one column)."""
     (key,) = fresh(docs, "node")
-    gone = bounded(durable(nodes.toDF(key).distinct()))
+    gone = bounded(nodes.toDF(key).distinct())
     return docs.withColumn(key, near_dedup.node_of()).join(gone, key, "left_anti").drop(key)
 
 
