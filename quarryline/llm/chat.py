@@ -156,4 +156,5 @@ def format_conversations(df: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame
 def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     planted = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"))
-    return format_conversations(said.unionByName(planted)).mapInArrow(read_back, READ)
+    back = format_conversations(said.unionByName(planted)).mapInArrow(read_back, READ)
+    return back.drop("n_tokens", "n_loss_tokens")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import oracles
 from .chat import op5_chat_formatting
 from .decontamination import op1_decontamination
 from .fingerprints import op3_fingerprints
@@ -25,4 +26,10 @@ QUERIES = {
     "op9_secret_scans": op9_secret_scans,
     "op10_sentencepiece": op10_sentencepiece,
 }
-ORACLE_SQL: dict[str, str] = {}
+#: Of those that SQL can express; the others are held against brute force, round trips or held-out rows in tests/llm.
+ORACLE_SQL: dict[str, str] = {
+    "op2_minhash_near_dedup": oracles.NEAR_DEDUP,
+    "op4_substring_dedup": oracles.SUBSTRING_DEDUP,
+    "op5_chat_formatting": oracles.CHAT,
+    "op9_secret_scans": oracles.SECRETS,
+}
