@@ -150,17 +150,19 @@ def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts = batch["text"]
         for part in chunks(pa.compute.utf8_length(texts).fill_null(0).to_pylist()):
             shape, doc, hashes = text_rows(texts[part].to_pylist(), known)
-            words = [np.unique(hashes[doc == i]).view(np.int64) for i in range(len(shape))]
+            cut = np.searchsorted(doc, np.arange(len(shape) + 1))
+            words = [np.unique(hashes[a:b]).view(np.int64) for a, b in zip(cut[:-1], cut[1:], strict=True)]
             some = [batch[c][part] for c in ("good", "aside", "source", "lang", "n_chars")]
             yield pa.RecordBatch.from_arrays([*some, pa.array(list(shape), pa.list_(pa.float64())), pa.array(words, pa.list_(pa.int64()))], ["good", "aside", "source", "lang", "n_chars", "shape", "words"])
 
 
-def pick_words(words: list[np.ndarray], good: np.ndarray) -> np.ndarray:
-    """The words whose share among bad documents differs most from that among good ones, in standard errors."""
-    flat = np.concatenate(words) if words else np.zeros(0, np.uint64)
-    y = np.repeat(good, [len(w) for w in words])
-    name, at = np.unique(flat, return_inverse=True)
-    pos, all_ = np.bincount(at, y, len(name)), np.bincount(at, minlength=len(name))
+def pick_words(words: np.ndarray, owner: np.ndarray, good: np.ndarray) -> np.ndarray:
+    """The words whose share among bad documents differs most from that among good ones, in standard errors.
+
+    `words` has each document's distinct words, `owner` its place in `good`.
+    """
+    name, at = np.unique(words, return_inverse=True)
+    pos, all_ = np.bincount(at, good[owner], len(name)), np.bincount(at, minlength=len(name))
     n_pos, n = good.sum(), len(good)
     a, b = pos / max(n_pos, 1), (all_ - pos) / max(n - n_pos, 1)
     p = all_ / max(n, 1)
@@ -179,11 +181,12 @@ def train(rows: pa.Table) -> Model | None:
     if not 0 < y[fit].sum() < fit.sum():
         return None
     shape = np.array(rows["shape"].to_pylist())
-    words = [np.array(w, np.int64).view(np.uint64) for w in rows["words"].to_pylist()]
-    telling = pick_words([words[i] for i in np.flatnonzero(fit)], y[fit])
+    doc = np.repeat(np.arange(len(y)), pa.compute.list_value_length(rows["words"]).to_numpy())
+    words = pa.compute.list_flatten(rows["words"]).to_numpy().view(np.uint64)
+    place = np.cumsum(fit) - 1
+    telling = pick_words(words[fit[doc]], place[doc[fit[doc]]], y[fit])
     mean, scale = shape[fit].mean(axis=0), shape[fit].std(axis=0) + 1e-6
-    doc = np.repeat(np.arange(len(words)), [len(w) for w in words])
-    text = np.column_stack([(shape - mean) / scale, presence(doc, np.concatenate(words), telling, len(words))])
+    text = np.column_stack([(shape - mean) / scale, presence(doc, words, telling, len(y))])
     source, lang = rows["source"].to_pylist(), rows["lang"].to_pylist()
     names = [sorted(set(v), key=lambda x: (-v.count(x), str(x)))[:64] for v in (source, lang)]
     page = page_rows(source, lang, rows["n_chars"].to_pylist(), *names)
