@@ -13,42 +13,29 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.keys import tokens
+from ..functions.sets import containment, jaccard
+from ..sources.tables import written
+from . import similar
 
 #: Fixed values.
 CONTAINMENT, JACCARD = 0.90, 0.55
 
 
-def containment(a: Column, b: Column) -> Column:
-    """Shared distinct tokens over the smaller set; 1 if both are empty, 0 if one is."""
-    n = F.least(F.size(F.array_distinct(a)), F.size(F.array_distinct(b)))
-    both_empty = (F.size(a) == 0) & (F.size(b) == 0)
-    return F.when(both_empty, 1.0).when(n == 0, 0.0).otherwise(F.size(F.array_intersect(a, b)) / n)
-
-
-def jaccard(a: Column, b: Column) -> Column:
-    n = F.size(F.array_union(a, b))
-    return F.when(n == 0, 1.0).otherwise(F.size(F.array_intersect(a, b)) / n)
-
-
 def similar_titles(a: Column, b: Column) -> Column:
     return (containment(a, b) >= CONTAINMENT) & (jaccard(a, b) >= JACCARD)
 
 
 def similar_pairs(items: DataFrame, id_: str, block: list[str], toks: str) -> DataFrame:
-    """Pairs (a, b, containment, jaccard) of *distinct* token lists in a block whose titles match.
+    """Pairs (a, b, containment, jaccard) of different token sets in a block whose titles match.
 
-    Items of one list share a representative, the least id; `members` maps them.
-    A pair shares a token, so that pairs are found by an equi-join on block and
-    token and not by the product of a block.
+    Items of one set share a representative, the least id. Candidates come from
+    the prefix filter of the Jaccard threshold, not from the product of a block.
     """
-    reps = items.groupBy(*block, toks).agg(F.min(id_).alias("rep"))
-    by_token = reps.select(*block, "rep", toks, F.explode(F.array_distinct(toks)).alias("token"))
-    a = by_token.select(*block, "token", F.col("rep").alias("a"), F.col(toks).alias("ta"))
-    b = by_token.select(*block, "token", F.col("rep").alias("b"), F.col(toks).alias("tb"))
-    first = F.array_min(F.array_intersect("ta", "tb"))
-    pairs = a.join(b, [*block, "token"]).where((F.col("a") < F.col("b")) & (F.col("token") == first))
-    scored = pairs.select(*block, "a", "b", containment(F.col("ta"), F.col("tb")).alias("containment"), jaccard(F.col("ta"), F.col("tb")).alias("jaccard"))
-    return scored.where((F.col("containment") >= CONTAINMENT) & (F.col("jaccard") >= JACCARD))
+    sets = written(items.select(*block, id_, F.sort_array(F.array_distinct(toks)).alias("s")))
+    pairs = similar.similar_pairs(sets, id_, block, "s", JACCARD).select("a", "b", F.col("score").alias("jaccard"))
+    reps = sets.groupBy(*block, "s").agg(F.min(id_).alias("rep"))
+    both = pairs.join(reps.select(*block, F.col("rep").alias("a"), F.col("s").alias("sa")), "a").join(reps.select(F.col("rep").alias("b"), F.col("s").alias("sb")), "b")
+    return both.select(*block, "a", "b", containment(F.col("sa"), F.col("sb")).alias("containment"), "jaccard").where(F.col("containment") >= CONTAINMENT)
 
 
 def title_ok(a: list[str], b: list[str]) -> bool:

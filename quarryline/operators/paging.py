@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import durable
+
 
 def pages_read(responses: DataFrame, source: str, number: str, items: Column, total: Column | None = None, page_size: int | None = None, max_items: int | None = None) -> DataFrame:
     """Rows up to the one that stops: an empty page, the total covered, or `max_items` reached.
@@ -56,13 +58,15 @@ def cursor_chain(responses: DataFrame, source: str, limit: int) -> DataFrame:
 def sitemap_walk(edges: DataFrame, roots: DataFrame, max_depth: int) -> DataFrame:
     """(node, depth) reached from the roots, each at its least depth.
 
-    A frontier at a time, each held against all seen nodes, so that a cycle ends.
+    A frontier at a time, each written and held against all seen nodes, so that
+    a cycle ends and no level is computed twice.
     """
-    seen = roots.select(F.col(roots.columns[0]).alias("node"), F.lit(0).alias("depth")).distinct()
-    frontier = seen
+    seen = frontier = durable(roots.select(F.col(roots.columns[0]).alias("node"), F.lit(0).alias("depth")).distinct())
     for depth in range(1, max_depth + 1):
         found = frontier.join(edges, frontier["node"] == edges["parent"]).select(F.col("child").alias("node")).distinct()
-        frontier = found.join(seen, "node", "left_anti").select("node", F.lit(depth).alias("depth"))
+        frontier = durable(found.join(seen, "node", "left_anti").select("node", F.lit(depth).alias("depth")))
+        if frontier.isEmpty():
+            break
         seen = seen.unionByName(frontier)
     return seen
 

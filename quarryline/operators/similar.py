@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.sets import jaccard
 from ..sources.tables import written
-from .link import jaccard
+from .catalog import with_ids
 
 #: Weights of shingles, control tokens, identifiers, literals.
 WEIGHTS = (0.55, 0.20, 0.15, 0.10)
@@ -40,7 +41,8 @@ def percent(score: Column) -> Column:
 def duplicate_groups(rows: DataFrame, hash_: str) -> DataFrame:
     """Hashes that several rows share, numbered by count, then hash."""
     groups = rows.groupBy(hash_).agg(F.count("*").alias("duplicates")).where("duplicates > 1")
-    return groups.withColumn("group_id", F.row_number().over(Window.orderBy(F.desc("duplicates"), hash_)))
+    order = F.struct((-F.col("duplicates")).alias("n"), hash_)
+    return with_ids(groups.withColumn("_order", order), "_order", 0, "group_id").drop("_order")
 
 
 def similar_pairs(rows: DataFrame, id_: str, block: list[str], sets: str, threshold: float) -> DataFrame:

@@ -552,7 +552,7 @@ def declarative_profile(table, spark):
 
 # --- linkage, similarity ---
 
-@query("""WITH t AS (SELECT p_brand, string_split(lower(p_name || CASE WHEN p_partkey % 2 = 0 THEN ' ' || p_type ELSE '' END), ' ') AS toks, min(p_partkey) AS rep FROM part GROUP BY 1, 2),
+@query("""WITH t AS (SELECT p_brand, list_sort(list_distinct(string_split(lower(p_name || CASE WHEN p_partkey % 2 = 0 THEN ' ' || p_type ELSE '' END), ' '))) AS toks, min(p_partkey) AS rep FROM part GROUP BY 1, 2),
 p AS (SELECT x.p_brand, x.rep AS a, y.rep AS b, len(list_intersect(x.toks, y.toks)) AS shared, least(len(list_distinct(x.toks)), len(list_distinct(y.toks))) AS small, len(list_distinct(list_concat(x.toks, y.toks))) AS every FROM t x JOIN t y ON x.p_brand = y.p_brand AND x.rep < y.rep)
 SELECT p_brand, a, b, round(shared / small, 6) AS containment, round(shared / every, 6) AS jaccard FROM p WHERE shared / small >= 0.9 AND shared / every >= 0.55""")
 def title_similarity(table, spark):
