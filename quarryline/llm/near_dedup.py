@@ -11,8 +11,8 @@ and a process stops when its next point is later than all positions' times.
 Signatures are cut in bands. Every member of a bucket is verified against the
 bucket's first by exact multiset overlap of the whole texts; verified links
 join texts to classes. Where a bucket then still holds several classes, its
-members are verified against members of the other classes, round after round,
-until a round finds no link. So links need no pairs of all members.
+members are verified against members of other classes (1, 2, 4, ... further
+on), round after round, until a round finds no link. So links need no pairs of all members.
 
 Exact copies are one text throughout: they join the class of the first.
 
@@ -158,11 +158,15 @@ def classes(docs: DataFrame) -> DataFrame:
     while True:
         mine = members.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
         groups = mine.groupBy("key", "label").agg(F.min_by("node", F.xxhash64(F.lit(turn), "node", "key")).alias("pivot"))
-        ring = Window.partitionBy("key").orderBy("label")
         whole = Window.partitionBy("key")
-        groups = groups.select("key", "label", F.coalesce(F.lead("pivot").over(ring), F.min_by("pivot", "label").over(whole)).alias("centre"), F.count("*").over(whole).alias("n")).where("n > 1")
-        members = compact(mine.join(groups, ["key", "label"]).select("key", "node", "centre"))  # of buckets that still hold several classes
-        pairs = compact(members.select(*ordered("node", "centre")).distinct().join(tested, ["a", "b"], "left_anti"))
+        groups = groups.withColumn("n", F.count("*").over(whole)).where("n > 1")
+        groups = groups.withColumn("i", F.row_number().over(whole.orderBy("label")) - 1)
+        # the classes 1, 2, 4, ... further on in the bucket, so that members meet in a few rounds
+        ahead = F.explode(F.transform(F.sequence(F.lit(0), F.floor(F.log2(F.col("n") - 1)).cast("int")), lambda j: (F.col("i") + F.pow(2, j).cast("int")) % F.col("n")))
+        centres = groups.select("key", "label", ahead.alias("i")).join(groups.select("key", "i", F.col("pivot").alias("centre")), ["key", "i"]).drop("i")
+        members = compact(mine.join(groups.select("key", "label"), ["key", "label"]))  # of buckets that still hold several classes
+        pairs = members.join(centres, ["key", "label"])
+        pairs = compact(pairs.select(*ordered("node", "centre")).distinct().join(tested, ["a", "b"], "left_anti"))
         found = verified(pairs, texts)
         if found.isEmpty():
             break
@@ -172,7 +176,7 @@ def classes(docs: DataFrame) -> DataFrame:
         joined = components(between)
         moved = labels.join(joined.toDF("label", "to"), "label", "left").select("node", F.coalesce("to", "label").alias("label"))
         labels = compact(moved.unionByName(joined.join(labels, "node", "left_anti")))
-        tested, members, turn = compact(tested.unionByName(pairs)), members.drop("centre"), turn + 1
+        tested, members, turn = compact(tested.unionByName(pairs)), members.drop("label"), turn + 1
 
     own = compact(many.join(labels.withColumnRenamed("node", "first"), "first", "left").select("h1", "h2", F.coalesce("label", "first").alias("copy_class")))
     out = keys.join(own, ["h1", "h2"], "left").join(labels, "node", "left")
