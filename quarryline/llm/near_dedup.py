@@ -8,11 +8,11 @@ shingle that often; a position keeps its earliest time. Two bags agree at a
 position with probability equal to their weighted Jaccard similarity, exactly,
 and a process stops when its next point is later than all positions' times.
 
-Signatures are cut in bands. Every member of a bucket is verified against the
-bucket's first by exact multiset overlap of the whole texts; verified links
-join texts to classes. Where a bucket then still holds several classes, its
-members are verified against members of other classes (1, 2, 4, ... further
-on), round after round, until a round finds no link. So links need no pairs of all members.
+Signatures are cut in bands. Every member of a bucket is verified against its
+centre by exact multiset overlap of the whole texts; verified links join texts
+to classes. Where a bucket then still holds several classes, its members are
+verified against a member of the next class, round after round, while such
+tests find links (one in `WORTH` at least). So links need no pairs of all members.
 
 Exact copies are one text throughout: they join the class of the first.
 
@@ -37,7 +37,8 @@ from .words import Rolling, WordHashes, chunks, spread, words_of
 
 SHINGLE = 5
 SIMILAR = 0.8
-BANDS, ROWS = 20, 4
+BANDS, ROWS = 32, 6
+WORTH = 200  # another round, while one in so many of the last one's tests was a link
 
 
 def bags(texts: list[str | None], known: WordHashes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -150,33 +151,34 @@ def classes(docs: DataFrame) -> DataFrame:
 
     texts = docs.select(node_of().alias("node"), "text")
     rows = texts.mapInArrow(banded, "node long, keys array<long>").join(copies, "node", "left_anti").select("node", F.explode("keys").alias("key")).repartition("key")
-    shared = rows.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi")
-    members = compact(rows.join(shared, "key").select("key", "node", "lo").distinct())
-
-    tested = compact(members.where("node != lo").select(*ordered("node", "lo")).distinct())
+    shared = rows.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("n")).where("lo < hi")
+    members = compact(rows.join(shared, "key").select("key", "node", "n").distinct())
+    # the centre of a bucket is who meets most others in all buckets: of a group of near copies, likely the original
+    weight = members.groupBy("node").agg(F.sum("n").alias("w"))
+    central = F.struct(F.col("w"), -F.col("node"))
+    centres = members.join(weight, "node").groupBy("key").agg(F.max_by("node", central).alias("centre"))
+    members = members.drop("n")
+
+    tested = compact(members.join(centres, "key").where("node != centre").select(*ordered("node", "centre")).distinct())
     labels, turn = components(verified(tested, texts)), 0
     while True:
         mine = members.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
         groups = mine.groupBy("key", "label").agg(F.min_by("node", F.xxhash64(F.lit(turn), "node", "key")).alias("pivot"))
-        whole = Window.partitionBy("key")
-        groups = groups.withColumn("n", F.count("*").over(whole)).where("n > 1")
-        groups = groups.withColumn("i", F.row_number().over(whole.orderBy("label")) - 1)
-        # the classes 1, 2, 4, ... further on in the bucket, so that members meet in a few rounds
-        ahead = F.explode(F.transform(F.sequence(F.lit(0), F.floor(F.log2(F.col("n") - 1)).cast("int")), lambda j: (F.col("i") + F.pow(2, j).cast("int")) % F.col("n")))
-        centres = groups.select("key", "label", ahead.alias("i")).join(groups.select("key", "i", F.col("pivot").alias("centre")), ["key", "i"]).drop("i")
-        members = compact(mine.join(groups.select("key", "label"), ["key", "label"]))  # of buckets that still hold several classes
-        pairs = members.join(centres, ["key", "label"])
-        pairs = compact(pairs.select(*ordered("node", "centre")).distinct().join(tested, ["a", "b"], "left_anti"))
-        found = verified(pairs, texts)
-        if found.isEmpty():
+        ring, whole = Window.partitionBy("key").orderBy("label"), Window.partitionBy("key")
+        groups = groups.select("key", "label", F.coalesce(F.lead("pivot").over(ring), F.min_by("pivot", "label").over(whole)).alias("centre"), F.count("*").over(whole).alias("n")).where("n > 1")
+        members = compact(mine.join(groups, ["key", "label"]).select("key", "node", "centre"))  # of buckets that still hold several classes
+        pairs = compact(members.select(*ordered("node", "centre")).distinct().join(tested, ["a", "b"], "left_anti"))
+        found, tests = verified(pairs, texts), pairs.count()
+        links = found.count()
+        if links:
+            # links between classes join their labels, and these the classes
+            between = found.join(labels.toDF("a", "la"), "a", "left").join(labels.toDF("b", "lb"), "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
+            joined = components(between)
+            moved = labels.join(joined.toDF("label", "to"), "label", "left").select("node", F.coalesce("to", "label").alias("label"))
+            labels = compact(moved.unionByName(joined.join(labels, "node", "left_anti")))
+        if WORTH * links < tests or not links:
             break
-        # links between classes join their labels, and these the classes
-        of = labels.select(F.col("node"), F.col("label"))
-        between = found.join(of.toDF("a", "la"), "a", "left").join(of.toDF("b", "lb"), "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
-        joined = components(between)
-        moved = labels.join(joined.toDF("label", "to"), "label", "left").select("node", F.coalesce("to", "label").alias("label"))
-        labels = compact(moved.unionByName(joined.join(labels, "node", "left_anti")))
-        tested, members, turn = compact(tested.unionByName(pairs)), members.drop("label"), turn + 1
+        tested, members, turn = compact(tested.unionByName(pairs)), members.drop("centre"), turn + 1
 
     own = compact(many.join(labels.withColumnRenamed("node", "first"), "first", "left").select("h1", "h2", F.coalesce("label", "first").alias("copy_class")))
     out = keys.join(own, ["h1", "h2"], "left").join(labels, "node", "left")
