@@ -10,9 +10,10 @@ and a process stops when its next point is later than all positions' times.
 
 Signatures are cut in bands. Every member of a bucket is verified against its
 centre by exact multiset overlap of the whole texts; verified links join texts
-to classes. Where a bucket then still holds several classes, its members are
-verified against a member of the next class, round after round, while such
-tests find links (one in `WORTH` at least). So links need no pairs of all members.
+to classes. Where a bucket then still holds several classes, all its members
+are compared: it is dealt in blocks of bounded size, a task holds two of them
+and gets all their overlaps from products of matrices, and returns only which
+classes its links join. So no pair of a bucket goes untested, and none is a row.
 
 Exact copies are one text throughout: they join the class of the first.
 
@@ -28,17 +29,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .fingerprints import mix
-from .shared import bounded, compact, components, documents
+from .shared import bounded, compact, components, documents, durable
 from .words import Rolling, WordHashes, chunks, spread, words_of
 
 SHINGLE = 5
 SIMILAR = 0.8
 BANDS, ROWS = 32, 6
-WORTH = 200  # another round, while one in so many of the last one's tests was a link
+BLOCK_CHARS, BLOCK_MEMBERS = 2_000_000, 400  # of a block of a bucket, about; a longer text is a block of its own
+CELLS = 8_000_000  # of a matrix at a time
+KNOWN = WordHashes()
 
 
 def bags(texts: list[str | None], known: WordHashes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -124,6 +127,38 @@ def overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], ["a", "b"])
 
 
+def joined_in(block: pa.Table) -> pa.Table:
+    """(label, text) of two blocks of a bucket -> (a, b): each label that links join to others, and the least of them."""
+    texts, labels = block["text"].to_pylist(), block["label"].to_numpy()
+    doc, shingle, weight = bags(texts, KNOWN)
+    of, nth = spread(weight)
+    doc, token = doc[of], mix(shingle[of] + nth.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), 41)  # a bag as a set
+    order = np.argsort(token)
+    doc, token = doc[order], token[order]
+    starts = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
+    holders = np.diff(np.append(starts, len(token)))
+    # tokens that the same texts hold are one column
+    same = np.add.reduceat(mix(np.arange(len(texts), dtype=np.uint64), 43)[doc], starts)
+    _, column, count = np.unique(same, return_index=True, return_counts=True)
+    column, count = column[holders[column] > 1], count[holders[column] > 1]
+    size = np.bincount(doc, minlength=len(texts))
+    kind = np.float32 if size.max() < 2**24 else np.float64  # whole numbers stay exact
+    both, step = np.zeros((len(texts), len(texts)), kind), max(1, CELLS // len(texts))
+    for at in range(0, len(column), step):
+        c, k = column[at : at + step], count[at : at + step].astype(kind)
+        i, nth = spread(holders[c])
+        held = np.zeros((len(texts), len(c)), kind)
+        held[doc[starts[c][i] + nth], i] = 1
+        both += (held * k) @ held.T
+    both = both.astype(np.float64)
+    linked = (both >= SIMILAR * (size[:, None] + size[None, :] - both)) | (labels[:, None] == labels[None, :])
+    least, before = labels, None
+    while before is None or (least != before).any():
+        before, least = least, np.where(linked, least[None, :], np.iinfo(np.int64).max).min(axis=1)
+    moved = np.unique(np.stack([labels, least], 1)[labels != least], axis=0)
+    return pa.table({"a": moved[:, 0], "b": moved[:, 1]})
+
+
 def node_of() -> Column:
     return F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text"))
 
@@ -141,6 +176,23 @@ def ordered(x: str, y: str) -> list[Column]:
     return [F.least(x, y).alias("b"), F.greatest(x, y).alias("a")]
 
 
+def between(members: DataFrame, labels: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b): classes that links between members (key, node) of a bucket join."""
+    mine = compact(members.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label")))
+    hashes = F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("y")
+    mixed = mine.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n"), *hashes).where("lo < hi")
+    mixed = compact(mixed.groupBy("x", "y", "n").agg(F.min("key").alias("key")).select("key", "n"))  # of buckets with the same members, one
+    wanted = compact(mine.join(mixed, "key"))
+    some = durable(texts.join(bounded(wanted.select("node").distinct()), "node", "left_semi"))
+    chars = wanted.join(some.select("node", F.length("text").alias("chars")), "node").groupBy("key").agg(F.sum("chars").alias("chars"), F.max("n").alias("n"))
+    blocks = compact(chars.select("key", F.ceil(F.greatest(F.col("chars") / BLOCK_CHARS, F.col("n") / BLOCK_MEMBERS)).cast("int").alias("blocks")))
+    placed = wanted.join(blocks, "key").withColumn("i", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    others = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: (j != F.col("i")) | (F.col("blocks") == 1))
+    dealt = placed.select("key", "node", "label", "i", F.explode(others).alias("j")).select("key", "node", "label", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"))
+    held = compact(dealt).join(some, "node").select("key", "i", "j", "label", "text")
+    return held.groupBy("key", "i", "j").applyInArrow(joined_in, "a long, b long")
+
+
 def classes(docs: DataFrame) -> DataFrame:
     """doc_id, node and class_id for every row of `docs`."""
     h1, h2 = F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2")
@@ -160,25 +212,10 @@ def classes(docs: DataFrame) -> DataFrame:
     members = members.drop("n")
 
     tested = compact(members.join(centres, "key").where("node != centre").select(*ordered("node", "centre")).distinct())
-    labels, turn = components(verified(tested, texts)), 0
-    while True:
-        mine = members.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
-        groups = mine.groupBy("key", "label").agg(F.min_by("node", F.xxhash64(F.lit(turn), "node", "key")).alias("pivot"))
-        ring, whole = Window.partitionBy("key").orderBy("label"), Window.partitionBy("key")
-        groups = groups.select("key", "label", F.coalesce(F.lead("pivot").over(ring), F.min_by("pivot", "label").over(whole)).alias("centre"), F.count("*").over(whole).alias("n")).where("n > 1")
-        members = compact(mine.join(groups, ["key", "label"]).select("key", "node", "centre"))  # of buckets that still hold several classes
-        pairs = compact(members.select(*ordered("node", "centre")).distinct().join(tested, ["a", "b"], "left_anti"))
-        found, tests = verified(pairs, texts), pairs.count()
-        links = found.count()
-        if links:
-            # links between classes join their labels, and these the classes
-            between = found.join(labels.toDF("a", "la"), "a", "left").join(labels.toDF("b", "lb"), "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
-            joined = components(between)
-            moved = labels.join(joined.toDF("label", "to"), "label", "left").select("node", F.coalesce("to", "label").alias("label"))
-            labels = compact(moved.unionByName(joined.join(labels, "node", "left_anti")))
-        if WORTH * links < tests or not links:
-            break
-        tested, members, turn = compact(tested.unionByName(pairs)), members.drop("centre"), turn + 1
+    labels = components(verified(tested, texts))
+    joined = components(between(members, labels, texts))
+    moved = labels.join(joined.toDF("label", "to"), "label", "left").select("node", F.coalesce("to", "label").alias("label"))
+    labels = compact(moved.unionByName(joined.join(labels, "node", "left_anti")))
 
     own = compact(many.join(labels.withColumnRenamed("node", "first"), "first", "left").select("h1", "h2", F.coalesce("label", "first").alias("copy_class")))
     out = keys.join(own, ["h1", "h2"], "left").join(labels, "node", "left")

@@ -1,6 +1,7 @@
 """Operators with one right answer, against brute force on a small corpus with every odd case."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter
@@ -62,6 +63,33 @@ def bag(text):
     return Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else Counter([tuple(w)] * bool(w))
 
 
+@pytest.mark.parametrize("members", [400, 7])
+def test_whole_buckets_are_compared(spark, monkeypatch, members):
+    """One bucket of versions around 0.8, in one block and in many: the classes that any two members' link joins."""
+    monkeypatch.setattr(near_dedup, "BLOCK_MEMBERS", members)
+    draw = random.Random(5)
+    base, texts = [f"w{i % 200}" for i in range(300)], []
+    for _ in range(60):
+        w = list(base)
+        for at in draw.sample(range(300), draw.randrange(1, 9)):
+            w[at] = f"x{draw.randrange(40)}"
+        texts.append(" ".join(w + w[:150] * draw.randrange(2)))
+    label = {i: i - i % 3 if i < 12 else i for i in range(60)}  # some are joined before
+    want = dict(label)
+    for i in range(60):
+        for j in range(i):
+            m, n = bag(texts[i]), bag(texts[j])
+            if sum((m & n).values()) >= 0.8 * sum((m | n).values()):
+                x, y = want[i], want[j]
+                want = {k: min(x, y) if v in (x, y) else v for k, v in want.items()}
+    held = spark.createDataFrame([(1, i) for i in range(60)] + [(2, 3), (2, 4)], "key long, node long")
+    known = spark.createDataFrame([(i, v) for i, v in label.items() if i < 12], "node long, label long")
+    found = near_dedup.between(held, known, spark.createDataFrame(list(enumerate(texts)), "node long, text string"))
+    to = {r["node"]: r["label"] for r in components(found).collect()}
+    assert {i: to.get(v, v) for i, v in label.items()} == want
+    assert 5 < len(set(want.values())) < 50
+
+
 def test_near_dedup_classes(docs, none):
     rows = corpus()
     node = {i: n for n, i in enumerate(dict.fromkeys(r[0] for r in rows))}
