@@ -2,16 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.sets import jaccard
-from ..sources.tables import written
+from ..sources.tables import durable, written
 from .catalog import with_ids
 
-#: Weights of shingles, control tokens, identifiers, literals.
+#: Weights of body shingles, identifiers, signature shingles, control tokens.
 WEIGHTS = (0.55, 0.20, 0.15, 0.10)
 
+#: Words counted as control tokens, beside question marks, and words that are no identifiers.
+CONTROL = ("if", "else", "match", "for", "while", "loop", "return", "break", "continue", "await")
+IGNORED = (
+    "as", "async", "await", "break", "const", "continue", "crate", "dyn", "else", "enum", "extern", "false", "fn", "for", "if", "impl", "in", "let", "loop",
+    "match", "mod", "move", "mut", "pub", "ref", "return", "self", "static", "struct", "super", "trait", "true", "type", "unsafe", "use", "where", "while",
+)
+
+#: Scores at which the search for the best pairs looks whether it has enough, before it goes down to its threshold.
+STEPS = (0.95, 0.9, 0.8, 0.7, 0.6)
+
 
 def shingles(toks: Column, n: int = 3) -> Column:
     """Distinct runs of n tokens; fewer tokens are one run, none are none.
@@ -24,8 +34,8 @@ def shingles(toks: Column, n: int = 3) -> Column:
 
 def overlap(a: Column, b: Column) -> Column:
     """Sum of minima over sum of maxima of two count arrays; 1 if both are empty."""
-    low = F.aggregate(F.zip_with(a, b, F.least), F.lit(0).cast("long"), lambda x, y: x + y)
-    high = F.aggregate(F.zip_with(a, b, F.greatest), F.lit(0).cast("long"), lambda x, y: x + y)
+    low = F.aggregate(F.zip_with(a, b, lambda x, y: F.least(x, y)), F.lit(0).cast("long"), lambda x, y: x + y)
+    high = F.aggregate(F.zip_with(a, b, lambda x, y: F.greatest(x, y)), F.lit(0).cast("long"), lambda x, y: x + y)
     return F.when(high == 0, 1.0).otherwise(low / high)
 
 
@@ -45,16 +55,13 @@ def duplicate_groups(rows: DataFrame, hash_: str) -> DataFrame:
     return with_ids(groups.withColumn("_order", order), "_order", 0, "group_id").drop("_order")
 
 
-def similar_pairs(rows: DataFrame, id_: str, block: list[str], sets: str, threshold: float) -> DataFrame:
-    """(a, b, score): pairs in a block whose sets' Jaccard similarity reaches the threshold.
+def candidates(reps: DataFrame, block: list[str], threshold: float) -> DataFrame:
+    """(a, b): pairs of a block whose sets `s` may reach the Jaccard threshold.
 
-    Equal sets are one representative, so that copies don't multiply. Pairs
-    meet on the rarest elements alone: of n elements, sorted by frequency, the
-    first n - ceil(threshold * n) + 1 (prefix filter), which no pair that
-    reaches the threshold can miss each other in.
+    Pairs meet on the rarest elements alone: of n elements, sorted by
+    frequency, the first n - ceil(threshold * n) + 1 (prefix filter), which no
+    pair that reaches the threshold can miss each other in.
     """
-    once = written(rows.select(*block, id_, F.sort_array(sets).alias("s")))  # the sets may be costly, and are read five times below
-    reps = once.where(F.size("s") > 0).groupBy(*block, "s").agg(F.min(id_).alias("rep"))
     parts = reps.select(*block, "rep", F.explode("s").alias("x"))
     common = parts.groupBy(*block, "x").agg(F.count("*").alias("df"))
     ranked = parts.join(common, [*block, "x"]).groupBy(*block, "rep").agg(F.sort_array(F.collect_list(F.struct("df", "x"))).alias("by_df"))
@@ -64,7 +71,96 @@ def similar_pairs(rows: DataFrame, id_: str, block: list[str], sets: str, thresh
     a = probe.select(*block, "x", F.col("rep").alias("a"), F.col("n").alias("n_a"))
     b = probe.select(*block, "x", F.col("rep").alias("b"), F.col("n").alias("n_b"))
     bound = F.least("n_a", "n_b") >= F.lit(threshold) * F.greatest("n_a", "n_b") - 1e-9
-    pairs = a.join(b, [*block, "x"]).where((F.col("a") < F.col("b")) & bound).select("a", "b").distinct()
+    return a.join(b, [*block, "x"]).where((F.col("a") < F.col("b")) & bound).select("a", "b").distinct()
+
+
+def similar_pairs(rows: DataFrame, id_: str, block: list[str], sets: str, threshold: float) -> DataFrame:
+    """(a, b, score): pairs in a block whose sets' Jaccard similarity reaches the threshold.
+
+    Equal sets are one representative, so that copies don't multiply; `members`
+    tells which rows each stands for.
+    """
+    once = written(rows.select(*block, id_, F.sort_array(sets).alias("s")))  # the sets may be costly, and are read five times below
+    reps = once.where(F.size("s") > 0).groupBy(*block, "s").agg(F.min(id_).alias("rep"))
+    pairs = candidates(reps, block, threshold)
     sets_a, sets_b = reps.select(F.col("rep").alias("a"), F.col("s").alias("s_a")), reps.select(F.col("rep").alias("b"), F.col("s").alias("s_b"))
     scored = pairs.join(sets_a, "a").join(sets_b, "b").select("a", "b", jaccard(F.col("s_a"), F.col("s_b")).alias("score"))
     return scored.where(F.col("score") >= threshold - 1e-12)
+
+
+def members(rows: DataFrame, id_: str, key: list[str]) -> DataFrame:
+    """(key, id, rep): every row with the least id among the rows of its key; nulls equal each other."""
+    once = written(rows.select(*key, id_))
+    reps = once.groupBy(*key).agg(F.min(id_).alias("rep"))
+    r = reps.select(*[F.col(k).alias(f"_{k}") for k in key], "rep")
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in key]
+    return once.join(r, same).select(*key, id_, "rep")
+
+
+def features(rows: DataFrame, id_: str, text: str) -> DataFrame:
+    """(id, body, identifiers, signature, control): what texts are compared by.
+
+    Hashed word shingles of the text and of its first line, its distinct words,
+    and counts of control tokens.
+    """
+    split = lambda c: F.filter(F.split(F.lower(c), r"\s+"), lambda x: x != "")
+    plain = F.coalesce(F.col(text), F.lit(""))
+    words = rows.select(id_, split(plain).alias("_toks"), split(F.regexp_extract(plain, r"^\s*([^\r\n]*)", 1)).alias("_first"), (F.char_length(plain) - F.char_length(F.replace(plain, F.lit("?"), F.lit("")))).alias("_asks"))
+    words = words.withColumn("_words", F.filter(F.transform("_toks", lambda x: F.regexp_replace(x, r"(?U)^\W+|\W+$", "")), lambda x: x != ""))
+    words = words.withColumn("_control", F.filter("_words", lambda x: x.isin(*CONTROL)))
+    hashed = lambda c: F.sort_array(F.array_distinct(F.transform(c, lambda x: F.xxhash64(x))))
+    times = lambda w: F.size("_control") - F.size(F.array_remove("_control", w))
+    control = F.array(*[times(w) for w in CONTROL], F.col("_asks"))
+    return words.select(id_, hashed(shingles(F.col("_toks"))).alias("body"), hashed(F.filter("_words", lambda x: ~x.isin(*IGNORED))).alias("identifiers"), hashed(shingles(F.col("_first"))).alias("signature"), control.alias("control"))
+
+
+def weighted_pairs(feats: DataFrame, id_: str, threshold: float) -> DataFrame:
+    """(a, b, score): all pairs of `features` rows whose weighted score reaches the threshold.
+
+    The other three parts give 0.45 at most, so that a threshold above it asks
+    for a least similarity of the bodies, by which candidates are found; with
+    one that doesn't, every pair is compared.
+    """
+    reps = feats.select(F.col(id_).alias("rep"), F.col("body").alias("s"))
+    least = (threshold - sum(WEIGHTS[1:])) / WEIGHTS[0]
+    if least > 1e-9:
+        pairs = candidates(reps, [], least)
+    else:
+        pairs = reps.select(F.col("rep").alias("a")).crossJoin(reps.select(F.col("rep").alias("b"))).where("a < b")
+    side = lambda x: feats.select(F.col(id_).alias(x), F.struct("body", "identifiers", "signature", "control").alias(f"f_{x}"))
+    parts = [jaccard(F.col(f"f_a.{c}"), F.col(f"f_b.{c}")) for c in ("body", "identifiers", "signature")] + [overlap(F.col("f_a.control"), F.col("f_b.control"))]
+    scored = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", weighted(parts, F.col("f_a") == F.col("f_b")).alias("score"))
+    return scored.where(F.col("score") >= threshold - 1e-12)
+
+
+def best_pairs(rows: DataFrame, id_: str, text: str, threshold: float, k: int) -> tuple[DataFrame, DataFrame]:
+    """The k best pairs (a, b, score) of all rows, by score, then ids; and (id, rep) of every row.
+
+    Rows with equal features score 1.0, so that one stands for all. What it
+    stands for is put back before the pairs are ranked: of the best k pairs
+    none needs more than the first k + 1 rows of a group. Pairs of different
+    features are sought at falling thresholds, only until there are k; all
+    above a threshold are known then, and none below can be among the best.
+    """
+    feats = features(rows, id_, text)
+    key = F.sha2(F.to_json(F.struct("body", "identifiers", "signature", "control")), 256)
+    member = written(members(feats.select(id_, key.alias("key")), id_, ["key"]).select(id_, "rep"))
+    sizes = durable(member.groupBy("rep").agg(F.count("*").alias("n")))
+    first = member.withColumn("_rank", F.row_number().over(Window.partitionBy("rep").orderBy(id_))).where(F.col("_rank") <= k + 1).drop("_rank")
+    groups = F.broadcast(sizes.where("n > 1").orderBy("rep").limit(k).select("rep"))
+    few = durable(first.join(groups, "rep"))
+    equal = few.select("rep", F.col(id_).alias("a")).join(few.select("rep", F.col(id_).alias("b")), "rep").where("a < b").select("a", "b", F.lit(1.0).alias("score"))
+    order = [F.desc("score"), "a", "b"]
+    n = sizes.agg(F.sum(F.expr("n * (n - 1) div 2"))).first()[0] or 0
+    if n >= k:
+        return equal.orderBy(*order).limit(k), member
+    alone = written(feats.join(sizes.select(F.col("rep").alias(id_)), id_, "left_semi"))
+    size = lambda x: sizes.select(F.col("rep").alias(x), F.col("n").alias(f"n_{x}"))
+    for at in [s for s in STEPS if s > threshold] + [threshold]:
+        found = durable(weighted_pairs(alone, id_, at))
+        if n + (found.join(size("a"), "a").join(size("b"), "b").agg(F.sum(F.expr("n_a * n_b"))).first()[0] or 0) >= k:
+            break
+    top = found.orderBy(*order).limit(k).select(F.col("a").alias("ra"), F.col("b").alias("rb"), "score")
+    both = top.join(first.select(F.col("rep").alias("ra"), F.col(id_).alias("x")), "ra").join(first.select(F.col("rep").alias("rb"), F.col(id_).alias("y")), "rb")
+    different = both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "score")
+    return equal.unionByName(different).orderBy(*order).limit(k), member

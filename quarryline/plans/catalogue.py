@@ -562,6 +562,14 @@ def title_similarity(table, spark):
     return out.select("p_brand", "a", "b", *[F.round(c, 6).alias(c) for c in ("containment", "jaccard")])
 
 
+@query("""SELECT p_brand, p_partkey, min(p_partkey) OVER (PARTITION BY p_brand, list_sort(list_distinct(string_split(lower(p_name || CASE WHEN p_partkey % 2 = 0 THEN ' ' || p_type ELSE '' END), ' ')))) AS rep FROM part""")
+def title_members(table, spark):
+    """Which part stands for which in title_similarity."""
+    title = F.concat("p_name", F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit(" "), F.col("p_type"))).otherwise(""))
+    rows = table("part").select("p_partkey", "p_brand", F.sort_array(F.array_distinct(keys.tokens(title))).alias("toks"))
+    return similar.members(rows, "p_partkey", ["p_brand", "toks"]).select("p_brand", "p_partkey", "rep")
+
+
 @query("""SELECT p_partkey AS ord, min(p_partkey) OVER (PARTITION BY p_brand, p_name) AS cluster FROM part""")
 def greedy_merge(table, spark):
     return link.greedy_merge(table("part").withColumn("places", F.array().cast("array<string>")), "p_brand", "p_name", "places", "p_partkey")
@@ -585,10 +593,10 @@ def exact_duplicate_groups(table, spark):
 
 @query()
 def shingle_similarity_topk(table, spark):
-    words = table("documents").select("doc_id", "lang", F.split(F.lower(F.trim("text")), r"\s+").alias("toks"))
-    rows = words.select("doc_id", "lang", F.transform(similar.shingles(F.col("toks")), lambda x: F.xxhash64(x)).alias("s"))
-    pairs = similar.similar_pairs(rows, "doc_id", ["lang"], "s", 0.5)
-    return pairs.select("a", "b", similar.percent(F.col("score")).alias("percent")).orderBy(F.desc("percent"), "a", "b").limit(100)
+    pairs, members = similar.best_pairs(table("documents"), "doc_id", "text", 0.5, 100)
+    pairs = pairs.select("a", "b", similar.percent(F.col("score")).alias("percent"), F.lit("pair").alias("kind"))
+    copies = members.where("doc_id != rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"), F.lit(100.0).alias("percent"), F.lit("member").alias("kind"))
+    return pairs.unionByName(copies)
 
 
 # --- resolution ---
