@@ -40,19 +40,34 @@ def first_items(items: DataFrame, key: list[str], order: list, n: int) -> DataFr
     return items.withColumn("_rank", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where(F.col("_rank") <= n).drop("_rank")
 
 
+def chain(starts: DataFrame, links: DataFrame, source: str, limit: int | None = None) -> DataFrame:
+    """(source, at, depth) that `links` (source, at, to) lead to from `starts` (source, at), each at its least depth.
+
+    Every round doubles the length of the links, so that n steps take log2(n)
+    rounds, each written; links that would pass the end of their chain drop
+    out, and a cycle ends where it comes back.
+    """
+    seen = fresh = durable(starts.select(source, "at").distinct().withColumn("depth", F.lit(0)))
+    jumps, reach = durable(links.select(source, "at", "to").distinct()), 1
+    while limit is None or reach < limit:
+        moved = seen.join(jumps, [source, "at"]).groupBy(source, F.col("to").alias("at")).agg((F.min("depth") + reach).alias("depth"))
+        fresh = durable(moved.join(seen, [source, "at"], "left_anti"))
+        if fresh.isEmpty():
+            break
+        seen = seen.unionByName(fresh)
+        further = jumps.select(source, F.col("at").alias("to"), F.col("to").alias("_end"))
+        after = jumps.select(source, F.col("at").alias("from"), "to")
+        jumps = durable(after.join(further, [source, "to"]).select(source, F.col("from").alias("at"), F.col("_end").alias("to")).distinct())
+        reach *= 2
+    return seen if limit is None else seen.where(F.col("depth") < limit)
+
+
 def cursor_chain(responses: DataFrame, source: str, limit: int) -> DataFrame:
     """Rows (source, cursor, next_cursor, step) from the null cursor on, until none or a repeated one follows."""
-    spark = responses.sparkSession
-    responses.createOrReplaceTempView("_cursor_pages")
-    chain = spark.sql(f"""
-        WITH RECURSIVE chain ({source}, cursor, next_cursor, step, seen) AS (
-          SELECT {source}, cursor, next_cursor, 1, array(coalesce(cursor, '')) FROM _cursor_pages WHERE cursor IS NULL
-          UNION ALL
-          SELECT p.{source}, p.cursor, p.next_cursor, c.step + 1, array_append(c.seen, p.cursor)
-          FROM chain c JOIN _cursor_pages p ON p.{source} = c.{source} AND p.cursor = c.next_cursor
-          WHERE c.next_cursor <> '' AND NOT array_contains(c.seen, c.next_cursor) AND c.step < {limit}
-        ) SELECT {source}, cursor, next_cursor, step FROM chain""")  # noqa: S608
-    return chain
+    pages = responses.where("cursor IS NULL OR cursor <> ''").select(source, F.coalesce("cursor", F.lit("")).alias("at"), "cursor", "next_cursor")
+    links = pages.where("next_cursor <> ''").select(source, "at", F.col("next_cursor").alias("to"))
+    steps = chain(pages.where("cursor IS NULL"), links, source, limit)
+    return pages.join(steps, [source, "at"]).select(source, "cursor", "next_cursor", (F.col("depth") + 1).alias("step"))
 
 
 def sitemap_walk(edges: DataFrame, roots: DataFrame, max_depth: int) -> DataFrame:

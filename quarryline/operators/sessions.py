@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .paging import chain
+
 
 def turn_pairs(rows: DataFrame, conv: str, turn: str, role: str) -> DataFrame:
     """Rows with the roles before and after, and whether the order of roles is broken here."""
@@ -27,20 +29,14 @@ def compaction_cut(rows: DataFrame, conv: str, turn: str, tokens: Column, keep:
 
 
 def active_path(entries: DataFrame, session: str) -> DataFrame:
-    """Entries from each session's last one up to its root, by parent pointers.
+    """Entries (session, id, parent_id, depth) from each session's last one up to its root, by parent pointers.
 
-    Walks all sessions a level at a time by a recursive query.
+    Walks all sessions at once, by pointers of doubling length.
     """
-    spark = entries.sparkSession
-    entries.createOrReplaceTempView("_session_entries")
-    return spark.sql(f"""
-        WITH RECURSIVE leaf AS (
-          SELECT {session}, max_by(id, ord) AS id FROM _session_entries GROUP BY {session}
-        ), path ({session}, id, parent_id, depth) AS (
-          SELECT e.{session}, e.id, e.parent_id, 0 FROM _session_entries e JOIN leaf l ON e.{session} = l.{session} AND e.id = l.id
-          UNION ALL
-          SELECT e.{session}, e.id, e.parent_id, p.depth + 1 FROM path p JOIN _session_entries e ON e.{session} = p.{session} AND e.id = p.parent_id
-        ) SELECT * FROM path""")  # noqa: S608
+    leaf = entries.groupBy(session).agg(F.max_by("id", "ord").alias("at"))
+    links = entries.where("parent_id IS NOT NULL").select(session, F.col("id").alias("at"), F.col("parent_id").alias("to"))
+    path = chain(leaf, links, session).withColumnRenamed("at", "id")
+    return entries.select(session, "id", "parent_id").join(path, [session, "id"])
 
 
 def graph_faults(entries: DataFrame, session: str) -> DataFrame:
