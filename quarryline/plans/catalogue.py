@@ -423,6 +423,13 @@ def sitemap_bfs(table, spark):
     return paging.sitemap_walk(edges, spark.range(1), 4)
 
 
+@query()
+def sitemap_bfs_whole(table, spark):
+    """sitemap_bfs over all edges; recursive SQL is slow there, so that a small graph tests it."""
+    edges = table("lineitem").select(F.col("l_partkey").alias("parent"), F.col("l_suppkey").alias("child")).distinct()
+    return paging.sitemap_walk(edges, spark.range(1), 4)
+
+
 @query("""SELECT page_id, regexp_replace(regexp_replace(url, '#.*$', ''), '[?].*$', '') || '?' ||
 CASE WHEN contains(url, 'ref=x') THEN 'ref=x&' WHEN contains(url, 'utm_source=feed') THEN 'utm_source=feed&' ELSE '' END || 'page=' || page_id || regexp_extract(url, '(#.*)$', 1) AS url FROM pages""")
 def query_overlay(table, spark):
@@ -516,8 +523,18 @@ def html_to_text(table, spark):
 
 @query("SELECT page_id, CAST(1 AS BIGINT) AS n, 'https://example.org/' || page_id AS loc FROM pages WHERE page_id % 2 = 0")
 def sitemap_urls(table, spark):
+    return _sitemap_urls(table("pages").where("page_id % 2 = 0"))
+
+
+@query("SELECT page_id, CAST(1 AS BIGINT) AS n, 'https://example.org/' || page_id AS loc FROM pages")
+def sitemap_urls_whole(table, spark):
+    """sitemap_urls over all pages."""
+    return _sitemap_urls(table("pages"))
+
+
+def _sitemap_urls(pages: DataFrame) -> DataFrame:
     body = F.concat(F.lit("<urlset><url><loc> https://example.org/"), F.col("page_id").cast("string"), F.lit("\n</loc></url><url><loc>http://other/</loc></url><url><loc> </loc></url></urlset>"))
-    out = table("pages").where("page_id % 2 = 0").select("page_id", html.sitemap_urls(body, "^https:").alias("found"))
+    out = pages.select("page_id", html.sitemap_urls(body, "^https:").alias("found"))
     return out.select("page_id", F.size("found").cast("long").alias("n"), text.first(F.col("found")).alias("loc"))
 
 
