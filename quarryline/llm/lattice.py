@@ -66,6 +66,12 @@ class Trie:
                     edges[states[p[: j - 1]], ord(p[j - 1])] = states[p[:j]]
         self.piece = np.full(len(states), -1, np.int32)
         self.piece[[states[p] for p, _ in pieces]] = [i for _, i in pieces]
+        self.inner = np.zeros(len(states), bool)
+        self.inner[[s for s, _ in edges]] = True
+        self.first = np.full(0x110000, -1, np.int32)  # the states behind the start, by character
+        for (s, c), child in edges.items():
+            if not s:
+                self.first[c] = child
         while 3 * len(edges) > 1 << self.bits:
             self.bits += 1
         self.key = np.full(1 << self.bits, -1, np.int64)
@@ -81,14 +87,14 @@ class Trie:
             keys, children, slot = keys[rest], children[rest], (slot[rest] + 1) & ((1 << self.bits) - 1)
 
     def slot(self, keys: np.ndarray) -> np.ndarray:
-        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).view(np.int64)
 
     def step(self, states: np.ndarray, chars: np.ndarray) -> np.ndarray:
         """The states behind `states` by `chars`; -1 where no piece goes on so."""
         keys = (states.astype(np.int64) << 21) + chars
         slot = self.slot(keys)
         held = self.key[slot]
-        out = np.where(held == keys, self.child[slot], -1)
+        out = np.where(held == keys, self.child[slot], np.int32(-1))
         miss = np.flatnonzero((held != keys) & (held >= 0))
         while len(miss):
             slot[miss] = (slot[miss] + 1) & ((1 << self.bits) - 1)
@@ -110,42 +116,48 @@ class Lattices:
     def __init__(self, units: list[str], trie: Trie, size: int, spelt: dict[str, int]):
         lengths = np.fromiter(map(len, units), np.int64, len(units))
         self.first = np.concatenate([[0], np.cumsum(lengths + 1)])
-        chars = np.frombuffer("".join(units).encode("utf-32-le"), np.uint32).astype(np.int64)
-        owner = np.repeat(np.arange(len(units)), lengths)
-        stop = np.cumsum(lengths)[owner]
-        start, state, depth = np.arange(len(chars)), np.zeros(len(chars), np.int32), 0
-        starts, ends, pieces = [], [], []
+        chars = np.frombuffer("".join(units).encode("utf-32-le"), np.int32)
+        owner = np.repeat(np.arange(len(units), dtype=np.int32), lengths)
+        node = np.arange(len(chars), dtype=np.int32) + owner  # of each character
+        left = np.repeat(np.cumsum(lengths).astype(np.int32), lengths) - np.arange(len(chars), dtype=np.int32)  # characters to the end
+        start, depth = np.arange(len(chars), dtype=np.int32), 0
+        starts, pieces, state = [], [], None
         while len(start):
-            state = trie.step(state, chars[start + depth])
-            piece = np.where(state >= 0, trie.piece[state], -1)
+            state = trie.first[chars] if state is None else trie.step(state, chars[start + depth])
+            piece = trie.piece[state]  # of a state -1: the last of all, not used
             if not depth:
-                for c in np.unique(chars[piece < 0]).tolist():
+                strange = (state < 0) | (piece < 0)
+                for c in np.unique(chars[strange]).tolist():
                     spelt.setdefault(chr(c), len(spelt))
-                piece[piece < 0] = [size + spelt[chr(c)] for c in chars[piece < 0].tolist()]
-            found = piece >= 0
+                piece[strange] = [size + spelt[chr(c)] for c in chars[strange].tolist()]
+                found = np.ones(len(chars), bool)
+            else:
+                found = (state >= 0) & (piece >= 0)
             starts.append(start[found])
-            ends.append(start[found] + depth + 1)
             pieces.append(piece[found])
             depth += 1
-            going = (state >= 0) & (start + depth < stop[start])
+            going = (state >= 0) & trie.inner[state] & (left[start] > depth)
             start, state = start[going], state[going]
         # edges by start, then length: each depth puts its edges behind those of the depths before
-        degree = np.zeros(self.first[-1], np.int64)
+        degree = np.zeros(self.first[-1], np.int32)
         for at in starts:
-            degree[at + owner[at]] += 1
+            degree[node[at]] += 1
         self.lo = np.concatenate([[0], np.cumsum(degree)])
-        self.start = np.repeat(np.arange(len(degree)), degree)
-        self.end, self.piece = np.empty(self.lo[-1], np.int64), np.empty(self.lo[-1], np.int64)
+        self.start = np.repeat(np.arange(len(degree), dtype=np.int32), degree)
+        self.end, self.piece = np.empty(self.lo[-1], np.int32), np.empty(self.lo[-1], np.int32)
         free = self.lo[:-1].copy()
-        for at, end, piece in zip(starts, ends, pieces, strict=True):
-            node = at + owner[at]
-            self.end[free[node]], self.piece[free[node]] = end + owner[at], piece
-            free[node] += 1
-        left = np.repeat(self.first[1:] - 1, lengths + 1) - np.arange(len(degree))  # characters to the end
-        if left.max(initial=0) < 2**15:
-            left = left.astype(np.int16)  # sorts in linear time
-        order = np.argsort(left[self.start], kind="stable")
-        self.levels = np.split(order, np.flatnonzero(np.diff(left[self.start][order])) + 1) if len(order) else []
+        for depth, (at, piece) in enumerate(zip(starts, pieces, strict=True)):
+            v = node[at]
+            slot = free[v]
+            self.end[slot], self.piece[slot] = v + (depth + 1), piece
+            free[v] += 1
+        far = np.zeros(len(degree), np.int32)
+        far[node] = left
+        if far.max(initial=0) < 2**15:
+            far = far.astype(np.int16)  # sorts in linear time
+        far = far[self.start]
+        order = np.argsort(far, kind="stable")
+        self.levels = np.split(order, np.flatnonzero(np.diff(far[order])) + 1) if len(order) else []
 
     def suffix_mass(self, log_p: np.ndarray) -> np.ndarray:
         """Per node, the log of the sum over all ways to its unit's end. log_p: by piece, and model."""

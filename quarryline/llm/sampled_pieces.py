@@ -10,8 +10,9 @@ once; the sets left beside the path, one a unit, enter the text's queue. The
 k best are k draws without replacement; the bound that is left on the queue is
 the threshold of their inclusion probabilities 1 - exp(-exp(log p - bound)).
 
-Random numbers are hashes of the row's key, the draw and the place, hence the
-same under any partitioning, and on recomputation after a lost executor.
+Random numbers are hashes of the row's key, their purpose, the draw, the unit and
+the step in it, hence no two alike, and the same under any partitioning and on
+recomputation after a lost executor.
 
 Decoding joins the pieces' bytes and drops the space in front; it gives back
 every text exactly, whatever characters it holds.
@@ -25,6 +26,8 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -33,97 +36,140 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructType
 
-from .lattice import PIECES, Lattices, Vocabulary, spell, units_of
+from .lattice import PIECES, Lattices, Trie, Vocabulary, spell, units_of
 from .shared import documents, fresh
 from .words import chunks, spread
 
 K = 2
-CACHE = 90_000
+CACHE = 200_000  # units; beyond it the third used most stays
+LATTICE_CHARS = 150_000  # of units put in at a time
 DRAWN = "draw int, ids array<int>, log_prob double, log_inclusion double"
 CHUNK = 1_000_000
 
 
-def uniform(seeds: np.ndarray, place: np.ndarray, salt: int) -> np.ndarray:
-    """In (0, 1), by the splitmix64 mixer over (seed, place, salt)."""
-    z = seeds + (place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) + np.uint64(salt * 0xBF58476D1CE4E5B9 % 2**64)
-    z ^= z >> np.uint64(30)
-    z *= np.uint64(0xBF58476D1CE4E5B9)
-    z ^= z >> np.uint64(27)
-    z *= np.uint64(0x94D049BB133111EB)
-    z ^= z >> np.uint64(31)
+TRIES = ("try", "try again", "try once more")
+PURPOSES = ("best", "descend", "beside", "where", "before", "after", "again", "leave", *TRIES)
+GOLDEN, MASK = 0x9E3779B97F4A7C15, 2**64 - 1
+
+
+def scramble(z: np.ndarray) -> np.ndarray:
+    """The splitmix64 mixer."""
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return z ^ (z >> np.uint64(31))
+
+
+def keyed(seeds: np.ndarray, purpose: str, draw: int, row: np.ndarray, unit: np.ndarray) -> np.ndarray:
+    """One random word for each (seed of the row, purpose, draw, unit): what is drawn there depends on no other."""
+    tag = (1 + PURPOSES.index(purpose) + len(PURPOSES) * draw) * GOLDEN & MASK
+    return scramble(scramble(seeds + np.uint64(tag))[row] + unit.astype(np.uint64) * np.uint64(GOLDEN))
+
+
+def uniform(words: np.ndarray, step: int = 0) -> np.ndarray:
+    """In (0, 1), one for each random word and step."""
+    z = scramble(words + np.uint64((step + 1) * GOLDEN & MASK))
     return ((z >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
 
 
 class Tables:
-    """Lattices of the units met so far, ready to draw from."""
-
-    def __init__(self, vocab: Vocabulary):
-        self.vocab, self.trie, self.size = vocab, vocab.trie(), len(vocab.pieces)
-        self.clear()
-
-    def clear(self) -> None:
-        self.ids: dict[str, int] = {}
-        self.spelt: dict[str, int] = {}
-        self.nodes = self.edges = 0
-        self.root = np.zeros(0, np.int64)
-        self.lo = np.zeros(1, np.int32)
+    """Lattices of the units met so far, ready to draw from.
+
+    Unit u has the nodes root[u] to root[u + 1], node v the edges lo[v] to
+    lo[v + 1]. The number of a node changes no draw.
+    """
+
+    EDGES = ("end", "piece", "log_q", "upper")  # upper: the probability of this and all longer edges of its node
+
+    def __init__(self, vocab: Vocabulary, trie: Trie):
+        self.vocab, self.trie, self.size = vocab, trie, len(vocab.pieces)
+        self.ids, self.spelt = {}, {}
+        self.units = self.nodes = self.edges = 0
+        self.root, self.lo, self.used = np.zeros(1, np.int64), np.zeros(1, np.int32), np.zeros(0, np.int64)
         self.end, self.piece = np.zeros(0, np.int32), np.zeros(0, np.int32)
-        self.log_q, self.cdf = np.zeros(0), np.zeros(0)
+        self.log_q, self.upper = np.zeros(0), np.zeros(0)
 
     def room(self, name: str, n: int) -> np.ndarray:
-        """The array of that name with room for n, twice as much if it has to grow."""
+        """The array of that name with room for n, half as much again if it has to grow."""
         old = getattr(self, name)
         if len(old) < n:
-            new = np.zeros(2 * n, old.dtype)
+            new = np.zeros(n + n // 2, old.dtype)
             new[: len(old)] = old
             setattr(self, name, new)
         return getattr(self, name)
 
+    def numbers(self, units: list[str]) -> np.ndarray:
+        """The numbers of units; those not met before are put in."""
+        if len(self.ids) > CACHE:
+            self.keep(CACHE // 3)
+        out = np.fromiter(map(self.ids.get, units, repeat(-1)), np.int64, len(units))
+        met = np.flatnonzero(out < 0).tolist()
+        new = list(dict.fromkeys(map(units.__getitem__, met)))
+        self.ids.update(zip(new, range(self.units, self.units + len(new)), strict=True))
+        out[met] = [self.ids[units[i]] for i in met]
+        for some in chunks([len(u) for u in new], LATTICE_CHARS):
+            self.add(new[some])
+        self.room("used", self.units)
+        self.used[: self.units] += np.bincount(out, minlength=self.units)
+        return out
+
     def add(self, units: list[str]) -> None:
-        new = [u for u in dict.fromkeys(units) if u not in self.ids]
-        for some in chunks([len(u) for u in new], 150_000):
-            lat = Lattices(new[some], self.trie, self.size, self.spelt)
-            log_p = spell(self.vocab.log_weight, self.spelt, self.vocab.byte_ids)
-            log_q = lat.choice(log_p, lat.suffix_mass(log_p))
-            q = np.cumsum(np.exp(log_q))
-            # node v's edges lie in (v, v + 1], so that one sorted search draws for all nodes
-            cdf = lat.start + np.minimum(q - np.concatenate([[0], q])[lat.lo[:-1]][lat.start], 1.0)
-            last = lat.lo[1:][np.diff(lat.lo) > 0] - 1
-            cdf[last] = lat.start[last] + 1.0
-            u, v, e = len(self.ids), self.nodes, self.edges
-            self.ids.update(zip(new[some], range(u, u + len(lat.first) - 1), strict=True))
-            self.nodes, self.edges = v + len(lat.lo) - 1, e + len(lat.end)
-            self.room("root", len(self.ids))[u : len(self.ids)] = lat.first[:-1] + v
-            self.room("lo", self.nodes + 1)[v : self.nodes + 1] = lat.lo + e
-            for name, x in (("end", lat.end + v), ("piece", lat.piece), ("log_q", log_q), ("cdf", cdf + v)):
-                self.room(name, self.edges)[e : self.edges] = x
-
-    def descend(self, nodes: np.ndarray, seeds: np.ndarray, place: np.ndarray, salt: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For each start node a drawn way to its end: edges laid end to end, their counts, log probabilities."""
-        n, cdf = len(nodes), self.cdf[: self.edges]
-        log_q, counts, steps = np.zeros(n), np.zeros(n, np.int64), []
-        at = np.argsort(nodes, kind="stable")  # searches run best in order
-        node = nodes[at]
-        while True:
-            going = self.lo[node + 1] > self.lo[node]
-            if not going.all():
-                at, node = at[going], node[going]
-            if not len(at):
-                break
-            u = uniform(seeds[at], place[at], salt * 4096 + len(steps))
-            edge = np.searchsorted(cdf, node + u, side="left")
+        lat = Lattices(units, self.trie, self.size, self.spelt)
+        log_p = spell(self.vocab.log_weight, self.spelt, self.vocab.byte_ids)
+        log_q = lat.choice(log_p, lat.suffix_mass(log_p))
+        upper, last, degree = np.exp(log_q), lat.lo[1:] - 1, np.diff(lat.lo)
+        for j in range(1, degree.max(initial=0)):  # sums over a node's own edges alone
+            last, degree = last[degree > j], degree[degree > j]
+            upper[last - j] += upper[last - j + 1]
+        u, v, e = self.units, self.nodes, self.edges
+        self.units, self.nodes, self.edges = u + len(units), v + len(lat.lo) - 1, e + len(lat.end)
+        self.room("root", self.units + 1)[u : self.units + 1] = lat.first + v
+        self.room("lo", self.nodes + 1)[v : self.nodes + 1] = lat.lo + e
+        for name, x in zip(self.EDGES, (lat.end + v, lat.piece, log_q, upper), strict=True):
+            self.room(name, self.edges)[e : self.edges] = x
+
+    def keep(self, n: int) -> None:
+        """Forgets all but the n units that were used most."""
+        names = list(self.ids)
+        kept = np.sort(np.argsort(-self.used[: self.units], kind="stable")[:n])
+        self.ids, self.used = {names[i]: n for n, i in enumerate(kept.tolist())}, self.used[kept] // 2
+        first, sizes = self.root[kept], self.root[kept + 1] - self.root[kept]
+        unit, step = spread(sizes)
+        nodes, root = first[unit] + step, np.concatenate([[0], np.cumsum(sizes)])
+        degree = self.lo[nodes + 1] - self.lo[nodes]
+        node, step = spread(degree)
+        edges = self.lo[nodes][node] + step
+        moved = (root[:-1] - first)[unit][node]
+        self.end, self.piece, self.log_q, self.upper = self.end[edges] + moved.astype(np.int32), self.piece[edges], self.log_q[edges], self.upper[edges]
+        self.lo, self.root = np.concatenate([[0], np.cumsum(degree)]).astype(np.int32), root
+        self.units, self.nodes, self.edges = len(kept), len(nodes), len(edges)
+
+    def descend(self, nodes: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each start node, by its random word, a drawn way to its end: edges laid end to end, their counts, log probabilities."""
+        log_q, counts, steps = np.zeros(len(nodes)), np.zeros(len(nodes), np.int64), []
+        at = np.argsort(nodes, kind="stable")  # reads of neighbours follow each other
+        node, word = nodes[at], words[at]
+        while len(at):
+            u, edge, first = uniform(word, len(steps)), self.lo[node + 1] - 1, self.lo[node]
+            # from the longest edge, which is the likeliest, down to the one that u falls on
+            open_ = np.flatnonzero((self.upper[edge] <= u) & (edge > first))
+            while len(open_):
+                edge[open_] -= 1
+                e = edge[open_]
+                open_ = open_[(self.upper[e] <= u[open_]) & (e > first[open_])]
             log_q[at] += self.log_q[edge]
             counts[at] += 1
-            steps.append((at, edge.astype(np.int32)))
-            node = self.end[edge].astype(np.int64)
+            steps.append((at, edge))
+            node = self.end[edge]
+            going = self.lo[node + 1] > self.lo[node]
+            at, node, word = at[going], node[going], word[going]
         offset = np.cumsum(counts) - counts
         out = np.empty(counts.sum(), np.int32)
         for i, (at, edge) in enumerate(steps):
             out[offset[at] + i] = edge
         return out, counts, log_q
 
-    def other(self, root: int, taken: list[list[int]], rng: np.random.Generator) -> list[int]:
-        """A way from `root` drawn from all but those `taken`."""
+    def other(self, root: int, taken: list[list[int]], word: np.ndarray) -> list[int]:
+        """A way from `root` drawn, by a random word, from all but those `taken`."""
         path, node = [], root
         while True:
             a, b = int(self.lo[node]), int(self.lo[node + 1])
@@ -135,7 +181,7 @@ class Tables:
             rest = [max(x, 0.0) for x in rest]
             if not sum(rest):  # rounding left nothing: any edge that isn't the end of a taken way
                 rest = [float(all(t[len(path)] != e or len(t) > len(path) + 1 for t in taken)) for e in range(a, b)]
-            e, u = a, float(rng.random()) * sum(rest)
+            e, u = a, float(uniform(word, len(path))[0]) * sum(rest)
             while e + 1 < b and u >= rest[e - a]:
                 u -= rest[e - a]
                 e += 1
@@ -163,97 +209,148 @@ class Tables:
 
 
 class Draw:
-    """One segmentation of one text: its edges, the units' bounds in them and log probabilities.
-
-    `left` has, for each unit, the bound of the set that shares the units before
-    and differs here; `taken` the ways at a unit that its set no longer holds.
-    """
+    """One segmentation of one text: its edges, the units' bounds in them, log probabilities and their sums up to each unit."""
 
-    __slots__ = ("bounds", "edges", "left", "log_q", "taken")
+    __slots__ = ("bounds", "edges", "log_q", "upto")
 
-    def __init__(self, edges: np.ndarray, bounds: np.ndarray, log_q: np.ndarray):
-        self.edges, self.bounds, self.log_q = edges, bounds, log_q
-        self.left, self.taken = np.full(len(log_q), -np.inf), {}
+    def __init__(self, edges: np.ndarray, bounds: np.ndarray, log_q: np.ndarray, upto: np.ndarray):
+        self.edges, self.bounds, self.log_q, self.upto = edges, bounds, log_q, upto
 
     def way(self, unit: int) -> list[int]:
         return self.edges[self.bounds[unit] : self.bounds[unit + 1]].tolist()
 
-    def branch(self, unit: int, way: list[int], log_q: float, tail: np.ndarray, bounds: np.ndarray, tail_q: np.ndarray) -> Draw:
+    def branch(self, unit: int, way: list[int], log_q: float, tail: Draw) -> Draw:
         """The draw that leaves this one at `unit`, by `way` and then `tail`."""
         head = self.edges[: self.bounds[unit]]
-        edges = np.concatenate([head, np.array(way, np.int32), tail])
-        return Draw(edges, np.concatenate([self.bounds[: unit + 1], bounds + len(head) + len(way)]), np.concatenate([self.log_q[:unit], [log_q], tail_q]))
+        edges = np.concatenate([head, np.array(way, np.int32), tail.edges])
+        upto = np.concatenate([self.upto[: unit + 1], tail.upto + (self.upto[unit] + log_q)])
+        return Draw(edges, np.concatenate([self.bounds[: unit + 1], tail.bounds + len(head) + len(way)]), np.concatenate([self.log_q[:unit], [log_q], tail.log_q]), upto)
 
 
-def beside(mass: np.ndarray, top: np.ndarray, u: np.ndarray) -> np.ndarray:
-    """Largest perturbed log probabilities of sets of these log masses, given that they lie below `top`."""
-    with np.errstate(over="ignore", invalid="ignore"):
-        return np.where(mass > -np.inf, mass - np.log(-np.log(u) + np.exp(mass - top)), -np.inf)
+@dataclass
+class Leaving:
+    """The set of segmentations that leave a draw's path at a unit in [lo, hi); or at lo, by none of the `taken` ways."""
 
+    bound: float  # its largest perturbed log probability
+    draw: Draw
+    lo: int
+    hi: int
+    taken: list[list[int]] | None = None
 
-def rest_of(log_q: np.ndarray) -> np.ndarray:
+
+def rest_of(log_q: float) -> float:
     """log(1 - q); none is left where rounding alone keeps q from 1."""
-    with np.errstate(divide="ignore"):
-        return np.where(log_q > -1e-12, -np.inf, np.log(-np.expm1(np.minimum(log_q, -1e-12))))
+    return -math.inf if log_q > -1e-12 else math.log(-math.expm1(log_q))
+
+
+def beside(mass: float, top: float, u: float) -> float:
+    """Largest perturbed log probability of a set of this log mass, given that it lies below `top`."""
+    if mass == -math.inf:
+        return mass
+    far = mass - top
+    return top if far > 700 else mass - math.log(-math.log(u) + math.exp(far))
+
+
+def leaving(draw: Draw, lo: int, hi: int, top: float, u: float) -> list[Leaving]:
+    """The set of those that leave `draw` at a unit in [lo, hi), if there are any."""
+    bound = beside(float(draw.upto[lo]) + rest_of(float(draw.upto[hi] - draw.upto[lo])), top, u) if lo < hi else -math.inf
+    return [Leaving(bound, draw, lo, hi)] if bound > -math.inf else []
+
+
+def leaves_at(found: Leaving, u: float) -> int:
+    """At which unit the best member of a set leaves: drawn by the masses of those that leave there."""
+    upto = found.draw.upto
+    left = upto[found.lo] + math.log1p(u * math.expm1(min(upto[found.hi] - upto[found.lo], 0.0)))
+    s = found.lo + int(np.searchsorted(-upto[found.lo + 1 : found.hi + 1], -left, side="left"))
+    s = min(s, found.hi - 1)
+    while s > found.lo and not found.draw.log_q[s] < -1e-12:  # rounding chose a unit with one way only
+        s -= 1
+    return s
 
 
 def draw_chunk(tables: Tables, split: list[list[str]], seeds: np.ndarray, k: int) -> list[list[tuple]]:
     """Per text its draws (edges, log probability, log inclusion), best first."""
-    flat = [u for s in split for u in s]
-    tables.add(flat)
-    unit = np.fromiter(map(tables.ids.__getitem__, flat), np.int64, len(flat))
     counts = np.array([len(s) for s in split], np.int64)
+    unit = tables.numbers([u for s in split for u in s])
     firsts = np.cumsum(counts) - counts
-    tops = -np.log(-np.log(uniform(seeds, np.zeros(len(seeds), np.int64), 1)))
-    draws: list[list[Draw]] = [[] for _ in split]
-    bounds_left = np.full(len(split), -np.inf)
+
+    def words(purpose: str, draw: int, rows: np.ndarray, units: np.ndarray | None = None) -> np.ndarray:
+        return keyed(seeds, purpose, draw, rows, np.zeros(len(rows), np.int64) if units is None else units)
+
     which, since = np.arange(len(split)), np.zeros(len(split), np.int64)
+    tops = (-np.log(-np.log(uniform(words("best", 0, which))))).tolist()
+    draws: list[list[Draw]] = [[] for _ in split]
+    queues: list[list[Leaving]] = [[] for _ in split]
     branches: list[tuple | None] = [None] * len(split)
     for i in range(k):
+        # complete the best members: all units behind the one where they leave, of all texts at once
         job, step = spread(counts[which] - since)
-        place = since[job] + step
-        edges, lengths, log_q = tables.descend(tables.root[unit[firsts[which[job]] + place]], seeds[which[job]], place, 2 * i)
-        ends, cuts = np.concatenate([[0], np.cumsum(lengths)]), np.concatenate([[0], np.cumsum(counts[which] - since)])
-        shared = np.array([0.0 if b is None else b[0].log_q[: b[1]].sum() + b[3] for b in branches])
-        run = np.cumsum(log_q) - log_q
-        before = run - np.append(run, 0.0)[cuts[:-1]][job] + shared[job]
-        left = beside(before + rest_of(log_q), tops[which[job]], uniform(seeds[which[job]], place, 2 * i + 1 + 4096 * k))
-        onward = []
+        place, row = since[job] + step, which[job]
+        edges, lengths, log_q = tables.descend(tables.root[unit[firsts[row] + place]], words("descend", i, row, place))
+        ends, cuts = np.concatenate([[0], np.cumsum(lengths)]), np.concatenate([[0], np.cumsum(counts[which] - since)]).tolist()
+        sums = np.concatenate([[0], np.cumsum(log_q)])
+        u = {p: uniform(words(p, i, which)).tolist() for p in ("beside", "where", "before", "after", "again")}
+        best = []
         for j, d in enumerate(which.tolist()):
             a, b = cuts[j], cuts[j + 1]
-            tail, bounds, tail_q = edges[ends[a] : ends[b]], ends[a : b + 1] - ends[a], log_q[a:b]
-            new = Draw(tail, bounds, tail_q) if branches[j] is None else branches[j][0].branch(*branches[j][1:], tail, bounds, tail_q)
-            new.left[since[j] :] = left[a:b]
+            tail = Draw(edges[ends[a] : ends[b]], ends[a : b + 1] - ends[a], log_q[a:b], sums[a : b + 1] - sums[a])
+            new = tail if branches[j] is None else branches[j][0].branch(*branches[j][1:], tail)
             draws[d].append(new)
-            best = max(draws[d], key=lambda x: x.left.max(initial=-np.inf))
-            bounds_left[d] = best.left.max(initial=-np.inf)
-            if i + 1 == k or bounds_left[d] == -np.inf:
-                continue
-            # take the best set off the queue: its best member, and the set without that member
-            s, rng = int(best.left.argmax()), np.random.default_rng([int(seeds[d]), i])
-            root = int(tables.root[unit[firsts[d] + s]])
-            taken = best.taken.setdefault(s, [best.way(s)])
-            way = tables.other(root, taken, rng)
-            taken.append(way)
-            tops[d] = bounds_left[d]
-            gone = np.log(sum(np.exp(tables.log_q[t].sum()) for t in taken))
-            best.left[s] = beside(best.log_q[:s].sum() + rest_of(gone), tops[d], rng.uniform(1e-12, 1))
-            onward.append((d, s + 1, (best, s, way, float(tables.log_q[way].sum()))))
-        which, since = np.array([o[0] for o in onward], np.int64), np.array([o[1] for o in onward], np.int64)
-        branches = [o[2] for o in onward]
-        if not onward:
+            queue = queues[d]
+            queue += leaving(new, int(since[j]), int(counts[d]), tops[d], u["beside"][j])
+            if i + 1 < k and queue:
+                # the best set leaves the queue, and is split at the unit where its best member leaves
+                found = max(queue, key=lambda x: x.bound)
+                queue.remove(found)
+                tops[d] = found.bound
+                s = found.lo
+                if found.taken is None:
+                    s = leaves_at(found, u["where"][j])
+                    queue += leaving(found.draw, found.lo, s, found.bound, u["before"][j]) + leaving(found.draw, s + 1, found.hi, found.bound, u["after"][j])
+                best.append((j, d, s, found.draw, found.taken or [found.draw.way(s)]))
+        ways = new_ways(tables, [(int(tables.root[unit[firsts[d] + s]]), taken) for _, d, s, _, taken in best], lambda p, at: words(p, i, np.array([best[x][1] for x in at])))
+        branches = []
+        for (j, d, s, draw, taken), way in zip(best, ways, strict=True):
+            taken = [*taken, way]
+            gone = math.log(sum(math.exp(tables.log_q[t].sum()) for t in taken))
+            bound = beside(float(draw.upto[s]) + rest_of(gone), tops[d], u["again"][j])
+            if bound > -math.inf:
+                queues[d].append(Leaving(bound, draw, s, s + 1, taken))
+            branches.append((draw, s, way, float(tables.log_q[way].sum())))
+        which, since = np.array([x[1] for x in best], np.int64), np.array([x[2] + 1 for x in best], np.int64)
+        if not best:
             break
     out = []
-    for mine, bound in zip(draws, bounds_left.tolist(), strict=True):
-        rows = []
+    for mine, queue in zip(draws, queues, strict=True):
+        rows, left = [], max((x.bound for x in queue), default=-math.inf)
         for x in mine:
             p = float(x.log_q.sum())
-            rate = p - bound
+            rate = p - left
             rows.append((x.edges, p, rate if rate < -30 else float(np.log(-np.expm1(-np.exp(min(rate, 700.0)))))))
         out.append(rows)
     return out
 
 
+def new_ways(tables: Tables, wanted: list[tuple[int, list]], words) -> list[list[int]]:
+    """For each (root, taken ways) a way drawn from all others: draws that hit a taken one are drawn again,
+    a few times for all at once, then exactly."""
+    out: list[list[int] | None] = [None] * len(wanted)
+    open_ = list(range(len(wanted)))
+    for purpose in TRIES:
+        if open_:
+            edges, lengths, _ = tables.descend(np.array([wanted[x][0] for x in open_], np.int64), words(purpose, open_))
+            ends = np.cumsum(lengths).tolist()
+            for x, a, b in zip(open_, [0, *ends], ends, strict=False):
+                way = edges[a:b].tolist()
+                if way not in wanted[x][1]:
+                    out[x] = way
+            open_ = [x for x in open_ if out[x] is None]
+    if open_:
+        for x, word in zip(open_, words("leave", open_), strict=True):
+            out[x] = tables.other(*wanted[x], np.array([word]))
+    return out
+
+
 def spelling(vocab: Vocabulary) -> list[bytes]:
     """Piece id -> its bytes."""
     spelt = [p.encode() if p is not None else b"" for p in vocab.pieces]
@@ -262,30 +359,31 @@ def spelling(vocab: Vocabulary) -> list[bytes]:
     return spelt
 
 
-def spell_out(ids: list[int], spelt: list[bytes]) -> str:
-    return b"".join(map(spelt.__getitem__, ids))[1:].decode()
+def spell_out(ids: pa.ListArray, spelt: pa.Array) -> pa.Array:
+    """The bytes that lists of piece ids spell, with the space in front of a text; null stays null."""
+    return pa.compute.binary_join(pa.ListArray.from_arrays(ids.offsets, spelt.take(ids.values), mask=ids.is_null()), b"")
 
 
 def encoder(vocab: Vocabulary, k: int, check: bool):
+    trie = vocab.trie()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables, spelt = Tables(vocab), spelling(vocab)
+        tables, spelt = Tables(vocab, trie), pa.array(spelling(vocab), pa.binary())
         for batch in batches:
             texts, keys = batch["text"], batch["key"]
             for part in chunks(pa.compute.utf8_length(texts).fill_null(0).to_pylist(), CHUNK):
                 own = [t or "" for t in texts[part].to_pylist()]
                 seeds = np.array([xxhash.xxh3_64_intdigest(f"k{key}" if key is not None else f"t{t}") for key, t in zip(keys[part].to_pylist(), own, strict=True)], np.uint64)
-                if len(tables.ids) > CACHE:
-                    tables.clear()
                 drawn = draw_chunk(tables, [units_of(t) for t in own], seeds, k)
-                row = np.repeat(np.arange(len(own)), [len(d) for d in drawn])
+                row = pa.array(np.repeat(np.arange(len(own)), [len(d) for d in drawn]))
                 flat = [x for d in drawn for x in d]
                 ids, n = tables.pieces_of(np.concatenate([x[0] for x in flat]), np.array([len(x[0]) for x in flat]))
-                ends = np.concatenate([[0], np.cumsum(n)])
-                cols = [keys[part].take(pa.array(row)), pa.array(np.concatenate([np.arange(len(d)) for d in drawn]).astype(np.int32)), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))]
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(ids))
+                cols = [keys[part].take(row), pa.array(np.concatenate([np.arange(len(d)) for d in drawn]).astype(np.int32)), lists]
                 cols += [pa.array([x[i] for x in flat], pa.float64()) for i in (1, 2)]
                 if check:
-                    same = [spell_out(ids[a:b].tolist(), spelt) == own[r] for a, b, r in zip(ends[:-1].tolist(), ends[1:].tolist(), row.tolist(), strict=True)]
-                    cols.append(pa.array(same, pa.bool_()))
+                    whole = pa.array([f" {t}" if t else "" for t in own], pa.string()).cast(pa.binary())
+                    cols.append(pa.compute.equal(spell_out(lists, spelt), whole.take(row)))
                 yield pa.RecordBatch.from_arrays(cols, ["key", "draw", "ids", "log_prob", "log_inclusion", *["round_trip"] * check])
 
     return run
@@ -301,14 +399,15 @@ def encode(df: DataFrame, key: str = "doc_id", k: int = K, pieces: str = PIECES,
 
 def decode(df: DataFrame, pieces: str = PIECES, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """`df` with the text that the piece ids spell."""
-    spelt = spelling(Vocabulary.load(pieces))
+    spelling_ = spelling(Vocabulary.load(pieces))
     (name,) = fresh(df, out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        spelt = pa.array(spelling_, pa.binary())
         for batch in batches:
-            col = batch.column(batch.schema.get_field_index(ids))
-            texts = [spell_out(x.values.to_numpy().tolist(), spelt) if x.is_valid else None for x in col]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, name])
+            whole = spell_out(batch.column(batch.schema.get_field_index(ids)), spelt)
+            texts = pa.compute.utf8_slice_codeunits(whole.cast(pa.string()), 1)
+            yield pa.RecordBatch.from_arrays([*batch.columns, texts], [*batch.schema.names, name])
 
     return df.mapInArrow(run, StructType([*df.schema.fields]).add(name, StringType()))
 

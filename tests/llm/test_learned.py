@@ -90,8 +90,13 @@ def test_distances_against_the_plain_table():
         assert far[0] == plain(a, b)
 
 
+@pytest.fixture(scope="module")
+def trie(vocab):
+    return vocab.trie()
+
+
 def ways(tables, unit):
-    tables.add([unit])
+    (number,) = tables.numbers([unit])
 
     def go(node):
         if tables.lo[node + 1] == tables.lo[node]:
@@ -100,28 +105,81 @@ def ways(tables, unit):
             for path, q in go(int(tables.end[e])):
                 yield (e, *path), tables.log_q[e] + q
 
-    return list(go(int(tables.root[tables.ids[unit]])))
+    return list(go(int(tables.root[number])))
+
 
+def seeds_of(n):
+    return np.array([xxhash.xxh3_64_intdigest(f"k{i}") for i in range(n)], np.uint64)
 
-def test_draws_follow_sampling_without_replacement(vocab):
-    tables = sampled_pieces.Tables(vocab)
-    units = units_of("the that")
-    p = {a + b: np.exp(x + y) for a, x in ways(tables, units[0]) for b, y in ways(tables, units[1])}
-    assert abs(sum(p.values()) - 1) < 1e-9
-    n, seen = 6000, [Counter(), Counter()]
-    seeds = np.array([xxhash.xxh3_64_intdigest(f"k{i}") for i in range(n)], np.uint64)
-    for draws in sampled_pieces.draw_chunk(tables, [units] * n, seeds, 2):
+
+@pytest.mark.parametrize("text", ["the that", "of and in", "that"])
+def test_draws_follow_sampling_without_replacement(vocab, trie, text):
+    tables = sampled_pieces.Tables(vocab, trie)
+    units, p = units_of(text), {(): 1.0}
+    for u in units:
+        p = {a + b: q * np.exp(y) for a, q in p.items() for b, y in ways(tables, u)}
+    assert abs(sum(p.values()) - 1) < 1e-9 and any(len(w) > len(units) for w in p)
+    n, seen, weighed = 12_000, [Counter(), Counter()], Counter()
+    for draws in sampled_pieces.draw_chunk(tables, [units] * n, seeds_of(n), 2):
         ids = [tuple(d[0].tolist()) for d in draws]
         assert len(set(ids)) == 2
-        for c, i in zip(seen, ids, strict=True):
+        for c, i, d in zip(seen, ids, draws, strict=True):
             c[i] += 1
-    for way in sorted(p, key=p.get, reverse=True)[:4]:
+            assert abs(d[1] - np.log(p[i])) < 1e-9
+            weighed[i] += p[i] / np.exp(d[2])
+    for way in sorted(p, key=p.get, reverse=True)[:8]:
         second = sum(p[o] * p[way] / (1 - p[o]) for o in p if o != way)
-        assert abs(seen[0][way] / n - p[way]) < 0.03 and abs(seen[1][way] / n - second) < 0.03
+        for got, want in ((seen[0][way] / n, p[way]), (seen[1][way] / n, second)):
+            assert abs(got - want) < 4.5 * np.sqrt(want * (1 - want) / n) + 1e-3, (way, got, want)
+        assert abs(weighed[way] / n - p[way]) < 0.1 * np.sqrt(p[way])  # inclusion scores make sums over samples unbiased
+
+
+def test_draws_of_two_units_are_independent_of_each_other(vocab, trie):
+    tables, n = sampled_pieces.Tables(vocab, trie), 12_000
+    unit = " that"
+    p = {w: np.exp(q) for w, q in ways(tables, unit)}
+    both = Counter()
+    for draws in sampled_pieces.draw_chunk(tables, [[unit] * 2] * n, seeds_of(n), 1):
+        ids = tuple(draws[0][0].tolist())
+        both[next((ids[:c], ids[c:]) for c in range(len(ids)) if ids[:c] in p)] += 1
+    for a in sorted(p, key=p.get)[-3:]:
+        for b in sorted(p, key=p.get)[-3:]:
+            want = p[a] * p[b]
+            assert abs(both[a, b] / n - want) < 4.5 * np.sqrt(want / n), (a, b)
+
+
+def test_no_random_word_is_used_twice(vocab, trie, monkeypatch):
+    used, plain = [], sampled_pieces.uniform
+
+    def recorded(words, step=0):
+        used.extend((np.asarray(words) + np.uint64((step + 1) * sampled_pieces.GOLDEN & sampled_pieces.MASK)).tolist())
+        return plain(words, step)
+
+    monkeypatch.setattr(sampled_pieces, "uniform", recorded)
+    texts = ["the that of and in", "x" * 5000, " ", "to be or not to be " * 30]
+    got = sampled_pieces.draw_chunk(sampled_pieces.Tables(vocab, trie), [units_of(t) for t in texts], seeds_of(4), 4)
+    assert [len(g) for g in got] == [4, 4, 2, 4] and all(len({tuple(x[0].tolist()) for x in g}) == len(g) for g in got)
+    assert len(used) > 10_000 and len(set(used)) == len(used)
+
+
+def test_forgetting_units_changes_no_draw(vocab, trie, monkeypatch):
+    rnd = random.Random(4)
+    texts = [[" " + "".join(rnd.choice("etaoins") for _ in range(rnd.randint(1, 7))) for _ in range(60)] for _ in range(40)]
+
+    def pieces(parts):
+        tables, out = sampled_pieces.Tables(vocab, trie), []
+        for part in parts:
+            drawn = sampled_pieces.draw_chunk(tables, texts[part], seeds_of(40)[part], 3)
+            out += [(tables.pieces_of(x[0], np.array([len(x[0])]))[0].tolist(), x[1], x[2]) for g in drawn for x in g]
+        return out
+
+    whole = pieces([slice(0, 40)])
+    monkeypatch.setattr(sampled_pieces, "CACHE", 300)
+    assert pieces([slice(i, i + 8) for i in range(0, 40, 8)]) == whole
 
 
-def test_all_segmentations_when_there_are_few(vocab):
-    tables = sampled_pieces.Tables(vocab)
+def test_all_segmentations_when_there_are_few(vocab, trie):
+    tables = sampled_pieces.Tables(vocab, trie)
     few = len(ways(tables, " "))
     got = sampled_pieces.draw_chunk(tables, [units_of(""), [" "]], np.array([1, 2], np.uint64), few + 3)
     assert [len(g) for g in got] == [1, few]
