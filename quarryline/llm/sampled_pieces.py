@@ -288,12 +288,11 @@ def draw_chunk(tables: Tables, split: list[list[str]], seeds: np.ndarray, k: int
         place, row = since[job] + step, which[job]
         edges, lengths, log_q = tables.descend(tables.root[unit[firsts[row] + place]], words("descend", i, row, place))
         ends, cuts = np.concatenate([[0], np.cumsum(lengths)]), np.concatenate([[0], np.cumsum(counts[which] - since)]).tolist()
-        sums = np.concatenate([[0], np.cumsum(log_q)])
         u = {p: uniform(words(p, i, which)).tolist() for p in ("beside", "where", "before", "after", "again")}
         best = []
         for j, d in enumerate(which.tolist()):
             a, b = cuts[j], cuts[j + 1]
-            tail = Draw(edges[ends[a] : ends[b]], ends[a : b + 1] - ends[a], log_q[a:b], sums[a : b + 1] - sums[a])
+            tail = Draw(edges[ends[a] : ends[b]], ends[a : b + 1] - ends[a], log_q[a:b], np.append(0.0, np.cumsum(log_q[a:b])))  # sums that other texts don't touch
             new = tail if branches[j] is None else branches[j][0].branch(*branches[j][1:], tail)
             draws[d].append(new)
             queue = queues[d]
