@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import RANGE, in_ranges
+
 
 def hydrate(parents: DataFrame, children: DataFrame, key: str, child_key: str, fields: list[str], order: list[str], out: str) -> DataFrame:
     """Every parent with the list of its children's `fields`, in `order`; empty where it has none."""
@@ -68,11 +70,11 @@ def with_ids(rows: DataFrame, ord_: str, start: Column | int, id_: str = "id") -
     Ranks are taken inside ranges of `ord_` and moved up by the counts of the
     ranges before, so that no task gets all rows.
     """
-    spread = rows.repartitionByRange(F.col(ord_)).withColumn("_part", F.spark_partition_id())
-    sizes = spread.groupBy("_part").count()
-    before = sizes.withColumn("_before", F.coalesce(F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_part", "_before")
-    rank = F.row_number().over(Window.partitionBy("_part").orderBy(ord_))
-    return spread.join(F.broadcast(before), "_part").withColumn(id_, F.lit(start) + F.col("_before") + rank).drop("_part", "_before")
+    spread = in_ranges(rows, ord_)
+    sizes = spread.groupBy(RANGE).count()
+    before = sizes.select(RANGE, (F.sum("count").over(Window.orderBy(RANGE)) - F.col("count")).alias("_before"))  # one row a range
+    rank = F.row_number().over(Window.partitionBy(RANGE).orderBy(ord_))
+    return spread.join(F.broadcast(before), RANGE).withColumn(id_, F.lit(start) + F.col("_before") + rank).drop(RANGE, "_before")
 
 
 def cascade(children: DataFrame, key: str, deleted: DataFrame, deleted_key: str) -> DataFrame:

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import RANGE, in_ranges
+
 STATUSES = ("finalized", "rejected", "unresolved", "failed", "budget_skipped")
 
 
@@ -48,11 +50,11 @@ def resolve(candidates: DataFrame, ord_: str, title_ok: Callable[[Column], Colum
 
 def ranked(rows: DataFrame, ord_: str, flag: Column, out: str) -> DataFrame:
     """Running count of `flag` in order of `ord_`, without one task that holds all rows."""
-    spread = rows.withColumn("_flag", flag.cast("long")).repartitionByRange(F.col(ord_)).withColumn("_part", F.spark_partition_id())
-    per = spread.groupBy("_part").agg(F.sum("_flag").alias("_n"))
-    before = per.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))  # one row a partition
-    own = F.sum("_flag").over(Window.partitionBy("_part").orderBy(ord_))
-    return spread.join(F.broadcast(before), "_part").withColumn(out, F.col("_before") + own).drop("_part", "_before", "_flag")
+    spread = in_ranges(rows.withColumn("_flag", flag.cast("long")), ord_)
+    per = spread.groupBy(RANGE).agg(F.sum("_flag").alias("_n"))
+    before = per.select(RANGE, (F.sum("_n").over(Window.orderBy(RANGE)) - F.col("_n")).alias("_before"))  # one row a range
+    own = F.sum("_flag").over(Window.partitionBy(RANGE).orderBy(ord_))
+    return spread.join(F.broadcast(before), RANGE).withColumn(out, F.col("_before") + own).drop(RANGE, "_before", "_flag")
 
 
 def accounting(resolved: DataFrame) -> DataFrame:

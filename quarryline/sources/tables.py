@@ -6,13 +6,17 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's `spark.checkpoint.dir`; only where that is unset (local tests) is a folder made."""
+    """The session's `spark.checkpoint.dir`; only a local session without one gets a folder of its own."""
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="quarryline-ckpt-"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="quarryline-ckpt-"))
     return sc.getCheckpointDir()
 
 
@@ -27,3 +31,16 @@ def written(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+#: Column with the number of a row's range.
+RANGE = "_quarryline_range"
+
+
+def in_ranges(df: DataFrame, order: str) -> DataFrame:
+    """`df` by ranges of `order`, each row with its range's number in RANGE.
+
+    It is written, since a range partitioning that is planned twice has other
+    bounds the second time.
+    """
+    return written(df.repartitionByRange(F.col(order)).withColumn(RANGE, F.spark_partition_id()))
