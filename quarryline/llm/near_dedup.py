@@ -18,9 +18,11 @@ classes its links join. So no pair of a bucket goes untested, and none is a row.
 Exact copies are one text throughout: they join the class of the first.
 
 Defined results: a null or empty text has no shingles and is in a class with
-its copies only; a text of under five words is one shingle; rows that share a
-doc_id are one document; a null doc_id stands for itself by its text's hash;
-an empty table yields no rows; the class id is the least id of its class.
+its copies only; a text of under five words is one shingle; rows that share
+doc_id and text are one document, rows of a null doc_id those that share the
+text; of several texts of one doc_id each is a document of its own; documents
+without a doc_id of their own get numbers behind the largest; an empty table
+yields no rows; the class id is the least id of its class.
 """
 
 from __future__ import annotations
@@ -32,8 +34,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.catalog import with_ids
 from .fingerprints import mix
-from .shared import bounded, compact, components, documents, durable
+from .shared import bounded, compact, components, documents, durable, fresh
 from .words import Rolling, WordHashes, chunks, spread, words_of
 
 SHINGLE = 5
@@ -159,8 +162,27 @@ def joined_in(block: pa.Table) -> pa.Table:
     return pa.table({"a": moved[:, 0], "b": moved[:, 1]})
 
 
-def node_of() -> Column:
-    return F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text"))
+def with_nodes(docs: DataFrame) -> tuple[DataFrame, str]:
+    """`docs` with a column that numbers its documents, and that column's name.
+
+    A document's number is its doc_id. Only rows without one, and further texts
+    of a doc_id that has several, get numbers that no doc_id has.
+    """
+    node, id_, h1, h2, new = fresh(docs, "node", "node_id", "node_h1", "node_h2", "node_new")
+    keyed = docs.withColumns({id_: F.col("doc_id").cast("long"), h1: F.xxhash64("text"), h2: F.xxhash64(F.lit(1), "text")})
+    text = F.struct(h1, h2)
+    per = keyed.groupBy(id_).agg(F.min(text).alias("lo"), F.max(text).alias("hi"))
+    odd = durable(per.where(F.col(id_).isNull() | (F.col("lo") != F.col("hi"))).select(F.col(id_).alias("id"), F.when(F.col(id_).isNotNull(), F.col("lo")).alias("lo")))
+    if odd.isEmpty():
+        return docs.withColumn(node, F.col("doc_id").cast("long")), node
+    own = keyed.select(F.col(id_).alias("of"), h1, h2).join(bounded(odd), F.col("of").eqNullSafe(F.col("id")))
+    more = durable(own.where(F.col("lo").isNull() | (F.col("lo") != text)).select(F.struct("of", h1, h2).alias("at")).distinct())
+    least, most = docs.agg(F.min(F.col("doc_id").cast("long")), F.max(F.col("doc_id").cast("long"))).first()
+    least, most, n = least or 0, most or 0, more.count()
+    numbered = with_ids(more, "at", most if most + n < 2**63 else least - n - 1)
+    numbered = bounded(numbered.select(F.col("at.of").alias("of"), F.col(f"at.{h1}").alias("t1"), F.col(f"at.{h2}").alias("t2"), F.col("id").cast("long").alias(new)))
+    same = F.col(id_).eqNullSafe(F.col("of")) & (F.col(h1) == F.col("t1")) & (F.col(h2) == F.col("t2"))
+    return keyed.join(numbered, same, "left").select(*docs.columns, F.coalesce(new, id_).alias(node)), node
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -196,12 +218,16 @@ def between(members: DataFrame, labels: DataFrame, texts: DataFrame) -> DataFram
 def classes(docs: DataFrame) -> DataFrame:
     """doc_id, node and class_id for every row of `docs`."""
     h1, h2 = F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2")
-    keys = docs.select(F.col("doc_id"), node_of().alias("node"), h1, h2)
+    docs, node = with_nodes(docs.select("doc_id", "text"))
+    keys = docs.select("doc_id", node, h1, h2)
     # only texts with copies need a row; it is written, so that Spark can split a hot text's rows in joins
     many = compact(keys.groupBy("h1", "h2").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first < last").drop("last"))
     copies = keys.join(many, ["h1", "h2"]).where("node != first").select("node")
 
-    texts = docs.select(node_of().alias("node"), "text")
+    texts, again = docs.select(node, "text"), durable(docs.groupBy(node).count().where("count > 1").select(node))
+    if not again.isEmpty():  # of repeated rows one is enough
+        again = bounded(again)
+        texts = texts.join(again, node, "left_anti").unionByName(texts.join(again, node, "left_semi").dropDuplicates([node]))
     rows = texts.mapInArrow(banded, "node long, keys array<long>").join(copies, "node", "left_anti").select("node", F.explode("keys").alias("key")).repartition("key")
     shared = rows.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("n")).where("lo < hi")
     members = compact(rows.join(shared, "key").select("key", "node", "n").distinct())
