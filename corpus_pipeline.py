@@ -5,7 +5,8 @@ last return the columns of `documents`. Between stages the rows are written as
 Parquet in the shared folder and read again, so that a lost executor costs no
 more than the stage at work.
 
-Rows of a null doc_id are kept apart by their text's hash. Empty tables pass
+Documents are told apart by near_dedup.with_nodes: rows of a null doc_id, and
+several texts of one doc_id, are documents of their own. Empty tables pass
 through every stage.
 """
 
@@ -15,14 +16,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarryline.llm import decontamination, near_dedup, quality, sampled_pieces, secrets
-from quarryline.llm.shared import bounded, documents, durable, fresh, written
+from quarryline.llm.shared import bounded, documents, durable, written
 
 
 def without(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """`docs` but for those whose document is in `nodes` (one column)."""
-    (key,) = fresh(docs, "node")
-    gone = bounded(nodes.toDF(key).distinct())
-    return docs.withColumn(key, near_dedup.node_of()).join(gone, key, "left_anti").drop(key)
+    """`docs` but for the documents whose number is in `nodes` (one column)."""
+    keyed, key = near_dedup.with_nodes(docs)
+    return keyed.join(bounded(nodes.toDF(key).distinct()), key, "left_anti").select(*docs.columns)
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,16 +39,17 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     again = durable(found.groupBy("node").count().where("count > 1").select("node"))
     if again.isEmpty():
         return first
-    (key,) = fresh(docs, "node")
-    keyed, again = first.withColumn(key, near_dedup.node_of()), bounded(again.toDF(key))
-    one = keyed.join(again, key, "left_semi").dropDuplicates([key])
-    return keyed.join(again, key, "left_anti").unionByName(one).drop(key)
+    keyed, key = near_dedup.with_nodes(docs)
+    again = bounded(again.toDF(key))
+    kept = keyed.join(bounded(found.where("node = class_id").select(F.col("node").alias(key)).distinct()), key, "left_semi")
+    one = kept.join(again, key, "left_semi").dropDuplicates([key])
+    return kept.join(again, key, "left_anti").unionByName(one).select(*docs.columns)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no item of the benchmark."""
-    keyed = docs.select(near_dedup.node_of().alias("doc_id"), "text")
-    found = decontamination.leaks(keyed, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    keyed, key = near_dedup.with_nodes(docs)
+    found = decontamination.leaks(keyed.select(F.col(key).alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return without(docs, found.select("doc_id"))
 
 
