@@ -2,6 +2,7 @@
 
 import os
 import random
+import time
 from collections import Counter
 
 import numpy as np
@@ -61,11 +62,62 @@ def test_leaks_are_found_and_only_these():
     assert not {d for d, _ in got if d >= len(held)}
 
 
+def least_edits(item, text):
+    """Least edit distance of an item to any run of a text."""
+    row = [0] * (len(text) + 1)
+    for i, x in enumerate(item):
+        new = [i + 1]
+        for j, y in enumerate(text):
+            new.append(min(row[j] + (x != y), row[j + 1] + 1, new[j] + 1))
+        row = new
+    return min(row)
+
+
+def test_leaks_against_all_windows(spark):
+    """The whole result against edit tables of every item and text."""
+    rnd = random.Random(6)
+    items = [(100 + k, " ".join(f"i{rnd.randrange(60)}" for _ in range(rnd.choice([1, 4, 5, 9, 14, 25, 40])))) for k in range(30)]
+    texts = []
+    for k in range(60):
+        w = [f"d{rnd.randrange(80)}" for _ in range(40)]
+        for _ in range(rnd.randrange(3)):
+            leak = items[rnd.randrange(30)][1].split()
+            at = rnd.randrange(len(w))
+            w[at:at] = mutated(rnd, leak, rnd.randrange(int(0.3 * len(leak)) + 2))
+        texts.append((k, " ".join(w), "extra"))
+    texts += [(60, None, ""), (61, "", ""), (None, items[3][1], ""), (0, texts[0][1], "")]
+    want = Counter()
+    for d, t, _ in texts:
+        for i, x in items:
+            if (far := least_edits(x.split(), (t or "").split())) <= int(0.2 * len(x.split()) + 1e-9) and t:
+                want[d, i, far] += 1
+    docs = spark.createDataFrame(texts, "doc_id long, text string, item_id string").repartition(3)
+    got = Counter((r.doc_id, r.item_id, r.distance) for r in decontamination.leaks(docs, spark.createDataFrame(items, "item_id long, text string")).collect())
+    pairs = lambda c: {k[:2] for k in c}
+    assert pairs(got) <= pairs(want) and len(want) > 60
+    assert (want & got).total() >= 0.98 * want.total()
+
+
+def test_many_items_with_one_beginning_and_a_long_item():
+    rnd = random.Random(8)
+    items = [(k, "alpha beta " + " ".join(f"i{rnd.randrange(5000)}" for _ in range(3))) for k in range(2000)]
+    long_item = [f"l{rnd.randrange(900)}" for _ in range(2_000)]
+    items.append((5000, " ".join(long_item)))
+    words = [x for _ in range(2000) for x in ("alpha", "beta", f"i{rnd.randrange(5000)}")]
+    words[3000:3000] = items[7][1].split()
+    run = decontamination.finder(items)
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2], pa.int64()), pa.array([" ".join(words), " ".join(mutated(rnd, long_item, 60))])], ["doc_id", "text"])
+    began = time.monotonic()
+    got = {(d, i) for b in run([batch]) for d, i in zip(b["doc_id"].to_pylist(), b["item_id"].to_pylist(), strict=True)}
+    assert time.monotonic() - began < 120
+    assert {(1, 7), (2, 5000)} <= got
+
+
 def test_leaks_odd_cases(rows, docs):
     none = rows("item_id long, text string")
     assert decontamination.leaks(docs, none).count() == 0
     held = rows("item_id long, text string, doc_id int", (1, None, 0), (2, "", 0), (3, "nobody KNOWS my, number", 0), (4, "!!", 0))
-    got = decontamination.leaks(docs, held, items=2).collect()
+    got = decontamination.leaks(docs, held, block_chars=12).collect()
     assert [(r.doc_id, r.item_id, r.distance) for r in got] == [(None, 3, 0)]
 
 
