@@ -7,10 +7,14 @@ is sure of becomes training data of the other. Both are then calibrated on
 labelled rows kept aside, and the calibrated views are combined into the score
 of every document.
 
-The fit takes about `LABELLED` labelled and `POOL` unlabelled documents, chosen
-by a hash of doc_id, out of those whose crc32(doc_id) mod 3 is not 1; what comes
-to the driver is bounded by these. Scoring covers every text whole. A document
-is good if its quality label is 1 and it isn't labelled toxic.
+The first fit takes about `LABELLED` labelled documents, chosen by a hash of
+doc_id, out of those whose crc32(doc_id) mod 3 is not 1; this bounds what comes
+to the driver. The pool is every other document of them: its features are
+written once, and each round goes over all of it, counts what either view is
+sure of, and takes about `PICKED` of a kind by a hash, whatever their number.
+Scoring covers every text whole. A document is good if its quality label is 1
+and it isn't labelled toxic. Sources and languages are hashed to `SOURCES` and
+`LANGS` columns, so that none is left out.
 
 Defined results: a null text is the empty text; null metadata is a value of its
 own; rows of null labels say nothing; with no labels of either kind all score
@@ -21,22 +25,24 @@ such with the names of the scores, are passed on.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructType
 
 from .decontamination import plain_words
-from .shared import documents, fresh, held_out
+from .shared import documents, durable, fresh, held_out, written
 from .words import WordHashes, chunks
 
-LABELLED, POOL = 10_000, 3000
-TELLING = 300  # words of the text view
-ROUNDS, SURE, PICKED = 3, 0.95, 400
+LABELLED = 10_000  # labelled documents of the first fit, about
+TELLING = 300  # words of the text view: those that tell good from bad best
+ROUNDS, SURE, PICKED = 3, 0.95, 400  # of co-training; PICKED pseudo-labels of a kind, view and round
+SOURCES, LANGS = 256, 64  # columns of the page view
 KEEP = 0.5
 RIDGE = 0.3
 MARKS = b"%$#&*|@~^<>{}[]\\"
@@ -111,8 +117,6 @@ class Model:
     mean: np.ndarray
     scale: np.ndarray
     text: np.ndarray
-    sources: list
-    langs: list
     page: np.ndarray
     calibrated: np.ndarray  # (view, (slope, constant))
     combined: np.ndarray
@@ -121,9 +125,6 @@ class Model:
         shape, doc, hashes = text_rows(texts, known)
         return np.column_stack([(shape - self.mean) / self.scale, presence(doc, hashes, self.telling, len(texts))])
 
-    def page_view(self, source: list, lang: list, chars: list) -> np.ndarray:
-        return page_rows(source, lang, chars, self.sources, self.langs)
-
     def scores(self, text: np.ndarray, page: np.ndarray) -> np.ndarray:
         """(row, (combined, text, page)) probabilities."""
         views = [np.clip(linear(x, b), -30, 30) for x, b in ((text, self.text), (page, self.page))]
@@ -132,28 +133,63 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(logits, -30, 30)))
 
 
-def page_rows(source: list, lang: list, chars: list, sources: list, langs: list) -> np.ndarray:
-    out = np.zeros((len(source), len(sources) + len(langs) + 1))
-    for values, names, base in ((source, sources, 0), (lang, langs, len(sources))):
-        at = {v: i + base for i, v in enumerate(names)}
-        for row, v in enumerate(values):
-            if v in at:
-                out[row, at[v]] = 1
+def columns_of(values: list, n: int) -> list[int]:
+    return [xxhash.xxh3_64_intdigest("null" if v is None else f"={v}") % n for v in values]
+
+
+def page_rows(source: list, lang: list, chars: list) -> np.ndarray:
+    out, rows = np.zeros((len(source), SOURCES + LANGS + 1)), np.arange(len(source))
+    out[rows, columns_of(source, SOURCES)] = 1
+    out[rows, np.array(columns_of(lang, LANGS), np.int64) + SOURCES] = 1
     out[:, -1] = [np.log1p(max(c or 0, 0)) / 10 for c in chars]
     return out
 
 
-def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Shapes and distinct word hashes of sampled texts."""
-    known = WordHashes()
-    for batch in batches:
-        texts = batch["text"]
-        for part in chunks(pa.compute.utf8_length(texts).fill_null(0).to_pylist()):
-            shape, doc, hashes = text_rows(texts[part].to_pylist(), known)
-            cut = np.searchsorted(doc, np.arange(len(shape) + 1))
-            words = [np.unique(hashes[a:b]).view(np.int64) for a, b in zip(cut[:-1], cut[1:], strict=True)]
-            some = [batch[c][part] for c in ("good", "aside", "source", "lang", "n_chars")]
-            yield pa.RecordBatch.from_arrays([*some, pa.array(list(shape), pa.list_(pa.float64())), pa.array(words, pa.list_(pa.int64()))], ["good", "aside", "source", "lang", "n_chars", "shape", "words"])
+def features(telling: np.ndarray | None = None):
+    """Shapes and distinct word hashes of texts, those of `telling` words alone if given; `passed` columns as they are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = WordHashes()
+        for batch in batches:
+            texts, passed = batch["text"], [c for c in batch.schema.names if c != "text"]
+            for part in chunks(pa.compute.utf8_length(texts).fill_null(0).to_pylist()):
+                shape, doc, hashes = text_rows(texts[part].to_pylist(), known)
+                if telling is not None:
+                    some = np.isin(hashes, telling)
+                    doc, hashes = doc[some], hashes[some]
+                cut = np.searchsorted(doc, np.arange(len(shape) + 1))
+                words = [np.unique(hashes[a:b]).view(np.int64) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+                cols = [*[batch[c][part] for c in passed], pa.array(list(shape), pa.list_(pa.float64())), pa.array(words, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(cols, [*passed, "shape", "words"])
+
+    return run
+
+
+FEATURES = "source string, lang string, n_chars long, shape array<double>, words array<long>"
+
+
+def views_of(rows: pa.Table | pa.RecordBatch, telling: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The text and the page view of rows of features."""
+    n = rows.num_rows
+    shape = np.array(rows["shape"].to_pylist()).reshape(n, len(mean))
+    doc = np.repeat(np.arange(n), pa.compute.list_value_length(rows["words"]).to_numpy(zero_copy_only=False))
+    words = pa.compute.list_flatten(rows["words"]).to_numpy(zero_copy_only=False).view(np.uint64)
+    text = np.column_stack([(shape - mean) / scale, presence(doc, words, telling, n)])
+    return text, page_rows(*(rows[c].to_pylist() for c in ("source", "lang", "n_chars")))
+
+
+def sure_of(telling: np.ndarray, mean: np.ndarray, scale: np.ndarray, betas: list[np.ndarray]):
+    """Rows of the pool with what either view is sure of: 1, 0 or null."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            told = []
+            for x, beta in zip(views_of(batch, telling, mean, scale), betas, strict=True):
+                p = 1 / (1 + np.exp(-np.clip(linear(x, beta), -30, 30)))
+                told.append(pa.array((p > 0.5).astype(np.int32), mask=np.maximum(p, 1 - p) < SURE))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *told], [*batch.schema.names, "by_text", "by_page"])
+
+    return run
 
 
 def pick_words(words: np.ndarray, owner: np.ndarray, good: np.ndarray) -> np.ndarray:
@@ -172,67 +208,67 @@ def pick_words(words: np.ndarray, owner: np.ndarray, good: np.ndarray) -> np.nda
     return np.sort(name[best[z[best] > 3]])
 
 
-def train(rows: pa.Table) -> Model | None:
-    label = rows["good"].to_pylist()
-    aside = np.array(rows["aside"].to_pylist(), bool)
-    known = np.array([g is not None for g in label])
-    y = np.array([float(g or 0) for g in label])
-    fit = known & ~aside
+def balanced(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """A fit in which either kind weighs the same."""
+    return logistic(x, y, np.where(y > 0.5, 0.5 / max(y.mean(), 1e-9), 0.5 / max(1 - y.mean(), 1e-9)))
+
+
+def train(rows: pa.Table, pool: Callable[[np.ndarray], DataFrame] | None = None) -> Model | None:
+    """A model of labelled rows of features; `pool` gives the features of all unlabelled ones for the telling words."""
+    y, aside = np.array(rows["good"].to_pylist(), float), np.array(rows["aside"].to_pylist(), bool)
+    fit = ~aside
     if not 0 < y[fit].sum() < fit.sum():
         return None
     shape = np.array(rows["shape"].to_pylist())
     doc = np.repeat(np.arange(len(y)), pa.compute.list_value_length(rows["words"]).to_numpy())
     words = pa.compute.list_flatten(rows["words"]).to_numpy().view(np.uint64)
-    place = np.cumsum(fit) - 1
-    telling = pick_words(words[fit[doc]], place[doc[fit[doc]]], y[fit])
+    telling = pick_words(words[fit[doc]], (np.cumsum(fit) - 1)[doc[fit[doc]]], y[fit])
     mean, scale = shape[fit].mean(axis=0), shape[fit].std(axis=0) + 1e-6
-    text = np.column_stack([(shape - mean) / scale, presence(doc, words, telling, len(y))])
-    source, lang = rows["source"].to_pylist(), rows["lang"].to_pylist()
-    names = [sorted(set(v), key=lambda x: (-v.count(x), str(x)))[:64] for v in (source, lang)]
-    page = page_rows(source, lang, rows["n_chars"].to_pylist(), *names)
-
-    views, labels = (text, page), [dict(zip(np.flatnonzero(fit).tolist(), y[fit].tolist(), strict=True)) for _ in range(2)]
-    pool = np.flatnonzero(~known)
-
-    def fitted(k: int) -> np.ndarray:
-        at = np.array(list(labels[k]))
-        t = np.array(list(labels[k].values()))
-        rare = np.where(t > 0.5, 0.5 / max(t.mean(), 1e-9), 0.5 / max(1 - t.mean(), 1e-9))
-        return logistic(views[k][at], t, rare)
-
-    betas = [fitted(k) for k in range(2)]
-    for _ in range(ROUNDS):
-        told = []
-        for k in range(2):
-            p = 1 / (1 + np.exp(-np.clip(linear(views[k][pool], betas[k]), -30, 30)))
-            sure = [i for side in (p, 1 - p) for i in np.argsort(-side, kind="stable")[:PICKED] if side[i] >= SURE]
-            told.append({int(pool[i]): float(p[i] > 0.5) for i in sure})
-        for k in range(2):
-            labels[1 - k] |= {i: v for i, v in told[k].items() if not known[i]}
-        betas = [fitted(k) for k in range(2)]
-
-    held = known & aside if 0 < y[known & aside].sum() < (known & aside).sum() else fit
+    views = views_of(rows, telling, mean, scale)
+    taught = [[(x[fit], y[fit])] for x in views]
+    betas = [balanced(*t[0]) for t in taught]
+    rest = pool(telling) if pool else None
+    for turn in range(ROUNDS if rest is not None else 0):
+        told = rest.mapInArrow(sure_of(telling, mean, scale, betas), f"{FEATURES}, lot long, by_text int, by_page int")
+        kinds = [(c, v) for c in ("by_text", "by_page") for v in (0, 1)]
+        counts = told.agg(*[F.count_if(F.col(c) == v) for c, v in kinds]).first()
+        lot = F.pmod(F.xxhash64("lot", F.lit(turn)), F.lit(1_000_000)) / 1_000_000
+        wanted = [F.coalesce((F.col(c) == v) & (lot < min(1.0, PICKED / max(n, 1))), F.lit(False)) for (c, v), n in zip(kinds, counts, strict=True)]
+        # about PICKED rows of each of the four kinds
+        got = told.where(wanted[0] | wanted[1] | wanted[2] | wanted[3]).select(*[c.split()[0] for c in FEATURES.split(", ")], (wanted[0] | wanted[1]).alias("for_page"), (wanted[2] | wanted[3]).alias("for_text"), "by_text", "by_page").toArrow()
+        if got.num_rows:
+            both = views_of(got, telling, mean, scale)
+            for k, (use, label) in enumerate((("for_text", "by_page"), ("for_page", "by_text"))):
+                at = np.array(got[use].to_pylist(), bool)
+                taught[k].append((both[k][at], np.array(got[label].fill_null(0).to_pylist(), float)[at]))
+        betas = [balanced(np.concatenate([x for x, _ in t]), np.concatenate([v for _, v in t])) for t in taught]
+    held = aside if 0 < y[aside].sum() < aside.sum() else fit
     ones = np.ones(held.sum())
     margins = [np.clip(linear(views[k][held], betas[k]), -30, 30) for k in range(2)]
     calibrated = np.array([logistic(m[:, None], y[held], ones) for m in margins])
     both = np.column_stack([a * m + b for m, (a, b) in zip(margins, calibrated, strict=True)])
-    return Model(telling, mean, scale, betas[0], *names, betas[1], calibrated, logistic(both, y[held], ones))
+    return Model(telling, mean, scale, betas[0], betas[1], calibrated, logistic(both, y[held], ones))
 
 
-def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL) -> Model | None:
-    """A model of documents that aren't held out."""
+def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, exchange: bool = True) -> Model | None:
+    """A model of documents that aren't held out; without `exchange` the views are fitted on labelled ones alone."""
     good = F.when(F.coalesce("toxic", F.lit(0)) == 1, 0).otherwise(F.col("quality"))
     known = labels.select("doc_id", good.cast("int").alias("good")).where("doc_id IS NOT NULL AND good IS NOT NULL").where(~held_out())
-    n_known, n_docs = known.count(), docs.count()
     lot = F.pmod(F.xxhash64(F.lit("quality sample"), "doc_id"), F.lit(1_000_000)) / 1_000_000
-    known = known.where(lot < min(1.0, labelled / max(n_known, 1))).groupBy("doc_id").agg(F.min("good").alias("good"))  # bounded by `labelled`
-    known = known.select(F.col("doc_id").alias("labelled_id"), "good")
-    other = F.pmod(F.xxhash64(F.lit("quality pool"), "doc_id"), F.lit(1_000_000)) / 1_000_000 < min(1.0, pool / max(n_docs, 1))
+    known = known.where(lot < min(1.0, labelled / max(known.count(), 1))).groupBy("doc_id").agg(F.min("good").alias("good"))  # bounded by `labelled`
+    known = F.broadcast(durable(known.select(F.col("doc_id").alias("labelled_id"), "good")))
     rows = docs.select("doc_id", "text", F.col("source").cast("string"), F.col("lang").cast("string"), F.coalesce(F.col("n_chars").cast("long"), F.length("text").cast("long")).alias("n_chars")).where(~held_out())
-    rows = rows.join(F.broadcast(known), F.col("doc_id") == F.col("labelled_id"), "left").where(F.col("good").isNotNull() | other)
     aside = F.coalesce(F.pmod(F.xxhash64(F.lit("aside"), "doc_id"), F.lit(5)) == 0, F.lit(False)).alias("aside")
-    got = rows.select("text", "good", aside, "source", "lang", "n_chars").mapInArrow(features, "good int, aside boolean, source string, lang string, n_chars long, shape array<double>, words array<long>").toArrow()
-    return train(got) if got.num_rows else None
+    mine = F.col("doc_id") == F.col("labelled_id")
+    page = ["source", "lang", "n_chars", "text"]
+    got = rows.join(known, mine).select("good", aside, *page).mapInArrow(features(), f"good int, aside boolean, {FEATURES}").toArrow()
+
+    def pool(telling: np.ndarray) -> DataFrame:
+        rest = rows.join(known, mine, "left_anti").select(*page, F.xxhash64("doc_id", "text").alias("lot"))
+        kinds = FEATURES.replace(", shape", ", lot long, shape")
+        return written(rest.mapInArrow(features(telling), kinds)).select(*[c.split()[0] for c in FEATURES.split(", ")], "lot")
+
+    return train(got, pool if exchange else None) if got.num_rows else None
 
 
 def score(docs: DataFrame, model: Model | None) -> tuple[DataFrame, list[str]]:
@@ -247,7 +283,7 @@ def score(docs: DataFrame, model: Model | None) -> tuple[DataFrame, list[str]]:
         for batch in batches:
             texts, out = batch["text"], []
             for part in chunks(pa.compute.utf8_length(texts).fill_null(0).to_pylist()):
-                page = model.page_view(*(batch[c][part].cast(k).to_pylist() for c, k in (("source", pa.string()), ("lang", pa.string()), (extra, pa.int64()))))
+                page = page_rows(*(batch[c][part].cast(k).to_pylist() for c, k in (("source", pa.string()), ("lang", pa.string()), (extra, pa.int64()))))
                 out.append(model.scores(model.text_view(texts[part].to_pylist(), known), page))
             got = np.concatenate(out) if out else np.zeros((0, 3))
             kept = [c for c in batch.schema.names if c != extra]

@@ -285,15 +285,52 @@ def test_language_odd_cases(rows):
     assert language_id.identify(df.limit(0)).count() == 0
 
 
+def accuracy(docs, labels, model):
+    """Share of labelled held-out documents whose score is on the right side."""
+    want = {r.doc_id: int(r.quality and not r.toxic) for r in labels.collect()}
+    out, (score, *_) = quality.score(docs, model)
+    got = [(want[r.doc_id], r[score] >= quality.KEEP) for r in out.where(quality.held_out()).collect() if r.doc_id in want]
+    assert len(got) > 50
+    return sum(w == g for w, g in got) / len(got)
+
+
 @tables
 def test_quality_on_held_out_rows(spark):
-    docs, labels = spark.read.parquet(f"{DATA}/documents.parquet"), spark.read.parquet(f"{DATA}/labels.parquet")
-    want = {r.doc_id: r.quality for r in labels.collect()}
-    out, (score, *_) = quality.score(docs, quality.fit(docs, labels))
-    got = {r.doc_id: r[score] for r in out.collect()}
-    low = [got[i] for i, q in want.items() if not q]
-    high = [got[i] for i, q in want.items() if q]
-    assert np.median(low) < 0.5 < np.median(high)
+    docs, labels = (spark.read.parquet(f"{DATA.replace('0.001', '0.01')}/{t}.parquet") for t in ("documents", "labels"))
+    assert accuracy(docs, labels, quality.fit(docs, labels)) >= 0.8
+
+
+def test_exchange_teaches_the_views(rows):
+    """Few labels and noisy words, but telling sources: what the page view knows reaches the text view by the pool."""
+    rnd = random.Random(9)
+    good, bad = [f"g{i}" for i in range(12)], [f"b{i}" for i in range(12)]
+    docs, truth = [], {}
+    for i in range(3000):
+        truth[i] = int(rnd.random() < 0.5)
+        w = [rnd.choice(good if (rnd.random() < 0.85) == truth[i] else bad) if rnd.random() < 0.2 else f"n{rnd.randrange(400)}" for _ in range(20)]
+        docs.append((i, " ".join(w), "site" if truth[i] else "farm", "en", None))
+    labels = [(i, truth[i], 0) for i in range(0, 3000, 8)]
+    df = rows("doc_id long, text string, source string, lang string, n_chars long", *docs)
+    told = rows("doc_id long, quality int, toxic int", *labels)
+
+    def text_accuracy(model):
+        out, (_, text, _) = quality.score(df, model)
+        got = [(truth[r.doc_id], r[text] > 0.5) for r in out.where(quality.held_out()).collect()]
+        return sum(w == g for w, g in got) / len(got)
+
+    alone, together = (text_accuracy(quality.fit(df, told, exchange=x)) for x in (False, True))
+    assert together > alone and together > 0.75, (alone, together)
+
+
+def test_fit_against_plain_gradient_descent():
+    rnd = np.random.default_rng(3)
+    x, weight = rnd.normal(size=(200, 3)), rnd.random(200)
+    y = (x @ [1.0, -2.0, 0.5] + rnd.normal(size=200) > 0.3).astype(float)
+    beta, ridge = np.zeros(4), np.array([quality.RIDGE] * 3 + [1e-3])
+    wide = np.column_stack([x, np.ones(200)])
+    for _ in range(20_000):
+        beta -= 0.02 * (wide.T @ (weight * (1 / (1 + np.exp(-wide @ beta)) - y)) + ridge * beta)
+    assert np.abs(quality.logistic(x, y, weight) - beta).max() < 1e-3
 
 
 def test_quality_odd_cases(rows, docs):
