@@ -1,8 +1,10 @@
 """Secret scan over an incremental blob ledger, in DataFrame functions.
 
 Every version of every text is addressed by its content. Only pairs of a blob
-and a rule version that the ledger does not hold are scanned, each blob once
-however many paths carry it; findings then join back to all paths.
+and a rule version that the ledger does not hold are scanned, each blob at its first path
+however many paths carry it; findings then join back to all paths. Rows that
+repeat that path and text are scanned with it, which leaves Spark free to split
+them, and enter the ledger once.
 
 Positions come from built-in functions alone: the gaps that `split` leaves
 between the matches that `regexp_extract_all` returns add up to the offsets.

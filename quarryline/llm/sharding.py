@@ -27,7 +27,6 @@ from pyspark.sql import functions as F
 from .shared import documents, fresh
 
 SHARDS, VNODES, RING_BITS = 40, 64, 14
-RUN = "run_cell int, run_lo long, run_hi long, run_shard int, run_slot long"
 
 
 def ring(spark: SparkSession, shards: int, vnodes: int, bits: int) -> list[tuple[int, int]]:
@@ -89,23 +88,23 @@ def place(counts: dict[int, int], nodes: list[tuple[int, int]], caps: list[int])
 
 
 def assign(df: DataFrame, key: str, payload: list[str], shards: int = SHARDS, vnodes: int = VNODES, load: float = 1.0, ring_bits: int = RING_BITS) -> DataFrame:
-    """`key`, `payload` and `shard`, `slot` for every row of `df`."""
+    """`key`, `payload` and `shard`, `slot` (with underscores in front where `df` has such columns) for every row of `df`."""
     if shards < 1 or vnodes < 1 or not shards <= 2**ring_bits:
         raise ValueError("a ring needs at least one cell for every shard")
     spark = df.sparkSession
-    h, cell, rank = fresh(df, "ring_hash", "ring_cell", "ring_rank")
+    h, cell, rank, at, lo, hi, shard, slot = fresh(df.select(key, *payload), "ring_hash", "ring_cell", "ring_rank", "run_cell", "run_lo", "run_hi", "shard", "slot")
     placed = df.select(key, *payload).withColumn(h, F.when(F.col(key).isNotNull(), F.xxhash64(F.lit("key"), key)).otherwise(F.xxhash64(F.lit("row"), *payload)))
     placed = placed.withColumn(cell, cell_of(F.col(h), ring_bits))
     counts = {r[0]: r[1] for r in placed.groupBy(cell).count().collect()}  # at most 2**ring_bits rows
     nodes = ring(spark, shards, vnodes, ring_bits)
     owners = {s for _, s in nodes}
     nodes = sorted(nodes + [(c, s) for s, c in zip((s for s in range(shards) if s not in owners), (c for c in range(2**ring_bits) if c not in dict(nodes)), strict=False)])
-    runs = spark.createDataFrame(place(counts, nodes, capacities(sum(counts.values()), shards, load)), RUN)
+    runs = spark.createDataFrame(place(counts, nodes, capacities(sum(counts.values()), shards, load)), f"{at} int, {lo} long, {hi} long, {shard} int, {slot} long")
     by_cell = Window.partitionBy(cell).orderBy(h, key, *payload)
     return (
         placed.withColumn(rank, F.row_number().over(by_cell) - F.lit(1))
-        .join(F.broadcast(runs), (F.col(cell) == F.col("run_cell")) & (F.col(rank) >= F.col("run_lo")) & (F.col(rank) < F.col("run_hi")))
-        .select(key, *payload, F.col("run_shard").alias("shard"), (F.col("run_slot") + F.col(rank) - F.col("run_lo")).alias("slot"))
+        .join(F.broadcast(runs), (F.col(cell) == F.col(at)) & (F.col(rank) >= F.col(lo)) & (F.col(rank) < F.col(hi)))
+        .select(key, *payload, shard, (F.col(slot) + F.col(rank) - F.col(lo)).alias(slot))
     )
 
 

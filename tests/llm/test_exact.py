@@ -202,6 +202,51 @@ def test_shards_are_even_and_gapless(docs, none):
     assert sharding.assign(none.selectExpr("doc_id", "doc_id AS crc"), "doc_id", ["crc"]).count() == 0
 
 
+def plain_ring(rows, nodes, caps):
+    """Row by row: homes first, in ring order; then each that found its shard full goes on clockwise to one with room.
+
+    rows: (cell, order, value); gives value -> (shard, slot).
+    """
+    cells, used, out, over = [c for c, _ in nodes], [0] * len(caps), {}, []
+    home = lambda cell: next((i for i, c in enumerate(cells) if c >= cell), 0)
+    for cell, _, value in sorted(rows):
+        i = home(cell)
+        s = nodes[i][1]
+        if used[s] < caps[s]:
+            out[value] = (s, used[s])
+            used[s] += 1
+        else:
+            over.append((i, value))
+    for i, value in over:
+        while used[nodes[i][1]] >= caps[nodes[i][1]]:
+            i = (i + 1) % len(nodes)
+        s = nodes[i][1]
+        out[value] = (s, used[s])
+        used[s] += 1
+    return out
+
+
+@pytest.mark.parametrize(("shards", "load"), [(7, 1.0), (5, 1.25), (1, 1.0)])
+def test_shards_against_a_plain_ring(spark, shards, load):
+    from pyspark.sql import functions as F
+
+    ids = spark.range(900).select((F.col("id") * 37 % 1000).alias("doc_id"), F.lit(1).alias("p"))
+    h = F.xxhash64(F.lit("key"), "doc_id")
+    held = [(r.cell, r.h, r.doc_id) for r in ids.select("doc_id", h.alias("h"), sharding.cell_of(h, 8).alias("cell")).collect()]
+    nodes = sharding.ring(spark, shards, 8, 8)
+    caps = sharding.capacities(900, shards, load)
+    want = plain_ring(held, nodes, caps)
+    got = {r.doc_id: (r.shard, r.slot) for r in sharding.assign(ids, "doc_id", ["p"], shards=shards, vnodes=8, load=load, ring_bits=8).collect()}
+    assert got == want
+
+
+def test_shards_of_clashing_columns(rows):
+    df = rows("run_cell long, run_lo long, run_shard long, shard long, slot long, ring_hash long", *[(i, i, 0, 1, 2, 3) for i in range(20)], (None, None, None, None, None, None))
+    out = sharding.assign(df, "run_cell", ["run_lo", "run_shard", "shard", "slot", "ring_hash"], shards=3)
+    assert out.columns == ["run_cell", "run_lo", "run_shard", "shard", "slot", "ring_hash", "_shard", "_slot"] and out.count() == 21
+    assert {r["_shard"] for r in out.collect()} == {0, 1, 2} and {r.shard for r in out.collect()} == {1, None}
+
+
 def test_slack_keeps_most_keys_in_place(spark):
     ids = spark.range(4000).withColumnRenamed("id", "doc_id").withColumn("p", __import__("pyspark.sql.functions", fromlist=["lit"]).lit(0))
     at = lambda n: {r.doc_id: r.shard for r in sharding.assign(ids, "doc_id", ["p"], shards=n, load=1.25).collect()}
