@@ -9,7 +9,7 @@ text has. Where peeling gets stuck, larger sketches of the same digests are
 tried, until the difference is whole. Likeness is shared over all digests.
 
 Defined results: a null text is empty; two empty texts are alike (1); rows are
-ordered by doc_id (null first), then text; of repeated rows each is the next of
+ordered by doc_id (null first), then text hash and text; of repeated rows each is the next of
 the one before; the last row's next is the first; a single row's next is
 itself; an empty table yields no rows.
 """
@@ -18,23 +18,25 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from bisect import bisect_right
+import math
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.ml.feature import Bucketizer
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import documents
-from .words import spread
+from .words import chunks, spread
 
 CELLS = 12  # of the published sketch, and of the first try
 GROWTH = 4
 UNIT = 48
-BUCKETS = 4096
-ROWS_A_BUCKET = 200
+BUCKETS = 65_536
+ROWS_A_BUCKET, SAMPLED = 200, 20  # SAMPLED: ids a bucket that its bounds are taken from
 CHUNK = 400_000
 OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
@@ -92,10 +94,10 @@ class Sketches:
             changed.append(at)
         return changed
 
-    def peel(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Per text: recovered digests of either sign, and whether that is all."""
+    def peel(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, list]:
+        """Per text: how many digests of either sign were recovered, and whether that is all; then (text, digest, sign) of them."""
         n = len(self.base)
-        plus, minus = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        plus, minus, got = np.zeros(n, np.int64), np.zeros(n, np.int64), []
         at = np.arange(len(self.count))
         while True:
             at = at[np.abs(self.count[at]) == 1]
@@ -109,9 +111,10 @@ class Sketches:
             doc, key, sign = doc[first], key[first], sign[first]
             plus += np.bincount(doc[sign > 0], minlength=n)
             minus += np.bincount(doc[sign < 0], minlength=n)
+            got.append((doc, key, sign))
             at = np.concatenate(self.add(doc, key, -sign))  # only these can have become single
         left = (self.count != 0) | (self.keys != 0) | (self.checks != 0)
-        return plus, minus, np.bincount(self.owner[left], minlength=n) == 0
+        return plus, minus, np.bincount(self.owner[left], minlength=n) == 0, got
 
     def text_of(self, i: int) -> str:
         own = slice(self.base[i], self.base[i] + 3 * self.third[i])
@@ -124,10 +127,10 @@ def publish(n: int, sets: tuple[np.ndarray, np.ndarray]) -> list[str]:
     return [s.text_of(i) for i in range(n)]
 
 
-def likeness(n: int, a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """Shared over all digests of the texts i of a and b, from differences of their sketches."""
+def likeness(n: int, a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, list]:
+    """Shared over all digests of the texts i of a and b, from differences of their sketches; and (text, digest, sign) of these."""
     size_a, size_b = np.bincount(a[0], minlength=n), np.bincount(b[0], minlength=n)
-    out = np.ones(n)
+    out, differing = np.ones(n), []
     todo, cells = np.arange(n), np.full(n, CELLS)
     low = np.abs(size_a - size_b)  # so many digests differ at least
     while len(todo):
@@ -139,13 +142,14 @@ def likeness(n: int, a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.n
         for (doc, key), sign in ((a, 1), (b, -1)):
             mine = place[doc] >= 0
             s.add(place[doc[mine]], key[mine], sign)
-        plus, minus, whole = s.peel()
+        plus, minus, whole, got = s.peel()
+        differing += [(todo[doc[whole[doc]]], key[whole[doc]], sign[whole[doc]]) for doc, key, sign in got]
         done = todo[whole]
         total = size_a[done] + minus[whole]
         out[done] = np.where(total > 0, (size_a[done] - plus[whole]) / np.maximum(total, 1), 1.0)
         todo = todo[~whole]
         cells[todo] *= GROWTH
-    return out
+    return out, differing
 
 
 def edited(text: str, following: str) -> str:
@@ -159,7 +163,8 @@ def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def pairs() -> Iterator[tuple]:
         before = None
         for batch in batches:
-            for row in zip(*(batch[c].to_pylist() for c in ("bucket", "copy", "doc_id", "text")), strict=True):
+            for *at, copy, doc_id, text in zip(*(batch[c].to_pylist() for c in ("bucket", "sub", "copy", "doc_id", "text")), strict=True):
+                row = (at, copy, doc_id, text)
                 if before and before[0] == row[0] and not before[1]:
                     yield before[2], before[3] or "", row[3] or ""
                 before = row
@@ -173,7 +178,7 @@ def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             pa.array(ids, pa.int64()), pa.array([len(t) for t in texts], pa.int64()),
             pa.array([hashlib.sha256(c.encode()).hexdigest() for c in changed]),
             pa.array(publish(n, own)), pa.array(publish(n, other)),
-            pa.array(likeness(n, own, other)), pa.array(likeness(n, own, after)),
+            pa.array(likeness(n, own, other)[0]), pa.array(likeness(n, own, after)[0]),
         ]
         return pa.RecordBatch.from_arrays(cols, [c.split()[0] for c in OUT.split(", ")])
 
@@ -189,35 +194,67 @@ def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def in_buckets(docs: DataFrame) -> DataFrame:
-    """Rows with their bucket of the doc_id order, and copies of each bucket's first rows in the bucket before.
+    """Rows by (doc_id, text hash, text) in ranges (`bucket`, `sub`), with copies of each range's first rows at the end of the one before.
 
-    What comes to the driver is bounded by BUCKETS.
+    A doc_id that fills several ranges is cut by the hashes of its texts. What
+    comes to the driver is bounded by BUCKETS.
     """
-    rank = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
-    ids = docs.select(rank.alias("ord"))
-    n = ids.count()
+    own = docs.select(F.col("doc_id").cast("long"), "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("ord"), F.xxhash64("text").alias("tie"))
+    n = docs.count()
     many = max(1, min(BUCKETS, n // ROWS_A_BUCKET))
-    splits = sorted(set(ids.approxQuantile("ord", [i / many for i in range(1, many)], 1 / (8 * many)))) if many > 1 else []
-    splits = [int(x) for x in splits]
+    got = sorted(r[0] for r in own.select("ord").sample(min(1.0, SAMPLED * many / max(n, 1)), 7).collect()) if many > 1 else []
+    cuts = Counter(got[i * len(got) // many] for i in range(1, many)) if got else {}
+    splits, hot = [-math.inf], []
+    for v in sorted(cuts):
+        if float(v) > splits[-1]:
+            splits.append(float(v))
+        if cuts[v] > 1:
+            hot.append((len(splits) - 1, v, cuts[v]))
+    keyed = own.withColumn("at", F.col("ord").cast("double"))
+    keyed = Bucketizer(splits=[*splits, math.inf], inputCol="at", outputCol="bucket").transform(keyed) if len(splits) > 1 else keyed.withColumn("bucket", F.lit(0))
+    keyed = keyed.withColumn("bucket", F.col("bucket").cast("int")).drop("at")
+    held = docs.sparkSession.createDataFrame(hot, "bucket int, v long, parts int")
+    part = F.floor((F.col("tie") / 2.0**64 + 0.5) * F.col("parts")).cast("int")
+    sub = F.when(F.col("v").isNull(), 0).when(F.col("ord") < F.col("v"), -1).when(F.col("ord") == F.col("v"), F.least(part, F.col("parts") - 1)).otherwise(F.col("parts"))
+    keyed = keyed.join(F.broadcast(held), "bucket", "left").withColumn("sub", sub).drop("v", "parts")
+    firsts = sorted((r["bucket"], r["sub"], r["first"]) for r in keyed.groupBy("bucket", "sub").agg(F.min(F.struct("ord", "tie")).alias("first")).collect())
+    before = [(b, s, *first, *firsts[i - 1][:2]) for i, (b, s, first) in enumerate(firsts)]
+    held = docs.sparkSession.createDataFrame(before, "bucket int, sub int, first_ord long, first_tie long, before int, before_sub int")
+    place = lambda b, s, copy: F.struct(F.col(b).alias("bucket"), F.col(s).alias("sub"), F.lit(copy).alias("copy"))
+    is_first = (F.col("ord") == F.col("first_ord")) & (F.col("tie") == F.col("first_tie"))
+    at = F.when(is_first, F.array(place("bucket", "sub", False), place("before", "before_sub", True))).otherwise(F.array(place("bucket", "sub", False)))
+    return keyed.join(F.broadcast(held), ["bucket", "sub"]).select("doc_id", "tie", "text", F.explode(at).alias("at")).select("at.bucket", "at.sub", "at.copy", "doc_id", "tie", "text")
 
-    @F.udf("int", useArrow=True)
-    def bucket_of(ord_: int) -> int:
-        return bisect_right(splits, ord_)
 
-    firsts = sorted((r["b"], r["first"]) for r in ids.groupBy(bucket_of("ord").alias("b")).agg(F.min("ord").alias("first")).collect())
-    before = {first: firsts[i - 1][0] for i, (_, first) in enumerate(firsts)}
+def fingerprint(docs: DataFrame) -> DataFrame:
+    rows = in_buckets(docs).repartition("bucket", "sub").sortWithinPartitions("bucket", "sub", "copy", "doc_id", "tie", "text")
+    return rows.mapInArrow(compare, OUT)
 
-    @F.udf("array<struct<bucket:int,copy:boolean>>", useArrow=True)
-    def places(ord_: int) -> list:
-        own = [(bisect_right(splits, ord_), False)]
-        return own + [(before[ord_], True)] if ord_ in before else own
 
-    return docs.select(F.col("doc_id").cast("long"), "text", F.explode(places(rank)).alias("at")).select("at.bucket", "at.copy", "doc_id", "text")
+def difference(old: DataFrame, new: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(`key`, digest, sign): the paragraph digests that only the new text (1) or only the old one (-1) of a key has.
 
+    Peeled from the difference of their sketches; keys of one side alone differ from the empty text.
+    """
+    both = new.select(key, F.col("text").alias("new")).join(old.select(key, F.col("text").alias("old")), key, "full")
 
-def fingerprint(docs: DataFrame) -> DataFrame:
-    rows = in_buckets(docs).repartition("bucket").sortWithinPartitions("bucket", "copy", "doc_id", "text")
-    return rows.mapInArrow(compare, OUT)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [[t or "" for t in batch[c].to_pylist()] for c in ("new", "old")]
+            for part in chunks([len(a) + len(b) for a, b in zip(*texts, strict=True)], CHUNK):
+                doc, digest, sign = [], [], []
+                n = len(texts[0][part])
+                _, got = likeness(n, digests(texts[0][part]), digests(texts[1][part]))
+                for d, k, s in got:
+                    doc.append(d)
+                    digest.append(k)
+                    sign.append(s)
+                doc, digest, sign = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (doc, digest, sign))
+                order = np.lexsort((digest, doc))
+                yield pa.RecordBatch.from_arrays([batch[key][part].take(pa.array(doc[order])), pa.array(digest[order].astype(np.uint64).view(np.int64)), pa.array(sign[order].astype(np.int32))], [key, "digest", "sign"])
+
+    kind = both.schema[key].dataType.simpleString()
+    return both.mapInArrow(run, f"{key} {kind}, digest long, sign int")
 
 
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

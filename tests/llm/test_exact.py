@@ -159,9 +159,40 @@ def test_fingerprints(docs, none):
 
 def test_peeling_recovers_large_differences():
     a, b = [" ".join(f"line {i}\n" for i in range(3000))], [" ".join(f"line {i}\n" for i in range(1500, 4500))]
-    got = fingerprints.likeness(1, fingerprints.digests(a), fingerprints.digests(b))[0]
+    got, differing = fingerprints.likeness(1, fingerprints.digests(a), fingerprints.digests(b))
+    got = got[0]
     x, y = Counter(fingerprints.paragraphs(a[0])), Counter(fingerprints.paragraphs(b[0]))
     assert abs(got - sum((x & y).values()) / sum((x | y).values())) < 1e-12
+    of = lambda t: set(fingerprints.digests(t)[1].tolist())
+    found = {(int(k), int(s)) for _, keys, signs in differing for k, s in zip(keys, signs, strict=True)}
+    assert {k for k, s in found if s > 0} == of(a) - of(b) and {k for k, s in found if s < 0} == of(b) - of(a)
+
+
+def test_ids_that_fill_many_ranges(spark, monkeypatch):
+    monkeypatch.setattr(fingerprints, "ROWS_A_BUCKET", 10)
+    data = [(None if i % 3 else 5 if i % 2 else i, f"text {i} " * (i % 9)) for i in range(600)]
+    docs = spark.createDataFrame(data, "doc_id long, text string").repartition(4)
+    ranges = fingerprints.in_buckets(docs)
+    assert ranges.where("doc_id IS NULL AND NOT copy").select("bucket", "sub").distinct().count() > 10
+    low = -(2**63)
+    rows = sorted((r.doc_id if r.doc_id is not None else low, r.h, r.text) for r in docs.selectExpr("doc_id", "xxhash64(text) AS h", "text").collect())
+    want = []
+    for k, (_, _, t) in enumerate(rows):
+        u = rows[(k + 1) % len(rows)][2]
+        e = t[: len(t) - len(t) // 2] + u[: len(t) // 2]
+        want.append((len(t), hashlib.sha256(e.encode()).hexdigest()))
+    assert sorted((r.n_chars, r.edited_sha256) for r in fingerprints.fingerprint(docs).collect()) == sorted(want)
+
+
+def test_differences_between_versions(rows):
+    old = rows("doc_id long, text string, digest int", (1, "a\nb\nc", 0), (2, "same", 0), (3, None, 0), (4, "gone", 0))
+    new = rows("doc_id long, text string", (1, "a\nx\nc\nc"), (2, "same"), (3, "came"), (5, ""))
+    got = {}
+    for r in fingerprints.difference(old, new).collect():
+        got.setdefault(r.doc_id, set()).add((r.digest % 2**64, r.sign))
+    of = lambda t: set(fingerprints.digests([t])[1].tolist())
+    pairs = {1: ("a\nb\nc", "a\nx\nc\nc"), 3: ("", "came"), 4: ("gone", "")}
+    assert got == {k: {(d, 1) for d in of(b) - of(a)} | {(d, -1) for d in of(a) - of(b)} for k, (a, b) in pairs.items()}
 
 
 SAID = [
