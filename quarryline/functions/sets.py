@@ -16,3 +16,8 @@ def containment(a: Column, b: Column) -> Column:
 def jaccard(a: Column, b: Column) -> Column:
     n = F.size(F.array_union(a, b))
     return F.when(n == 0, 1.0).otherwise(F.size(F.array_intersect(a, b)) / n)
+
+
+def only_left(a: Column, b: Column) -> Column:
+    """What only `a` holds, in order, as one text."""
+    return F.array_join(F.sort_array(F.array_except(a, b)), ", ")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text
+
 
 def freshness(expected: DataFrame, actual: DataFrame, key: str, value: str) -> DataFrame:
     """Keys with their state: missing, unexpected, changed or same."""
@@ -64,3 +66,28 @@ def residue(files: DataFrame, path: str, text: str, patterns: list[tuple[str, st
     """(path, pattern, hits) of every pattern that a file still holds."""
     rows = F.array(*[F.struct(F.lit(n).alias("pattern"), F.regexp_count(F.col(text), F.lit(p)).alias("hits")) for n, p in patterns])
     return files.select(path, F.inline(rows)).where("hits > 0")
+
+
+def probe(responses: DataFrame, status: str, body: str, statuses: list[int], contains: list[str], pattern: str | None = None, names: tuple[str, ...] = (), known: dict[str, str] | None = None) -> DataFrame:
+    """Responses with `outcome` and the captured `names`: status, then literals, then pattern, then captures decide.
+
+    A capture that differs from what is known of it (name -> column) is a conflict.
+    """
+    found = {k: text.capture(F.col(body), pattern, k) for k in names}
+    lacks = F.lit(False)
+    for x in contains:
+        lacks = lacks | ~F.contains(body, F.lit(x))
+    clash = F.lit(False)
+    for k, column in (known or {}).items():
+        clash = clash | F.coalesce(found[k] != F.col(column), F.lit(False))
+    outcome = F.when(~F.col(status).isin(statuses), "status").when(F.col(body).isNull() | lacks, "literal")
+    if pattern:
+        outcome = outcome.when(~F.col(body).rlike(text.java_pattern(pattern)), "pattern")
+    outcome = outcome.when(clash, "conflict").otherwise("matched")
+    return responses.withColumn("outcome", outcome).withColumns({k: F.when(F.col("outcome") == "matched", c) for k, c in found.items()})
+
+
+def best_variant(scores: DataFrame, key: str, ord_: str, variant: str, score: str) -> DataFrame:
+    """Per key the variant with the largest positive score, of equal ones the first; null where none is positive."""
+    best = F.max_by(F.when(F.col(score) > 0, F.col(variant)), F.struct(F.greatest(F.col(score), F.lit(0)), -F.col(ord_)))
+    return scores.groupBy(key).agg(best.alias(variant))

@@ -117,3 +117,9 @@ def reconcile(evidence: DataFrame, key: str, ord_: str, field: str, value: str)
     per = evidence.groupBy(key, field).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"), first.alias("_first"), F.min(ord_).alias("first_at"))
     same = F.col("_lo").eqNullSafe(F.col("_hi"))
     return per.select(key, field, F.when(same, F.col("_first")).alias(value), (~same).alias("conflict"), "first_at")
+
+
+def relabel(rows: DataFrame, code: str, labels: dict[str, str], fallback: str, out: str = "label") -> DataFrame:
+    """Rows with the label of their code, or the fallback."""
+    known = F.create_map(*[F.lit(x) for pair in labels.items() for x in pair])
+    return rows.withColumn(out, F.coalesce(F.try_element_at(known, F.col(code)), F.lit(fallback)))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -84,3 +85,15 @@ def row_health(own: Column, dependency: Column) -> Column:
 
 def attention_group(issues: Column, missing: Column, last_status: Column, status: Column) -> Column:
     return F.when((issues > 0) | (missing > 0) | last_status.isin("failed", "error"), "attention").otherwise(status)
+
+
+def progress(states: list[Column], done: str = "done", out_of_scope: str = "not_applicable") -> tuple[Column, Column]:
+    """(completed, applicable) counts of steps."""
+    count = lambda test: sum((F.coalesce(test(s), F.lit(False)).cast("int") for s in states), F.lit(0))
+    return count(lambda s: s == done), count(lambda s: s != out_of_scope)
+
+
+def hint_prefilter(title: Column, hint: Column, authorised: Column, title_ok: Callable[[Column], Column]) -> Column:
+    """Whether a candidate goes on: one without a title may be dropped by its title hint, if that is allowed to filter."""
+    absent = F.coalesce(F.length(F.trim(title)), F.lit(0)) == 0
+    return ~(absent & F.coalesce(authorised, F.lit(False)) & hint.isNotNull()) | F.coalesce(title_ok(hint), F.lit(False))

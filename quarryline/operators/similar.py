@@ -164,3 +164,22 @@ def best_pairs(rows: DataFrame, id_: str, text: str, threshold: float, k: int) -
     both = top.join(first.select(F.col("rep").alias("ra"), F.col(id_).alias("x")), "ra").join(first.select(F.col("rep").alias("rb"), F.col(id_).alias("y")), "rb")
     different = both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "score")
     return equal.unionByName(different).orderBy(*order).limit(k), member
+
+
+#: What counts as one token of code, and which of them are literals.
+TOKEN, LITERAL = r'"[^"]*"|[A-Za-z_][A-Za-z0-9_]*|[0-9][0-9A-Za-z_.]*|[^\sA-Za-z0-9_"]', r'^("|[0-9])'
+
+
+def normal_tokens(code: Column) -> Column:
+    """Tokens of code, names that `let` binds as LOCAL_1, LOCAL_2, ... by first binding, literals as LIT."""
+    names = F.array_distinct(F.regexp_extract_all(code, F.lit(r"\blet\s+(?:mut\s+)?([A-Za-z_][A-Za-z0-9_]*)"), F.lit(1)))
+    at = lambda t: F.array_position(names, t)
+    return F.transform(F.regexp_extract_all(code, F.lit(TOKEN), F.lit(0)), lambda t: F.when(t.rlike(LITERAL), "LIT").when(at(t) > 0, F.concat(F.lit("LOCAL_"), at(t).cast("string"))).otherwise(t))
+
+
+def duplicate_counts(rows: DataFrame, key: str, content: Column, excluded: Column) -> DataFrame:
+    """Rows' keys with how many rows that aren't excluded share their content; 0 for the excluded."""
+    held = rows.select(key, F.sha2(content, 256).alias("_sha"), F.coalesce(excluded, F.lit(False)).alias("_out"))
+    many = held.where(~F.col("_out")).groupBy("_sha").agg(F.count("*").alias("_n")).where("_n > 1")
+    n = F.when(F.col("_out"), 0).otherwise(F.coalesce("_n", F.lit(1)))
+    return held.join(many, "_sha", "left").select(key, n.cast("long").alias("duplicate_count"))

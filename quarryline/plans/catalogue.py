@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geo as geo_fn
-from ..functions import html, keys, text
+from ..functions import html, keys, sets, text
 from ..operators import catalog, commit, geo, link, live, paging, reduce, requests, resolve, rules, sessions, similar
 from . import profile
 
@@ -415,17 +415,17 @@ def cursor_paging(table, spark):
     return paging.cursor_chain(pages, "user_id", 12)
 
 
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT l_partkey AS parent, l_suppkey AS child FROM lineitem WHERE l_partkey < 100),
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT l_partkey AS parent, l_suppkey AS child FROM lineitem),
 w AS (SELECT CAST(0 AS BIGINT) AS node, 0 AS depth UNION SELECT child, depth + 1 FROM w JOIN e ON node = parent WHERE depth < 4)
 SELECT node, min(depth) AS depth FROM w GROUP BY 1""")
 def sitemap_bfs(table, spark):
-    edges = table("lineitem").where("l_partkey < 100").select(F.col("l_partkey").alias("parent"), F.col("l_suppkey").alias("child")).distinct()
+    edges = table("lineitem").select(F.col("l_partkey").alias("parent"), F.col("l_suppkey").alias("child")).distinct()
     return paging.sitemap_walk(edges, spark.range(1), 4)
 
 
 @query()
 def sitemap_bfs_whole(table, spark):
-    """sitemap_bfs over all edges; recursive SQL is slow there, so that a small graph tests it."""
+    """sitemap_bfs, which reads all edges too."""
     edges = table("lineitem").select(F.col("l_partkey").alias("parent"), F.col("l_suppkey").alias("child")).distinct()
     return paging.sitemap_walk(edges, spark.range(1), 4)
 
@@ -521,14 +521,14 @@ def html_to_text(table, spark):
     return table("pages").select("page_id", html.html_to_text(F.col("html")).alias("plain"))
 
 
-@query("SELECT page_id, CAST(1 AS BIGINT) AS n, 'https://example.org/' || page_id AS loc FROM pages WHERE page_id % 2 = 0")
+@query("SELECT page_id, CAST(1 AS BIGINT) AS n, 'https://example.org/' || page_id AS loc FROM pages")
 def sitemap_urls(table, spark):
-    return _sitemap_urls(table("pages").where("page_id % 2 = 0"))
+    return _sitemap_urls(table("pages"))
 
 
 @query("SELECT page_id, CAST(1 AS BIGINT) AS n, 'https://example.org/' || page_id AS loc FROM pages")
 def sitemap_urls_whole(table, spark):
-    """sitemap_urls over all pages."""
+    """sitemap_urls, which reads all pages too."""
     return _sitemap_urls(table("pages"))
 
 
@@ -540,7 +540,7 @@ def _sitemap_urls(pages: DataFrame) -> DataFrame:
 
 @query("SELECT page_id, lower(split_part(url, '#', 1)) || CASE WHEN contains(url, '#') THEN '#' || split_part(url, '#', 2) ELSE '' END AS identity FROM pages")
 def url_identity(table, spark):
-    return table("pages").select("page_id", keys.url_key(F.concat(F.upper(F.left("url", F.lit(5))), F.substring("url", 6, 10000))).alias("identity"))
+    return table("pages").select("page_id", keys.url_key(F.concat(F.upper(F.left("url", F.lit(5))), F.expr("substring(url, 6)"))).alias("identity"))
 
 
 # --- a declarative profile from end to end ---
@@ -567,8 +567,121 @@ def declarative_profile(table, spark):
     return found
 
 
+BODY = """CASE WHEN event_id % 7 = 0 THEN '{"items":' WHEN event_id % 7 = 1 THEN '{"items":[]}' WHEN event_id % 7 = 2 THEN
+'{"items":[{"kind":["a","b"]},{"kind":"' || event_type || '"}]}' ELSE '{"items":[{"kind":"' || event_type || '"}]}' END"""
+
+
+@query("""SELECT CAST(event_id AS VARCHAR) AS source_key, 0 AS doc_ord, CASE WHEN event_id % 7 = 2 THEN 0 END AS item_ord,
+CASE event_id % 7 WHEN 0 THEN 'parse_failed' WHEN 1 THEN 'selection_empty' ELSE 'too_many_values' END AS code, CASE WHEN event_id % 7 = 2 THEN 'title' END AS field FROM events WHERE event_id % 7 < 3""")
+def profile_diagnostics(table, spark):
+    docs = table("events").select(F.col("event_id").cast("string").alias("source_key"), F.lit(0).alias("doc_ord"), F.expr(BODY).alias("body"))
+    shape = {"schemaVersion": 3, "key": "d", "parse": "json", "select": {"json_path": {"path": "$.items", "unnest": True}}, "extract": {"title": {"item_field": "kind"}}}
+    return profile.diagnose(shape, docs)
+
+
+DETAIL = {
+    "schemaVersion": 3, "key": "d", "parse": "json", "select": {"json_path": {"path": "$.items", "unnest": True}},
+    "where": [{"regex": {"value": {"item_field": "kind"}, "pattern": "^(click|view|purchase)$"}}],
+    "extract": {"title": {"item_field": "kind"}, "company": {"first_non_empty": [{"item_field": "company"}, {"posting_meta": "company"}]}, "other": {"const": "never asked for"}},
+}
+
+
+@query("""SELECT event_id AS posting_id, CASE WHEN event_id % 7 IN (0, 1) THEN 'missing' WHEN event_id % 7 = 2 THEN 'multiple' WHEN event_type NOT IN ('click', 'view', 'purchase') THEN 'failed' ELSE 'found' END AS status,
+CASE WHEN event_id % 7 > 2 AND event_type IN ('click', 'view', 'purchase') THEN event_type END AS title, CASE WHEN event_id % 7 > 2 AND event_type IN ('click', 'view', 'purchase') THEN 'c' || user_id END AS company, '' AS conflicts FROM events""")
+def detail_strategy(table, spark):
+    events = table("events")
+    postings = events.select(F.col("event_id").alias("posting_id"), F.create_map(F.lit("company"), F.concat(F.lit("c"), F.col("user_id").cast("string"))).alias("meta"))
+    docs = events.select(F.col("event_id").alias("posting_id"), F.lit(0).alias("doc_ord"), F.expr(BODY).alias("body"))
+    return profile.detail(DETAIL, postings, docs, ["title", "company"])
+
+
+@query("""SELECT CAST(event_id AS VARCHAR) AS url, event_type || CASE WHEN event_id % 2 = 0 THEN ',even' ELSE '' END || ',always' AS tags FROM events""")
+def list_carrier(table, spark):
+    item = F.struct(F.col("event_id").alias("id"), F.array(F.struct(F.col("event_type").alias("t"))).alias("unused"), F.col("event_type").alias("t"), F.when(F.col("event_id") % 2 == 0, "even").alias("e"))
+    docs = table("events").select(F.col("event_id").cast("string").alias("source_key"), F.lit(0).alias("doc_ord"), F.to_json(item).alias("body"))
+    shape = {"schemaVersion": 3, "key": "d", "parse": "json", "select": {"document": {}}, "extract": {"url": {"item_field": "id"}, "tags": [{"item_field": "t"}, {"item_field": "e"}, {"item_field": "nothing"}, {"const": "always"}]}}
+    return profile.run(shape, docs)[0].select("url", F.array_join("tags", ",").alias("tags"))
+
+
+# --- gates, probes, labels ---
+
+@query("""WITH g AS (SELECT lang, source FROM documents GROUP BY 1, 2 HAVING count(*) >= 5 AND min(coalesce(length(text), 0)) >= 40 AND bool_and(coalesce(trim(source), '') <> '')),
+p AS (SELECT d.lang, d.doc_id, min(length(text)) AS shortest FROM documents d JOIN g ON d.lang = g.lang AND d.source = g.source GROUP BY 1, 2)
+SELECT lang, coalesce(strategies, 0) AS strategies, coalesce(results, 0) AS results, coalesce(ok, FALSE) AS accepted FROM (SELECT DISTINCT lang FROM documents)
+LEFT JOIN (SELECT lang, count(*) AS strategies FROM g GROUP BY 1) USING (lang) LEFT JOIN (SELECT lang, count(*) AS results, count(*) >= 3 AND min(shortest) >= 40 AS ok FROM p GROUP BY 1) USING (lang)""")
+def acceptance_two_gates(table, spark):
+    phase, strategy = {"minResults": 3, "minDescriptionLength": 40}, {"minResults": 5, "minDescriptionLength": 10, "requiredFields": ["source"]}
+    return reduce.two_gates(table("documents"), "lang", "source", "doc_id", "text", phase, strategy)
+
+
+@query("""SELECT event_type, count(*) AS locations, array_to_string(list_slice(list(loc ORDER BY met, loc), 1, 5), '; ') AS samples FROM
+(SELECT event_type, 'place ' || user_id % 40 AS loc, min(event_id) AS met FROM events GROUP BY 1, 2) GROUP BY 1""")
+def location_summaries(table, spark):
+    rows = table("events").select("event_type", "event_id", F.concat(F.lit("place "), (F.col("user_id") % 40).cast("string")).alias("loc"))
+    return reduce.location_summaries(rows, "event_type", "event_id", "loc").select("event_type", "locations", F.array_join("samples", "; ").alias("samples"))
+
+
+@query("""SELECT l_orderkey, count(*) AS n, min(l_linestatus) AS l_linestatus, min(l_linenumber) AS first_seen FROM lineitem GROUP BY 1 HAVING min(l_linestatus) = max(l_linestatus)""")
+def required_conflict_drops(table, spark):
+    out = reduce.reduce_fields(table("lineitem"), ["l_orderkey"], ["l_linestatus"], ["l_linenumber"], ("l_linestatus",), "first")
+    return out.select("l_orderkey", "n", "l_linestatus", F.col("first.l_linenumber").alias("first_seen"))
+
+
+@query("""SELECT page_id, CASE WHEN page_id % 5 = 0 THEN 'status' WHEN NOT contains(html, '<title>') THEN 'literal' WHEN NOT regexp_matches(url, '//([a-z]+)[.]example[.]([a-z]+)/') THEN 'pattern'
+WHEN page_id % 3 = 0 AND regexp_extract(url, '//([a-z]+)[.]example[.]([a-z]+)/', 2) <> 'org' THEN 'conflict' ELSE 'matched' END AS outcome FROM pages""")
+def http_probe(table, spark):
+    pages = table("pages").select("page_id", F.concat("url", F.when(F.contains("html", F.lit("<title>")), " <title>").otherwise("")).alias("body"), F.when(F.col("page_id") % 5 == 0, 404).otherwise(200).alias("status"), F.when(F.col("page_id") % 3 == 0, "org").alias("tld"))
+    out = live.probe(pages, "status", "body", [200, 204], ["<title>"], "//(?<site>[a-z]+)[.]example[.](?<zone>[a-z]+)/", ("site", "zone"), {"zone": "tld"})
+    return out.select("page_id", "outcome")
+
+
+@query("""SELECT user_id, event_type FROM (SELECT user_id, event_type, CAST(round(value) AS BIGINT) % 10 - 5 AS s, event_id FROM events)
+WHERE s > 0 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY s DESC, event_id) = 1 UNION ALL
+SELECT user_id, NULL FROM events GROUP BY 1 HAVING max(CAST(round(value) AS BIGINT) % 10 - 5) <= 0""")
+def best_variant(table, spark):
+    scores = table("events").select("user_id", "event_id", "event_type", (F.round("value").cast("long") % 10 - 5).alias("s"))
+    return live.best_variant(scores, "user_id", "event_id", "event_type", "s")
+
+
+@query("SELECT event_id, CASE event_type WHEN 'click' THEN 'A click' WHEN 'error' THEN 'It failed' ELSE 'Something else' END AS label FROM events")
+def relabelled_diagnostics(table, spark):
+    return requests.relabel(table("events").select("event_id", "event_type"), "event_type", {"click": "A click", "error": "It failed"}, "Something else").select("event_id", "label")
+
+
+@query("""SELECT o_orderkey, CAST(o_orderstatus = 'F' AS INTEGER) + CAST(o_totalprice > 200000 AS INTEGER) AS completed, 1 + CAST(o_orderpriority <> '5-LOW' OR o_totalprice > 200000 AS INTEGER) AS applicable FROM orders""")
+def preparation_progress(table, spark):
+    first = F.when(F.col("o_orderstatus") == "F", "done").otherwise("open")
+    second = F.when(F.col("o_totalprice") > 200000, "done").when(F.col("o_orderpriority") == "5-LOW", "not_applicable").otherwise("open")
+    completed, applicable = rules.progress([first, second])
+    return table("orders").select("o_orderkey", completed.alias("completed"), applicable.alias("applicable"))
+
+
+@query("""SELECT p_partkey FROM part WHERE p_partkey % 3 <> 0 OR p_partkey % 2 = 0 OR contains(p_name, 'ring')""")
+def hint_prefilter(table, spark):
+    title, hint = F.when(F.col("p_partkey") % 3 != 0, F.col("p_name")), F.col("p_name")
+    keep = rules.hint_prefilter(title, hint, F.col("p_partkey") % 2 == 1, lambda t: F.contains(t, F.lit("ring")))
+    return table("part").where(keep).select("p_partkey")
+
+
 # --- linkage, similarity ---
 
+@query("""SELECT p_partkey, 'let LOCAL_1 = LIT ; let LOCAL_2 = LOCAL_1 + LIT ; ' || lower(p_brand[1:5]) || ' ( LOCAL_2 , LOCAL_1 , c )' AS tokens FROM part""")
+def code_tokens(table, spark):
+    code = F.concat(F.lit("let a = "), F.col("p_size").cast("string"), F.lit('; let mut b = a + "'), F.col("p_name"), F.lit('";'), F.lower(F.left("p_brand", F.lit(5))), F.lit("(b, a, c)"))
+    return table("part").select("p_partkey", F.array_join(F.filter(similar.normal_tokens(code), lambda t: t != "mut"), " ").alias("tokens"))
+
+
+@query("""SELECT doc_id, CASE WHEN n_chars < 200 THEN 0 ELSE n END AS duplicate_count FROM (SELECT doc_id, n_chars, count(*) FILTER (n_chars >= 200) OVER (PARTITION BY sha256(coalesce(text, ''))) AS n FROM documents)""")
+def duplicate_counts(table, spark):
+    return similar.duplicate_counts(table("documents"), "doc_id", F.coalesce("text", F.lit("")), F.col("n_chars") < 200)
+
+
+@query("""SELECT p_partkey, array_to_string(list_sort(list_filter(list_distinct(string_split(lower(p_name), ' ')), x -> NOT list_contains(string_split(lower(p_type), ' '), x))), ', ') AS only_name FROM part""".replace("x -> NOT", "lambda x: NOT"))
+def set_difference(table, spark):
+    words = lambda c: F.split(F.lower(c), " ")
+    return table("part").select("p_partkey", sets.only_left(words("p_name"), words("p_type")).alias("only_name"))
+
+
 @query("""WITH t AS (SELECT p_brand, list_sort(list_distinct(string_split(lower(p_name || CASE WHEN p_partkey % 2 = 0 THEN ' ' || p_type ELSE '' END), ' '))) AS toks, min(p_partkey) AS rep FROM part GROUP BY 1, 2),
 p AS (SELECT x.p_brand, x.rep AS a, y.rep AS b, len(list_intersect(x.toks, y.toks)) AS shared, least(len(list_distinct(x.toks)), len(list_distinct(y.toks))) AS small, len(list_distinct(list_concat(x.toks, y.toks))) AS every FROM t x JOIN t y ON x.p_brand = y.p_brand AND x.rep < y.rep)
 SELECT p_brand, a, b, round(shared / small, 6) AS containment, round(shared / every, 6) AS jaccard FROM p WHERE shared / small >= 0.9 AND shared / every >= 0.55""")

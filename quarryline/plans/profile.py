@@ -51,11 +51,12 @@ class Scope:
     config: dict
     captures: dict[str, Column]
     depth: int = 0
+    meta: Column | None = None  # what is known of a posting, in its detail
 
     def deeper(self) -> Scope:
         if self.depth >= 16:
             raise Invalid("expressions are nested too deep")
-        return Scope(self.json, self.config, self.captures, self.depth + 1)
+        return Scope(self.json, self.config, self.captures, self.depth + 1, self.meta)
 
 
 def variant_texts(v: Column, path: str) -> Column:
@@ -75,6 +76,10 @@ def values(e: dict, scope: Scope, at: str) -> Column:
     if name == "source_config":
         got = scope.config.get(arg)
         return F.array(*[F.lit(str(x)) for x in (got if isinstance(got, list) else [got] if got is not None else [])]).cast("array<string>")
+    if name == "posting_meta":
+        if scope.meta is None:
+            raise Invalid(f"{at}: only details know postings")
+        return F.array(F.try_element_at(scope.meta, F.lit(arg)))
     if name == "capture":
         if arg not in scope.captures:
             raise Invalid(f"{at}: unknown capture {arg}")
@@ -132,11 +137,22 @@ def sequence(e: dict, scope: Scope, at: str) -> Column:
     return text.leaf(transformed(F.filter(values(e, scope, at), lambda x: x.isNotNull()), e.get("transforms", []), at))
 
 
+def scalars(e: dict, scope: Scope, at: str) -> Column:
+    got = transformed(F.filter(values(e, scope, at), lambda x: x.isNotNull()), e.get("transforms", []), at)
+    return F.transform(got, text.normalize_whitespace)
+
+
+def lists(e: dict | list, scope: Scope, at: str) -> Column:
+    """A list field: one expression, or several whose values are joined; a member without any is skipped."""
+    if isinstance(e, dict):
+        return sequence(e, scope, at)
+    members = [F.coalesce(sequence(x, scope, f"{at}.{i}"), F.array().cast("array<string>")) for i, x in enumerate(e)]
+    return F.flatten(F.array(*members))
+
+
 def value(e: dict, scope: Scope, at: str) -> Column:
     """A scalar: by cardinality, null where nothing is there or too much."""
-    got = transformed(F.filter(values(e, scope, at), lambda x: x.isNotNull()), e.get("transforms", []), at)
-    got = F.transform(got, text.normalize_whitespace)
-    kind = e.get("cardinality", "one")
+    got, kind = scalars(e, scope, at), e.get("cardinality", "one")
     if kind not in ("one", "optional", "first"):
         raise Invalid(f"{at}: a scalar can't be {kind}")
     return text.first(got) if kind == "first" else text.one(got)
@@ -182,11 +198,16 @@ def items(profile: dict, docs: DataFrame) -> tuple[DataFrame, bool]:
     return docs.select(*keys, F.posexplode(found).alias("item_ord", "item")), False
 
 
-def run(profile: dict, docs: DataFrame, config: dict | None = None) -> tuple[DataFrame, DataFrame]:
-    """(occurrences, acceptance by source) of stored documents (source_key, doc_ord, body)."""
-    check(profile)
-    rows, json = items(profile, docs)
-    scope = Scope(json, config or {}, {})
+def several(profile: dict, scope: Scope) -> dict[str, Column]:
+    """Per scalar field that takes one value at most, whether it gets several."""
+    single = {f: e for f, e in profile["extract"].items() if isinstance(e, dict) and e.get("cardinality", "one") in ("one", "optional")}
+    # only these expressions can give more than one value; asking the others would compute them twice
+    many = {f: e for f, e in single.items() if set(e) & {"item_field", "json_path", "css_text", "css_attribute", "xml_text", "xml_element", "source_config"}}
+    return {f: text.too_many(scalars(e, scope, f"extract.{f}")) for f, e in many.items()}
+
+
+def selected(profile: dict, scope: Scope, rows: DataFrame) -> DataFrame:
+    """Items with their captures, without those that a capture or a condition drops. Fills the scope's captures."""
     for i, c in enumerate(profile.get("captures", [])):
         only(c, {"key", "from", "pattern"}, f"captures.{i}")
         name = f"capture_{c['key']}"
@@ -195,12 +216,48 @@ def run(profile: dict, docs: DataFrame, config: dict | None = None) -> tuple[Dat
         scope.captures[c["key"]] = F.col(name)
     for i, p in enumerate(profile.get("where", [])):
         rows = rows.where(condition(p, scope, f"where.{i}"))
-    out = []
-    for field, e in profile["extract"].items():
-        whole = e.get("cardinality") == "all"
-        out.append((sequence if whole else value)(e, scope, f"extract.{field}").alias(field))
+    return rows
+
+
+def extracted(profile: dict, scope: Scope, fields: list[str] | None = None) -> list[Column]:
+    wanted = {f: e for f, e in profile["extract"].items() if fields is None or f in fields}
+    whole = lambda e: isinstance(e, list) or e.get("cardinality") == "all"
+    return [(lists if whole(e) else value)(e, scope, f"extract.{f}").alias(f) for f, e in wanted.items()]
+
+
+def diagnose(profile: dict, docs: DataFrame, config: dict | None = None) -> DataFrame:
+    """(source_key, doc_ord, item_ord, code, field): documents that don't parse, empty selections (but of a sitemap),
+    and fields of items that get several values where they take one."""
+    check(profile)
+    rows, json = items(profile, docs)
+    keys, none = ["source_key", "doc_ord"], F.lit(None)
+    parsed = F.try_parse_json("body").isNotNull() if json else F.col("body").isNotNull()
+    bad = docs.where(~parsed | F.col("body").isNull()).select(*keys, none.cast("int").alias("item_ord"), F.lit("parse_failed").alias("code"), none.cast("string").alias("field"))
+    scope = Scope(json, config or {}, {})
+    if next(iter(profile["select"])) != "sitemap_urls":
+        has = rows.where(F.col("item").isNotNull()).select(*keys).distinct() if json else rows.select(*keys).distinct()
+        empty = docs.where(parsed).select(*keys).join(has, keys, "left_anti")
+        bad = bad.unionByName(empty.select(*keys, none.cast("int").alias("item_ord"), F.lit("selection_empty").alias("code"), none.cast("string").alias("field")))
+    rows = selected(profile, scope, rows)
+    if faults := several(profile, scope):
+        told = F.filter(F.array(*[F.when(c, F.lit(f)) for f, c in faults.items()]), lambda f: f.isNotNull())
+        bad = bad.unionByName(rows.select(*keys, "item_ord", F.lit("too_many_values").alias("code"), F.explode(told).alias("field")))
+    return bad
+
+
+def run(profile: dict, docs: DataFrame, config: dict | None = None) -> tuple[DataFrame, DataFrame]:
+    """(occurrences, acceptance by source) of stored documents (source_key, doc_ord, body).
+
+    An item whose scalar field gets several values is dropped; `diagnose` tells of it.
+    """
+    check(profile)
+    rows, json = items(profile, docs)
+    scope = Scope(json, config or {}, {})
+    rows = selected(profile, scope, rows)
+    for c in several(profile, scope).values():
+        rows = rows.where(~c)
     fields = list(profile["extract"])
-    found = rows.select("source_key", "doc_ord", "item_ord", *out)
+    found = rows.select("source_key", "doc_ord", "item_ord", *extracted(profile, scope))
     identity = profile.get("identity", fields[0])
     if identity not in fields:
         raise Invalid(f"identity: unknown field {identity}")
@@ -211,3 +268,31 @@ def run(profile: dict, docs: DataFrame, config: dict | None = None) -> tuple[Dat
     body = F.col("description") if "description" in fields else None
     gate = grouped.acceptance(reduced, "source_key", [F.col(f).cast("string") for f in accept.get("requiredFields", [])], accept.get("minResults", 0), body, accept.get("minDescriptionLength", 0))
     return reduced, gate
+
+
+def detail(profile: dict, postings: DataFrame, docs: DataFrame, wanted: list[str], config: dict | None = None) -> DataFrame:
+    """Postings (posting_id, meta) with what their detail documents (posting_id, doc_ord, body) say of the `wanted` fields.
+
+    A document's selection has to hold exactly one item for its posting;
+    `status` is missing, multiple, failed (an item dropped) or found. Fields
+    that several documents of a posting tell differently are null and listed.
+    Fields that aren't wanted are never extracted.
+    """
+    check(profile)
+    if extra := set(wanted) - set(profile["extract"]):
+        raise Invalid(f"detail: unknown fields {sorted(extra)}")
+    rows, json = items(profile, docs.withColumnRenamed("posting_id", "source_key"))
+    rows = rows.where(F.col("item").isNotNull())
+    counted = rows.groupBy("source_key", "doc_ord").agg(F.count("*").alias("_n"))
+    per = counted.groupBy("source_key").agg(F.max("_n").alias("_n"))
+    known = postings.select(F.col("posting_id").alias("source_key"), "meta")
+    scope = Scope(json, config or {}, {}, meta=F.col("meta"))
+    one = rows.join(counted.where("_n = 1").select("source_key", "doc_ord"), ["source_key", "doc_ord"], "left_semi").join(known, "source_key")
+    one = selected(profile, scope, one)
+    for f, c in several(profile, scope).items():
+        if f in wanted:
+            one = one.where(~c)
+    told = grouped.reduce_fields(one.select("source_key", "doc_ord", "item_ord", *extracted(profile, scope, wanted)), ["source_key"], wanted, ["doc_ord", "item_ord"])
+    status = F.when(F.col("_n").isNull(), "missing").when(F.col("_n") > 1, "multiple").when(F.col("n").isNull(), "failed").otherwise("found")
+    out = known.join(per, "source_key", "left").join(told, "source_key", "left")
+    return out.select(F.col("source_key").alias("posting_id"), status.alias("status"), *[F.when(status == "found", F.col(f)).alias(f) for f in wanted], F.coalesce("conflicts", F.lit("")).alias("conflicts"))

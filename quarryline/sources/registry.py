@@ -53,3 +53,20 @@ def read_sessions(spark: SparkSession, path: str) -> DataFrame:
 def decoded(body: Column, charset: str) -> Column:
     """Bytes as text, null where they aren't of the charset."""
     return F.when(F.is_valid_utf8(body.cast("string")), body.cast("string")) if charset.lower() == "utf-8" else F.decode(body, charset)
+
+
+#: Folders that a scan of sources doesn't enter.
+SKIPPED = ("target", ".git", "node_modules")
+
+
+def source_files(spark: SparkSession, root: str, suffix: str = ".rs", skip: tuple[str, ...] = SKIPPED) -> DataFrame:
+    """(path, length, text, error) of the files below `root` that end so; an undecodable one has an error and no text."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", f"*{suffix}").load(root)
+    inside = ~F.array_contains(F.transform(F.split("path", "/"), lambda p: p.isin(list(skip))), True)
+    text = F.try_validate_utf8(F.col("content").cast("string"))
+    return files.where(inside).select("path", "length", text.alias("text"), F.when(text.isNull(), "not UTF-8").alias("error"))
+
+
+def listed_files(spark: SparkSession, root: str, names: list[str]) -> DataFrame:
+    """(path, lines) of the files of a list, as version control gives it."""
+    return spark.read.text([f"{root}/{n}" for n in names], wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.regexp_count("value", F.lit("\n")).alias("lines"))
