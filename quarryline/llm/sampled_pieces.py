@@ -41,10 +41,10 @@ from .shared import documents, fresh
 from .words import chunks, spread
 
 K = 2
-CACHE = 200_000  # units; beyond it the third used most stays
-LATTICE_CHARS = 150_000  # of units put in at a time
+CACHE = 90_000  # units; beyond it the third used most stays
+LATTICE_CHARS = 60_000  # of units put in at a time
 DRAWN = "draw int, ids array<int>, log_prob double, log_inclusion double"
-CHUNK = 1_000_000
+CHUNK = 400_000
 
 
 TRIES = ("try", "try again", "try once more")
