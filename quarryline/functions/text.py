@@ -78,8 +78,13 @@ def capture(c: Column, pattern: str, name: str) -> Column:
 
 # --- cardinality: arrays to one value, with an error where several are too many ---
 
+def let(c: Column, f) -> Column:
+    """f(c), where f reads c several times and c is computed once."""
+    return F.element_at(F.transform(F.array(c), f), 1)
+
+
 def one(values: Column) -> Column:
-    return F.when(F.size(values) <= 1, F.try_element_at(values, F.lit(1)))
+    return let(values, lambda v: F.when(F.size(v) <= 1, F.try_element_at(v, F.lit(1))))
 
 
 def too_many(values: Column) -> Column:
@@ -100,17 +105,15 @@ def leaf(values: Column) -> Column:
 def first_non_empty(*parts: Column) -> Column:
     if len(parts) > 16:
         raise ValueError("at most 16 candidates")
-    return F.coalesce(*[F.nullif(p, F.lit("")) for p in parts], F.lit(""))
+    return F.coalesce(first(F.filter(F.array(*parts), lambda p: p != "")), F.lit(""))
 
 
 def combine(separator: str, parts: list[tuple[Column, bool]]) -> tuple[Column, Column]:
     """(joined text, error): parts joined; an empty optional part is skipped, a required one is an error."""
-    filled = [F.nullif(p, F.lit("")) for p, _ in parts]
-    missing = [f.isNull() for f, (_, required) in zip(filled, parts, strict=True) if required]
-    error = F.lit(False)
-    for m in missing:
-        error = error | m
-    return F.when(~error, F.concat_ws(separator, *filled)), error
+    required = [i for i, (_, needed) in enumerate(parts) if needed]
+    wrong = lambda v: F.exists(F.array(*[F.coalesce(v[i], F.lit("")) for i in required]), lambda x: x == "") if required else F.lit(False)
+    given = F.array(*[p for p, _ in parts])
+    return let(given, lambda v: F.when(~wrong(v), F.array_join(F.filter(v, lambda x: x != ""), separator))), wrong(given)
 
 
 def template(text: str, values: dict[str, Column]) -> Column:

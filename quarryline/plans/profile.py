@@ -10,7 +10,7 @@ ordinal: (document, item).
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -52,19 +52,52 @@ class Scope:
     captures: dict[str, Column]
     depth: int = 0
     meta: Column | None = None  # what is known of a posting, in its detail
+    paths: dict[str, Column] = field(default_factory=dict)  # texts at the paths that were read ahead
 
     def deeper(self) -> Scope:
         if self.depth >= 16:
             raise Invalid("expressions are nested too deep")
-        return Scope(self.json, self.config, self.captures, self.depth + 1, self.meta)
+        return replace(self, depth=self.depth + 1)
 
+    def texts(self, path: str) -> Column:
+        return self.paths[path] if path in self.paths else variant_texts(F.col("item"), path)
 
-def variant_texts(v: Column, path: str) -> Column:
+
+def gets(v: Column, path: str) -> tuple[Column, Column]:
+    """What stands at a path, as an array of texts and as one text."""
+    return F.try_variant_get(v, path, "array<string>"), F.try_variant_get(v, path, "string")
+
+
+def variant_texts(v: Column, path: str, got: tuple[Column, Column] | None = None) -> Column:
     """Scalars at a path as an array of texts; arrays spread, objects and nulls dropped."""
-    many = F.try_variant_get(v, path, "array<string>")
-    single = F.try_variant_get(v, path, "string")
-    kind = F.schema_of_variant(F.try_variant_get(v, path, "variant"))
-    return F.when(kind.startswith("ARRAY"), F.filter(many, lambda x: x.isNotNull())).when(kind.startswith("OBJECT") | single.isNull(), F.array().cast("array<string>")).otherwise(F.array(single))
+    many, single = got or gets(v, path)
+    # an object's text begins with a brace; only then its kind is asked for
+    object_ = single.startswith("{") & F.schema_of_variant(F.try_variant_get(v, path, "variant")).startswith("OBJECT")
+    return F.when(many.isNotNull(), F.filter(many, lambda x: x.isNotNull())).when(single.isNull() | object_, F.array().cast("array<string>")).otherwise(F.array(single))
+
+
+def reads(e: object) -> list[str]:
+    """The JSON paths that expressions read, each once."""
+    found: list[str] = []
+    for name, arg in e.items() if isinstance(e, dict) else enumerate(e) if isinstance(e, list) else ():
+        if name == "item_field":
+            found.append(f"$.{arg}")
+        elif name == "json_path":
+            found.append(arg)
+        elif name == "template":
+            found += [f"$.{f}" for f in re.findall(r"\{\{item:([\w.]+)\}\}", arg)]
+        else:
+            found += reads(arg)
+    return list(dict.fromkeys(found))
+
+
+def computed(rows: DataFrame, columns: list[Column]) -> DataFrame:
+    """Rows with further columns that are computed once.
+
+    A projection would be copied into each expression and filter that reads
+    it; the output of a generator isn't.
+    """
+    return rows.select("*", F.inline(F.array(F.struct(*columns)))) if columns else rows
 
 
 def values(e: dict, scope: Scope, at: str) -> Column:
@@ -92,11 +125,11 @@ def values(e: dict, scope: Scope, at: str) -> Column:
         path = f"$.{arg}" if name == "item_field" else arg
         if not PATH.match(path):
             raise Invalid(f"{at}: path not supported: {path}")
-        return variant_texts(item, path)
+        return scope.texts(path)
     if name == "template":
         named = {f"capture:{k}": c for k, c in scope.captures.items()} | {f"config:{k}": F.lit(str(v)) for k, v in scope.config.items()}
         fields = set(re.findall(r"\{\{item:([\w.]+)\}\}", arg))
-        named |= {f"item:{f}": text.first(variant_texts(item, f"$.{f}") if scope.json else F.array(item)) for f in fields}
+        named |= {f"item:{f}": text.first(scope.texts(f"$.{f}") if scope.json else F.array(item)) for f in fields}
         try:
             return F.array(text.template(arg, named))
         except KeyError as k:
@@ -199,19 +232,25 @@ def items(profile: dict, docs: DataFrame) -> tuple[DataFrame, bool]:
 
 
 def several(profile: dict, scope: Scope) -> dict[str, Column]:
-    """Per scalar field that takes one value at most, whether it gets several."""
+    """Of the scalar fields that take one value at most, those that may get several: their values."""
     single = {f: e for f, e in profile["extract"].items() if isinstance(e, dict) and e.get("cardinality", "one") in ("one", "optional")}
-    # only these expressions can give more than one value; asking the others would compute them twice
+    # only these expressions can give more than one value
     many = {f: e for f, e in single.items() if set(e) & {"item_field", "json_path", "css_text", "css_attribute", "xml_text", "xml_element", "source_config"}}
-    return {f: text.too_many(scalars(e, scope, f"extract.{f}")) for f, e in many.items()}
+    return {f: scalars(e, scope, f"extract.{f}") for f, e in many.items()}
 
 
 def selected(profile: dict, scope: Scope, rows: DataFrame) -> DataFrame:
-    """Items with their captures, without those that a capture or a condition drops. Fills the scope's captures."""
+    """Items with their captures, without those that a capture or a condition drops. Fills the scope's captures and paths."""
+    if scope.json:
+        ahead = {p: f"path_{i}" for i, p in enumerate(p for p in reads([profile.get("captures", []), profile.get("where", []), profile["extract"]]) if PATH.match(p))}
+        rows = computed(rows, [c.alias(f"{kind}_{name}") for p, name in ahead.items() for kind, c in zip(("many", "single"), gets(F.col("item"), p), strict=True)])
+        rows = computed(rows, [variant_texts(F.col("item"), p, (F.col(f"many_{name}"), F.col(f"single_{name}"))).alias(name) for p, name in ahead.items()])
+        scope.paths.update({p: F.col(name) for p, name in ahead.items()})
     for i, c in enumerate(profile.get("captures", [])):
         only(c, {"key", "from", "pattern"}, f"captures.{i}")
         name = f"capture_{c['key']}"
-        rows = rows.withColumn(name, text.capture(value(c["from"], scope, f"captures.{i}"), c["pattern"], c["key"]))
+        rows = computed(rows, [value(c["from"], scope, f"captures.{i}").alias(f"from_{i}")])
+        rows = computed(rows, [text.capture(F.col(f"from_{i}"), c["pattern"], c["key"]).alias(name)])
         rows = rows.where(F.col(name).isNotNull())  # a failed capture drops the item
         scope.captures[c["key"]] = F.col(name)
     for i, p in enumerate(profile.get("where", [])):
@@ -219,10 +258,15 @@ def selected(profile: dict, scope: Scope, rows: DataFrame) -> DataFrame:
     return rows
 
 
-def extracted(profile: dict, scope: Scope, fields: list[str] | None = None) -> list[Column]:
-    wanted = {f: e for f, e in profile["extract"].items() if fields is None or f in fields}
+def extracted(profile: dict, scope: Scope, rows: DataFrame, wanted: list[str]) -> DataFrame:
+    """(source_key, doc_ord, item_ord, wanted fields): an item whose scalar field gets several values is dropped."""
     whole = lambda e: isinstance(e, list) or e.get("cardinality") == "all"
-    return [(lists if whole(e) else value)(e, scope, f"extract.{f}").alias(f) for f, e in wanted.items()]
+    many = {f: c for f, c in several(profile, scope).items() if f in wanted}
+    get = lambda f, e: many[f] if f in many else (lists if whole(e) else value)(e, scope, f"extract.{f}")
+    rows = computed(rows, [get(f, profile["extract"][f]).alias(f"field_{f}") for f in wanted])
+    for f in many:
+        rows = rows.where(~text.too_many(F.col(f"field_{f}")))
+    return rows.select("source_key", "doc_ord", "item_ord", *[(text.first(F.col(f"field_{f}")) if f in many else F.col(f"field_{f}")).alias(f) for f in wanted])
 
 
 def diagnose(profile: dict, docs: DataFrame, config: dict | None = None) -> DataFrame:
@@ -240,7 +284,7 @@ def diagnose(profile: dict, docs: DataFrame, config: dict | None = None) -> Data
         bad = bad.unionByName(empty.select(*keys, none.cast("int").alias("item_ord"), F.lit("selection_empty").alias("code"), none.cast("string").alias("field")))
     rows = selected(profile, scope, rows)
     if faults := several(profile, scope):
-        told = F.filter(F.array(*[F.when(c, F.lit(f)) for f, c in faults.items()]), lambda f: f.isNotNull())
+        told = F.filter(F.array(*[F.when(text.too_many(c), F.lit(f)) for f, c in faults.items()]), lambda f: f.isNotNull())
         bad = bad.unionByName(rows.select(*keys, "item_ord", F.lit("too_many_values").alias("code"), F.explode(told).alias("field")))
     return bad
 
@@ -254,10 +298,8 @@ def run(profile: dict, docs: DataFrame, config: dict | None = None) -> tuple[Dat
     rows, json = items(profile, docs)
     scope = Scope(json, config or {}, {})
     rows = selected(profile, scope, rows)
-    for c in several(profile, scope).values():
-        rows = rows.where(~c)
     fields = list(profile["extract"])
-    found = rows.select("source_key", "doc_ord", "item_ord", *extracted(profile, scope))
+    found = extracted(profile, scope, rows, fields)
     identity = profile.get("identity", fields[0])
     if identity not in fields:
         raise Invalid(f"identity: unknown field {identity}")
@@ -289,10 +331,7 @@ def detail(profile: dict, postings: DataFrame, docs: DataFrame, wanted: list[str
     scope = Scope(json, config or {}, {}, meta=F.col("meta"))
     one = rows.join(counted.where("_n = 1").select("source_key", "doc_ord"), ["source_key", "doc_ord"], "left_semi").join(known, "source_key")
     one = selected(profile, scope, one)
-    for f, c in several(profile, scope).items():
-        if f in wanted:
-            one = one.where(~c)
-    told = grouped.reduce_fields(one.select("source_key", "doc_ord", "item_ord", *extracted(profile, scope, wanted)), ["source_key"], wanted, ["doc_ord", "item_ord"])
+    told = grouped.reduce_fields(extracted(profile, scope, one, wanted), ["source_key"], wanted, ["doc_ord", "item_ord"])
     status = F.when(F.col("_n").isNull(), "missing").when(F.col("_n") > 1, "multiple").when(F.col("n").isNull(), "failed").otherwise("found")
     out = known.join(per, "source_key", "left").join(told, "source_key", "left")
     return out.select(F.col("source_key").alias("posting_id"), status.alias("status"), *[F.when(status == "found", F.col(f)).alias(f) for f in wanted], F.coalesce("conflicts", F.lit("")).alias("conflicts"))

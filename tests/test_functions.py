@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarryline.functions import geo, html, keys, text
+from quarryline.plans import profile
 
 
 def one(df, c):
@@ -115,3 +116,17 @@ def test_xml(rows):
     assert [r.x for r in df.select(html.xml_text(F.col("s"), "r/j/t").alias("x")).collect()] == [["a b", "c"], None]
     assert one(df, html.xml_element(F.col("s"), "t")) == ["a b", "c"]
     assert one(df, html.sitemap_urls(F.lit("<u><url><loc> http://a \n</loc></url><url><loc/></url></u>"))) == ["http://a"]
+
+
+def test_texts_at_a_path_and_parts_read_once(spark):
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(['{"a": "x"}', '{"a": ["x", null, "y"]}', '{"a": {"b": 1}}', '{"a": "{x}"}', '{"a": null}', "{}", '{"a": []}', '{"a": 1}'])], "i int, t string")
+    got = rows.select("i", profile.variant_texts(F.parse_json("t"), "$.a").alias("v")).orderBy("i").collect()
+    assert [r.v for r in got] == [["x"], ["x", "y"], [], ["{x}"], [], [], [], ["1"]]
+    parts = spark.createDataFrame([("a", "b"), ("a", ""), ("a", None), ("", "b"), (None, "b"), (None, None)], "p string, q string")
+    joined, error = text.combine("-", [(F.col("p"), True), (F.col("q"), False)])
+    assert [tuple(r) for r in parts.select(joined, error, text.first_non_empty(F.col("p"), F.col("q"))).collect()] == [
+        ("a-b", False, "a"), ("a", False, "a"), ("a", False, "a"), (None, True, "b"), (None, True, "b"), (None, True, ""),
+    ]
+    free, wrong = text.combine("-", [(F.col("p"), False), (F.col("q"), False)])
+    assert [tuple(r) for r in parts.select(free, wrong).collect()][-1] == ("", False)
+    assert profile.reads([{"x": {"item_field": "a"}}, {"template": "{{item:b.c}} {{capture:d}}"}, {"json_path": "$.a", "transforms": ["trim"]}]) == ["$.a", "$.b.c"]
