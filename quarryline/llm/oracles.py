@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .chat import CONTROL, END, MID, OPEN
+from .line_dedup import LEAST_CHARS
 from .near_dedup import SHINGLE, SIMILAR
 from .secrets import RULES
 from .substring_dedup import WINDOW
@@ -64,3 +65,15 @@ WITH f AS ({" UNION ALL ".join(spans_sql(i) for i in range(len(RULES)))}),
 g AS (SELECT doc_id, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, ord) AS spans, {", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k, *_ in RULES)} FROM f GROUP BY 1)
 SELECT d.doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k, *_ in RULES)}, sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans FROM documents d LEFT JOIN g ON d.doc_id = g.doc_id
 """
+
+LINE_DEDUP = f"""
+WITH l AS (SELECT doc_id, i, line, translate(trim(line, concat({", ".join(f"chr({c})" for c in (32, 9, 10, 11, 12, 13))})), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+FROM (SELECT doc_id, unnest(range(len(ls))) AS i, unnest(ls) AS line FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents))),
+f AS (SELECT key, min(doc_id) AS first FROM l WHERE length(key) >= {LEAST_CHARS} GROUP BY 1),
+g AS (SELECT l.*, coalesce(first < doc_id, false) AS gone FROM l LEFT JOIN f ON l.key = f.key),
+k AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256,
+CASE WHEN max(i) FILTER (gone) < 255 THEN 1 WHEN max(i) FILTER (gone) < 65535 THEN 2 ELSE 4 END AS w FROM g GROUP BY 1),
+r AS (SELECT doc_id, min(i) AS s, max(i) + 1 AS e FROM (SELECT doc_id, i, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS run FROM g WHERE gone) GROUP BY doc_id, run),
+b AS (SELECT doc_id, string_agg(lpad(lower(hex(s)), 2 * w, '0') || lpad(lower(hex(e)), 2 * w, '0'), '' ORDER BY s) AS edges FROM r JOIN k USING (doc_id) GROUP BY 1)
+SELECT k.doc_id, n_lines, n_dropped, kept_sha256, coalesce('0' || w || edges, '') AS keep FROM k LEFT JOIN b ON k.doc_id = b.doc_id
+"""

@@ -7,6 +7,7 @@ from .chat import op5_chat_formatting
 from .decontamination import op1_decontamination
 from .fingerprints import op3_fingerprints
 from .language_id import op6_language_id
+from .line_dedup import op11_line_dedup
 from .near_dedup import op2_minhash_near_dedup
 from .quality import op7_quality_classifier
 from .sampled_pieces import op10_sentencepiece
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_sharding": op8_sharding,
     "op9_secret_scans": op9_secret_scans,
     "op10_sentencepiece": op10_sentencepiece,
+    "op11_line_dedup": op11_line_dedup,
 }
 #: Of those that SQL can express; the others are held against brute force, round trips or held-out rows in tests/llm.
 ORACLE_SQL: dict[str, str] = {
@@ -32,4 +34,5 @@ ORACLE_SQL: dict[str, str] = {
     "op4_substring_dedup": oracles.SUBSTRING_DEDUP,
     "op5_chat_formatting": oracles.CHAT,
     "op9_secret_scans": oracles.SECRETS,
+    "op11_line_dedup": oracles.LINE_DEDUP,
 }
