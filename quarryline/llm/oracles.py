@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from .chat import CONTROL, END, MID, OPEN
+from .divergence import LEAST_DOCUMENTS, SCALE, SMOOTHING, TOP_TERMS
 from .line_dedup import LEAST_CHARS
 from .near_dedup import SHINGLE, SIMILAR
+from .ranked_search import TOP
 from .secrets import RULES
 from .substring_dedup import WINDOW
 
@@ -77,3 +79,33 @@ r AS (SELECT doc_id, min(i) AS s, max(i) + 1 AS e FROM (SELECT doc_id, i, i - ro
 b AS (SELECT doc_id, string_agg(lpad(lower(hex(s)), 2 * w, '0') || lpad(lower(hex(e)), 2 * w, '0'), '' ORDER BY s) AS edges FROM r JOIN k USING (doc_id) GROUP BY 1)
 SELECT k.doc_id, n_lines, n_dropped, kept_sha256, coalesce('0' || w || edges, '') AS keep FROM k LEFT JOIN b ON k.doc_id = b.doc_id
 """
+
+SMALL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+DIVERGENCE = f"""
+WITH d AS (SELECT row_number() OVER () AS doc, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all({SMALL}, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS ws FROM documents),
+t AS (SELECT doc, lang, source, term, count(*) AS n FROM (SELECT doc, lang, source, unnest(ws) AS term FROM d) GROUP BY ALL),
+k AS (SELECT lang, term FROM t GROUP BY ALL HAVING count(*) >= {LEAST_DOCUMENTS}),
+c AS (SELECT lang, source, term, sum(n) AS n FROM t SEMI JOIN k USING (lang, term) GROUP BY ALL),
+v AS (SELECT lang, count(*) AS terms FROM k GROUP BY ALL),
+g AS (SELECT lang, source, coalesce(total, 0) AS total, coalesce(terms, 0) AS terms FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN (SELECT lang, source, sum(n) AS total FROM c GROUP BY ALL) USING (lang, source) LEFT JOIN v USING (lang)),
+s AS (SELECT g.lang, g.source, k.term, coalesce(n, 0) AS n, 1 + ({SCALE}::HUGEINT * (coalesce(n, 0) + {SMOOTHING})) // (total + {SMOOTHING} * terms) AS p FROM g JOIN k USING (lang) LEFT JOIN c USING (lang, source, term)),
+l AS (SELECT lang, term, 1 + ({SCALE}::HUGEINT * (sum(n) + {SMOOTHING})) // (any_value(total) + {SMOOTHING} * any_value(terms)) AS q FROM c JOIN (SELECT lang, sum(total) AS total, any_value(terms) AS terms FROM g GROUP BY ALL) USING (lang) GROUP BY ALL),
+f AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+LEFT JOIN (SELECT x.lang, x.source, y.source AS item, sum(abs(x.p - y.p)) AS value FROM s x JOIN s y USING (lang, term) GROUP BY ALL) w ON w.lang = a.lang AND w.source = a.source AND w.item = b.source
+UNION ALL SELECT lang, source, 'term', term, p - q FROM s JOIN l USING (lang, term) WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM f) WHERE part = 'pair' OR rank <= {TOP_TERMS}
+"""
+
+TERMS_OF = f"regexp_extract_all({SMALL}, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+
+RANKED_SEARCH = f"""
+WITH d AS (SELECT doc_id, {TERMS_OF} AS ws FROM documents),
+n AS (SELECT doc_id, len(ws) AS n FROM d WHERE len(ws) > 0),
+g AS (SELECT count(*) AS all_docs, sum(n)::BIGINT AS all_terms FROM n),
+q AS (SELECT item_id, term, count(*) AS r FROM (SELECT item_id, unnest({TERMS_OF}) AS term FROM benchmark) GROUP BY ALL),
+t AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(ws) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+f AS (SELECT term, CAST(floor(1000 * ln((2 * all_docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM t, g GROUP BY term, all_docs),
+s AS (SELECT item_id, t.doc_id, CAST(sum(r * w * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + (25 * n * all_docs) // all_terms)))) AS BIGINT) AS score FROM q JOIN f USING (term) JOIN t USING (term) JOIN n ON n.doc_id = t.doc_id, g GROUP BY ALL)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0) WHERE rank <= {TOP}
+"""
