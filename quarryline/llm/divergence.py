@@ -70,7 +70,7 @@ def split_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 con.register("words", words)
                 con.register("docs", docs)
                 con.execute("INSERT INTO counts SELECT lang, source, term, count(*), sum(n) FROM (SELECT doc, term, count(*) AS n FROM words GROUP BY ALL) JOIN docs USING (doc) GROUP BY ALL")
-                if con.execute("SELECT count(*) FROM counts").fetchone()[0] > HELD:
+                if con.execute("SELECT count(*) FROM counts").fetchall()[0][0] > HELD:
                     yield from sent(con, total)
                     con.execute("TRUNCATE counts")
         yield from sent(con, total)
