@@ -185,7 +185,11 @@ def xml_element(c: Column, name: str) -> Column:
     return F.udf(lambda body: None if (root := _xml(body)) is None else [" ".join("".join(n.itertext()).split()) for n in root.iter() if _local(n.tag) == name], "array<string>", useArrow=True)(c)
 
 
+def xml_valid(c: Column) -> Column:
+    return xml_element(c, "").isNotNull()
+
+
 def sitemap_urls(c: Column, pattern: str | None = None) -> Column:
-    """Collapsed, non-empty `loc` texts, in built-ins; optionally only those that match."""
-    found = F.filter(F.transform(F.xpath(c, F.lit("//*[local-name()='loc']/text()")), lambda x: F.trim(F.regexp_replace(x, r"\s+", " "))), lambda x: x != "")
+    """Collapsed, non-empty `loc` texts, optionally only those that match; null if the body is malformed."""
+    found = F.filter(xml_element(c, "loc"), lambda x: x != "")
     return F.filter(found, lambda x: x.rlike(pattern)) if pattern else found

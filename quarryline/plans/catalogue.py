@@ -579,6 +579,35 @@ def profile_diagnostics(table, spark):
     return profile.diagnose(shape, docs)
 
 
+ITEMS = """CASE WHEN event_id % 7 = 0 THEN '{"items":[' WHEN event_id % 7 = 1 THEN '{"items":[]}' ELSE '{"items":[{"id":' || event_id || ',"kind":' || CASE WHEN event_id % 7 = 2
+THEN '["a","b"]' ELSE '"' || event_type || '"' END || '},{"id":["' || event_id || '","x"],"kind":"lost"}]}' END"""
+
+
+@query("""SELECT CAST(event_id AS VARCHAR) AS source_key, CASE WHEN event_id % 7 > 1 THEN CAST(event_id AS VARCHAR) END AS url, CASE WHEN event_id % 7 > 2 THEN event_type END AS title,
+CASE event_id % 7 WHEN 0 THEN 'parse_failed' WHEN 1 THEN 'selection_empty' WHEN 2 THEN 'too_many_values:title,too_many_values:url' ELSE 'too_many_values:url' END AS told FROM events""")
+def profile_one_pass(table, spark):
+    """Occurrences and diagnostics of the same pass: an optional field with several values is null, an identity with several drops its item."""
+    docs = table("events").select(F.col("event_id").cast("string").alias("source_key"), F.lit(0).alias("doc_ord"), F.expr(ITEMS).alias("body"))
+    shape = {"schemaVersion": 3, "key": "d", "parse": "json", "select": {"json_path": {"path": "$.items", "unnest": True}}, "extract": {"url": {"item_field": "id"}, "title": {"item_field": "kind"}}}
+    found, _, told, _ = profile.run_once(shape, docs)
+    notes = told.groupBy("source_key").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "code", "field"))), ",").alias("told"))
+    return found.select("source_key", "url", "title").join(notes, "source_key", "full")
+
+
+@query("""SELECT page_id, CASE WHEN page_id % 3 = 1 THEN CAST(NULL AS BIGINT) WHEN page_id % 3 = 2 THEN CAST(0 AS BIGINT) ELSE CAST(2 AS BIGINT) END AS n,
+CASE WHEN page_id % 3 = 0 THEN 'https://example.org/' || page_id END AS loc, CASE WHEN page_id % 3 = 1 THEN 'parse_failed' END AS code FROM pages""")
+def sitemap_bodies(table, spark):
+    """URLs of sitemaps of which a third is malformed and a third holds none."""
+    page = F.col("page_id").cast("string")
+    body = F.when(F.col("page_id") % 3 == 1, F.concat(F.lit("<urlset><url><loc>"), page)).when(F.col("page_id") % 3 == 2, F.concat(F.lit("<urlset><!--"), page, F.lit("--></urlset>")))
+    body = body.otherwise(F.concat(F.lit("<urlset><url><loc> https://example.org/"), page, F.lit("\n</loc></url><url><loc>http://other/</loc></url></urlset>")))
+    shape = {"schemaVersion": 3, "key": "s", "parse": "xml", "select": {"sitemap_urls": {}}, "extract": {"url": {"item_field": "value"}}}
+    rows, _, _ = profile.observed(shape, table("pages").select(page.alias("source_key"), F.lit(0).alias("doc_ord"), body.alias("body")))
+    per = rows.groupBy("source_key").agg(F.count("url").alias("n"), F.min_by("url", "item_ord").alias("loc"), F.max(F.get("told", F.lit(0))["code"]).alias("code"))
+    pages = table("pages").select("page_id", page.alias("source_key")).join(per, "source_key", "left")
+    return pages.select("page_id", F.when(F.col("code").isNull(), F.coalesce("n", F.lit(0))).alias("n"), "loc", "code")
+
+
 DETAIL = {
     "schemaVersion": 3, "key": "d", "parse": "json", "select": {"json_path": {"path": "$.items", "unnest": True}},
     "where": [{"regex": {"value": {"item_field": "kind"}, "pattern": "^(click|view|purchase)$"}}],

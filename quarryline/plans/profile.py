@@ -12,11 +12,12 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions import html, text
 from ..operators import reduce as grouped
+from ..sources.tables import written
 
 #: Fixed values.
 PATH = re.compile(r"^\$(\.[A-Za-z0-9_]+)*$")
@@ -211,24 +212,39 @@ def check(profile: dict) -> None:
         raise Invalid(f"select: {select} does not go with {kind}")
 
 
-def items(profile: dict, docs: DataFrame) -> tuple[DataFrame, bool]:
-    """(source_key, doc_ord, item_ord, item) and whether items are JSON."""
+def tagged(profile: dict, docs: DataFrame) -> tuple[DataFrame, bool]:
+    """(source_key, doc_ord, item_ord, item, code) by one generator, and whether items are JSON.
+
+    A document without items gives one row, whose `code` says why: it doesn't
+    parse, or its selection is empty (null for a sitemap, which may be).
+    """
     select, arg = one_of(profile["select"], "select")
-    keys = ["source_key", "doc_ord"]
-    if profile["parse"] == "json":
-        parsed = docs.select(*keys, F.try_parse_json("body").alias("doc")).where(F.col("doc").isNotNull())
+    keys, body = ["source_key", "doc_ord"], F.col("body")
+    json = profile["parse"] == "json"
+    if json:
         path = "$" if select == "document" else arg["path"]
         if not PATH.match(path):
             raise Invalid(f"select: path not supported: {path}")
-        if select == "json_path" and arg.get("unnest", True):
-            return parsed.select(*keys, F.posexplode(F.try_variant_get("doc", path, "array<variant>")).alias("item_ord", "item")), True
-        return parsed.select(*keys, F.lit(0).alias("item_ord"), F.try_variant_get("doc", path, "variant").alias("item")), True
-    body = F.col("body")
-    found = {
-        "document": lambda: F.array(body), "css": lambda: html.css_text(body, arg), "xml_element": lambda: html.xml_element(body, arg),
-        "xml_text": lambda: html.xml_text(body, arg), "sitemap_urls": lambda: html.sitemap_urls(body, (arg or {}).get("pattern")),
-    }[select]()
-    return docs.select(*keys, F.posexplode(found).alias("item_ord", "item")), False
+        rows = computed(docs.select(*keys, "body"), [F.try_parse_json("body").alias("doc")])
+        many = select == "json_path" and arg.get("unnest", True)
+        found = F.try_variant_get("doc", path, "array<variant>") if many else F.array(F.try_variant_get("doc", path, "variant"))
+        found = F.when(F.col("doc").isNotNull(), F.coalesce(found, F.array().cast("array<variant>")))
+    else:
+        rows = docs.select(*keys, "body")
+        found = {
+            "document": lambda: F.when(html.xml_valid(body) if profile["parse"] == "xml" else body.isNotNull(), F.array(body)), "css": lambda: html.css_text(body, arg),
+            "xml_element": lambda: html.xml_element(body, arg), "xml_text": lambda: html.xml_text(body, arg), "sitemap_urls": lambda: html.sitemap_urls(body, (arg or {}).get("pattern")),
+        }[select]()
+    rows = computed(rows, [found.alias("found")])
+    empty = F.lit(None).cast("string") if select == "sitemap_urls" else F.lit("selection_empty")
+    rows = rows.select(*keys, F.col("found").isNotNull().alias("parsed"), F.posexplode_outer("found").alias("item_ord", "item"))
+    return rows.select(*keys, "item_ord", "item", F.when(~F.col("parsed"), "parse_failed").when(F.col("item").isNull(), empty).alias("code")), json
+
+
+def items(profile: dict, docs: DataFrame) -> tuple[DataFrame, bool]:
+    """(source_key, doc_ord, item_ord, item) and whether items are JSON."""
+    rows, json = tagged(profile, docs)
+    return rows.where(F.col("item_ord").isNotNull()).drop("code"), json
 
 
 def several(profile: dict, scope: Scope) -> dict[str, Column]:
@@ -239,8 +255,10 @@ def several(profile: dict, scope: Scope) -> dict[str, Column]:
     return {f: scalars(e, scope, f"extract.{f}") for f, e in many.items()}
 
 
-def selected(profile: dict, scope: Scope, rows: DataFrame) -> DataFrame:
-    """Items with their captures, without those that a capture or a condition drops. Fills the scope's captures and paths."""
+def selected(profile: dict, scope: Scope, rows: DataFrame, keep: Column | None = None) -> DataFrame:
+    """Items with their captures, without those that a capture or a condition drops, but for rows to `keep`. Fills the
+    scope's captures and paths."""
+    or_kept = (lambda c: keep | c) if keep is not None else (lambda c: c)
     if scope.json:
         ahead = {p: f"path_{i}" for i, p in enumerate(p for p in reads([profile.get("captures", []), profile.get("where", []), profile["extract"]]) if PATH.match(p))}
         rows = computed(rows, [c.alias(f"{kind}_{name}") for p, name in ahead.items() for kind, c in zip(("many", "single"), gets(F.col("item"), p), strict=True)])
@@ -251,55 +269,83 @@ def selected(profile: dict, scope: Scope, rows: DataFrame) -> DataFrame:
         name = f"capture_{c['key']}"
         rows = computed(rows, [value(c["from"], scope, f"captures.{i}").alias(f"from_{i}")])
         rows = computed(rows, [text.capture(F.col(f"from_{i}"), c["pattern"], c["key"]).alias(name)])
-        rows = rows.where(F.col(name).isNotNull())  # a failed capture drops the item
+        rows = rows.where(or_kept(F.col(name).isNotNull()))  # a failed capture drops the item
         scope.captures[c["key"]] = F.col(name)
     for i, p in enumerate(profile.get("where", [])):
-        rows = rows.where(condition(p, scope, f"where.{i}"))
+        rows = rows.where(or_kept(condition(p, scope, f"where.{i}")))
     return rows
 
 
-def extracted(profile: dict, scope: Scope, rows: DataFrame, wanted: list[str]) -> DataFrame:
-    """(source_key, doc_ord, item_ord, wanted fields): an item whose scalar field gets several values is dropped."""
+def filled(profile: dict, scope: Scope, rows: DataFrame, wanted: list[str]) -> tuple[DataFrame, dict[str, Column], Column]:
+    """Rows with the wanted fields' values; each field's value, null if it gets several and takes one; the names of those
+    that do, in order."""
     whole = lambda e: isinstance(e, list) or e.get("cardinality") == "all"
     many = {f: c for f, c in several(profile, scope).items() if f in wanted}
     get = lambda f, e: many[f] if f in many else (lists if whole(e) else value)(e, scope, f"extract.{f}")
     rows = computed(rows, [get(f, profile["extract"][f]).alias(f"field_{f}") for f in wanted])
-    for f in many:
-        rows = rows.where(~text.too_many(F.col(f"field_{f}")))
-    return rows.select("source_key", "doc_ord", "item_ord", *[(text.first(F.col(f"field_{f}")) if f in many else F.col(f"field_{f}")).alias(f) for f in wanted])
+    at = {f: F.col(f"field_{f}") for f in wanted}
+    got = {f: F.when(~text.too_many(c), text.first(c)) if f in many else c for f, c in at.items()}
+    too_many = F.filter(F.array(*[F.when(text.too_many(at[f]), F.lit(f)) for f in many]).cast("array<string>"), lambda f: f.isNotNull())
+    return rows, got, too_many
 
 
-def diagnose(profile: dict, docs: DataFrame, config: dict | None = None) -> DataFrame:
-    """(source_key, doc_ord, item_ord, code, field): documents that don't parse, empty selections (but of a sitemap),
-    and fields of items that get several values where they take one."""
-    check(profile)
-    rows, json = items(profile, docs)
-    keys, none = ["source_key", "doc_ord"], F.lit(None)
-    parsed = F.try_parse_json("body").isNotNull() if json else F.col("body").isNotNull()
-    bad = docs.where(~parsed | F.col("body").isNull()).select(*keys, none.cast("int").alias("item_ord"), F.lit("parse_failed").alias("code"), none.cast("string").alias("field"))
-    scope = Scope(json, config or {}, {})
-    if next(iter(profile["select"])) != "sitemap_urls":
-        has = rows.where(F.col("item").isNotNull()).select(*keys).distinct() if json else rows.select(*keys).distinct()
-        empty = docs.where(parsed).select(*keys).join(has, keys, "left_anti")
-        bad = bad.unionByName(empty.select(*keys, none.cast("int").alias("item_ord"), F.lit("selection_empty").alias("code"), none.cast("string").alias("field")))
-    rows = selected(profile, scope, rows)
-    if faults := several(profile, scope):
-        told = F.filter(F.array(*[F.when(text.too_many(c), F.lit(f)) for f, c in faults.items()]), lambda f: f.isNotNull())
-        bad = bad.unionByName(rows.select(*keys, "item_ord", F.lit("too_many_values").alias("code"), F.explode(told).alias("field")))
-    return bad
+def extracted(profile: dict, scope: Scope, rows: DataFrame, wanted: list[str], whole: bool = False) -> DataFrame:
+    """(source_key, doc_ord, item_ord, wanted fields): a scalar field that gets several values is null or, if the item is
+    taken `whole` or not at all, drops it."""
+    rows, got, too_many = filled(profile, scope, rows, wanted)
+    rows = rows.where(F.size(too_many) == 0) if whole else rows
+    return rows.select("source_key", "doc_ord", "item_ord", *[c.alias(f) for f, c in got.items()])
 
 
-def run(profile: dict, docs: DataFrame, config: dict | None = None) -> tuple[DataFrame, DataFrame]:
-    """(occurrences, acceptance by source) of stored documents (source_key, doc_ord, body).
+#: Most bytes of a diagnostic's message.
+MESSAGE_BYTES = 512
+MESSAGES = {"parse_failed": "the document does not parse", "selection_empty": "the selection has no items", "too_many_values": "several values where one is taken: "}
+
 
-    An item whose scalar field gets several values is dropped; `diagnose` tells of it.
+def cut_bytes(c: Column, most: int = MESSAGE_BYTES) -> Column:
+    """The longest beginning of a text that has `most` UTF-8 bytes at most and ends with a whole character."""
+    head = F.substring(c.cast("binary"), 1, most).cast("string")
+    return F.when(F.octet_length(c) <= most, c).otherwise(F.regexp_replace(F.make_valid_utf8(head), "\uFFFD$", ""))
+
+
+def observed(profile: dict, docs: DataFrame, config: dict | None = None) -> tuple[DataFrame, list[str], dict[str, int]]:
+    """Items and diagnostics of one pass over the documents: (source_key, doc_ord, item_ord, the fields, `told`: code,
+    field and message of what is wrong with the row), the fields, and how many diagnostics there are of each code.
+
+    Rows without an item only carry a diagnostic of their document. An item
+    whose field gets several values stays, with null there. The counts are
+    metrics that the pass itself observes.
     """
     check(profile)
-    rows, json = items(profile, docs)
-    scope = Scope(json, config or {}, {})
-    rows = selected(profile, scope, rows)
+    rows, json = tagged(profile, docs)
+    scope, lost = Scope(json, config or {}, {}), F.col("code").isNotNull()
+    rows = selected(profile, scope, rows.where(lost | F.col("item_ord").isNotNull()), lost)
+    fields = list(profile["extract"])
+    rows, got, too_many = filled(profile, scope, rows, fields)
+    note = lambda code, field, message: F.struct(code.alias("code"), field.cast("string").alias("field"), cut_bytes(message).alias("message"))
+    document = F.array(note(F.col("code"), F.lit(None), F.element_at(F.create_map(*[F.lit(x) for k in MESSAGES.items() for x in k]), F.col("code"))))
+    item = F.transform(too_many, lambda f: note(F.lit("too_many_values"), f, F.concat(F.lit(MESSAGES["too_many_values"]), f)))
+    out = rows.select("source_key", "doc_ord", F.when(~lost, F.col("item_ord")).alias("item_ord"), *[F.when(~lost, c).alias(f) for f, c in got.items()], F.when(lost, document).otherwise(item).alias("told"))
+    seen = Observation()
+    count = lambda code: F.coalesce(F.sum(F.size(F.filter("told", lambda x: x["code"] == code))), F.lit(0)).cast("long").alias(code)
+    once = written(out.observe(seen, *[count(code) for code in MESSAGES]))
+    return once, fields, dict(seen.get)
+
+
+def diagnostics(rows: DataFrame) -> DataFrame:
+    """(source_key, doc_ord, item_ord, code, field, message) of the rows of `observed`."""
+    return rows.select("source_key", "doc_ord", "item_ord", F.inline("told"))
+
+
+def diagnose(profile: dict, docs: DataFrame, config: dict | None = None) -> DataFrame:
+    """(source_key, doc_ord, item_ord, code, field): documents that don't parse, empty selections (but of a sitemap),
+    and fields of items that get several values where they take one."""
+    return diagnostics(observed(profile, docs, config)[0]).drop("message")
+
+
+def accepted(profile: dict, found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(occurrences, acceptance by source) of extracted items: one row an identity."""
     fields = list(profile["extract"])
-    found = extracted(profile, scope, rows, fields)
     identity = profile.get("identity", fields[0])
     if identity not in fields:
         raise Invalid(f"identity: unknown field {identity}")
@@ -312,6 +358,26 @@ def run(profile: dict, docs: DataFrame, config: dict | None = None) -> tuple[Dat
     return reduced, gate
 
 
+def run(profile: dict, docs: DataFrame, config: dict | None = None) -> tuple[DataFrame, DataFrame]:
+    """(occurrences, acceptance by source) of stored documents (source_key, doc_ord, body).
+
+    A scalar field that gets several values is null, and an identity that does
+    drops its item; `diagnose` tells of both.
+    """
+    check(profile)
+    rows, json = items(profile, docs)
+    scope = Scope(json, config or {}, {})
+    rows = selected(profile, scope, rows)
+    return accepted(profile, extracted(profile, scope, rows, list(profile["extract"])))
+
+
+def run_once(profile: dict, docs: DataFrame, config: dict | None = None) -> tuple[DataFrame, DataFrame, DataFrame, dict[str, int]]:
+    """What `run` and `diagnose` give, of one pass over the documents, and the diagnostics counted by code."""
+    rows, fields, counts = observed(profile, docs, config)
+    found = rows.where(F.col("item_ord").isNotNull()).select("source_key", "doc_ord", "item_ord", *fields)
+    return *accepted(profile, found), diagnostics(rows), counts
+
+
 def detail(profile: dict, postings: DataFrame, docs: DataFrame, wanted: list[str], config: dict | None = None) -> DataFrame:
     """Postings (posting_id, meta) with what their detail documents (posting_id, doc_ord, body) say of the `wanted` fields.
 
@@ -331,7 +397,7 @@ def detail(profile: dict, postings: DataFrame, docs: DataFrame, wanted: list[str
     scope = Scope(json, config or {}, {}, meta=F.col("meta"))
     one = rows.join(counted.where("_n = 1").select("source_key", "doc_ord"), ["source_key", "doc_ord"], "left_semi").join(known, "source_key")
     one = selected(profile, scope, one)
-    told = grouped.reduce_fields(extracted(profile, scope, one, wanted), ["source_key"], wanted, ["doc_ord", "item_ord"])
+    told = grouped.reduce_fields(extracted(profile, scope, one, wanted, whole=True), ["source_key"], wanted, ["doc_ord", "item_ord"])
     status = F.when(F.col("_n").isNull(), "missing").when(F.col("_n") > 1, "multiple").when(F.col("n").isNull(), "failed").otherwise("found")
     out = known.join(per, "source_key", "left").join(told, "source_key", "left")
     return out.select(F.col("source_key").alias("posting_id"), status.alias("status"), *[F.when(status == "found", F.col(f)).alias(f) for f in wanted], F.coalesce("conflicts", F.lit("")).alias("conflicts"))

@@ -44,12 +44,43 @@ def test_source_files(spark, tmp_path):
 SHAPE = {"schemaVersion": 3, "key": "k", "parse": "json", "select": {"json_path": {"path": "$.items", "unnest": True}}, "extract": {"url": {"item_field": "u"}, "title": {"item_field": "t"}, "places": [{"item_field": "p"}, {"item_field": "q"}]}}
 
 
-def test_several_values_drop_the_item(rows):
-    docs = rows("source_key string, doc_ord int, body string", ("s", 0, '{"items":[{"u":"1","t":["a","b"]},{"u":"2","t":"c","p":["x","y"],"q":"z"}]}'), ("s", 1, "{"), ("s", 2, '{"items":[]}'), ("s", 3, None))
+def test_several_values_are_null_and_told(rows):
+    docs = rows("source_key string, doc_ord int, body string", ("s", 0, '{"items":[{"u":"1","t":["a","b"]},{"u":"2","t":"c","p":["x","y"],"q":"z"},{"u":["3","4"],"t":"d"}]}'), ("s", 1, "{"), ("s", 2, '{"items":[]}'), ("s", 3, None))
     found, _ = profile.run(SHAPE, docs)
-    assert [(r.url, r.title, r.places) for r in found.collect()] == [("2", "c", ["x", "y", "z"])]
-    told = {(r.doc_ord, r.item_ord, r.code, r.field) for r in profile.diagnose(SHAPE, docs).collect()}
-    assert told == {(0, 0, "too_many_values", "title"), (1, None, "parse_failed", None), (2, None, "selection_empty", None), (3, None, "parse_failed", None)}
+    want = [("1", None, []), ("2", "c", ["x", "y", "z"])]
+    assert sorted((r.url, r.title, r.places or []) for r in found.collect()) == want
+    told = {(0, 0, "too_many_values", "title"), (0, 2, "too_many_values", "url"), (1, None, "parse_failed", None), (2, None, "selection_empty", None), (3, None, "parse_failed", None)}
+    assert {(r.doc_ord, r.item_ord, r.code, r.field) for r in profile.diagnose(SHAPE, docs).collect()} == told
+    found, _, notes, counts = profile.run_once(SHAPE, docs)
+    assert sorted((r.url, r.title, r.places or []) for r in found.collect()) == want
+    assert {(r.doc_ord, r.item_ord, r.code, r.field) for r in notes.collect()} == told
+    assert counts == {"parse_failed": 2, "selection_empty": 1, "too_many_values": 2}
+
+
+def test_documents_are_read_once(spark, tmp_path):
+    spark.createDataFrame([("s", 0, '{"items":[{"u":"1"}]}')], "source_key string, doc_ord int, body string").write.parquet(f"{tmp_path}/docs")
+    rows, json = profile.tagged(SHAPE, spark.read.parquet(f"{tmp_path}/docs"))
+    lost = profile.F.col("code").isNotNull()
+    plan = profile.selected(SHAPE, profile.Scope(json, {}, {}), rows, lost)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 1
+
+
+def test_malformed_xml(rows):
+    docs = rows("source_key string, doc_ord int, body string", ("s", 0, "<urlset><url>"), ("s", 1, "<urlset><url><loc> a\n b </loc></url><x:loc xmlns:x='y'>c</x:loc><loc/></urlset>"), ("s", 2, "<urlset/>"), ("s", 3, None), ("s", 4, ""))
+    shape = {"schemaVersion": 3, "key": "m", "parse": "xml", "select": {"sitemap_urls": {}}, "extract": {"url": {"item_field": "value"}}}
+    found, _, told, counts = profile.run_once(shape, docs)
+    assert sorted(r.url for r in found.collect()) == ["a b", "c"]
+    assert sorted((r.doc_ord, r.code) for r in told.collect()) == [(0, "parse_failed"), (3, "parse_failed"), (4, "parse_failed")] and counts["parse_failed"] == 3
+    for select in ({"xml_text": "urlset/url/loc"}, {"xml_element": "loc"}, {"document": {}}):
+        told = {(r.doc_ord, r.code) for r in profile.diagnose({**shape, "select": select}, docs).collect()}
+        assert {t for t in told if t[1] == "parse_failed"} == {(0, "parse_failed"), (3, "parse_failed"), (4, "parse_failed")}
+        assert ((2, "selection_empty") in told) == ("document" not in select)
+
+
+def test_messages_are_cut_at_whole_characters(rows):
+    df = rows("t string", ("é" * 300,), ("x" + "é" * 300,), ("日" * 171,), ("😀" * 128,), ("short",), (None,))
+    want = ["é" * 256, "x" + "é" * 255, "日" * 170, "😀" * 128, "short", None]
+    assert [r.x for r in df.select(profile.cut_bytes(profile.F.col("t")).alias("x")).collect()] == want
 
 
 def test_details(rows):
