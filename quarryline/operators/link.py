@@ -1,21 +1,25 @@
 """Record linkage: exact identity first, token similarity second, conflicts shown.
 
 Fuzzy matches need equal company keys, so that blocking by the key loses
-nothing. Inside a block the merge is greedy and depends on order; it is folded
-in pandas, one block at a time, over one row per *distinct* (title, locations),
-so that repeats of a hot company's postings don't grow the fold.
+nothing. Inside a block the merge is greedy and depends on order. Over one row
+per *distinct* (title, locations), so that repeats don't matter, a company of up
+to `FOLD_ROWS` is folded in pandas; the rows of a larger one are decided in
+rounds of joins (`merge_rounds`), so that no task gets a whole company.
 """
 
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.keys import tokens
 from ..functions.sets import containment, jaccard
-from ..sources.tables import written
-from . import similar
+from ..sources.tables import durable, written
+from . import merge_rounds, similar
+
+#: Most different rows of a company that one task folds.
+FOLD_ROWS = 2_000
 
 #: Fixed values.
 CONTAINMENT, JACCARD = 0.90, 0.55
@@ -70,20 +74,28 @@ def greedy(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"ord": rows["ord"], "cluster": out})
 
 
-def greedy_merge(postings: DataFrame, company: str, title: str, locations: str, ord_: str) -> DataFrame:
+def greedy_merge(postings: DataFrame, company: str, title: str, locations: str, ord_: str, fold_rows: int = FOLD_ROWS) -> DataFrame:
     """(ord, cluster) for every posting: the first posting's ordinal of the cluster it joins."""
     keyed = postings.select(F.col(ord_).alias("ord"), F.array_join(tokens(F.col(company)), " ").alias("company_key"), tokens(F.col(title)).alias("title_tokens"), F.col(locations).alias("_places"))
     places = keyed.select("ord", F.posexplode("_places").alias("p", "place")).select("ord", "p", tokens(F.col("place")).alias("t")).groupBy("ord").agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "t"))), lambda x: x["t"]).alias("place_tokens"))
     rows = keyed.drop("_places").join(places, "ord", "left").withColumn("place_tokens", F.coalesce("place_tokens", F.array().cast("array<array<string>>")))
-    # equal rows join the same cluster as their first: fold only that
-    same = ["company_key", "title_tokens", "place_tokens"]
-    first = rows.groupBy(*same).agg(F.min("ord").alias("ord"))
+    # equal rows join the same cluster as their first: only that is decided; but places without any token don't even match themselves
+    wordless = (F.size("place_tokens") > 0) & ~F.exists("place_tokens", lambda p: F.size(p) > 0)
+    same = ["company_key", "title_tokens", "place_tokens", "wordless"]
+    rows = written(rows.withColumn("wordless", F.when(wordless, F.col("ord")).otherwise(F.lit(-1).cast("long"))))
+    first = written(rows.groupBy(*same).agg(F.min("ord").alias("ord")))
+    large = durable(first.groupBy("company_key").count().where(F.col("count") > fold_rows).select("company_key"))
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         return greedy(pdf.sort_values("ord"))
 
-    folded = first.groupBy("company_key").applyInPandas(fold, "ord long, cluster long").withColumnRenamed("ord", "first_ord")
-    return rows.join(first.withColumnRenamed("ord", "first_ord"), same).join(folded, "first_ord").select("ord", "cluster")
+    folded = first.join(large, "company_key", "left_anti").groupBy("company_key").applyInPandas(fold, "ord long, cluster long")
+    if not large.isEmpty():
+        many = first.join(large, "company_key", "left_semi").withColumn("s", F.sort_array(F.array_distinct("title_tokens")))
+        many = written(many.select(*same, "ord", "s", F.min("ord").over(Window.partitionBy("company_key", "s")).alias("t")))
+        titles = many.where("ord = t").select("company_key", "t", F.col("s").alias("title_tokens"))
+        folded = folded.unionByName(merge_rounds.merge(many, similar_pairs(titles, "t", ["company_key"], "title_tokens")))
+    return rows.join(first.withColumnRenamed("ord", "first_ord"), same).join(folded.withColumnRenamed("ord", "first_ord"), "first_ord").select("ord", "cluster")
 
 
 def exact_identity(incoming: DataFrame, known: DataFrame, identity: list[str], ord_: str) -> DataFrame:
