@@ -2,23 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.keys import tokens
 from ..sources.tables import written
 from .catalog import with_ids
-from .link import exact_identity, greedy_merge, similar_titles
-
-
-def compatible_places(a: Column, b: Column) -> Column:
-    """Token lists of locations: a side without any, or a pair where one begins the other."""
-    begins = lambda x, y: (F.size(x) > 0) & (F.slice(y, F.lit(1), F.size(x)) == x)
-    return (F.size(a) == 0) | (F.size(b) == 0) | F.exists(a, lambda x: F.exists(b, lambda y: begins(x, y) | begins(y, x)))
-
-
-def keyed(postings: DataFrame, *own: str) -> DataFrame:
-    return postings.select(*own, F.array_join(tokens(F.col("company")), " ").alias("company_key"), tokens(F.col("title")).alias("t"), F.transform("locations", lambda x: F.split(F.lower(F.trim(F.regexp_replace(x, r"[^\p{L}\p{N}]+", " "))), " ")).alias("places"))
+from .link import exact_identity, first_alike, greedy_merge, keyed
 
 
 def associate(incoming: DataFrame, sources: DataFrame, postings: DataFrame) -> DataFrame:
@@ -32,10 +21,8 @@ def associate(incoming: DataFrame, sources: DataFrame, postings: DataFrame) -> D
     exact = exact.where(F.assert_true(F.col("status") != "conflict", F.lit("a posting has two identities")).isNull())
     exact = written(exact)
     rest = incoming.join(exact.where("status = 'new'"), "ord", "left_semi")
-    new, old = keyed(rest, "ord"), keyed(postings, F.col("id").alias("posting_id"))
-    old = old.select("posting_id", "company_key", F.col("t").alias("t2"), F.col("places").alias("places2"))
-    alike = new.join(old, "company_key").where(similar_titles(F.col("t"), F.col("t2")) & compatible_places(F.col("places"), F.col("places2")))
-    alike = written(alike.groupBy("ord").agg(F.min("posting_id").alias("posting_id")))
+    sides = [keyed(x, "company", "title", "locations", id_) for x, id_ in ((rest, "ord"), (postings, "id"))]
+    alike = written(first_alike(*sides).withColumnRenamed("known_ord", "posting_id"))
     fresh = rest.join(alike, "ord", "left_anti")
     clusters = greedy_merge(fresh, "company", "title", "locations", "ord")
     last = postings.agg(F.coalesce(F.max("id"), F.lit(0)).alias("last"))

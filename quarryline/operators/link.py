@@ -42,6 +42,45 @@ def similar_pairs(items: DataFrame, id_: str, block: list[str], toks: str) -> Da
     return both.select(*block, "a", "b", containment(F.col("sa"), F.col("sb")).alias("containment"), "jaccard").where(F.col("containment") >= CONTAINMENT)
 
 
+def keyed(postings: DataFrame, company: str, title: str, locations: str, ord_: str) -> DataFrame:
+    """(ord, company_key, title_tokens, place_tokens) of postings."""
+    own = postings.select(F.col(ord_).cast("long").alias("ord"), F.array_join(tokens(F.col(company)), " ").alias("company_key"), tokens(F.col(title)).alias("title_tokens"), F.col(locations).alias("_places"))
+    places = own.select("ord", F.posexplode("_places").alias("p", "place")).select("ord", "p", tokens(F.col("place")).alias("t")).groupBy("ord").agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "t"))), lambda x: x["t"]).alias("place_tokens"))
+    return own.drop("_places").join(places, "ord", "left").withColumn("place_tokens", F.coalesce("place_tokens", F.array().cast("array<array<string>>")))
+
+
+def titles_across(new: DataFrame, known: DataFrame) -> DataFrame:
+    """(a, b): titles `t` of the new and of the known rows (company_key, t, s) that go together; no pair that shares no
+    prefix is ever made."""
+    sides = [x.select("company_key", F.col("t").alias("rep"), "s").distinct() for x in (new, known)]
+    filled, bare = [x.where(F.size("s") > 0) for x in sides], [x.where(F.size("s") == 0) for x in sides]
+    pairs = similar.across(*filled, ["company_key"], JACCARD)
+    sets = [x.select(F.col("rep").alias(n), F.col("s").alias(f"s_{n}")) for x, n in zip(filled, "ab", strict=True)]
+    pairs = pairs.join(sets[0], "a").join(sets[1], "b").where(similar_titles(F.col("s_a"), F.col("s_b"))).select("a", "b")
+    a, b = (x.select("company_key", F.col("rep").alias(n)) for x, n in zip(bare, "ab", strict=True))
+    return pairs.unionByName(a.join(b, "company_key").select("a", "b"))  # one title without words a company and side
+
+
+def first_alike(new: DataFrame, known: DataFrame) -> DataFrame:
+    """(ord, known_ord): for rows as of `keyed` the least known one of the same company with a similar title and
+    locations that go together, for those that have one.
+
+    Of the known rows of a title only the first of each place counts, so that
+    many rows of one title and company don't multiply.
+    """
+    numbered = lambda rows: written(rows.withColumn("s", F.sort_array(F.array_distinct("title_tokens"))).withColumn("t", F.min("ord").over(Window.partitionBy("company_key", "s"))))
+    new, known = numbered(new), numbered(known)
+    pairs = written(titles_across(new, known)).toDF("t", "t2")
+    bare = F.size("place_tokens") == 0
+    by_title = known.groupBy("t").agg(F.min("ord").alias("any"), F.min(F.when(bare, F.col("ord"))).alias("bare")).withColumnRenamed("t", "t2")
+    by_place = merge_rounds.firsts(merge_rounds.place_keys(known), "t").withColumnRenamed("t", "t2")
+    around = pairs.join(by_title, "t2").groupBy("t").agg(F.min("any").alias("any"), F.min("bare").alias("bare"))
+    at = pairs.join(by_place, "t2").groupBy("t", "key").agg(F.min("as_whole").alias("as_whole"), F.min("at_all").alias("at_all"))
+    meets = merge_rounds.place_keys(new).join(at, ["t", "key"]).groupBy("ord").agg(F.min(F.when(F.col("whole"), F.col("at_all")).otherwise(F.col("as_whole"))).alias("there"))
+    first = F.when(bare, F.col("any")).otherwise(F.least("bare", "there"))
+    return new.join(around, "t").join(meets, "ord", "left").select("ord", first.alias("known_ord")).where(F.col("known_ord").isNotNull())
+
+
 def title_ok(a: list[str], b: list[str]) -> bool:
     x, y = set(a), set(b)
     if not x or not y:
@@ -76,9 +115,7 @@ def greedy(rows: pd.DataFrame) -> pd.DataFrame:
 
 def greedy_merge(postings: DataFrame, company: str, title: str, locations: str, ord_: str, fold_rows: int = FOLD_ROWS) -> DataFrame:
     """(ord, cluster) for every posting: the first posting's ordinal of the cluster it joins."""
-    keyed = postings.select(F.col(ord_).alias("ord"), F.array_join(tokens(F.col(company)), " ").alias("company_key"), tokens(F.col(title)).alias("title_tokens"), F.col(locations).alias("_places"))
-    places = keyed.select("ord", F.posexplode("_places").alias("p", "place")).select("ord", "p", tokens(F.col("place")).alias("t")).groupBy("ord").agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "t"))), lambda x: x["t"]).alias("place_tokens"))
-    rows = keyed.drop("_places").join(places, "ord", "left").withColumn("place_tokens", F.coalesce("place_tokens", F.array().cast("array<array<string>>")))
+    rows = keyed(postings, company, title, locations, ord_)
     # equal rows join the same cluster as their first: only that is decided; but places without any token don't even match themselves
     wordless = (F.size("place_tokens") > 0) & ~F.exists("place_tokens", lambda p: F.size(p) > 0)
     same = ["company_key", "title_tokens", "place_tokens", "wordless"]

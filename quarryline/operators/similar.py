@@ -55,23 +55,37 @@ def duplicate_groups(rows: DataFrame, hash_: str) -> DataFrame:
     return with_ids(groups.withColumn("_order", order), "_order", 0, "group_id").drop("_order")
 
 
-def candidates(reps: DataFrame, block: list[str], threshold: float) -> DataFrame:
-    """(a, b): pairs of a block whose sets `s` may reach the Jaccard threshold.
-
-    Pairs meet on the rarest elements alone: of n elements, sorted by
-    frequency, the first n - ceil(threshold * n) + 1 (prefix filter), which no
-    pair that reaches the threshold can miss each other in.
-    """
-    parts = reps.select(*block, "rep", F.explode("s").alias("x"))
+def prefixes(sets: DataFrame, block: list[str], threshold: float) -> DataFrame:
+    """(block, side, rep, n, x): of the n elements of each set `s`, by rising frequency in the block, the first
+    n - ceil(threshold * n) + 1 (prefix filter), which no pair that reaches the threshold can miss each other in."""
+    parts = sets.select(*block, "side", "rep", F.explode("s").alias("x"))
     common = parts.groupBy(*block, "x").agg(F.count("*").alias("df"))
-    ranked = parts.join(common, [*block, "x"]).groupBy(*block, "rep").agg(F.sort_array(F.collect_list(F.struct("df", "x"))).alias("by_df"))
+    ranked = parts.join(common, [*block, "x"]).groupBy(*block, "side", "rep").agg(F.sort_array(F.collect_list(F.struct("df", "x"))).alias("by_df"))
     n = F.size("by_df")
     prefix = F.slice("by_df", F.lit(1), n - F.ceil(F.lit(threshold) * n - 1e-9).cast("int") + 1)
-    probe = ranked.select(*block, "rep", n.alias("n"), F.explode(prefix).alias("p")).select(*block, "rep", "n", "p.x")
-    a = probe.select(*block, "x", F.col("rep").alias("a"), F.col("n").alias("n_a"))
-    b = probe.select(*block, "x", F.col("rep").alias("b"), F.col("n").alias("n_b"))
-    bound = F.least("n_a", "n_b") >= F.lit(threshold) * F.greatest("n_a", "n_b") - 1e-9
-    return a.join(b, [*block, "x"]).where((F.col("a") < F.col("b")) & bound).select("a", "b").distinct()
+    return ranked.select(*block, "side", "rep", n.alias("n"), F.explode(prefix).alias("p")).select(*block, "side", "rep", "n", "p.x")
+
+
+def meeting(left: DataFrame, right: DataFrame, block: list[str], threshold: float) -> DataFrame:
+    """(a, b) of prefixes that share an element and whose sizes allow the threshold; a pair may come several times."""
+    a, b = (probe.select(*block, "x", F.col("rep").alias(x), F.col("n").alias(f"n_{x}")) for probe, x in ((left, "a"), (right, "b")))
+    return a.join(b, [*block, "x"]).where(F.least("n_a", "n_b") >= F.lit(threshold) * F.greatest("n_a", "n_b") - 1e-9).select("a", "b")
+
+
+def candidates(reps: DataFrame, block: list[str], threshold: float) -> DataFrame:
+    """(a, b): pairs of a block whose sets `s` may reach the Jaccard threshold, met on their rarest elements alone."""
+    probe = prefixes(reps.withColumn("side", F.lit(0)), block, threshold)
+    return meeting(probe, probe, block, threshold).where("a < b").distinct()
+
+
+def across(left: DataFrame, right: DataFrame, block: list[str], threshold: float) -> DataFrame:
+    """(a, b): a set of the left and one of the right side that may reach the Jaccard threshold.
+
+    Both sides (block, rep, s) go by one order of their elements, that of the
+    frequency in both together: with an order a side, a pair could miss each other.
+    """
+    probe = written(prefixes(left.withColumn("side", F.lit(0)).unionByName(right.withColumn("side", F.lit(1))), block, threshold))
+    return meeting(probe.where("side = 0"), probe.where("side = 1"), block, threshold).distinct()
 
 
 def similar_pairs(rows: DataFrame, id_: str, block: list[str], sets: str, threshold: float) -> DataFrame:

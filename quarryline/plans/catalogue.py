@@ -734,6 +734,31 @@ def greedy_merge(table, spark):
     return link.greedy_merge(table("part").withColumn("places", F.array().cast("array<string>")), "p_brand", "p_name", "places", "p_partkey")
 
 
+def variants(part: DataFrame) -> DataFrame:
+    """Parts as postings: titles of a name that are alike but not equal, one of three cities or none."""
+    name = F.replace("p_name", F.lit(" "), F.lit(""))
+    title = F.concat_ws(" ", *[F.concat(name, F.lit(x)) for x in "abcd"], F.when(F.col("p_partkey") % 2 == 1, "iota"))
+    city = F.when(F.col("p_partkey") % 3 == 0, "Rome").when(F.col("p_partkey") % 3 == 1, "Oslo Centre").otherwise("Paris")
+    return part.select(F.col("p_partkey").alias("ord"), title.alias("title"), F.col("p_brand").alias("company"), city.alias("city"))
+
+
+@query("""SELECT p_partkey AS ord, min(p_partkey) OVER (PARTITION BY p_brand, p_name, p_partkey % 3) AS cluster FROM part""")
+def greedy_merge_variants(table, spark):
+    """Similar titles merge where their places go together."""
+    rows = variants(table("part")).withColumn("places", F.array("city"))
+    return link.greedy_merge(rows, "company", "title", "places", "ord")
+
+
+@query("""SELECT n.p_partkey AS ord, min(k.p_partkey) AS known_ord FROM part n JOIN part k ON n.p_brand = k.p_brand AND n.p_name = k.p_name AND k.p_partkey % 4 <> 0
+AND (n.p_partkey % 5 = 0 OR k.p_partkey % 7 = 0 OR n.p_partkey % 3 = k.p_partkey % 3) WHERE n.p_partkey % 4 = 0 GROUP BY 1""")
+def semantic_identity(table, spark):
+    """The known posting that a new one is alike, among three quarters of all parts."""
+    rows = variants(table("part"))
+    sides = [(rows.where("ord % 4 = 0"), 5), (rows.where("ord % 4 <> 0"), 7)]
+    new, known = (link.keyed(x.withColumn("places", F.when(F.col("ord") % m == 0, F.array().cast("array<string>")).otherwise(F.array("city"))), "company", "title", "places", "ord") for x, m in sides)
+    return link.first_alike(new, known)
+
+
 @query("""SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN lo IS NULL THEN 'new' WHEN lo = hi THEN 'found' ELSE 'conflict' END AS status, lo AS posting_id FROM
 (SELECT l.l_orderkey, l.l_linenumber, l.l_partkey, min(p.posting_id) lo, max(p.posting_id) hi FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey FROM lineitem) l LEFT JOIN
 (SELECT p_partkey, p_partkey // 2 AS posting_id FROM part WHERE p_partkey % 3 <> 0 UNION ALL SELECT p_partkey, p_partkey FROM part WHERE p_partkey % 11 = 1) p ON l.l_partkey = p.p_partkey GROUP BY 1, 2, 3)""")

@@ -56,3 +56,26 @@ def test_many_rows_of_one_title_need_few_rounds(spark, monkeypatch):
     df = spark.createDataFrame(rows, "o long, c string, t string, l array<string>")
     got = {r.ord: r.cluster for r in link.greedy_merge(df, "c", "t", "l", "o", 0).collect()}
     assert got == {i: i % 300 for i in range(900)} and len(rounds) <= 4
+
+
+def test_first_alike_equals_the_product(spark):
+    rnd = random.Random(7)
+    new, old = ([r for c in range(8) for r in block(rnd, f"c{c}", 25, c)] for _ in range(2))
+    schema = "o long, c string, t string, l array<string>"
+    sides = [link.keyed(spark.createDataFrame(x, schema), "c", "t", "l", "o") for x in (new, old)]
+    key = lambda r: (r[1], word_tokens(r[2]), [word_tokens(p) for p in r[3]])
+    want = {}
+    for i, (c, t, p) in ((r[0], key(r)) for r in new):
+        hits = [r[0] for r in old if (k := key(r))[0] == c and link.title_ok(k[1], t) and link.places_ok(k[2], p)]
+        want |= {i: min(hits)} if hits else {}
+    got = {r.ord: r.known_ord for r in link.first_alike(*sides).collect()}
+    assert got == want and 30 < len(want) < len(new) and any(i != k for i, k in want.items())
+
+
+def test_titles_meet_on_shared_prefixes_only(spark):
+    """Of 2,000 known titles of one company a new one meets only those with its rare words."""
+    schema = "company_key string, rep long, s array<string>"
+    known = spark.createDataFrame([("c", i, sorted({"of", "the", f"w{i}", f"x{i}", f"y{i}"})) for i in range(2000)], schema)
+    new = spark.createDataFrame([("c", 5, ["of", "the", "w7", "x7", "y7"]), ("c", 6, ["of", "the", "w8", "x8", "z"]), ("d", 7, ["of", "the", "w7", "x7", "y7"])], schema)
+    got = sorted(map(tuple, link.similar.across(new, known, ["company_key"], 0.55).collect()))
+    assert got == [(5, 7), (6, 8)]
