@@ -12,16 +12,13 @@ from .catalog import with_ids
 #: Weights of body shingles, identifiers, signature shingles, control tokens.
 WEIGHTS = (0.55, 0.20, 0.15, 0.10)
 
-#: Words counted as control tokens, beside question marks, and words that are no identifiers.
+#: Words counted as control tokens, beside question marks, and words that are no identifiers.
 CONTROL = ("if", "else", "match", "for", "while", "loop", "return", "break", "continue", "await")
 IGNORED = (
     "as", "async", "await", "break", "const", "continue", "crate", "dyn", "else", "enum", "extern", "false", "fn", "for", "if", "impl", "in", "let", "loop",
     "match", "mod", "move", "mut", "pub", "ref", "return", "self", "static", "struct", "super", "trait", "true", "type", "unsafe", "use", "where", "while",
 )
 
-#: Scores at which the search for the best pairs looks whether it has enough, before it goes down to its threshold.
-STEPS = (0.95, 0.9, 0.8, 0.7, 0.6)
-
 
 def shingles(toks: Column, n: int = 3) -> Column:
     """Distinct runs of n tokens; fewer tokens are one run, none are none.
@@ -128,33 +125,13 @@ def features(rows: DataFrame, id_: str, text: str) -> DataFrame:
     return words.select(id_, hashed(shingles(F.col("_toks"))).alias("body"), hashed(F.filter("_words", lambda x: ~x.isin(*IGNORED))).alias("identifiers"), hashed(shingles(F.col("_first"))).alias("signature"), control.alias("control"))
 
 
-def weighted_pairs(feats: DataFrame, id_: str, threshold: float) -> DataFrame:
-    """(a, b, score): all pairs of `features` rows whose weighted score reaches the threshold.
-
-    The other three parts give 0.45 at most, so that a threshold above it asks
-    for a least similarity of the bodies, by which candidates are found; with
-    one that doesn't, every pair is compared.
-    """
-    reps = feats.select(F.col(id_).alias("rep"), F.col("body").alias("s"))
-    least = (threshold - sum(WEIGHTS[1:])) / WEIGHTS[0]
-    if least > 1e-9:
-        pairs = candidates(reps, [], least)
-    else:
-        pairs = reps.select(F.col("rep").alias("a")).crossJoin(reps.select(F.col("rep").alias("b"))).where("a < b")
-    side = lambda x: feats.select(F.col(id_).alias(x), F.struct("body", "identifiers", "signature", "control").alias(f"f_{x}"))
-    parts = [jaccard(F.col(f"f_a.{c}"), F.col(f"f_b.{c}")) for c in ("body", "identifiers", "signature")] + [overlap(F.col("f_a.control"), F.col("f_b.control"))]
-    scored = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", weighted(parts, F.col("f_a") == F.col("f_b")).alias("score"))
-    return scored.where(F.col("score") >= threshold - 1e-12)
-
-
 def best_pairs(rows: DataFrame, id_: str, text: str, threshold: float, k: int) -> tuple[DataFrame, DataFrame]:
     """The k best pairs (a, b, score) of all rows, by score, then ids; and (id, rep) of every row.
 
     Rows with equal features score 1.0, so that one stands for all. What it
     stands for is put back before the pairs are ranked: of the best k pairs
-    none needs more than the first k + 1 rows of a group. Pairs of different
-    features are sought at falling thresholds, only until there are k; all
-    above a threshold are known then, and none below can be among the best.
+    none needs more than the first k + 1 rows of a group. The best pairs of
+    different features come from `topk.top_pairs`.
     """
     feats = features(rows, id_, text)
     key = F.sha2(F.to_json(F.struct("body", "identifiers", "signature", "control")), 256)
@@ -168,13 +145,10 @@ def best_pairs(rows: DataFrame, id_: str, text: str, threshold: float, k: int) -
     n = sizes.agg(F.sum(F.expr("n * (n - 1) div 2"))).first()[0] or 0
     if n >= k:
         return equal.orderBy(*order).limit(k), member
-    alone = written(feats.join(sizes.select(F.col("rep").alias(id_)), id_, "left_semi"))
-    size = lambda x: sizes.select(F.col("rep").alias(x), F.col("n").alias(f"n_{x}"))
-    for at in [s for s in STEPS if s > threshold] + [threshold]:
-        found = durable(weighted_pairs(alone, id_, at))
-        if n + (found.join(size("a"), "a").join(size("b"), "b").agg(F.sum(F.expr("n_a * n_b"))).first()[0] or 0) >= k:
-            break
-    top = found.orderBy(*order).limit(k).select(F.col("a").alias("ra"), F.col("b").alias("rb"), "score")
+    from .topk import top_pairs
+
+    alone = feats.join(sizes.select(F.col("rep").alias(id_)), id_, "left_semi")
+    top = top_pairs(alone, id_, threshold, k).select(F.col("a").alias("ra"), F.col("b").alias("rb"), "score")
     both = top.join(first.select(F.col("rep").alias("ra"), F.col(id_).alias("x")), "ra").join(first.select(F.col("rep").alias("rb"), F.col(id_).alias("y")), "rb")
     different = both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "score")
     return equal.unionByName(different).orderBy(*order).limit(k), member

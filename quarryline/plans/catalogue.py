@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo as geo_fn
 from ..functions import html, keys, sets, text
-from ..operators import catalog, commit, geo, link, live, paging, reduce, requests, resolve, rules, sessions, similar
+from ..operators import catalog, commit, geo, link, live, paging, reduce, requests, resolve, rules, sessions, similar, topk
 from . import profile
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -783,6 +783,16 @@ def shingle_similarity_topk(table, spark):
     return pairs.unionByName(copies)
 
 
+@query()
+def similar_pairs_report(table, spark):
+    """The 100 best pairs of different documents, with their parts and the words that only one of them has."""
+    docs = table("documents").dropDuplicates(["text"])
+    feats = similar.features(docs, "doc_id", "text")
+    words = F.array_distinct(F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), r"\s+"), lambda w: w != ""))
+    rows = docs.select("doc_id", "source", F.coalesce(F.length("text"), F.lit(0)).alias("line"), words.alias("words"))
+    return topk.report(rows, "doc_id", ["source", "line", "doc_id"], topk.top_pairs(feats, "doc_id", 0.5, 100), ["words"])
+
+
 # --- resolution ---
 
 @query("""WITH c AS (SELECT p_partkey, p_partkey % 4 = 0 AS bare, contains(p_name, 'ring') OR contains(p_name, 'gear') AS title_ok, p_size > 10 AS geo_ok, p_partkey % 6 = 5 AS bad_url, p_partkey % 12 = 0 AS failed, p_partkey % 8 = 0 AS no_detail FROM part),
