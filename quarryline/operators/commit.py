@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources import snapshots
 from ..sources.tables import written
 from .catalog import with_ids
 from .link import exact_identity, first_alike, greedy_merge, keyed
@@ -36,7 +37,7 @@ def associate(incoming: DataFrame, sources: DataFrame, postings: DataFrame) -> D
 
 
 def commit(run_id: int, at: str, incoming: DataFrame, sources: DataFrame, postings: DataFrame) -> dict[str, DataFrame]:
-    """The tables after the run: postings, sources, matches. Each is to be written whole and swapped in.
+    """The tables after the run: postings, sources, and the run's own matches; `commit_run` puts them in place.
 
     A known posting keeps title and company, its locations grow and it is last
     seen now; the first source of an inserted one is primary.
@@ -54,3 +55,17 @@ def commit(run_id: int, at: str, incoming: DataFrame, sources: DataFrame, postin
     fresh = found.join(heads, "posting_id", "left").select(*identity, "posting_id", F.coalesce(F.col("ord") == F.col("head"), F.lit(False)).alias("is_primary"))
     matches = where.select(F.lit(run_id).alias("run_id"), "posting_id").distinct()
     return {"postings": kept.unionByName(added), "sources": sources.select(*identity, "posting_id", "is_primary").unionByName(fresh), "matches": matches}
+
+
+TABLES = ("postings", "sources", "matches")
+
+
+def commit_run(spark: SparkSession, root: str, run_id: int, at: str, incoming: DataFrame, based_on: int | None = None) -> int:
+    """Commits a run to a store of `postings`, `sources` and `matches`, all three in one step; the new version.
+
+    If another run has committed since `based_on` (the newest, if it isn't told), it is refused and leaves nothing.
+    """
+    based_on = snapshots.version(spark, root) if based_on is None else based_on
+    known = {t: snapshots.read(spark, root, t, based_on) for t in ("postings", "sources")}
+    after = commit(run_id, at, incoming, known["sources"], known["postings"])
+    return snapshots.commit(root, based_on, {"postings": after["postings"], "sources": after["sources"]}, {"matches": after["matches"]})

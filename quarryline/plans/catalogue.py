@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from ..functions import geo as geo_fn
 from ..functions import html, keys, sets, text
-from ..operators import catalog, commit, geo, link, live, paging, reduce, requests, resolve, rules, sessions, similar, topk
+from ..operators import catalog, cells, commit, geo, link, live, paging, reduce, requests, resolve, rules, sessions, similar, topk
+from ..sources import snapshots, tables
 from . import profile
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -254,6 +255,16 @@ def haversine_radius(table, spark):
     return geo.near_any(placed(table, "customer", "c_custkey"), ["c_custkey"], "latitude", "longitude", request, F.lit(300.0))
 
 
+@query(f"""SELECT * FROM (SELECT c_custkey, s_suppkey, {HAVERSINE} AS km, reach FROM (SELECT c_custkey, s_suppkey, reach, pow(sin(radians(lat2 - lat1) / 2), 2) + cos(radians(lat1)) * cos(radians(lat2)) * pow(sin(radians(lon2 - lon1) / 2), 2) AS h FROM
+(SELECT c_custkey, c_nationkey * 2.0 + c_custkey % 10 * 0.1 + 20 AS lat1, c_nationkey * 1.5 - c_custkey % 7 * 0.2 AS lon1 FROM customer),
+(SELECT s_suppkey, s_nationkey * 2.0 + s_suppkey % 10 * 0.1 + 20 AS lat2, s_nationkey * 1.5 - s_suppkey % 7 * 0.2 AS lon2, CAST(20.25 + s_suppkey % 5 * 30 AS DOUBLE) AS reach FROM supplier))) WHERE km <= reach""")
+def radius_pairs(table, spark):
+    """All customers within each supplier's own radius."""
+    s = placed(table, "supplier", "s_suppkey").select("s_suppkey", F.col("latitude").alias("lat2"), F.col("longitude").alias("lon2"), (20.25 + F.col("s_suppkey") % 5 * 30).alias("reach"))
+    found = cells.near_pairs(placed(table, "customer", "c_custkey"), s, "reach", 140.25)
+    return found.select("c_custkey", "s_suppkey", F.round("km", 6).alias("km"), "reach")
+
+
 def codes() -> Column:
     """Made-up postal codes: British full, sector and outward ones, digits, none."""
     k = F.col("c_custkey").cast("string")
@@ -943,3 +954,23 @@ def terminal_commit(table, spark):
     sources = part.where("p_partkey % 10 = 0").select(F.lit("s").alias("source_key"), F.lit("id").alias("kind"), F.col("p_partkey").cast("string").alias("value"), F.expr("p_partkey div 10").alias("posting_id"))
     postings = spark.createDataFrame([(100000, "nothing alike", "nobody", [])], "id long, title string, company string, locations array<string>")
     return commit.associate(incoming, sources, postings)
+
+
+@query("""WITH k AS (SELECT max(p_partkey) AS last FROM part WHERE p_partkey % 4 = 1)
+SELECT p_partkey AS id, 'x' || p_partkey || ' y' || p_partkey AS title, 't0' AS first_seen_at, CASE WHEN p_partkey % 8 = 1 THEN 't1' ELSE 't0' END AS last_seen_at, 's' || p_partkey || CASE WHEN p_partkey % 8 = 1 THEN ',old' ELSE '' END AS sources FROM part WHERE p_partkey % 4 = 1
+UNION ALL SELECT last + row_number() OVER (ORDER BY p_partkey), 'x' || p_partkey || ' y' || p_partkey, 't1', 't1', 's' || p_partkey || ',new' FROM part, k WHERE p_partkey % 8 = 2""")
+def committed_run(table, spark):
+    """Postings and their sources as a store has them after a run was committed to it."""
+    root = f"{tables.shared_folder(spark)}/store-{tables.uuid.uuid4().hex}"
+    key = F.col("p_partkey").cast("string")
+    own = [F.concat(F.lit("x"), key, F.lit(" y"), key).alias("title"), F.col("p_brand").alias("company"), F.array().cast("array<string>").alias("locations")]
+    identity = [F.lit("s").alias("source_key"), F.lit("id").alias("kind"), key.alias("value")]
+    known = table("part").where("p_partkey % 4 = 1")
+    postings = known.select(F.col("p_partkey").alias("id"), *own, F.lit("t0").alias("first_seen_at"), F.lit("t0").alias("last_seen_at"))
+    sources = known.select(*identity, F.col("p_partkey").alias("posting_id"), F.lit(True).alias("is_primary"))
+    start = snapshots.commit(root, 0, {"postings": postings, "sources": sources, "matches": spark.createDataFrame([], "run_id int, posting_id long")})
+    commit.commit_run(spark, root, 1, "t1", table("part").where("p_partkey % 8 IN (1, 2)").select(F.col("p_partkey").alias("ord"), *own, *identity), start)
+    seen = snapshots.read(spark, root, "matches").select("posting_id", F.lit(True).alias("seen"))
+    told = snapshots.read(spark, root, "sources").join(seen, "posting_id", "left").join(sources.select("value", F.lit("old").alias("was")), "value", "left")
+    told = told.select("posting_id", F.concat_ws(",", F.concat(F.lit("s"), "value"), F.when(F.col("seen"), F.coalesce("was", F.lit("new")))).alias("sources"))
+    return snapshots.read(spark, root, "postings").select(F.col("id").alias("posting_id"), "title", "first_seen_at", "last_seen_at").join(told, "posting_id").withColumnRenamed("posting_id", "id")
