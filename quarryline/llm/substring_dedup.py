@@ -10,8 +10,10 @@ anchors then extend: around them, and only there, the full windows are hashed
 Exact copies of an earlier text need no anchors: all their windows start there.
 
 Defined results: a null text has no words; a null doc_id comes after all
-others; repeated rows of one doc_id don't remove each other's words; texts under 50 words keep all; an empty table
-yields no rows; other columns don't matter.
+others, the largest number too; rows of one doc_id, or without one, don't remove
+each other's words, and however many there are, their texts go to many tasks;
+texts under 50 words keep all; a very long text is one row of a task, read
+whole; an empty table yields no rows; other columns don't matter.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import documents, durable
+from .shared import bounded, documents, durable
 from .words import BASES, Rolling, WordHashes, chunks, spread, words_of
 
 WINDOW = 50
@@ -33,6 +35,8 @@ PERIOD = 31
 COVER = (1, 5, 11, 24, 25, 27)
 ANCHOR = WINDOW - PERIOD + 1
 LAST = 2**63 - 1
+#: The key of a row in joins, and its lots: an id is split into this many; beyond are those of rows without an id.
+ROW, NONE = ["ord", "sub"], 2**16
 
 
 def once(doc: np.ndarray, *keys: np.ndarray) -> np.ndarray:
@@ -52,23 +56,24 @@ def anchor_starts(n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(ord, text) -> (h, ord) of the anchors of texts with a whole window."""
+    """(ord, sub, text) -> (h, ord, sub) of the anchors of texts with a whole window."""
     known = WordHashes()
     for batch in batches:
-        ords, texts = batch["ord"].to_numpy(), batch["text"]
+        texts = batch["text"]
         for part in chunks(pa.compute.utf8_length(texts).fill_null(0).to_pylist()):
             split = [w if len(w) >= WINDOW else [] for w in map(words_of, texts[part].to_pylist())]
             doc, _, at = anchor_starts(np.array([len(w) for w in split]))
             h = Rolling(known.array([x for w in split for x in w])).at(at, ANCHOR)
             keep = once(doc, h)
-            yield pa.RecordBatch.from_arrays([pa.array(h[keep].view(np.int64)), pa.array(ords[part][doc[keep]])], ["h", "ord"])
+            mine = pa.array(doc[keep])
+            yield pa.RecordBatch.from_arrays([pa.array(h[keep].view(np.int64)), *[batch[c][part].take(mine) for c in ROW]], ["h", *ROW])
 
 
 def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(ord, text, hashes of shared anchors) -> the windows (g1, g2, ord) that hold one."""
+    """(ord, sub, text, hashes of shared anchors) -> the windows (g1, g2, ord, sub) that hold one."""
     known = WordHashes()
     for batch in batches:
-        ords, texts, found = batch["ord"].to_numpy(), batch["text"], batch["shared"]
+        texts, found = batch["text"], batch["shared"]
         for part in chunks(pa.compute.utf8_length(texts).fill_null(0).to_pylist()):
             split = [w if len(w) >= WINDOW else [] for w in map(words_of, texts[part].to_pylist())]
             n = np.array([len(w) for w in split])
@@ -85,7 +90,8 @@ def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at = np.flatnonzero((np.cumsum(near)[:-1] > 0) & (pos + WINDOW <= n[doc]))
             g = [rolling.at(at, WINDOW), Rolling(hashes, BASES[1]).at(at, WINDOW)]
             keep = once(doc[at], *g)
-            yield pa.RecordBatch.from_arrays([*[pa.array(x[keep].view(np.int64)) for x in g], pa.array(ords[part][doc[at][keep]])], ["g1", "g2", "ord"])
+            mine = pa.array(doc[at][keep])
+            yield pa.RecordBatch.from_arrays([*[pa.array(x[keep].view(np.int64)) for x in g], *[batch[c][part].take(mine) for c in ROW]], ["g1", "g2", *ROW])
 
 
 def covered(hashes: np.ndarray, gone: np.ndarray) -> np.ndarray:
@@ -114,34 +120,44 @@ def cleaned(with_text: bool):
                 joined = b" ".join(kept)
                 out.append((n, n - len(kept), hashlib.sha256(joined).hexdigest(), joined.decode() if with_text else None))
             cols = list(zip(*out, strict=True)) or [[]] * 4
-            yield pa.RecordBatch.from_arrays([batch["ord"], pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.string()), pa.array(cols[3], pa.string())], ["ord", "n_words", "n_removed", "kept_sha256", "kept_text"])
+            yield pa.RecordBatch.from_arrays([*[batch[c] for c in ROW], pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.string()), pa.array(cols[3], pa.string())], [*ROW, "n_words", "n_removed", "kept_sha256", "kept_text"])
 
     return rows
 
 
+def numbered(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(ord, sub, h1, h2), and with the text, of every row. `ord` is the doc_id; `sub` splits the rows that have none or
+    share theirs, by their texts, so that joins by (ord, sub) meet no hot id; it also tells the largest id from none.
+    Two texts of one id that get the same `sub` are only handled together."""
+    ids = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("ord"), F.col("doc_id").isNull().alias("none"), F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"), "text")
+    shared = bounded(ids.where("NOT none").groupBy("ord").count().where("count > 1").select("ord", F.lit(True).alias("shared")))
+    lot = F.pmod("h1", F.lit(NONE)).cast("int")
+    rows = ids.join(shared, "ord", "left").withColumn("sub", F.when(F.col("none"), lot + NONE).when(F.col("shared"), lot).otherwise(0))
+    return rows.select(*ROW, "h1", "h2"), rows.select(*ROW, "h1", "text")
+
+
 def dedup(docs: DataFrame, with_text: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and, if wanted, kept_text for every row."""
-    ord_ = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("ord")
-    h1, h2 = F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2")
-    keys = docs.select(ord_, h1, h2)
+    place = F.struct((F.col("sub") >= NONE).alias("none"), "ord")  # what comes first; rows without an id come last, and together
+    keys, rows = numbered(docs)
     # only texts with copies need a row; it is written, so that Spark can split a hot text's rows in the join
-    many = durable(keys.groupBy("h1", "h2").agg(F.min("ord").alias("first"), F.max("ord").alias("last")).where("first < last").drop("last"))
-    copies = keys.join(many, ["h1", "h2"]).where(F.col("ord") > F.col("first")).groupBy("ord").agg(F.collect_set("h1").alias("copied"))
-    texts = docs.select(ord_, h1, F.col("text")).repartition("ord")  # every later step reads this one exchange
-    flagged = texts.join(copies.hint("shuffle_hash"), "ord", "left").select("ord", "text", F.coalesce(F.array_contains("copied", F.col("h1")), F.lit(False)).alias("is_copy"))
-    own = flagged.where(~F.col("is_copy")).select("ord", "text")
-
-    found = own.mapInArrow(anchors, "h long, ord long").repartition("h")
-    shared = found.groupBy("h").agg(F.min("ord").alias("lo"), F.max("ord").alias("hi")).where("lo < hi").select("h")
-    places = found.join(shared, "h").groupBy("ord").agg(F.collect_list("h").alias("shared"))
-
-    full = own.join(places.hint("shuffle_hash"), "ord").mapInArrow(windows, "g1 long, g2 long, ord long").repartition("g1", "g2")
-    origin = full.groupBy("g1", "g2").agg(F.min("ord").alias("lo"), F.max("ord").alias("hi")).where("lo < hi").select("g1", "g2", "lo")
-    gone = full.join(origin, ["g1", "g2"]).where("ord > lo").groupBy("ord").agg(F.collect_list("g1").alias("gone"))
-
-    done = flagged.join(gone.hint("shuffle_hash"), "ord", "left").select("ord", "text", "is_copy", "gone")
-    out = done.mapInArrow(cleaned(with_text), "ord long, n_words long, n_removed long, kept_sha256 string, kept_text string")
-    cols = [F.when(F.col("ord") != LAST, F.col("ord")).alias("doc_id"), "n_words", "n_removed", "kept_sha256", *["kept_text"] * with_text]
+    many = durable(keys.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first < last").drop("last"))
+    copies = keys.join(many, ["h1", "h2"]).where(place > F.col("first")).groupBy(*ROW).agg(F.collect_set("h1").alias("copied"))
+    texts = rows.repartition(*ROW)  # every later step reads this one exchange
+    flagged = texts.join(copies, ROW, "left").select(*ROW, "text", F.coalesce(F.array_contains("copied", F.col("h1")), F.lit(False)).alias("is_copy"))
+    own = flagged.where(~F.col("is_copy")).select(*ROW, "text")
+
+    found = own.mapInArrow(anchors, "h long, ord long, sub int").repartition("h")
+    shared = found.groupBy("h").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo < hi").select("h")
+    places = found.join(shared, "h").groupBy(*ROW).agg(F.collect_list("h").alias("shared"))
+
+    full = own.join(places, ROW).mapInArrow(windows, "g1 long, g2 long, ord long, sub int").repartition("g1", "g2")
+    origin = full.groupBy("g1", "g2").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo < hi").select("g1", "g2", "lo")
+    gone = full.join(origin, ["g1", "g2"]).where(place > F.col("lo")).groupBy(*ROW).agg(F.collect_list("g1").alias("gone"))
+
+    done = flagged.join(gone, ROW, "left").select(*ROW, "text", "is_copy", "gone")
+    out = done.mapInArrow(cleaned(with_text), "ord long, sub int, n_words long, n_removed long, kept_sha256 string, kept_text string")
+    cols = [F.when(F.col("sub") < NONE, F.col("ord")).alias("doc_id"), "n_words", "n_removed", "kept_sha256", *["kept_text"] * with_text]
     return out.select(*cols)
 
 
