@@ -26,10 +26,10 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import documents
+from .shared import documents, fresh
 from .words import chunks, spread
 
 CELLS = 12  # of the published sketch, and of the first try
@@ -234,9 +234,14 @@ def fingerprint(docs: DataFrame) -> DataFrame:
 def difference(old: DataFrame, new: DataFrame, key: str = "doc_id") -> DataFrame:
     """(`key`, digest, sign): the paragraph digests that only the new text (1) or only the old one (-1) of a key has.
 
-    Peeled from the difference of their sketches; keys of one side alone differ from the empty text.
+    Peeled from the difference of their sketches; keys of one side alone differ from the empty text, and no key is a key
+    like any other. Rows that share a key are paired in the order of their texts' hashes, so that repeats don't multiply.
+    The columns have underscores in front where `key` has such a name.
     """
-    both = new.select(key, F.col("text").alias("new")).join(old.select(key, F.col("text").alias("old")), key, "full")
+    nth = F.row_number().over(Window.partitionBy("k").orderBy(F.xxhash64("text"), "text"))
+    mine, theirs = (x.select(F.col(key).alias("k"), "text").withColumn("nth", nth) for x in (new, old))
+    same = mine["k"].eqNullSafe(theirs["k"]) & (mine["nth"] == theirs["nth"])
+    both = mine.join(theirs, same, "full").select(F.coalesce(mine["k"], theirs["k"]).alias("k"), mine["text"].alias("new"), theirs["text"].alias("old"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -251,10 +256,10 @@ def difference(old: DataFrame, new: DataFrame, key: str = "doc_id") -> DataFrame
                     sign.append(s)
                 doc, digest, sign = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (doc, digest, sign))
                 order = np.lexsort((digest, doc))
-                yield pa.RecordBatch.from_arrays([batch[key][part].take(pa.array(doc[order])), pa.array(digest[order].astype(np.uint64).view(np.int64)), pa.array(sign[order].astype(np.int32))], [key, "digest", "sign"])
+                yield pa.RecordBatch.from_arrays([batch["k"][part].take(pa.array(doc[order])), pa.array(digest[order].astype(np.uint64).view(np.int64)), pa.array(sign[order].astype(np.int32))], ["k", "digest", "sign"])
 
-    kind = both.schema[key].dataType.simpleString()
-    return both.mapInArrow(run, f"{key} {kind}, digest long, sign int")
+    kind = both.schema["k"].dataType.simpleString()
+    return both.mapInArrow(run, f"k {kind}, digest long, sign int").toDF(key, *fresh(new.select(key), "digest", "sign"))
 
 
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -389,11 +389,12 @@ def encoder(vocab: Vocabulary, k: int, check: bool):
 
 
 def encode(df: DataFrame, key: str = "doc_id", k: int = K, pieces: str = PIECES, check: bool = False) -> DataFrame:
-    """`key` and, per draw, its piece ids, log probability and log inclusion score; if `check`, whether they decode to the text."""
+    """`key` and, per draw, its piece ids, log probability and log inclusion score (with underscores in front where `key` has
+    such a name); if `check`, whether they decode to the text."""
     rows = df.select(F.col(key).alias("key"), "text")
     kind = rows.schema["key"].dataType.simpleString()
     out = rows.mapInArrow(encoder(Vocabulary.load(pieces), k, check), f"key {kind}, {DRAWN}" + ", round_trip boolean" * check)
-    return out.withColumnRenamed("key", key)
+    return out.toDF(key, *fresh(df.select(key), *out.columns[1:]))
 
 
 def decode(df: DataFrame, pieces: str = PIECES, ids: str = "ids", out: str = "decoded") -> DataFrame:

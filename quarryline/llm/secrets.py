@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import documents, durable, fresh
+from .shared import bounded, documents, durable, fresh
 
 RULE_VERSION = 1
 #: Kinds in the order of listing, with pattern, group and least length of that group.
@@ -63,25 +63,27 @@ def scan_blobs(blobs: DataFrame) -> DataFrame:
 
 
 def unseen(docs: DataFrame, ledger: DataFrame | None, path: str = "doc_id") -> DataFrame:
-    """One (blob, text) for each content that the ledger lacks under this rule version."""
-    paths = docs.select(F.col(path).alias("path"), blob_of().alias("blob"))
-    first = paths.groupBy("blob").agg(F.min("path").alias("path"))
-    if ledger is not None:
-        first = first.join(ledger.where(F.col("rule_version") == RULE_VERSION).select("blob"), "blob", "left_anti")
+    """(blob, text) of each content that the ledger lacks under this rule version, of its first path."""
     texts = docs.select(F.col(path).alias("path"), blob_of().alias("blob"), "text")
-    same = texts["path"].eqNullSafe(first["path"]) & (texts["blob"] == first["blob"])
-    return texts.join(first.hint("shuffle_hash"), same, "left_semi").select("blob", "text")
+    if ledger is not None:
+        texts = texts.join(ledger.where(F.col("rule_version") == RULE_VERSION).select("blob"), "blob", "left_anti")
+    # only a content with several rows has to choose, so that the texts needn't move while such contents are few
+    many = texts.groupBy("blob").agg(F.min("path").alias("first"), F.count("*").alias("n")).where("n > 1").select("blob", F.struct("first").alias("many"))
+    chosen = F.col("many").isNull() | F.col("path").eqNullSafe(F.col("many.first"))
+    return texts.join(bounded(many), "blob", "left").where(chosen).select("blob", "text")
 
 
 def scan(docs: DataFrame, ledger: DataFrame | None = None, path: str = "doc_id") -> tuple[DataFrame, DataFrame]:
-    """(findings by path: `path`, `blob`, `spans`; the ledger grown by what was scanned)."""
+    """(findings by path: `path`, `blob`, `spans`, with underscores in front where `path` has such a name; the ledger grown
+    by what was scanned)."""
+    blob, spans = fresh(docs.select(path), "blob", "spans")
     # the ledger is written, which also lets Spark split the paths of a hot blob in the join below
     new = durable(scan_blobs(unseen(docs, ledger, path)).dropDuplicates(["blob"]))
     grown = new if ledger is None else ledger.unionByName(new)
     # one row a blob with findings; blobs without any need no row in the join
-    hits = (new if ledger is None else grown.where(F.col("rule_version") == RULE_VERSION)).where(F.size("spans") > 0).select("blob", "spans")
-    paths = docs.select(F.col(path), blob_of().alias("blob"))
-    return paths.join(hits, "blob", "left").select(path, "blob", F.coalesce("spans", F.array().cast(f"array<{SPAN}>")).alias("spans")), grown
+    hits = (new if ledger is None else grown.where(F.col("rule_version") == RULE_VERSION)).where(F.size("spans") > 0).select(F.col("blob").alias(blob), F.col("spans").alias(spans))
+    paths = docs.select(F.col(path), blob_of().alias(blob))
+    return paths.join(hits, blob, "left").select(path, blob, F.coalesce(spans, F.array().cast(f"array<{SPAN}>")).alias(spans)), grown
 
 
 def redact(docs: DataFrame, hits: DataFrame, mark: str = "[SECRET]") -> DataFrame:
