@@ -434,6 +434,16 @@ def sitemap_bfs(table, spark):
     return paging.sitemap_walk(edges, spark.range(1), 4)
 
 
+@query()
+def sitemap_queue(table, spark):
+    """The sitemaps that a queue for each source fetches, with limits on requests, items and fan-out."""
+    lines = table("lineitem").withColumn("source", F.col("l_linenumber") % 3)
+    edges = lines.select("source", F.col("l_partkey").alias("parent"), F.col("l_orderkey").alias("place"), F.col("l_suppkey").alias("child"))
+    items = lines.select("source", F.col("l_partkey").alias("node"), F.lit(1).cast("long").alias("n"))
+    roots = lines.groupBy("source").agg(F.min("l_partkey").alias("node"))
+    return paging.sitemap_queue(edges, items, roots, 300, 5, 4000, 200)
+
+
 @query()
 def sitemap_bfs_whole(table, spark):
     """sitemap_bfs, which reads all edges too."""
