@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from ..functions import geo as geo_fn
 from ..functions import html, keys, sets, text
-from ..operators import catalog, cells, commit, geo, link, live, paging, reduce, requests, resolve, rules, sessions, similar, topk
+from ..operators import catalog, cells, commit, geo, link, links, live, paging, reduce, requests, resolve, rules, sessions, similar, topk
+from ..operators import variants as schemas
 from ..sources import snapshots, tables
 from . import profile
 
@@ -907,6 +908,40 @@ def link_check(table, spark):
     return links.join(known, "l", "left").groupBy("page_id").agg(F.count("*").alias("links"), F.count_if(F.col("known").isNull()).alias("broken"))
 
 
+@query("""SELECT 'd' || page_id % 3 || '/p' || page_id || '.md' AS path, 5 AS line, CASE page_id % 8 WHEN 1 THEN '#page-' || page_id || '-2' WHEN 2 THEN 'p%zz.md' WHEN 3 THEN '../../x.md' WHEN 4 THEN 'missing.md' ELSE '../d0#top' END AS destination,
+CASE page_id % 8 WHEN 2 THEN 'invalid URL encoding' WHEN 3 THEN 'target escapes repository' WHEN 4 THEN 'target does not exist' ELSE 'heading anchor does not exist' END AS reason FROM pages WHERE page_id % 8 IN (1, 2, 3, 4, 7)""")
+def markdown_links(table, spark):
+    """Wrong links of pages as Markdown files: every reason, and good links to headings, files and other sites."""
+    page = F.col("page_id").cast("string")
+    to = F.when(F.col("page_id") % 8 == 0, F.concat(F.lit("#page-"), page, F.lit("-1"))).when(F.col("page_id") % 8 == 1, F.concat(F.lit("#page-"), page, F.lit("-2")))
+    to = to.when(F.col("page_id") % 8 == 2, "p%zz.md").when(F.col("page_id") % 8 == 3, "../../x.md").when(F.col("page_id") % 8 == 4, "missing.md").when(F.col("page_id") % 8 == 5, F.col("url"))
+    to = to.when(F.col("page_id") % 8 == 6, F.concat(F.lit("p"), page, F.lit(".md?x#page-"), page)).otherwise("../d0#top")
+    head = F.concat(F.lit("# Page "), page, F.lit("\n\n"))
+    body = F.concat(head, head, F.lit("See [this]("), to, F.lit(") and `[code](nowhere.md)`.\n\n```\n[hidden](nowhere.md)\n```\n"))
+    files = table("pages").select(F.concat(F.lit("d"), (F.col("page_id") % 3).cast("string"), F.lit("/p"), page, F.lit(".md")).alias("path"), body.alias("text"))
+    return links.check_links(files, files)
+
+
+EVENT_SCHEMA = {
+    "$ref": "#/definitions/event",
+    "definitions": {
+        "event": {"oneOf": [{"$ref": "#/definitions/click"}, {"$ref": "#/definitions/loop"}, {"$ref": "#/definitions/seen"}, {"properties": {"type": {"const": "error"}}, "required": ["type", "code"]}]},
+        "click": {"properties": {"type": {"$ref": "#/definitions/clicked"}}, "required": ["type", "id"]}, "clicked": {"const": "click"},
+        "seen": {"properties": {"type": {"enum": ["view", "purchase", 7]}}, "required": ["id", "missing"]}, "loop": {"$ref": "#/definitions/loop"},
+    },
+}
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 11 = 0 THEN NULL WHEN event_type = 'click' THEN 0 WHEN event_type = 'error' THEN 3 ELSE 2 END AS variant,
+CASE WHEN event_id % 11 = 0 THEN 0 WHEN event_type IN ('view', 'purchase') THEN 6 WHEN event_type = 'click' THEN 1 WHEN event_type = 'error' THEN 1 ELSE 1 END AS seen_score FROM events""")
+def schema_variant(table, spark):
+    """The variant of a schema that each event is, by scores that come from the schema."""
+    body = F.when(F.col("event_id") % 11 == 0, F.lit("[1]")).otherwise(F.to_json(F.struct(F.col("event_type").alias("type"), F.col("event_id").alias("id"))))
+    value = F.parse_json(body)
+    (seen, root) = schemas.variants(EVENT_SCHEMA)[2]
+    return table("events").select("event_id", schemas.best(EVENT_SCHEMA, value).alias("variant"), schemas.score(seen, root, value).alias("seen_score"))
+
+
 # --- requests, options, evidence ---
 
 @query("""SELECT event_id, '{"offset":' || event_id || ',"q":"' || event_type || '","size":20}' AS body FROM events""")
