@@ -41,6 +41,7 @@ from .words import WordHashes, chunks
 
 LABELLED = 10_000  # labelled documents of the first fit, about
 TELLING = 300  # words of the text view: those that tell good from bad best
+LEAST_HELD, LEAST_ERRORS = 5, 3  # documents of the sample that hold a telling word, and standard errors it tells by, at least
 ROUNDS, SURE, PICKED = 3, 0.95, 400  # of co-training; PICKED pseudo-labels of a kind, view and round
 SOURCES, LANGS = 256, 64  # columns of the page view
 KEEP = 0.5
@@ -203,9 +204,9 @@ def pick_words(words: np.ndarray, owner: np.ndarray, good: np.ndarray) -> np.nda
     a, b = pos / max(n_pos, 1), (all_ - pos) / max(n - n_pos, 1)
     p = all_ / max(n, 1)
     z = np.abs(a - b) / np.sqrt(np.maximum(p * (1 - p), 1e-9) * (1 / max(n_pos, 1) + 1 / max(n - n_pos, 1)))
-    z[all_ < 5] = 0
+    z[all_ < LEAST_HELD] = 0
     best = np.argsort(-z, kind="stable")[:TELLING]
-    return np.sort(name[best[z[best] > 3]])
+    return np.sort(name[best[z[best] > LEAST_ERRORS]])
 
 
 def balanced(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -235,7 +236,7 @@ def train(rows: pa.Table, pool: Callable[[np.ndarray], DataFrame] | None = None)
         lot = F.pmod(F.xxhash64("lot", F.lit(turn)), F.lit(1_000_000)) / 1_000_000
         wanted = [F.coalesce((F.col(c) == v) & (lot < min(1.0, PICKED / max(n, 1))), F.lit(False)) for (c, v), n in zip(kinds, counts, strict=True)]
         # about PICKED rows of each of the four kinds
-        got = told.where(wanted[0] | wanted[1] | wanted[2] | wanted[3]).select(*[c.split()[0] for c in FEATURES.split(", ")], (wanted[0] | wanted[1]).alias("for_page"), (wanted[2] | wanted[3]).alias("for_text"), "by_text", "by_page").toArrow()
+        got = told.where(wanted[0] | wanted[1] | wanted[2] | wanted[3]).select(*[c.split()[0] for c in FEATURES.split(", ")], (wanted[0] | wanted[1]).alias("for_page"), (wanted[2] | wanted[3]).alias("for_text"), "by_text", "by_page", "lot").dropDuplicates(["lot"]).toArrow()  # repeats count once
         if got.num_rows:
             both = views_of(got, telling, mean, scale)
             for k, (use, label) in enumerate((("for_text", "by_page"), ("for_page", "by_text"))):
@@ -254,14 +255,17 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, exchange:
     """A model of documents that aren't held out; without `exchange` the views are fitted on labelled ones alone."""
     good = F.when(F.coalesce("toxic", F.lit(0)) == 1, 0).otherwise(F.col("quality"))
     known = labels.select("doc_id", good.cast("int").alias("good")).where("doc_id IS NOT NULL AND good IS NOT NULL").where(~held_out())
+    known = known.groupBy("doc_id").agg(F.min("good").alias("good"))
     lot = F.pmod(F.xxhash64(F.lit("quality sample"), "doc_id"), F.lit(1_000_000)) / 1_000_000
-    known = known.where(lot < min(1.0, labelled / max(known.count(), 1))).groupBy("doc_id").agg(F.min("good").alias("good"))  # bounded by `labelled`
+    known = known.where(lot < min(1.0, labelled / max(known.count(), 1)))  # bounded by `labelled`
     known = F.broadcast(durable(known.select(F.col("doc_id").alias("labelled_id"), "good")))
     rows = docs.select("doc_id", "text", F.col("source").cast("string"), F.col("lang").cast("string"), F.coalesce(F.col("n_chars").cast("long"), F.length("text").cast("long")).alias("n_chars")).where(~held_out())
     aside = F.coalesce(F.pmod(F.xxhash64(F.lit("aside"), "doc_id"), F.lit(5)) == 0, F.lit(False)).alias("aside")
     mine = F.col("doc_id") == F.col("labelled_id")
     page = ["source", "lang", "n_chars", "text"]
-    got = rows.join(known, mine).select("good", aside, *page).mapInArrow(features(), f"good int, aside boolean, {FEATURES}").toArrow()
+    # one row a labelled document, however many it has
+    once = rows.join(known, mine).select("doc_id", "good", aside, F.struct(*page).alias("row")).groupBy("doc_id", "good", "aside").agg(F.min_by("row", F.xxhash64("row.text", "row.source")).alias("row"))
+    got = once.select("good", "aside", "row.*").mapInArrow(features(), f"good int, aside boolean, {FEATURES}").toArrow()
 
     def pool(telling: np.ndarray) -> DataFrame:
         rest = rows.join(known, mine, "left_anti").select(*page, F.xxhash64("doc_id", "text").alias("lot"))
