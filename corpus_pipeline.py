@@ -3,7 +3,8 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the
 last return the columns of `documents`. Between stages the rows are written as
 Parquet in the shared folder and read again, so that a lost executor costs no
-more than the stage at work.
+more than the stage at work. What a stage wrote for itself is removed when its
+result is written, and its input too; the last input stays for the last stage.
 
 Documents are told apart by near_dedup.with_nodes: rows of a null doc_id, and
 several texts of one doc_id, are documents of their own. Empty tables pass
@@ -16,7 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarryline.llm import decontamination, near_dedup, quality, sampled_pieces, secrets
-from quarryline.llm.shared import bounded, documents, durable, written
+from quarryline.llm.shared import bounded, documents, durable
+from quarryline.sources.tables import remove, scratch
 
 
 def without(docs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -78,7 +80,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
+    docs, before = documents(spark, sf_dir), None
     for _, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir))
+        with scratch(spark) as keep:
+            docs, path = keep(stage(spark, docs, sf_dir))
+        if before:
+            remove(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)

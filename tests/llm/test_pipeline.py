@@ -4,6 +4,7 @@ import pytest
 
 import corpus_pipeline as pipeline
 from quarryline.llm import decontamination, near_dedup, secrets
+from quarryline.llm.shared import written
 
 DATA = "/root/testdata/sf0.001"
 
@@ -14,7 +15,7 @@ def test_decisions_take_effect(spark):
     columns = docs.columns
     for name, stage in pipeline.STAGES[:-1]:
         before = {r.doc_id for r in docs.collect()}
-        docs = pipeline.written(stage(spark, docs, DATA))
+        docs = written(stage(spark, docs, DATA))
         after = [r.doc_id for r in docs.collect()]
         assert docs.columns == columns and set(after) <= before and len(after) == len(set(after)), name
         assert len(after) > 0.7 * len(before), name
@@ -50,7 +51,7 @@ def test_null_and_repeated_ids_lose_nothing(spark, tmp_path):
     folder = tables_in(tmp_path, spark, docs, benchmark=[(1, "items that no document has at all")])
     held = spark.read.parquet(f"{folder}/documents.parquet")
     for _, stage in pipeline.STAGES[:-1]:
-        held = pipeline.written(stage(spark, held, folder))
+        held = written(stage(spark, held, folder))
     want = [(i, t) for i, t, *_ in docs if t != LONG] + [(8, LONG)]
     # with the largest number taken, the second text of 9 is numbered below 8, and stands for their class
     assert sorted(((r.doc_id if r.text != LONG else 8, r.text) for r in held.collect()), key=str) == sorted(want, key=str)
@@ -77,3 +78,16 @@ def test_empty_tables_pass(spark, tmp_path):
     for _, stage in pipeline.STAGES:
         assert stage(spark, none, folder).count() == 0
     assert pipeline.run(spark, folder).count() == 0
+
+
+def test_a_run_leaves_one_table(spark, tmp_path, monkeypatch):
+    """Of what a run writes between its stages only the last stage's input is left."""
+    from quarryline.sources import tables
+
+    spark.createDataFrame([(i, f"a few words of text {i}") for i in range(4)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    stage = lambda s, docs, d: tables.written(docs.where("doc_id > 0")).where("doc_id > 1")
+    monkeypatch.setattr(pipeline, "STAGES", [("a", stage), ("b", stage), ("c", lambda s, docs, d: docs)])
+    folders = lambda: {n for n in os.listdir(tables.shared_folder(spark).removeprefix("file:")) if n.startswith("table-")}
+    before = folders()
+    assert pipeline.run(spark, str(tmp_path)).count() == 2
+    assert len(folders() - before) == 1
