@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .shared import bounded, documents, durable
@@ -147,13 +147,14 @@ def dedup(docs: DataFrame, with_text: bool = False) -> DataFrame:
     flagged = texts.join(copies, ROW, "left").select(*ROW, "text", F.coalesce(F.array_contains("copied", F.col("h1")), F.lit(False)).alias("is_copy"))
     own = flagged.where(~F.col("is_copy")).select(*ROW, "text")
 
-    found = own.mapInArrow(anchors, "h long, ord long, sub int").repartition("h")
-    shared = found.groupBy("h").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo < hi").select("h")
-    places = found.join(shared, "h").groupBy(*ROW).agg(F.collect_list("h").alias("shared"))
+    # a window and not a join with the shared ones: Spark would make the anchors, and the windows, once for either side
+    by_anchor = Window.partitionBy("h")
+    found = own.mapInArrow(anchors, "h long, ord long, sub int").withColumns({"lo": F.min(place).over(by_anchor), "hi": F.max(place).over(by_anchor)})
+    places = found.where("lo < hi").groupBy(*ROW).agg(F.collect_list("h").alias("shared"))
 
-    full = own.join(places, ROW).mapInArrow(windows, "g1 long, g2 long, ord long, sub int").repartition("g1", "g2")
-    origin = full.groupBy("g1", "g2").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo < hi").select("g1", "g2", "lo")
-    gone = full.join(origin, ["g1", "g2"]).where(place > F.col("lo")).groupBy(*ROW).agg(F.collect_list("g1").alias("gone"))
+    full = own.join(places, ROW).mapInArrow(windows, "g1 long, g2 long, ord long, sub int")
+    origin = full.withColumn("lo", F.min(place).over(Window.partitionBy("g1", "g2")))
+    gone = origin.where(place > F.col("lo")).groupBy(*ROW).agg(F.collect_list("g1").alias("gone"))
 
     done = flagged.join(gone, ROW, "left").select(*ROW, "text", "is_copy", "gone")
     out = done.mapInArrow(cleaned(with_text), "ord long, sub int, n_words long, n_removed long, kept_sha256 string, kept_text string")
