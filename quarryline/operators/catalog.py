@@ -64,6 +64,13 @@ def set_if_null(table: DataFrame, values: DataFrame, key: str, column: str) -> D
     return table.join(values.select(key, F.col(column).alias("_new")), key, "left").withColumn(column, F.coalesce(column, "_new")).drop("_new")
 
 
+def mark_read(table: DataFrame, ids: DataFrame, key: str, column: str, at: Column) -> DataFrame:
+    """`table` with `column` set to `at` for the ids that aren't read yet; what was read before keeps its time."""
+    hit = ids.select(F.col(key).alias("_id")).distinct().withColumn("_hit", F.lit(True))
+    out = table.join(hit, F.col(key) == F.col("_id"), "left")
+    return out.withColumn(column, F.when(F.col("_hit"), F.coalesce(column, at)).otherwise(F.col(column))).drop("_id", "_hit")
+
+
 def with_ids(rows: DataFrame, ord_: str, start: Column | int, id_: str = "id") -> DataFrame:
     """Surrogate ids in insertion order behind `start`.
 

@@ -294,6 +294,23 @@ def postal_resolve_first_key(table, spark):
     return geo.resolve_first_key(tried, "c_custkey", "keys", lookup)
 
 
+@query("""WITH n AS (SELECT n_nationkey, lower(n_name) AS label FROM nation)
+SELECT c_custkey, 1 AS ord, 'P' || c_custkey AS label, CAST(c_custkey % 90 AS DOUBLE) AS latitude, CAST(c_custkey % 180 AS DOUBLE) AS longitude, 'postal' AS how, CAST(1 AS BIGINT) AS n FROM customer WHERE c_custkey % 6 = 0
+UNION ALL SELECT c_custkey, 1, label, CAST(n_nationkey AS DOUBLE), CAST(n_nationkey AS DOUBLE), 'name', CASE WHEN n_nationkey % 5 = 0 THEN 2 ELSE 1 END FROM customer JOIN n ON c_nationkey = n_nationkey WHERE c_custkey % 3 = 1
+UNION ALL SELECT c_custkey, 2, label, CAST(n_nationkey + 1 AS DOUBLE), CAST(n_nationkey AS DOUBLE), 'name', 2 FROM customer JOIN n ON c_nationkey = n_nationkey WHERE c_custkey % 3 = 1 AND n_nationkey % 5 = 0""")
+def location_resolution(table, spark):
+    """Codes that are known, names of one or two points under several ids, and texts that mean nothing."""
+    customers, nations = table("customer").join(table("nation"), F.col("c_nationkey") == F.col("n_nationkey")), table("nation")
+    code = F.lpad(F.col("c_custkey").cast("string"), 5, "0")
+    said = F.when(F.col("c_custkey") % 3 == 0, code).when(F.col("c_custkey") % 3 == 1, F.concat(F.lit(" "), F.col("n_name"), F.lit("! "))).otherwise("nowhere at all")
+    double = lambda c: c.cast("double")
+    coded = table("customer").where("c_custkey % 6 = 0").select(code.alias("postal_code"), F.col("c_custkey").cast("long").alias("place_id"), F.concat(F.lit("P"), "c_custkey").alias("label"), double(F.col("c_custkey") % 90).alias("latitude"), double(F.col("c_custkey") % 180).alias("longitude"))
+    named = nations.select(F.lower("n_name").alias("label"), "n_nationkey", F.explode(F.sequence(F.lit(0), F.when(F.col("n_nationkey") % 5 == 0, 2).otherwise(1))).alias("j"))
+    named = named.select((10**9 + F.col("n_nationkey") * 3 + F.col("j")).alias("place_id"), "label", double(F.col("n_nationkey") + F.when(F.col("j") == 2, 1).otherwise(0)).alias("latitude"), double(F.col("n_nationkey")).alias("longitude"))
+    places = coded.select("place_id", "label", "latitude", "longitude").unionByName(named)
+    return geo.resolve(customers.select("c_custkey", said.alias("said")), "c_custkey", "said", coded.drop("label"), named.select(F.regexp_replace("label", "[^a-z0-9]+", " ").alias("key"), "place_id"), places)
+
+
 @query("""SELECT c_nationkey, seg, round(avg(c_custkey % 90), 6) AS latitude, round(avg(c_custkey % 180), 6) AS longitude, count(DISTINCT c_custkey % 100) AS postal_code_count
 FROM (SELECT *, CASE WHEN c_mktsegment <> 'BUILDING' THEN c_mktsegment END AS seg FROM customer) GROUP BY 1, 2""")
 def geo_seed_places(table, spark):
@@ -646,6 +663,27 @@ def detail_strategy(table, spark):
     return profile.detail(DETAIL, postings, docs, ["title", "company"])
 
 
+MATCHED = """CASE WHEN event_id % 7 = 0 THEN '{"items":[]}' WHEN event_id % 7 = 1 THEN '{"items":[{"id":"x","kind":"a"},{"id":"y","kind":"b"}]}' WHEN event_id % 7 = 2
+THEN '{"items":[{"id":"' || event_id || '","kind":"a"},{"id":"' || event_id || '","kind":"b"}]}' WHEN event_id % 7 = 3 THEN '{"items":[{"id":"x"},{"id":"' || event_id || '","kind":""}]}'
+ELSE '{"items":[{"id":"x","kind":"no"},{"id":" ' || event_id || '","kind":"' || event_type || '"},{"kind":"none"}]}' END"""
+
+
+@query("""SELECT event_id AS posting_id, CASE event_id % 7 WHEN 0 THEN 'missing' WHEN 1 THEN 'unmatched' WHEN 2 THEN 'multiple' WHEN 3 THEN 'rejected' ELSE 'found' END AS status,
+CASE WHEN event_id % 7 > 3 THEN event_type END AS title, CASE WHEN event_id % 7 > 3 THEN 'u' || user_id END AS company, '' AS conflicts FROM events""")
+def detail_match(table, spark):
+    """Details whose item is the one of many that has the posting's id; its company is captured from the posting."""
+    events = table("events")
+    meta = F.create_map(F.lit("id"), F.col("event_id").cast("string"), F.lit("owner"), F.concat(F.lit("by u"), F.col("user_id").cast("string")))
+    shape = {
+        "schemaVersion": 3, "key": "m", "parse": "json", "select": {"json_path": {"path": "$.items", "unnest": True}},
+        "match": [{"equal": {"left": {"item_field": "id", "transforms": ["trim"]}, "right": {"posting_meta": "id"}}}],
+        "captures": [{"key": "owner", "from": {"posting_meta": "owner"}, "pattern": "^by (?<owner>.+)$"}],
+        "extract": {"title": {"item_field": "kind"}, "company": {"capture": "owner"}}, "accept": {"requiredFields": ["title"]},
+    }
+    docs = events.select(F.col("event_id").alias("posting_id"), F.lit(0).alias("doc_ord"), F.expr(MATCHED).alias("body"))
+    return profile.detail(shape, events.select(F.col("event_id").alias("posting_id"), meta.alias("meta")), docs, ["title", "company"])
+
+
 @query("""SELECT CAST(event_id AS VARCHAR) AS url, event_type || CASE WHEN event_id % 2 = 0 THEN ',even' ELSE '' END || ',always' AS tags FROM events""")
 def list_carrier(table, spark):
     item = F.struct(F.col("event_id").alias("id"), F.array(F.struct(F.col("event_type").alias("t"))).alias("unused"), F.col("event_type").alias("t"), F.when(F.col("event_id") % 2 == 0, "even").alias("e"))
@@ -654,6 +692,13 @@ def list_carrier(table, spark):
     return profile.run(shape, docs)[0].select("url", F.array_join("tags", ",").alias("tags"))
 
 
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'before' WHEN o_custkey % 2 = 0 THEN 'now' END AS read_at FROM orders""")
+def mark_read(table, spark):
+    """Orders of even customers are read now, but for those that were read before."""
+    rows = table("orders").select("o_orderkey", F.when(F.col("o_orderkey") % 3 == 0, "before").alias("read_at"))
+    return catalog.mark_read(rows, table("orders").where("o_custkey % 2 = 0").select("o_orderkey"), "o_orderkey", "read_at", F.lit("now"))
+
+
 # --- gates, probes, labels ---
 
 @query("""WITH g AS (SELECT lang, source FROM documents GROUP BY 1, 2 HAVING count(*) >= 5 AND min(coalesce(length(text), 0)) >= 40 AND bool_and(coalesce(trim(source), '') <> '')),

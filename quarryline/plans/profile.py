@@ -21,7 +21,7 @@ from ..sources.tables import written
 
 #: Fixed values.
 PATH = re.compile(r"^\$(\.[A-Za-z0-9_]+)*$")
-KEYS = {"schemaVersion", "key", "kind", "parse", "select", "captures", "where", "extract", "identity", "accept"}
+KEYS = {"schemaVersion", "key", "kind", "parse", "select", "match", "captures", "where", "extract", "identity", "accept"}
 TRANSFORMS = {
     "trim": text.trim, "normalize_whitespace": text.normalize_whitespace, "url_decode": text.url_decode, "slug_to_title": text.slug_to_title,
     "to_string": text.to_text, "html_to_text": html.html_to_text,
@@ -378,26 +378,44 @@ def run_once(profile: dict, docs: DataFrame, config: dict | None = None) -> tupl
     return *accepted(profile, found), diagnostics(rows), counts
 
 
+def matching(profile: dict, scope: Scope, rows: DataFrame) -> DataFrame:
+    """Items for which every predicate of the profile's `match` holds; they know their posting."""
+    for i, p in enumerate(profile.get("match", [])):
+        rows = rows.where(condition(p, scope, f"match.{i}"))
+    return rows
+
+
 def detail(profile: dict, postings: DataFrame, docs: DataFrame, wanted: list[str], config: dict | None = None) -> DataFrame:
     """Postings (posting_id, meta) with what their detail documents (posting_id, doc_ord, body) say of the `wanted` fields.
 
-    A document's selection has to hold exactly one item for its posting;
-    `status` is missing, multiple, failed (an item dropped) or found. Fields
-    that several documents of a posting tell differently are null and listed.
+    A document's selection has to hold exactly one item for its posting: if the profile has a `match`, exactly one for
+    which that holds. Captures and expressions may read the posting's meta. `status` is missing, unmatched (items, but none
+    matches), multiple, failed (an item dropped), rejected (the profile's `accept`: a required field is empty, or the
+    description too short) or found. Fields that several documents of a posting tell differently are null and listed.
     Fields that aren't wanted are never extracted.
     """
     check(profile)
     if extra := set(wanted) - set(profile["extract"]):
         raise Invalid(f"detail: unknown fields {sorted(extra)}")
+    accept = profile.get("accept", {})
+    only(accept, {"requiredFields", "minDescriptionLength"}, "accept")
     rows, json = items(profile, docs.withColumnRenamed("posting_id", "source_key"))
-    rows = rows.where(F.col("item").isNotNull())
-    counted = rows.groupBy("source_key", "doc_ord").agg(F.count("*").alias("_n"))
-    per = counted.groupBy("source_key").agg(F.max("_n").alias("_n"))
     known = postings.select(F.col("posting_id").alias("source_key"), "meta")
+    rows = rows.where(F.col("item").isNotNull()).join(known, "source_key")
     scope = Scope(json, config or {}, {}, meta=F.col("meta"))
-    one = rows.join(counted.where("_n = 1").select("source_key", "doc_ord"), ["source_key", "doc_ord"], "left_semi").join(known, "source_key")
+    mine = matching(profile, scope, rows)
+    counted = mine.groupBy("source_key", "doc_ord").agg(F.count("*").alias("_n"))
+    per = counted.groupBy("source_key").agg(F.max("_n").alias("_n"))
+    some = rows.select("source_key").distinct().withColumn("_some", F.lit(True)) if profile.get("match") else per.select("source_key", F.lit(True).alias("_some"))
+    one = mine.join(counted.where("_n = 1").select("source_key", "doc_ord"), ["source_key", "doc_ord"], "left_semi")
     one = selected(profile, scope, one)
     told = grouped.reduce_fields(extracted(profile, scope, one, wanted, whole=True), ["source_key"], wanted, ["doc_ord", "item_ord"])
-    status = F.when(F.col("_n").isNull(), "missing").when(F.col("_n") > 1, "multiple").when(F.col("n").isNull(), "failed").otherwise("found")
-    out = known.join(per, "source_key", "left").join(told, "source_key", "left")
+    short = F.lit(False)
+    for f in accept.get("requiredFields", []):
+        if f in wanted:
+            short = short | (F.coalesce(F.trim(F.col(f).cast("string")), F.lit("")) == "")
+    if "description" in wanted:
+        short = short | (F.coalesce(F.char_length("description"), F.lit(0)) < accept.get("minDescriptionLength", 0))
+    status = F.when(F.col("_some").isNull(), "missing").when(F.col("_n").isNull(), "unmatched").when(F.col("_n") > 1, "multiple").when(F.col("n").isNull(), "failed").when(short, "rejected").otherwise("found")
+    out = known.join(some, "source_key", "left").join(per, "source_key", "left").join(told, "source_key", "left")
     return out.select(F.col("source_key").alias("posting_id"), status.alias("status"), *[F.when(status == "found", F.col(f)).alias(f) for f in wanted], F.coalesce("conflicts", F.lit("")).alias("conflicts"))

@@ -1,4 +1,4 @@
-"""Cells against the product, with poles, the date line and places on edges."""
+"""Places: cells against the product, with poles, the date line and edges; what location texts mean."""
 
 import math
 import random
@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarryline.functions.geo import haversine_km
-from quarryline.operators import cells
+from quarryline.operators import cells, geo
 
 
 @pytest.mark.parametrize("most", [1.5, 300.0, 2_500.0, 12_000.0, 20_000.0])
@@ -53,3 +53,16 @@ def test_far_cells_never_meet(spark):
     assert "Cartesian" not in plan and "NestedLoop" not in plan
     wide = cells.near_pairs(a, b.withColumn("r", F.lit(100.0)), "r", 100.0).count()
     assert 300 < wide < 5000
+
+
+def test_resolution_and_preparation(rows):
+    places = rows("place_id long, label string, latitude double, longitude double", (1, "Köln", 50.9, 6.9), (2, "Köln", 50.9, 6.9), (3, "Koeln", 1.0, 1.0), (4, "Mainz", 50.0, 8.2), (5, "AB1", 57.0, -2.0))
+    names = rows("key string, place_id long", ("koeln", 3), ("koln", 2), ("köln", 1), ("köln", 2), ("mainz", 4))
+    postal = rows("postal_code string, place_id long, latitude double, longitude double", ("55116", 4, 50.1, 8.3), ("ab1 3", 5, 57.1, -2.1), ("ab1", 5, 57.2, -2.2))
+    inputs = rows("id int, text string", (1, " KÖLN "), (2, "Mainz"), (3, "55116"), (4, "AB1 3XY"), (5, "  "), (6, None), (7, "Atlantis"), (8, "99999"))
+    got = sorted(map(tuple, geo.resolve(inputs, "id", "text", postal, names, places).collect()))
+    assert got == [(1, 1, "Koeln", 1.0, 1.0, "name", 2), (1, 2, "Köln", 50.9, 6.9, "name", 2), (2, 1, "Mainz", 50.0, 8.2, "name", 1), (3, 1, "Mainz", 50.1, 8.3, "postal", 1), (4, 1, "AB1", 57.1, -2.1, "postal", 1)]
+    found = rows("id int, text string, n long", (1, "a", 1), (1, "b", 2), (1, "c", 3), (2, "a", 1))
+    asked = rows("id int, places array<string>, km int", (1, ["a", "c", "b"], 5), (2, ["x", "a", "y"], 5), (3, ["a"], None), (4, [], 5), (5, None, 5))
+    told = {r.id: (r.status, r.unresolved, r.ambiguous) for r in geo.prepared(asked, "id", "places", "km", found).collect()}
+    assert told == {1: ("applied", None, ["c", "b"]), 2: ("unresolved", "x", []), 3: ("missing_radius_km", None, []), 4: ("no_request_locations", None, []), 5: ("no_request_locations", None, [])}
