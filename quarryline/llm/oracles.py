@@ -8,6 +8,7 @@ from .line_dedup import LEAST_CHARS
 from .near_dedup import SHINGLE, SIMILAR
 from .ranked_search import TOP
 from .secrets import RULES
+from .sharding import SHARDS
 from .substring_dedup import WINDOW
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -109,3 +110,9 @@ f AS (SELECT term, CAST(floor(1000 * ln((2 * all_docs + 2) / (2 * count(*) + 1))
 s AS (SELECT item_id, t.doc_id, CAST(sum(r * w * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + (25 * n * all_docs) // all_terms)))) AS BIGINT) AS score FROM q JOIN f USING (term) JOIN t USING (term) JOIN n ON n.doc_id = t.doc_id, g GROUP BY ALL)
 SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0) WHERE rank <= {TOP}
 """
+
+#: Counts differ by one at most, and the slots of a shard have no gaps.
+SHARDING_LAW = f"""
+SELECT CAST(s AS INTEGER) AS shard, n, CAST(0 AS BIGINT) AS first_slot, n - 1 AS last_slot, n AS slots
+FROM (SELECT s, all_docs // {SHARDS} + CASE WHEN s < all_docs % {SHARDS} THEN 1 ELSE 0 END AS n FROM range({SHARDS}) t(s), (SELECT count(*) AS all_docs FROM documents)) WHERE n > 0
+"""

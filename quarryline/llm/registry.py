@@ -14,7 +14,7 @@ from .quality import op7_quality_classifier
 from .ranked_search import op13_ranked_search
 from .sampled_pieces import op10_sentencepiece
 from .secrets import op9_secret_scans
-from .sharding import op8_sharding
+from .sharding import op8_sharding, sharding_law
 from .substring_dedup import op4_substring_dedup
 
 QUERIES = {
@@ -31,6 +31,7 @@ QUERIES = {
     "op11_line_dedup": op11_line_dedup,
     "op12_source_divergence_audit": op12_source_divergence_audit,
     "op13_ranked_search": op13_ranked_search,
+    "sharding_law": sharding_law,
 }
 #: Of those that SQL can express; the others are held against brute force, round trips or held-out rows in tests/llm.
 ORACLE_SQL: dict[str, str] = {
@@ -41,4 +42,5 @@ ORACLE_SQL: dict[str, str] = {
     "op11_line_dedup": oracles.LINE_DEDUP,
     "op12_source_divergence_audit": oracles.DIVERGENCE,
     "op13_ranked_search": oracles.RANKED_SEARCH,
+    "sharding_law": oracles.SHARDING_LAW,
 }

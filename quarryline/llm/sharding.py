@@ -116,3 +116,9 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     out = assign(docs, "doc_id", ["size", "text_crc32"])
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def sharding_law(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per shard of op8 its documents, its first and last slot and how many different ones."""
+    placed = op8_sharding(spark, sf_dir)
+    return placed.groupBy("shard").agg(F.count("*").alias("n"), F.min("slot").alias("first_slot"), F.max("slot").alias("last_slot"), F.countDistinct("slot").alias("slots"))

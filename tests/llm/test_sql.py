@@ -14,7 +14,7 @@ DATA = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", sorted(registry.ORACLE_SQL))
 def test_against_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "conversations"):
+    for t in ("documents", "conversations", "benchmark"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{DATA}/{t}.parquet')")
     got, want = registry.QUERIES[name](spark, DATA), con.execute(registry.ORACLE_SQL[name])
     names = [d[0] for d in want.description]
