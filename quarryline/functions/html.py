@@ -149,6 +149,19 @@ def css_attribute(c: Column, selector: str, name: str) -> Column:
     return F.udf(lambda html: None if html is None else [n.attrs[name] for n in selected(parse_html(html), steps) if name in n.attrs], "array<string>", useArrow=True)(c)
 
 
+def css_all(c: Column, wanted: list[tuple[str, str | None]]) -> Column:
+    """struct(c0, c1, ...) of what each (selector, attribute; None for text) finds: one parse of the document for all."""
+    compiled = [(compile_selector(s), a) for s, a in wanted]
+
+    def found(html: str | None):
+        if html is None:
+            return None
+        tree = parse_html(html)
+        return {f"c{i}": [n.text() if a is None else n.attrs[a] for n in selected(tree, steps) if a is None or a in n.attrs] for i, (steps, a) in enumerate(compiled)}
+
+    return F.udf(found, "struct<" + ",".join(f"c{i}:array<string>" for i in range(len(wanted))) + ">", useArrow=True)(c)
+
+
 def html_to_text(c: Column) -> Column:
     return F.udf(lambda html: None if html is None else parse_html(html).text(), "string", useArrow=True)(c)
 

@@ -663,6 +663,21 @@ def detail_strategy(table, spark):
     return profile.detail(DETAIL, postings, docs, ["title", "company"])
 
 
+@query("""SELECT CAST(page_id AS VARCHAR) AS url, 'Page ' || page_id AS title, 'https://x/' || page_id || ',b' AS links, 'n' || page_id % 3 AS note FROM pages WHERE page_id % 4 <> 0""")
+def html_profile(table, spark):
+    """Several selectors of one profile over HTML documents, each of which is parsed once."""
+    page = F.col("page_id").cast("string")
+    body = F.concat(F.lit('<html><body><div class="post" id="'), page, F.lit('"><h1>Page '), page, F.lit('</h1><a href="https://x/'), page, F.lit('">a</a><p>n'), (F.col("page_id") % 3).cast("string"), F.lit('<a href="b">b</a></p>'))
+    body = F.concat(body, F.when(F.col("page_id") % 4 == 0, "").otherwise("<b>shown</b>"), F.lit("</div></body></html>"))
+    shape = {
+        "schemaVersion": 3, "key": "h", "parse": "html", "select": {"document": {}}, "where": [{"non_empty": {"css_text": "b"}}],
+        "captures": [{"key": "n", "from": {"css_text": "p", "cardinality": "first"}, "pattern": "^(?<n>n[0-9])"}],
+        "extract": {"url": {"css_attribute": {"selector": "div.post", "attribute": "id"}}, "title": {"css_text": "h1"}, "links": [{"css_attribute": {"selector": "a", "attribute": "href"}}], "note": {"capture": "n"}},
+    }
+    docs = table("pages").select(page.alias("source_key"), F.lit(0).alias("doc_ord"), body.alias("body"))
+    return profile.run(shape, docs)[0].select("url", "title", F.array_join("links", ",").alias("links"), "note")
+
+
 MATCHED = """CASE WHEN event_id % 7 = 0 THEN '{"items":[]}' WHEN event_id % 7 = 1 THEN '{"items":[{"id":"x","kind":"a"},{"id":"y","kind":"b"}]}' WHEN event_id % 7 = 2
 THEN '{"items":[{"id":"' || event_id || '","kind":"a"},{"id":"' || event_id || '","kind":"b"}]}' WHEN event_id % 7 = 3 THEN '{"items":[{"id":"x"},{"id":"' || event_id || '","kind":""}]}'
 ELSE '{"items":[{"id":"x","kind":"no"},{"id":" ' || event_id || '","kind":"' || event_type || '"},{"kind":"none"}]}' END"""

@@ -54,6 +54,7 @@ class Scope:
     depth: int = 0
     meta: Column | None = None  # what is known of a posting, in its detail
     paths: dict[str, Column] = field(default_factory=dict)  # texts at the paths that were read ahead
+    css: dict[tuple[str, str | None], Column] = field(default_factory=dict)  # and what selectors found
 
     def deeper(self) -> Scope:
         if self.depth >= 16:
@@ -92,6 +93,18 @@ def reads(e: object) -> list[str]:
     return list(dict.fromkeys(found))
 
 
+def css_of(e: dict) -> tuple[str, str | None]:
+    """The selector and attribute (None for text) of a CSS expression."""
+    return (e["css_text"], None) if "css_text" in e else (e["css_attribute"]["selector"], e["css_attribute"]["attribute"])
+
+
+def selectors(e: object) -> list[tuple[str, str | None]]:
+    """The selectors and attributes that expressions ask for, each once."""
+    own = [css_of(e)] if isinstance(e, dict) and set(e) & {"css_text", "css_attribute"} else []
+    inner = [x for v in (e.values() if isinstance(e, dict) else e if isinstance(e, list) else ()) for x in selectors(v)]
+    return list(dict.fromkeys([*own, *inner]))
+
+
 def computed(rows: DataFrame, columns: list[Column]) -> DataFrame:
     """Rows with further columns that are computed once.
 
@@ -140,10 +153,11 @@ def values(e: dict, scope: Scope, at: str) -> Column:
     if name == "combine":
         parts = [(value(x["value"], scope.deeper(), f"{at}.{i}"), not x.get("optional", False)) for i, x in enumerate(arg["parts"])]
         return F.array(text.combine(arg.get("separator", ""), parts)[0])
-    if name == "css_text":
-        return html.css_text(item, arg)
-    if name == "css_attribute":
-        return html.css_attribute(item, arg["selector"], arg["attribute"])
+    if name in ("css_text", "css_attribute"):
+        selector, attribute = css_of(e)
+        if (selector, attribute) in scope.css:
+            return scope.css[selector, attribute]
+        return html.css_text(item, selector) if attribute is None else html.css_attribute(item, selector, attribute)
     if name in ("xml_text", "xml_element"):
         return getattr(html, name)(item, arg)
     raise Invalid(f"{at}: unknown expression {name}")
@@ -264,6 +278,9 @@ def selected(profile: dict, scope: Scope, rows: DataFrame, keep: Column | None =
         rows = computed(rows, [c.alias(f"{kind}_{name}") for p, name in ahead.items() for kind, c in zip(("many", "single"), gets(F.col("item"), p), strict=True)])
         rows = computed(rows, [variant_texts(F.col("item"), p, (F.col(f"many_{name}"), F.col(f"single_{name}"))).alias(name) for p, name in ahead.items()])
         scope.paths.update({p: F.col(name) for p, name in ahead.items()})
+    elif wanted := selectors([profile.get("captures", []), profile.get("where", []), profile["extract"]]):
+        rows = computed(rows, [html.css_all(F.col("item"), wanted).alias("css")])  # one parse of an item for all selectors
+        scope.css.update({w: F.col(f"css.c{i}") for i, w in enumerate(wanted)})
     for i, c in enumerate(profile.get("captures", [])):
         only(c, {"key", "from", "pattern"}, f"captures.{i}")
         name = f"capture_{c['key']}"

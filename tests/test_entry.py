@@ -11,4 +11,4 @@ def test_sql_belongs_to_queries():
 
 def test_corpus_queries_only_with_their_package():
     names = [n for n in entry.queries() if n.startswith("op") and n[2].isdigit()]
-    assert len(names) == (10 if entry.installed("quarryline.llm") else 0)
+    assert len(names) == (13 if entry.installed("quarryline.llm") else 0)

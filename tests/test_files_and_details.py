@@ -65,6 +65,15 @@ def test_documents_are_read_once(spark, tmp_path):
     assert plan.count("FileScan parquet") == 1
 
 
+def test_html_is_parsed_once_for_all_selectors(rows):
+    docs = rows("source_key string, doc_ord int, body string", ("s", 0, "<h1>t</h1><a href='/1'>x</a><i>y</i>"))
+    shape = {"schemaVersion": 3, "key": "h", "parse": "html", "select": {"document": {}}, "where": [{"non_empty": {"css_text": "h1"}}], "extract": {"url": {"css_attribute": {"selector": "a", "attribute": "href"}}, "title": {"first_non_empty": [{"css_text": "b"}, {"css_text": "i"}]}, "all": [{"css_text": "i"}, {"css_text": "h1"}]}}
+    found, _ = profile.run(shape, docs)
+    assert [(r.url, r.title, r.all) for r in found.collect()] == [("/1", "y", ["y", "t"])]
+    assert profile.selectors(shape) == [("h1", None), ("a", "href"), ("b", None), ("i", None)]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("found(") <= 1
+
+
 def test_malformed_xml(rows):
     docs = rows("source_key string, doc_ord int, body string", ("s", 0, "<urlset><url>"), ("s", 1, "<urlset><url><loc> a\n b </loc></url><x:loc xmlns:x='y'>c</x:loc><loc/></urlset>"), ("s", 2, "<urlset/>"), ("s", 3, None), ("s", 4, ""))
     shape = {"schemaVersion": 3, "key": "m", "parse": "xml", "select": {"sitemap_urls": {}}, "extract": {"url": {"item_field": "value"}}}
