@@ -147,14 +147,16 @@ def dedup(docs: DataFrame, with_text: bool = False) -> DataFrame:
     flagged = texts.join(copies, ROW, "left").select(*ROW, "text", F.coalesce(F.array_contains("copied", F.col("h1")), F.lit(False)).alias("is_copy"))
     own = flagged.where(~F.col("is_copy")).select(*ROW, "text")
 
-    # a window and not a join with the shared ones: Spark would make the anchors, and the windows, once for either side
-    by_anchor = Window.partitionBy("h")
-    found = own.mapInArrow(anchors, "h long, ord long, sub int").withColumns({"lo": F.min(place).over(by_anchor), "hi": F.max(place).over(by_anchor)})
-    places = found.where("lo < hi").groupBy(*ROW).agg(F.collect_list("h").alias("shared"))
-
-    full = own.join(places, ROW).mapInArrow(windows, "g1 long, g2 long, ord long, sub int")
-    origin = full.withColumn("lo", F.min(place).over(Window.partitionBy("g1", "g2")))
-    gone = origin.where(place > F.col("lo")).groupBy(*ROW).agg(F.collect_list("g1").alias("gone"))
+    # a window and not a join with the shared ones: Spark would make the anchors, and the windows, once for either side;
+    # over plain columns, as any other would go through the exchange with them
+    extremes = lambda w: {"lo": F.min("ord").over(w), "hi": F.max("ord").over(w), "lo_sub": F.min("sub").over(w), "hi_sub": F.max("sub").over(w)}
+    largest_and_none = (F.col("lo") == LAST) & (F.col("lo_sub") < NONE) & (F.col("hi_sub") >= NONE)
+    found = own.mapInArrow(anchors, "h long, ord long, sub int").withColumns(extremes(Window.partitionBy("h")))
+    places = found.where((F.col("lo") < F.col("hi")) | largest_and_none).groupBy(*ROW).agg(F.collect_list("h").alias("shared"))
+
+    full = own.join(places, ROW).mapInArrow(windows, "g1 long, g2 long, ord long, sub int").withColumns(extremes(Window.partitionBy("g1", "g2")))
+    later = (F.col("ord") > F.col("lo")) | (largest_and_none & (F.col("sub") >= NONE))
+    gone = full.where(later).groupBy(*ROW).agg(F.collect_list("g1").alias("gone"))
 
     done = flagged.join(gone, ROW, "left").select(*ROW, "text", "is_copy", "gone")
     out = done.mapInArrow(cleaned(with_text), "ord long, sub int, n_words long, n_removed long, kept_sha256 string, kept_text string")
