@@ -68,6 +68,22 @@ def residue(files: DataFrame, path: str, text: str, patterns: list[tuple[str, st
     return files.select(path, F.inline(rows)).where("hits > 0")
 
 
+def residue_hits(files: DataFrame, path: str, text: str, patterns: list[tuple[str, str]]) -> DataFrame:
+    """(path, line, pattern, nth, token): every hit of a pattern, with its line from 1 and its number among those of its line."""
+    lines = files.select(F.col(path).alias("path"), F.posexplode(F.split(F.coalesce(text, F.lit("")), "\n", -1)).alias("_at", "_line"))
+    found = F.array(*[F.struct(F.lit(n).alias("pattern"), F.regexp_extract_all("_line", F.lit(p), F.lit(0)).alias("tokens")) for n, p in patterns])
+    rows = lines.select("path", (F.col("_at") + 1).alias("line"), F.inline(found)).where(F.size("tokens") > 0)
+    return rows.select("path", "line", "pattern", F.posexplode("tokens").alias("_nth", "token")).select("path", "line", "pattern", (F.col("_nth") + 1).alias("nth"), "token")
+
+
+def residue_review(hits: DataFrame, reviewed: DataFrame) -> DataFrame:
+    """Hits that nobody has reviewed (`unclassified`), and reviewed ones that are there no more (`gone`). Empty: all is reviewed."""
+    key = ["path", "line", "pattern", "nth", "token"]
+    own, known = hits.select(*key).distinct(), reviewed.select(*key).distinct()
+    side = lambda a, b, status: a.join(b, key, "left_anti").withColumn("status", F.lit(status))
+    return side(own, known, "unclassified").unionByName(side(known, own, "gone"))
+
+
 def probe(responses: DataFrame, status: str, body: str, statuses: list[int], contains: list[str], pattern: str | None = None, names: tuple[str, ...] = (), known: dict[str, str] | None = None) -> DataFrame:
     """Responses with `outcome` and the captured `names`: status, then literals, then pattern, then captures decide.
 

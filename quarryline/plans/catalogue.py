@@ -968,6 +968,17 @@ def link_check(table, spark):
     return links.join(known, "l", "left").groupBy("page_id").agg(F.count("*").alias("links"), F.count_if(F.col("known").isNull()).alias("broken"))
 
 
+@query("""SELECT CAST(page_id AS VARCHAR) AS path, 2 AS line, 'todo' AS pattern, 1 AS nth, 'todo ' || page_id % 4 AS token, 'unclassified' AS status FROM pages WHERE page_id % 4 <> 0
+UNION ALL SELECT CAST(page_id AS VARCHAR), 2, 'todo', 1, 'todo 0', 'gone' FROM pages WHERE page_id % 4 = 2""")
+def residue_review(table, spark):
+    """What files still hold against a list of reviewed hits, of which some are out of date."""
+    page = F.col("page_id").cast("string")
+    text = F.concat(F.lit("none here, "), F.col("url"), F.lit("\n# todo "), (F.col("page_id") % 4).cast("string"), F.lit(" end"))
+    hits = live.residue_hits(table("pages").select(page.alias("file"), text.alias("body")), "file", "body", [("todo", "todo [0-9]"), ("fixme", "FIXME:[a-z]+")])
+    reviewed = table("pages").where("page_id % 2 = 0").select(page.alias("path"), F.lit(2).alias("line"), F.lit("todo").alias("pattern"), F.lit(1).alias("nth"), F.lit("todo 0").alias("token"))
+    return live.residue_review(hits, reviewed)
+
+
 @query("""SELECT 'd' || page_id % 3 || '/p' || page_id || '.md' AS path, 5 AS line, CASE page_id % 8 WHEN 1 THEN '#page-' || page_id || '-2' WHEN 2 THEN 'p%zz.md' WHEN 3 THEN '../../x.md' WHEN 4 THEN 'missing.md' ELSE '../d0#top' END AS destination,
 CASE page_id % 8 WHEN 2 THEN 'invalid URL encoding' WHEN 3 THEN 'target escapes repository' WHEN 4 THEN 'target does not exist' ELSE 'heading anchor does not exist' END AS reason FROM pages WHERE page_id % 8 IN (1, 2, 3, 4, 7)""")
 def markdown_links(table, spark):

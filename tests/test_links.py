@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from quarryline.operators import links, variants
+from quarryline.operators import links, live, variants
 
 PAGE = """# Title *one*
 Text with [a good](other.md#title-one-1) and [a bad](<no where.md> "title") link ![i](pic.png).
@@ -62,3 +62,13 @@ def test_schema_scores(rows):
 def test_references_that_go_round():
     root = {"$ref": "#/a", "a": {"$ref": "#/b"}, "b": {"$ref": "#/a"}}
     assert variants.resolved(root, root)[0] in (root["a"], root["b"]) and variants.variants(root) == []
+
+
+def test_residue_against_a_review(rows):
+    files = rows("p string, t string", ("a", "old_x old_y\nold_x"), ("b", None), ("c", "fine"))
+    hits = live.residue_hits(files, "p", "t", [("old", "old_[a-z]"), ("fine", "f.n")])
+    assert sorted(map(tuple, hits.collect())) == [("a", 1, "old", 1, "old_x"), ("a", 1, "old", 2, "old_y"), ("a", 2, "old", 1, "old_x"), ("c", 1, "fine", 1, "fin")]
+    assert live.residue_review(hits, hits).isEmpty()
+    known = rows("path string, line int, pattern string, nth int, token string", ("a", 1, "old", 1, "old_x"), ("a", 9, "old", 1, "old_x"))
+    got = sorted((r.path, r.line, r.nth, r.status) for r in live.residue_review(hits, known).collect())
+    assert got == [("a", 1, 2, "unclassified"), ("a", 2, 1, "unclassified"), ("a", 9, 1, "gone"), ("c", 1, 1, "unclassified")]
