@@ -868,7 +868,8 @@ def shingle_similarity_topk(table, spark):
 @query()
 def similar_pairs_report(table, spark):
     """The 100 best pairs of different documents, with their parts and the words that only one of them has."""
-    docs = table("documents").dropDuplicates(["text"])
+    # the least doc_id of each text; written, as it is read for the features and for the report
+    docs = tables.written(table("documents").groupBy("text").agg(F.min_by(F.struct("doc_id", "source"), "doc_id").alias("row")).select("row.*", "text"))
     feats = similar.features(docs, "doc_id", "text")
     words = F.array_distinct(F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), r"\s+"), lambda w: w != ""))
     rows = docs.select("doc_id", "source", F.coalesce(F.length("text"), F.lit(0)).alias("line"), words.alias("words"))
