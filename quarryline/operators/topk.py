@@ -1,6 +1,6 @@
 """The best pairs by weighted similarity, by a top-k set join without restarts.
 
-Each body's shingles are put in one order, by rising frequency. Two bodies whose
+Each body's shingles are put in one order, the frequent ones last. Two bodies whose
 first common shingle is the p-th of the n of one of them (from 0) can't be more
 similar than 1 - p / n. Rounds go down that bound: each lets every body's next
 shingles take part, joins them with all shingles so far, scores the pairs not
@@ -28,16 +28,26 @@ PARTS = ("body", "identifiers", "signature", "control")
 #: By how much the bound of similarity falls in the first round, and how much more in each next one.
 STEP, GROWTH = 0.05, 1.5
 REST = sum(WEIGHTS[1:])
+#: Shingles whose frequency the order knows.
+FREQUENT = 1000
+
+
+def frequent(feats: DataFrame) -> list[int]:
+    """About the `FREQUENT` shingles that most bodies hold, the rarest of them first."""
+    lots = feats.select(F.explode("body").alias("x")).groupBy(F.pmod(F.spark_partition_id(), F.lit(64)).alias("lot"))
+    sketches = lots.agg(F.expr(f"approx_top_k_accumulate(x, {10 * FREQUENT})").alias("sketch")).groupBy(F.lit("all"))
+    top = sketches.agg(F.expr(f"approx_top_k_combine(sketch, {10 * FREQUENT})").alias("sketch")).select(F.expr(f"approx_top_k_estimate(sketch, {FREQUENT})").alias("top")).first()
+    return [r["item"] for r in reversed(top["top"])] if top else []
 
 
 def ordered(feats: DataFrame, id_: str) -> DataFrame:
-    """(rep, n, shingles, sizes): bodies by rising frequency of their shingles, and the sizes of all parts."""
-    once = feats.select(F.col(id_).alias("rep"), F.explode("body").alias("x"))
-    common = once.groupBy("x").agg(F.count("*").alias("df"))
-    by_df = once.join(common, "x").groupBy("rep").agg(F.transform(F.sort_array(F.collect_list(F.struct("df", "x"))), lambda s: s["x"]).alias("shingles"))
+    """(rep, n, shingles, sizes): bodies in one order of all shingles, the frequent ones last, by rising frequency, and
+    the sizes of all parts. Any order gives the same pairs; no shingle is shuffled for this one."""
+    often = F.array(*[F.lit(x) for x in frequent(feats)]).cast("array<long>")
     total = F.aggregate("control", F.lit(0).cast("long"), lambda acc, n: acc + n)
-    sizes = feats.select(F.col(id_).alias("rep"), F.array(*[F.size(c).cast("long") for c in PARTS[:3]], total).alias("sizes"))
-    return by_df.join(sizes, "rep").select("rep", F.size("shingles").alias("n"), "shingles", "sizes")
+    sizes = F.array(*[F.size(c).cast("long") for c in PARTS[:3]], total).alias("sizes")
+    shingles = F.concat(F.array_except(F.sort_array("body"), often), F.array_intersect(often, "body")).alias("shingles")
+    return feats.where(F.size("body") > 0).select(F.col(id_).alias("rep"), F.size("body").alias("n"), shingles, sizes)
 
 
 def size_bound(a: Column, b: Column) -> Column:
