@@ -117,7 +117,7 @@ def features(rows: DataFrame, id_: str, text: str) -> DataFrame:
     split = lambda c: F.filter(F.split(F.lower(c), r"\s+"), lambda x: x != "")
     plain = F.coalesce(F.col(text), F.lit(""))
     words = rows.select(id_, split(plain).alias("_toks"), split(F.regexp_extract(plain, r"^\s*([^\r\n]*)", 1)).alias("_first"), (F.char_length(plain) - F.char_length(F.replace(plain, F.lit("?"), F.lit("")))).alias("_asks"))
-    words = words.withColumn("_words", F.filter(F.transform("_toks", lambda x: F.regexp_replace(x, r"(?U)^\W+|\W+$", "")), lambda x: x != ""))
+    words = words.withColumn("_words", F.filter(F.transform("_toks", lambda x: F.when(x.rlike("^[a-z0-9]+$"), x).otherwise(F.regexp_replace(x, r"(?U)^\W+|\W+$", ""))), lambda x: x != ""))
     words = words.withColumn("_control", F.filter("_words", lambda x: x.isin(*CONTROL)))
     hashed = lambda c: F.sort_array(F.array_distinct(F.transform(c, lambda x: F.xxhash64(x))))
     times = lambda w: F.size("_control") - F.size(F.array_remove("_control", w))

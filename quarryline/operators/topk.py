@@ -30,80 +30,140 @@ STEP, GROWTH = 0.05, 1.5
 REST = sum(WEIGHTS[1:])
 #: Shingles whose frequency the order knows.
 FREQUENT = 1000
+#: Words of 64 bits in the sketches of body, identifiers and signature.
+SKETCH = (2, 1, 1)
+#: Pairs in the first lot that is scored, for each of the k, and in any lot at most; each lot is four times the one before.
+LOT, MOST_LOT = 10, 20_000
+
+
+def once(feats: DataFrame, kept: list[str], made: list[str]) -> DataFrame:
+    """`feats` as the output of a generator, into whose columns no filter is pushed: it would compute them again."""
+    return feats.select(*kept, F.inline(F.array(F.struct(*made))))
 
 
 def frequent(feats: DataFrame) -> list[int]:
     """About the `FREQUENT` shingles that most bodies hold, the rarest of them first."""
-    lots = feats.select(F.explode("body").alias("x")).groupBy(F.pmod(F.spark_partition_id(), F.lit(64)).alias("lot"))
+    lots = once(feats, [], ["body"]).select(F.explode("body").alias("x")).groupBy(F.pmod(F.spark_partition_id(), F.lit(64)).alias("lot"))
     sketches = lots.agg(F.expr(f"approx_top_k_accumulate(x, {10 * FREQUENT})").alias("sketch")).groupBy(F.lit("all"))
     top = sketches.agg(F.expr(f"approx_top_k_combine(sketch, {10 * FREQUENT})").alias("sketch")).select(F.expr(f"approx_top_k_estimate(sketch, {FREQUENT})").alias("top")).first()
     return [r["item"] for r in reversed(top["top"])] if top else []
 
 
-def ordered(feats: DataFrame, id_: str) -> DataFrame:
-    """(rep, n, shingles, sizes): bodies in one order of all shingles, the frequent ones last, by rising frequency, and
-    the sizes of all parts. Any order gives the same pairs; no shingle is shuffled for this one."""
-    often = F.array(*[F.lit(x) for x in frequent(feats)]).cast("array<long>")
+def upto(n: Column, bound: float) -> Column:
+    """How many of n shingles take part at a bound."""
+    return F.least(n, F.floor((1 - bound) * n + 1e-9).cast("int") + 1)
+
+
+def sketch(c: Column, words: int) -> list[Column]:
+    """Parities of the hashes in `c` by 64 * words bits."""
+    bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))
+    own = lambda x, i: bit(x) if words == 1 else F.when(F.pmod(F.shiftright(x, 6), F.lit(words)) == i, bit(x)).otherwise(F.lit(0).cast("long"))
+    parity = lambda i: lambda acc, x: acc.bitwiseXOR(own(x, i))
+    return [F.aggregate(c, F.lit(0).cast("long"), parity(i)) for i in range(words)]
+
+
+def ordered(feats: DataFrame, id_: str, frequent: list[int], bound: float = 0.0) -> DataFrame:
+    """(rep, n, shingles, sizes): bodies in one order of all shingles, the frequent ones last, by rising frequency, as far
+    as they take part down to `bound`; and the sizes of all parts with their sketches. Any order gives the same pairs; no
+    shingle is shuffled for this one."""
+    often = F.array(*[F.lit(x) for x in frequent]).cast("array<long>")
     total = F.aggregate("control", F.lit(0).cast("long"), lambda acc, n: acc + n)
-    sizes = F.array(*[F.size(c).cast("long") for c in PARTS[:3]], total).alias("sizes")
-    shingles = F.concat(F.array_except(F.sort_array("body"), often), F.array_intersect(often, "body")).alias("shingles")
-    return feats.where(F.size("body") > 0).select(F.col(id_).alias("rep"), F.size("body").alias("n"), shingles, sizes)
+    sizes = F.array(*[F.size(c).cast("long") for c in PARTS[:3]], total, *[w for c, k in zip(PARTS, SKETCH, strict=False) for w in sketch(F.col(c), k)]).alias("sizes")
+    shingles = F.concat(F.array_except(F.sort_array("body"), often), F.array_intersect(often, "body"))
+    n = F.size("body")
+    return feats.where(n > 0).select(F.col(id_).alias("rep"), n.alias("n"), F.slice(shingles, F.lit(1), upto(n, bound)).alias("shingles"), sizes)
 
 
-def size_bound(a: Column, b: Column) -> Column:
-    """The highest score that two rows' sizes allow."""
-    ratio = lambda i: F.when(F.greatest(a[i], b[i]) == 0, 1.0).otherwise(F.least(a[i], b[i]) / F.greatest(a[i], b[i]))
-    return sum((F.lit(w) * ratio(i) for i, w in enumerate(WEIGHTS)), F.lit(0.0))
+def most(a: Column, b: Column) -> Column:
+    """The highest score that two rows' sizes and sketches allow."""
+    parts, at = [], 4
+    for i, k in enumerate(SKETCH):
+        apart = sum((F.bit_count(a[at + j].bitwiseXOR(b[at + j])) for j in range(k)), F.lit(0))
+        both = F.least(a[i], b[i], F.floor((a[i] + b[i] - apart) / 2))
+        parts.append(F.when(a[i] + b[i] == 0, 1.0).otherwise(both / (a[i] + b[i] - both)))
+        at += k
+    parts.append(F.when(F.greatest(a[3], b[3]) == 0, 1.0).otherwise(F.least(a[3], b[3]) / F.greatest(a[3], b[3])))
+    # the formula of the scores, so that no bound is rounded below its score
+    return F.greatest(weighted(parts, F.lit(False)), F.when(a == b, 1.0))
 
 
 def meeting(rows: DataFrame, before: float, bound: float, floor: float) -> DataFrame:
-    """(a, b), a < b, of bodies that share one of the shingles whose bound is `bound` at least, one of them below `before`,
-    and whose sizes allow the score `floor`."""
-    upto = lambda t: F.least(F.col("n"), F.floor((1 - t) * F.col("n") + 1e-9).cast("int") + 1)
+    """(a, b, most), a < b, of bodies that share one of the shingles whose bound is `bound` at least, one of them below
+    `before`, and that may have the score `floor`; `most` is the highest they may have."""
     least = max((floor - REST) / WEIGHTS[0], 1e-6)
     width = math.log(1 / min(least, 0.99))
     # of two bodies the larger one's class is that of the smaller or the next
     class_ = F.floor(F.log(F.col("n").cast("double")) / width + 1e-9).cast("int")
-    old = F.lit(0) if before > 1 else upto(before)
-    probe = rows.select("rep", "n", "sizes", class_.alias("class"), old.alias("old"), F.posexplode(F.slice("shingles", F.lit(1), upto(bound))).alias("p", "x"))
+    old = F.lit(0) if before > 1 else upto(F.col("n"), before)
+    probe = rows.select("rep", "n", "sizes", class_.alias("class"), old.alias("old"), F.posexplode(F.slice("shingles", F.lit(1), upto(F.col("n"), bound))).alias("p", "x"))
     probe = probe.select("x", "class", F.struct("n", "rep", "sizes", (F.col("p") >= F.col("old")).alias("new")).alias("r"))
     small = probe.select("x", F.explode(F.array(F.col("class"), F.col("class") + 1)).alias("class"), F.col("r").alias("s"))
     pairs = small.join(probe, ["x", "class"]).where((F.col("s.n") < F.col("r.n")) | ((F.col("s.n") == F.col("r.n")) & (F.col("s.rep") < F.col("r.rep"))))
-    pairs = pairs.where((F.col("s.new") | F.col("r.new")) & (F.col("s.n") >= (least - 1e-9) * F.col("r.n")) & (size_bound(F.col("s.sizes"), F.col("r.sizes")) >= floor - 1e-9))
-    return pairs.select(F.least("s.rep", "r.rep").alias("a"), F.greatest("s.rep", "r.rep").alias("b")).distinct()
+    pairs = pairs.where((F.col("s.new") | F.col("r.new")) & (F.col("s.n") >= (least - 1e-9) * F.col("r.n"))).withColumn("most", most(F.col("s.sizes"), F.col("r.sizes")))
+    return pairs.where(F.col("most") >= floor - 1e-9).select(F.least("s.rep", "r.rep").alias("a"), F.greatest("s.rep", "r.rep").alias("b"), "most").distinct()
 
 
 def scored(pairs: DataFrame, feats: DataFrame, id_: str) -> DataFrame:
-    """(a, b, score, and each part's similarity) of pairs."""
+    """(a, b, score, and each part's similarity) of pairs, few enough for a broadcast of their ids."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias(id_)).distinct()
+    feats = written(feats.join(F.broadcast(ids), id_, "left_semi"))
     side = lambda x: feats.select(F.col(id_).alias(x), F.struct(*PARTS).alias(f"f_{x}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     parts = [jaccard(F.col(f"f_a.{c}"), F.col(f"f_b.{c}")) for c in PARTS[:3]] + [overlap(F.col("f_a.control"), F.col("f_b.control"))]
     return both.select("a", "b", weighted(parts, F.col("f_a") == F.col("f_b")).alias("score"), *[p.alias(c) for c, p in zip(PARTS, parts, strict=True)])
 
 
+def before(row) -> Column:
+    """Whether a pair (most, a, b) comes before the pair (-m, a, b) by falling `most`, then ids."""
+    m, a, b = -row[0], F.lit(row[1]), F.lit(row[2])
+    return (F.col("most") > m) | ((F.col("most") == m) & ((F.col("a") < a) | ((F.col("a") == a) & (F.col("b") < b))))
+
+
+def better(pairs: DataFrame, feats: DataFrame, id_: str, best: DataFrame | None, threshold: float, k: int) -> DataFrame:
+    """The `k` best of `best` and of the pairs (a, b, most)."""
+    n, open_ = LOT * k, pairs
+    while True:
+        lot = durable(open_.orderBy(F.desc("most"), "a", "b").limit(n))
+        held, last = lot.agg(F.count("*"), F.max(F.struct((-F.col("most")).alias("m"), "a", "b"))).first()
+        if held or best is None:
+            found = scored(lot, feats, id_).where(F.col("score") >= threshold - 1e-12)
+            best = durable((found if best is None else best.unionByName(found)).orderBy(F.desc("score"), "a", "b").limit(k))
+        if held < n:
+            return best
+        open_ = pairs.where(~before(last) & ~((F.col("a") == last[1]) & (F.col("b") == last[2])))
+        have, worst = best.agg(F.count("*"), F.max(F.struct((-F.col("score")).alias("m"), "a", "b"))).first()
+        if have >= k:
+            open_ = open_.where(before(worst))
+        n = min(4 * n, MOST_LOT)
+
+
 def top_pairs(feats: DataFrame, id_: str, threshold: float, k: int) -> DataFrame:
     """(a, b, score, parts) of the `k` best pairs of different rows with a score of `threshold` at least, by score, then
-    ids. Bodies that share nothing score 0.45 at most, so that the threshold has to be above that."""
+    ids. Bodies that share nothing score 0.45 at most, so that the threshold has to be above that.
+
+    `feats` is computed twice, once more if there is a round below the first bound, and for the rows of the pairs that are
+    scored; what it is computed from should be at hand."""
     if threshold <= REST:
         raise ValueError(f"a threshold above {REST} is needed: below it, pairs count that share nothing")
-    feats = written(feats)
-    rows = written(ordered(feats, id_))
-    order = [F.desc("score"), "a", "b"]
+    often, reach, feats = frequent(feats), 1.0 - STEP, once(feats, [id_], list(PARTS))
+    rows = written(ordered(feats, id_, often, reach))
     seen = best = None
-    floor, before, bound, step = threshold, 2.0, 1.0 - STEP, STEP
+    floor, before, bound, step = threshold, 2.0, 1.0, STEP  # first by one shingle each, for a k-th best score
     while True:
+        if bound < reach:
+            rows, reach = written(ordered(feats, id_, often)), 0.0
         pairs = meeting(rows, before, bound, floor)
         pairs = written(pairs if seen is None else pairs.join(seen, ["a", "b"], "left_anti"))
-        found = scored(pairs, feats, id_).where(F.col("score") >= floor - 1e-12)
-        best = durable((found if best is None else best.unionByName(found)).orderBy(*order).limit(k))
+        best = better(pairs, feats, id_, best, threshold, k)
         n, last = best.agg(F.count("*"), F.min("score")).first()
         floor = max(floor, last) if n >= k else floor
         if bound <= 0 or WEIGHTS[0] * bound + REST <= floor:
             return best
+        pairs = pairs.select("a", "b")
         seen = pairs if seen is None else seen.unionByName(pairs)
-        step *= GROWTH
         # the least bound that can matter ends the search
         before, bound = bound, max(bound - step, min((floor - REST) / WEIGHTS[0], bound - 1e-6), 0.0)
+        step *= GROWTH
 
 
 def report(rows: DataFrame, id_: str, place: list[str], pairs: DataFrame, sets: list[str]) -> DataFrame:
