@@ -137,7 +137,7 @@ def greedy_merge(postings: DataFrame, company: str, title: str, locations: str,
 
 def exact_identity(incoming: DataFrame, known: DataFrame, identity: list[str], ord_: str) -> DataFrame:
     """Per incoming posting the posting ids its identities are known by: new, found or conflict."""
-    hits = incoming.join(known.select(*identity, "posting_id"), identity, "left")
-    per = hits.groupBy(ord_).agg(F.min("posting_id").alias("posting_id"), F.max("posting_id").alias("_hi"))
+    ends = known.groupBy(*identity).agg(F.min("posting_id").alias("posting_id"), F.max("posting_id").alias("_hi"))
+    per = incoming.join(ends, identity, "left").groupBy(ord_).agg(F.min("posting_id").alias("posting_id"), F.max("_hi").alias("_hi"))
     return per.select(ord_, "posting_id", F.when(F.col("posting_id").isNull(), "new").when(F.col("posting_id") == F.col("_hi"), "found").otherwise("conflict").alias("status"))
 
