@@ -8,8 +8,10 @@ from __future__ import annotations
 import unicodedata
 from urllib.parse import urlsplit, urlunsplit
 
+import pyarrow as pa
 from pyspark.sql import Column
-from pyspark.sql import functions as F
+
+from .batches import each
 
 
 def word_tokens(text: str | None) -> list[str]:
@@ -76,12 +78,12 @@ def normal_url(url: str | None) -> str | None:
 
 
 def tokens(c: Column) -> Column:
-    return F.udf(word_tokens, "array<string>", useArrow=True)(c)
+    return each(word_tokens, pa.list_(pa.string()), c)
 
 
 def places(c: Column) -> Column:
-    return F.udf(place_keys, "array<string>", useArrow=True)(c)
+    return each(place_keys, pa.list_(pa.string()), c)
 
 
 def url_key(c: Column) -> Column:
-    return F.udf(normal_url, "string", useArrow=True)(c)
+    return each(normal_url, pa.string(), c)

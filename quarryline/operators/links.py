@@ -11,10 +11,13 @@ from __future__ import annotations
 import re
 from itertools import pairwise
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MARKS = "array<struct<line:int,kind:string,text:string>>"
+from ..functions.batches import each
+
+MARKS = pa.list_(pa.struct([("line", pa.int32()), ("kind", pa.string()), ("text", pa.string())]))
 #: Why a link is wrong.
 ENCODING, ESCAPES, MISSING, ANCHOR = "invalid URL encoding", "target escapes repository", "target does not exist", "heading anchor does not exist"
 
@@ -123,7 +126,7 @@ def folder_of(path: Column) -> Column:
 def check_links(files: DataFrame, paths: DataFrame) -> DataFrame:
     """(path, line, destination, reason) of the wrong links of Markdown `files` (path, text); `paths` has the path of every
     file of the repository. Null texts have no links; external destinations aren't judged."""
-    found = files.select("path", F.inline(F.udf(marks, MARKS, useArrow=True)("text")))
+    found = files.select("path", F.inline(each(marks, MARKS, "text")))
     heads = found.where("kind = 'heading'").withColumn("base", slug(F.col("text")))
     nth = F.row_number().over(Window.partitionBy("path", "base").orderBy("line")) - 1
     anchors = heads.select(F.col("path").alias("page"), F.when(nth == 0, F.col("base")).otherwise(F.concat("base", F.lit("-"), nth.cast("string"))).alias("anchor")).distinct()

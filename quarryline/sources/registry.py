@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import codecs
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.batches import each
 from .tables import durable
 
 #: Limits of a registry, as (documents, bytes of one, bytes of all).
@@ -124,7 +126,7 @@ def strict_text(body: bytes | None, authored: str | None, content_type: str | No
 
 def decoded_strictly(body: Column, authored: Column, content_type: Column) -> Column:
     """struct(text, error) by `strict_text`."""
-    return F.udf(lambda b, a, c: strict_text(None if b is None else bytes(b), a, c), "struct<text:string,error:string>", useArrow=True)(body, authored, content_type)
+    return each(strict_text, pa.struct([("text", pa.string()), ("error", pa.string())]), body, authored, content_type)
 
 
 #: Folders that a scan of sources doesn't enter.
