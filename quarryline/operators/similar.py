@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import hashes
 from ..functions.sets import jaccard
 from ..sources.tables import durable, written
 from .catalog import with_ids
@@ -114,15 +115,8 @@ def features(rows: DataFrame, id_: str, text: str) -> DataFrame:
     Hashed word shingles of the text and of its first line, its distinct words,
     and counts of control tokens.
     """
-    split = lambda c: F.filter(F.split(F.lower(c), r"\s+"), lambda x: x != "")
-    plain = F.coalesce(F.col(text), F.lit(""))
-    words = rows.select(id_, split(plain).alias("_toks"), split(F.regexp_extract(plain, r"^\s*([^\r\n]*)", 1)).alias("_first"), (F.char_length(plain) - F.char_length(F.replace(plain, F.lit("?"), F.lit("")))).alias("_asks"))
-    words = words.withColumn("_words", F.filter(F.transform("_toks", lambda x: F.when(x.rlike("^[a-z0-9]+$"), x).otherwise(F.regexp_replace(x, r"(?U)^\W+|\W+$", ""))), lambda x: x != ""))
-    words = words.withColumn("_control", F.filter("_words", lambda x: x.isin(*CONTROL)))
-    hashed = lambda c: F.sort_array(F.array_distinct(F.transform(c, lambda x: F.xxhash64(x))))
-    times = lambda w: F.size("_control") - F.size(F.array_remove("_control", w))
-    control = F.array(*[times(w) for w in CONTROL], F.col("_asks"))
-    return words.select(id_, hashed(shingles(F.col("_toks"))).alias("body"), hashed(F.filter("_words", lambda x: ~x.isin(*IGNORED))).alias("identifiers"), hashed(shingles(F.col("_first"))).alias("signature"), control.alias("control"))
+    lowered = F.lower(F.coalesce(F.col(text), F.lit("")))
+    return rows.select(id_, hashes.features(lowered, CONTROL, IGNORED).alias("_features")).select(id_, "_features.*")
 
 
 def best_pairs(rows: DataFrame, id_: str, text: str, threshold: float, k: int) -> tuple[DataFrame, DataFrame]:
@@ -148,7 +142,8 @@ def best_pairs(rows: DataFrame, id_: str, text: str, threshold: float, k: int) -
     from .topk import top_pairs
 
     alone = feats.join(sizes.select(F.col("rep").alias(id_)), id_, "left_semi")
-    top = top_pairs(alone, id_, threshold, k).select(F.col("a").alias("ra"), F.col("b").alias("rb"), "score")
+    few = lambda ids: features(rows.join(F.broadcast(ids), id_, "left_semi"), id_, text)
+    top = top_pairs(alone, id_, threshold, k, few).select(F.col("a").alias("ra"), F.col("b").alias("rb"), "score")
     both = top.join(first.select(F.col("rep").alias("ra"), F.col(id_).alias("x")), "ra").join(first.select(F.col("rep").alias("rb"), F.col(id_).alias("y")), "rb")
     different = both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "score")
     return equal.unionByName(different).orderBy(*order).limit(k), member

@@ -1,12 +1,16 @@
 """The best pairs by weighted similarity, by a top-k set join without restarts.
 
-Each body's shingles are put in one order, the frequent ones last. Two bodies whose
-first common shingle is the p-th of the n of one of them (from 0) can't be more
-similar than 1 - p / n. Rounds go down that bound: each lets every body's next
-shingles take part, joins them with all shingles so far, scores the pairs not
-seen before, and keeps the best k. The k-th best score prunes by the sizes of
-sets what is joined and scored next, and ends the search once no pair that has
-not met yet can reach it. Nothing is searched twice.
+Each body's shingles are put in one order, the rare ones first, as counted in a
+fixed number of cells by their hashes. Two bodies whose first common shingle is
+the p-th of the n of one of them (from 0) can't be more similar than 1 - p / n.
+Rounds go down that bound: each lets every body's next shingles take part, joins
+them with all shingles so far, scores the pairs not seen before, and keeps the
+best k. The k-th best score prunes by the sizes of sets what is joined and scored
+next, and ends the search once no pair that has not met yet can reach it. Nothing
+is searched twice.
+
+Before the first round, neighbours by size among the bodies that have the same
+rarest shingle are scored, for a k-th best score to begin with.
 
 Shingles that many bodies hold come last in every body. If a round reaches them
 all the same, they are split by the bodies' sizes: only bodies of near sizes can
@@ -16,10 +20,14 @@ still be similar enough, so that they meet in classes of size.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import hashes
+from ..functions.hashes import SKETCH
 from ..functions.sets import jaccard
 from ..sources.tables import durable, written
 from .similar import WEIGHTS, overlap, weighted
@@ -28,10 +36,6 @@ PARTS = ("body", "identifiers", "signature", "control")
 #: By how much the bound of similarity falls in the first round, and how much more in each next one.
 STEP, GROWTH = 0.05, 1.5
 REST = sum(WEIGHTS[1:])
-#: Shingles whose frequency the order knows.
-FREQUENT = 1000
-#: Words of 64 bits in the sketches of body, identifiers and signature.
-SKETCH = (2, 1, 1)
 #: Pairs in the first lot that is scored, for each of the k, and in any lot at most; each lot is four times the one before.
 LOT, MOST_LOT = 10, 20_000
 
@@ -41,12 +45,12 @@ def once(feats: DataFrame, kept: list[str], made: list[str]) -> DataFrame:
     return feats.select(*kept, F.inline(F.array(F.struct(*made))))
 
 
-def frequent(feats: DataFrame) -> list[int]:
-    """About the `FREQUENT` shingles that most bodies hold, the rarest of them first."""
-    lots = once(feats, [], ["body"]).select(F.explode("body").alias("x")).groupBy(F.pmod(F.spark_partition_id(), F.lit(64)).alias("lot"))
-    sketches = lots.agg(F.expr(f"approx_top_k_accumulate(x, {10 * FREQUENT})").alias("sketch")).groupBy(F.lit("all"))
-    top = sketches.agg(F.expr(f"approx_top_k_combine(sketch, {10 * FREQUENT})").alias("sketch")).select(F.expr(f"approx_top_k_estimate(sketch, {FREQUENT})").alias("top")).first()
-    return [r["item"] for r in reversed(top["top"])] if top else []
+def counted(feats: DataFrame) -> np.ndarray:
+    """How many shingles of all bodies are in each cell of hashes."""
+    found = once(feats, [], ["body"]).select(F.explode("body").alias("x")).groupBy(hashes.cell(F.col("x")).alias("cell")).count().toArrow()
+    counts = np.zeros(1 << hashes.CELL_BITS, np.int32)
+    counts[found["cell"].to_numpy()] = found["count"].to_numpy().clip(max=2**31 - 1)
+    return counts
 
 
 def upto(n: Column, bound: float) -> Column:
@@ -54,24 +58,15 @@ def upto(n: Column, bound: float) -> Column:
     return F.least(n, F.floor((1 - bound) * n + 1e-9).cast("int") + 1)
 
 
-def sketch(c: Column, words: int) -> list[Column]:
-    """Parities of the hashes in `c` by 64 * words bits."""
-    bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))
-    own = lambda x, i: bit(x) if words == 1 else F.when(F.pmod(F.shiftright(x, 6), F.lit(words)) == i, bit(x)).otherwise(F.lit(0).cast("long"))
-    parity = lambda i: lambda acc, x: acc.bitwiseXOR(own(x, i))
-    return [F.aggregate(c, F.lit(0).cast("long"), parity(i)) for i in range(words)]
-
-
-def ordered(feats: DataFrame, id_: str, frequent: list[int], bound: float = 0.0) -> DataFrame:
-    """(rep, n, shingles, sizes): bodies in one order of all shingles, the frequent ones last, by rising frequency, as far
-    as they take part down to `bound`; and the sizes of all parts with their sketches. Any order gives the same pairs; no
-    shingle is shuffled for this one."""
-    often = F.array(*[F.lit(x) for x in frequent]).cast("array<long>")
+def ordered(feats: DataFrame, id_: str, counts: np.ndarray, bound: float = 0.0) -> DataFrame:
+    """(rep, n, rarest, shingles, sizes): bodies in one order of all shingles, the rare ones first, as far as they take part
+    down to `bound`; the rarest one that may be shared; and the sizes of all parts with their sketches. Any order gives the
+    same pairs; no shingle is shuffled for this one."""
     total = F.aggregate("control", F.lit(0).cast("long"), lambda acc, n: acc + n)
-    sizes = F.array(*[F.size(c).cast("long") for c in PARTS[:3]], total, *[w for c, k in zip(PARTS, SKETCH, strict=False) for w in sketch(F.col(c), k)]).alias("sizes")
-    shingles = F.concat(F.array_except(F.sort_array("body"), often), F.array_intersect(often, "body"))
+    sizes = F.concat(F.array(*[F.size(c).cast("long") for c in PARTS[:3]], total), "sketch").alias("sizes")
     n = F.size("body")
-    return feats.where(n > 0).select(F.col(id_).alias("rep"), n.alias("n"), F.slice(shingles, F.lit(1), upto(n, bound)).alias("shingles"), sizes)
+    rows = feats.where(n > 0).select(F.col(id_).alias("rep"), n.alias("n"), sizes, hashes.by_rarity(F.col("body"), upto(n, bound), counts).alias("order"))
+    return rows.select("rep", "n", "sizes", "order.*")
 
 
 def most(a: Column, b: Column) -> Column:
@@ -103,10 +98,18 @@ def meeting(rows: DataFrame, before: float, bound: float, floor: float) -> DataF
     return pairs.where(F.col("most") >= floor - 1e-9).select(F.least("s.rep", "r.rep").alias("a"), F.greatest("s.rep", "r.rep").alias("b"), "most").distinct()
 
 
-def scored(pairs: DataFrame, feats: DataFrame, id_: str) -> DataFrame:
-    """(a, b, score, and each part's similarity) of pairs, few enough for a broadcast of their ids."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias(id_)).distinct()
-    feats = written(feats.join(F.broadcast(ids), id_, "left_semi"))
+def neighbours(rows: DataFrame, floor: float) -> DataFrame:
+    """(a, b, most), a < b, of bodies that have the same rarest shingle and are next to each other by their sizes."""
+    probe = rows.select("rep", F.struct("n", "rep", "sizes").alias("r"), F.explode("rarest").alias("x"))
+    pairs = probe.withColumn("s", F.lag("r").over(Window.partitionBy("x").orderBy("r"))).where("s IS NOT NULL")
+    pairs = pairs.select(F.least("s.rep", "r.rep").alias("a"), F.greatest("s.rep", "r.rep").alias("b"), most(F.col("s.sizes"), F.col("r.sizes")).alias("most"))
+    return pairs.where(F.col("most") >= floor - 1e-9)
+
+
+def scored(pairs: DataFrame, feats: Callable[[DataFrame], DataFrame], id_: str) -> DataFrame:
+    """(a, b, score, and each part's similarity) of pairs, few enough for a broadcast of their ids; `feats` makes the
+    features of ids."""
+    feats = written(feats(pairs.select(F.explode(F.array("a", "b")).alias(id_)).distinct()))
     side = lambda x: feats.select(F.col(id_).alias(x), F.struct(*PARTS).alias(f"f_{x}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     parts = [jaccard(F.col(f"f_a.{c}"), F.col(f"f_b.{c}")) for c in PARTS[:3]] + [overlap(F.col("f_a.control"), F.col("f_b.control"))]
@@ -119,7 +122,7 @@ def before(row) -> Column:
     return (F.col("most") > m) | ((F.col("most") == m) & ((F.col("a") < a) | ((F.col("a") == a) & (F.col("b") < b))))
 
 
-def better(pairs: DataFrame, feats: DataFrame, id_: str, best: DataFrame | None, threshold: float, k: int) -> DataFrame:
+def better(pairs: DataFrame, feats: Callable[[DataFrame], DataFrame], id_: str, best: DataFrame | None, threshold: float, k: int) -> DataFrame:
     """The `k` best of `best` and of the pairs (a, b, most)."""
     n, open_ = LOT * k, pairs
     while True:
@@ -137,33 +140,35 @@ def better(pairs: DataFrame, feats: DataFrame, id_: str, best: DataFrame | None,
         n = min(4 * n, MOST_LOT)
 
 
-def top_pairs(feats: DataFrame, id_: str, threshold: float, k: int) -> DataFrame:
+def top_pairs(feats: DataFrame, id_: str, threshold: float, k: int, of: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(a, b, score, parts) of the `k` best pairs of different rows with a score of `threshold` at least, by score, then
     ids. Bodies that share nothing score 0.45 at most, so that the threshold has to be above that.
 
-    `feats` is computed twice, once more if there is a round below the first bound, and for the rows of the pairs that are
-    scored; what it is computed from should be at hand."""
+    `feats` is computed twice, once more if there is a round below the first bound; what it is computed from should be at
+    hand. `of` makes the features of the ids (few, in a column `id_`) whose pairs are scored, so that no others are made;
+    without it they are picked out of `feats`."""
     if threshold <= REST:
         raise ValueError(f"a threshold above {REST} is needed: below it, pairs count that share nothing")
-    often, reach, feats = frequent(feats), 1.0 - STEP, once(feats, [id_], list(PARTS))
-    rows = written(ordered(feats, id_, often, reach))
-    seen = best = None
-    floor, before, bound, step = threshold, 2.0, 1.0, STEP  # first by one shingle each, for a k-th best score
+    of = of or (lambda ids: feats.join(F.broadcast(ids), id_, "left_semi"))
+    wide = once(feats, [id_], [*PARTS, "sketch"])
+    counts, reach = counted(feats), 1.0 - STEP
+    rows = written(ordered(wide, id_, counts, reach))
+    floor, before, step = threshold, 2.0, STEP  # nothing has met
+    seen = written(neighbours(rows, floor))
+    best, seen = better(seen, of, id_, None, threshold, k), seen.select("a", "b")
     while True:
-        if bound < reach:
-            rows, reach = written(ordered(feats, id_, often)), 0.0
-        pairs = meeting(rows, before, bound, floor)
-        pairs = written(pairs if seen is None else pairs.join(seen, ["a", "b"], "left_anti"))
-        best = better(pairs, feats, id_, best, threshold, k)
         n, last = best.agg(F.count("*"), F.min("score")).first()
         floor = max(floor, last) if n >= k else floor
-        if bound <= 0 or WEIGHTS[0] * bound + REST <= floor:
+        least = max((floor - REST) / WEIGHTS[0], 0.0)  # the least bound that can matter ends the search
+        if before <= least or before <= 0:
             return best
-        pairs = pairs.select("a", "b")
-        seen = pairs if seen is None else seen.unionByName(pairs)
-        # the least bound that can matter ends the search
-        before, bound = bound, max(bound - step, min((floor - REST) / WEIGHTS[0], bound - 1e-6), 0.0)
-        step *= GROWTH
+        bound = max(min(before, 1.0) - step, min(least, before - 1e-6), 0.0)
+        if bound < reach:
+            rows, reach = written(ordered(wide, id_, counts, least)), least
+        pairs = written(meeting(rows, before, bound, floor).join(seen, ["a", "b"], "left_anti"))
+        best = better(pairs, of, id_, best, threshold, k)
+        seen = seen.unionByName(pairs.select("a", "b"))
+        before, step = bound, step * GROWTH
 
 
 def report(rows: DataFrame, id_: str, place: list[str], pairs: DataFrame, sets: list[str]) -> DataFrame:
