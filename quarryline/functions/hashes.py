@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 from pandas.util import hash_array
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import from_arrow_type
+from pyspark.sql.types import ArrayType, LongType, StructType
 
 KINDS = {"body": pa.int64(), "identifiers": pa.int64(), "signature": pa.int64(), "control": pa.int32(), "sketch": pa.int64()}
-FEATURES = pa.struct([(name, pa.list_(kind)) for name, kind in KINDS.items()])
+FEATURES = ", ".join(f"{name} array<{'int' if kind == pa.int32() else 'long'}>" for name, kind in KINDS.items())
 #: Odd multipliers for a token's place in a run of one, of two and of three tokens (arithmetic modulo 2**64).
 PLACES = ((0x9E3779B97F4A7C15,), (0xD1B54A32D192ED03, 0xC2B2AE3D27D4EB4F), (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0xBF58476D1CE4E5B9))
 #: What is inside words, as `\w` is defined for Unicode; letters and numbers are, but for some numbers.
@@ -24,11 +26,21 @@ ASCII_EDGES = "".join(c for c in map(chr, range(128)) if not (c.isalnum() or c =
 SKETCH = (2, 1, 1)
 #: Cells, as a power of 2, in which hashes are counted: those that begin with the same bits.
 CELL_BITS = 20
-ORDERED = pa.struct([("rarest", pa.list_(pa.int64())), ("shingles", pa.list_(pa.int64()))])
-#: Texts whose tokens a worker holds at once.
+#: Texts or lists that a worker makes anything of at once, and sends off.
 HELD = 128
 
 
+def in_slices(of: Callable[[pa.RecordBatch], list[pa.Array]], names: list[str]) -> Callable:
+    """For mapInArrow: `of` some rows of a batch at a time, so that what is made of it never meets in memory."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, HELD):
+                yield pa.RecordBatch.from_arrays(of(batch.slice(i, HELD)), names)
+
+    return run
+
+
 def bare(tokens: pa.Array) -> np.ndarray:
     """Tokens without what surrounds their words."""
     trimmed = pc.ascii_trim(tokens, ASCII_EDGES)
@@ -59,22 +71,26 @@ def cell(x: Column) -> Column:
     return F.shiftrightunsigned(x, 64 - CELL_BITS).cast("int")
 
 
-def by_rarity(hashes: Column, first: Column, counts: np.ndarray) -> Column:
-    """`shingles`, the `first` so many of ascending `hashes` by rising counts of their cells, and the `rarest` whose count is
-    above 1, if any: below that no one else has it."""
+def by_rarity(rows: DataFrame, hashes: str, first: str, counts: np.ndarray) -> DataFrame:
+    """`rows` with `shingles` instead of these two columns: the `first` so many of ascending `hashes` by rising counts of
+    their cells; and the `rarest` whose count is above 1, if any: below that no one else has it."""
+    kept = [c for c in rows.columns if c not in (hashes, first)]
 
-    def of(hashes: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
-        held = counts[hashes.view(np.uint64) >> np.uint64(64 - CELL_BITS)]
+    def order(own: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
+        held = counts[own.view(np.uint64) >> np.uint64(64 - CELL_BITS)]
         order = held.argsort(kind="stable")
         shared = order[held[order].searchsorted(2) :][:1]
-        return hashes[shared], hashes[order[:m]]
+        return own[shared], own[order[:m]]
 
-    def run(batch: pa.Array, first: pa.Array) -> pa.Array:
-        ends, hashes = batch.offsets.to_numpy(), batch.values.to_numpy()
-        found = [of(hashes[a:b], m) for a, b, m in zip(ends[:-1].tolist(), ends[1:].tolist(), first.to_pylist(), strict=True)]
-        return pa.StructArray.from_arrays([listed([x[i] for x in found], KINDS["body"]) for i in range(2)], fields=list(ORDERED))
+    def of(batch: pa.RecordBatch) -> list[pa.Array]:
+        ends, values = batch[hashes].offsets.to_numpy(), batch[hashes].values.to_numpy()
+        found = [order(values[a:b], m) for a, b, m in zip(ends[:-1].tolist(), ends[1:].tolist(), batch[first].to_pylist(), strict=True)]
+        return [*(batch[c] for c in kept), *(listed([x[i] for x in found], KINDS["body"]) for i in range(2))]
 
-    return F.arrow_udf(run, from_arrow_type(ORDERED))(hashes, first)
+    schema = StructType([rows.schema[c] for c in kept])
+    for name in ("rarest", "shingles"):
+        schema = schema.add(name, ArrayType(LongType()))
+    return rows.mapInArrow(in_slices(of, schema.names), schema)
 
 
 def listed(lists: list[np.ndarray], kind: pa.DataType) -> pa.Array:
@@ -91,15 +107,15 @@ def parities(lists: pa.Array, words: int) -> np.ndarray:
     return np.where(np.diff(ends)[:, None] > 0, found, np.uint64(0)).view(np.int64)
 
 
-def features(lowered: Column, control: tuple[str, ...], ignored: tuple[str, ...]) -> Column:
-    """body, identifiers, signature, control, sketch: hashed runs of three tokens of a lower-case text and of its first line, its
-    distinct words but the `ignored` ones, and how often it has each of `control` and question marks, and parities of the
-    first three. Fewer tokens than three are one run, none are none."""
+def features(rows: DataFrame, id_: str, lowered: Column, control: tuple[str, ...], ignored: tuple[str, ...]) -> DataFrame:
+    """(id, body, identifiers, signature, control, sketch): hashed runs of three tokens of a lower-case text and of its first
+    line, its distinct words but the `ignored` ones, how often it has each of `control` and question marks, and parities of
+    the first three. Fewer tokens than three are one run, none are none."""
     counted, left_out = hashed(np.array(control, object)), hashed(np.array([*ignored, ""], object))
     order = counted.argsort()
 
-    def of(texts: pa.Array) -> pa.Array:
-        texts = pc.ascii_trim_whitespace(texts)
+    def of(batch: pa.RecordBatch) -> list[pa.Array]:
+        texts = pc.ascii_trim_whitespace(batch["_text"])
         split, plain = pc.ascii_split_whitespace(texts), texts.cast(pa.binary()).to_pylist()
         ends, tokens = split.offsets.to_numpy().tolist(), split.values.dictionary_encode()
         ids, once = tokens.indices.to_numpy(), hashed(bare(tokens.dictionary))
@@ -121,10 +137,8 @@ def features(lowered: Column, control: tuple[str, ...], ignored: tuple[str, ...]
             out[2].append(out[0][-1] if line == text else runs(start, len(line.split())))
             out[3].append(times.astype(np.int32))
         made = [listed(x, kind) for x, kind in zip(out, KINDS.values(), strict=False)]
-        sketches = np.concatenate([parities(x, n) for x, n in zip(made, SKETCH, strict=False)], axis=1) if plain else []
-        return pa.StructArray.from_arrays([*made, listed(list(sketches), KINDS["sketch"])], fields=list(FEATURES))
-
-    def run(batch: pa.Array) -> pa.Array:
-        return pa.concat_arrays([of(batch.slice(i, HELD)) for i in range(0, max(1, len(batch)), HELD)])
+        sketches = np.concatenate([parities(x, n) for x, n in zip(made, SKETCH, strict=False)], axis=1)
+        return [batch[id_], *made, listed(list(sketches), KINDS["sketch"])]
 
-    return F.arrow_udf(run, from_arrow_type(FEATURES))(lowered)
+    schema = StructType([rows.schema[id_], *StructType.fromDDL(FEATURES)])
+    return rows.select(id_, lowered.alias("_text")).mapInArrow(in_slices(of, schema.names), schema)

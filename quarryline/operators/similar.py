@@ -110,13 +110,13 @@ def members(rows: DataFrame, id_: str, key: list[str]) -> DataFrame:
 
 
 def features(rows: DataFrame, id_: str, text: str) -> DataFrame:
-    """(id, body, identifiers, signature, control): what texts are compared by.
+    """(id, body, identifiers, signature, control, sketch): what texts are compared by.
 
     Hashed word shingles of the text and of its first line, its distinct words,
-    and counts of control tokens.
+    counts of control tokens, and a sketch of the three sets.
     """
     lowered = F.lower(F.coalesce(F.col(text), F.lit("")))
-    return rows.select(id_, hashes.features(lowered, CONTROL, IGNORED).alias("_features")).select(id_, "_features.*")
+    return hashes.features(rows, id_, lowered, CONTROL, IGNORED)
 
 
 def best_pairs(rows: DataFrame, id_: str, text: str, threshold: float, k: int) -> tuple[DataFrame, DataFrame]:

@@ -65,8 +65,8 @@ def ordered(feats: DataFrame, id_: str, counts: np.ndarray, bound: float = 0.0)
     total = F.aggregate("control", F.lit(0).cast("long"), lambda acc, n: acc + n)
     sizes = F.concat(F.array(*[F.size(c).cast("long") for c in PARTS[:3]], total), "sketch").alias("sizes")
     n = F.size("body")
-    rows = feats.where(n > 0).select(F.col(id_).alias("rep"), n.alias("n"), sizes, hashes.by_rarity(F.col("body"), upto(n, bound), counts).alias("order"))
-    return rows.select("rep", "n", "sizes", "order.*")
+    rows = feats.where(n > 0).select(F.col(id_).alias("rep"), n.alias("n"), sizes, "body", upto(n, bound).cast("int").alias("first"))
+    return hashes.by_rarity(rows, "body", "first", counts)
 
 
 def most(a: Column, b: Column) -> Column:
